@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, license_scan, quality, token_output, warc
+from . import bpe, decontam, html_extract, license_scan, quality, token_output, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_ranking": op2_quality_ranking,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontamination": op7_decontamination,
     "op8_html_extract": op8_html_extract,
     "op9_token_output": op9_token_output,
     "op10_license_scan": op10_license_scan,
