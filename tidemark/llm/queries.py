@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_extract, license_scan, quality, token_output, warc
+from . import bpe, decontam, hamming, html_extract, license_scan, quality, token_output, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=10)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as known
 
@@ -57,6 +61,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_ranking": op2_quality_ranking,
+    "op4_hamming_topk": op4_hamming_topk,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_html_extract": op8_html_extract,
@@ -64,4 +69,18 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_hamming_topk": """
+        WITH codes AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+            FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS neighbor_id,
+                   CAST(list_sum(list_transform(list_zip(q.bits, d.bits), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance
+            FROM codes q, codes d WHERE q.vec_id % 20 = 0),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance
+            FROM pairs)
+        SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+    """,
+}
