@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hamming, html_extract, license_scan, quality, token_output, warc
+from . import bpe, decontam, hamming, html_extract, license_scan, ngram_join, quality, token_output, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=10)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as known
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_ranking": op2_quality_ranking,
     "op4_hamming_topk": op4_hamming_topk,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_html_extract": op8_html_extract,
