@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hamming, html_extract, license_scan, ngram_join, quality, token_output, warc
+from . import bpe, decontam, hamming, html_extract, license_scan, line_dedup, ngram_join, quality, token_output, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring(docs, count="n_dropped")
+
+
 def op4_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=10)
 
@@ -65,6 +70,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_ranking": op2_quality_ranking,
+    "op3_line_templates": op3_line_templates,
     "op4_hamming_topk": op4_hamming_topk,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_byte_bpe": op6_byte_bpe,
@@ -75,6 +81,37 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_templates": r"""
+        WITH lines AS (
+            SELECT text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+            FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+        cut AS (
+            SELECT text, pos, line, list_transform(list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda w: w <> ''),
+                   lambda w: CASE WHEN regexp_matches(w, '[0-9]|@|://') THEN '<*>' ELSE w END) AS words
+            FROM lines),
+        leafed AS (SELECT *, len(words) AS n, words[1:3] AS heads FROM cut WHERE len(words) >= 4),
+        leaves AS (SELECT n, heads FROM leafed GROUP BY n, heads HAVING count(DISTINCT text) >= 10),
+        hot AS (SELECT leafed.* FROM leafed JOIN leaves USING (n, heads)),
+        forms AS (SELECT n, heads, words, count(DISTINCT text) AS docs FROM hot GROUP BY n, heads, words),
+        placed AS (SELECT n, heads, words, docs, unnest(words) AS word, unnest(range(n)) AS spot FROM forms),
+        support AS (SELECT n, heads, spot, word, sum(docs) AS support FROM placed GROUP BY n, heads, spot, word),
+        templates AS (
+            SELECT n, heads, words, list(CASE WHEN support >= 10 AND word <> '<*>' THEN word ELSE '<*>' END ORDER BY spot) AS template
+            FROM placed JOIN support USING (n, heads, spot, word) GROUP BY n, heads, words
+            HAVING avg(CASE WHEN support >= 10 AND word <> '<*>' THEN 1 ELSE 0 END) >= 0.6),
+        recurs AS (
+            SELECT n, heads, template FROM hot JOIN templates USING (n, heads, words)
+            GROUP BY n, heads, template HAVING count(DISTINCT text) >= 10),
+        gone AS (
+            SELECT text, list(pos) AS gone FROM hot JOIN templates USING (n, heads, words) JOIN recurs USING (n, heads, template)
+            GROUP BY text HAVING sum(length(line)) <= 0.5 * length(text))
+        SELECT doc_id,
+               CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(
+                   list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(gone, i)),
+                   lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text,
+               CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped
+        FROM documents LEFT JOIN gone USING (text)
+    """,
     "op4_hamming_topk": """
         WITH codes AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
