@@ -7,7 +7,7 @@ made stale are recognised when they come up and skipped. The time for a pre-toke
 O(n log n) whatever its merges, so a "word" of a megabyte is no worse than as many bytes of prose.
 
 The ranks (at most some 10^5 entries, checked) are the only thing broadcast. Frequent pieces of text are
-cached in each worker within a fixed bound.
+cached in each worker within fixed bounds.
 
 Defined cases: a null text encodes as an empty one (no ids); strings that look like special tokens are
 ordinary text; all other columns pass through, ids' own column replaces one of the same name.
@@ -16,6 +16,7 @@ ordinary text; all other columns pass through, ids' own column replaces one of t
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -34,101 +35,90 @@ def load_ranks(file: str) -> dict[bytes, int]:
     return ranks
 
 
-class RankQueue:
-    """Buckets of positions by rank under a three-level bitmap of 64-bit words."""
-
-    def __init__(self, ranks: int) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, at: int) -> None:
-        if bucket := self.buckets.get(rank):
-            heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int]:
-        """(lowest rank, its leftmost position), or (-1, -1)."""
-        if not self.top:
-            return -1, -1
-        i = (self.top & -self.top).bit_length() - 1
-        word = self.mid[i]
-        i = i << 6 | (word & -word).bit_length() - 1
-        word = self.low[i]
-        rank = i << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[i] &= word - 1
-            if not self.low[i]:
-                self.mid[rank >> 12] &= ~(1 << (i & 63))
-                if not self.mid[rank >> 12]:
-                    self.top &= ~(1 << (rank >> 12))
-        return rank, at
-
-
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        most = max(ranks.values(), default=0)
+        # The bitmap's two lower levels, all zero between calls; the top level is one integer.
+        self.low, self.mid = [0] * ((most >> 6) + 1), [0] * ((most >> 12) + 1)
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. The queue is written out here: this loop is where the time goes."""
         get = self.ranks.get
         if (whole := get(word)) is not None:
             return [whole]
-        n, queue = len(word), self.queue
-        parts = [word[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * (n + 1)  # the rank of the pair that begins here
-        for i in range(n - 1):
-            if (r := get(word[i : i + 2])) is not None:
-                pair[i] = r
-                queue.push(r, i)
+        n, low, mid, top = len(word), self.low, self.mid, 0
+        buckets: dict[int, int | list[int]] = {}  # by rank: a position, or a heap of several
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        pair = [-1] * (n + 1)  # the rank of the pair that begins here; -1: none
+        fresh = [(get(word[i : i + 2]), i) for i in range(n - 1)]
         while True:
-            rank, i = queue.pop()
-            if rank < 0:
+            for rank, i in fresh:
+                if rank is None:
+                    pair[i] = -1
+                    continue
+                pair[i] = rank
+                if (held := buckets.get(rank)) is None:
+                    buckets[rank] = i
+                    k = rank >> 6
+                    low[k] |= 1 << (rank & 63)
+                    mid[k >> 6] |= 1 << (k & 63)
+                    top |= 1 << (k >> 6)
+                elif held.__class__ is int:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+                else:
+                    heappush(held, i)
+            while top:
+                high = top & -top
+                a = high.bit_length() - 1
+                bit = mid[a] & -mid[a]
+                b = a << 6 | bit.bit_length() - 1
+                last = low[b] & -low[b]
+                rank = b << 6 | last.bit_length() - 1
+                i = buckets[rank]
+                heap = None
+                if i.__class__ is not int:
+                    heap = i
+                    i = heappop(heap)
+                if not heap:
+                    del buckets[rank]
+                    low[b] ^= last
+                    if not low[b]:
+                        mid[a] ^= bit
+                        if not mid[a]:
+                            top ^= high
+                if pair[i] == rank:  # else stale
+                    break
+            else:
                 break
-            if pair[i] != rank:
-                continue  # stale
             j = after[i]
-            parts[i] += parts[j]
-            parts[j] = b""
-            pair[j] = -1
             k = after[i] = after[j]
+            pair[j] = pair[i] = -1
+            fresh = []
             if k < n:
                 before[k] = i
-                r = get(parts[i] + parts[k])
-                pair[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
-            if (h := before[i]) >= 0:
-                r = get(parts[h] + parts[i])
-                pair[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
-        return [self.ranks[p] for p in parts if p]
+                fresh.append((get(word[i : after[k]]), i))
+            if i:
+                h = before[i]
+                fresh.append((get(word[h:k]), h))
+        ids, i, of = [], 0, self.ranks
+        while i < n:
+            ids.append(of[word[i : after[i]]])
+            i = after[i]
+        return ids
 
     def piece(self, text: str) -> bytes:
         """Ids of a text, each match of the pattern by itself, as 32-bit integers."""
         out = []
         for w in self.pattern.findall(text):
             if (got := self.words.get(w)) is None:
-                got = np.array(self.merge(w.encode()), "<i4").tobytes()
+                got = array("i", self.merge(w.encode())).tobytes()
                 if len(w) <= 40:
-                    if len(self.words) >= CACHED:
+                    if len(self.words) >= 2 * CACHED:
                         self.words.clear()
                     self.words[w] = got
             out.append(got)
@@ -195,7 +185,9 @@ def decode(encoded: DataFrame, ranks_file: str, ids: str = "ids", into: str = "d
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 b = batch.slice(low, 256)
-                got = [None if x is None else b"".join(map(known.__getitem__, x)) for x in b.column(place).to_pylist()]
+                lists = b.column(place)
+                ids, ends, unset = lists.values.to_numpy(), lists.offsets.to_numpy().tolist(), lists.is_null().to_pylist()
+                got = [None if no else b"".join(map(known.__getitem__, ids[a:z].tolist())) for a, z, no in zip(ends[:-1], ends[1:], unset, strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*kept, into])
 
     out = encoded.select(*[encoded[f"`{c}`"] for c in kept])
