@@ -100,10 +100,10 @@ def return_over_20(spark, d):
     return ops.daily_features(base.prices(spark, d)).where("ret_k is not null").select("code", "date", F.round("ret_k", 6).alias("ret_20"))
 
 
-@query("SELECT code, date, round(turnover, 4) AS turnover FROM feat", ("px", "feat"))
+@query("SELECT code, date, round(turnover, 6) AS turnover FROM feat", ("px", "feat"))
 def avg_turnover_20(spark, d):
     """AGG9: mean of close times volume over 20 rows."""
-    return ops.daily_features(base.prices(spark, d)).select("code", "date", F.round("turnover", 4).alias("turnover"))
+    return ops.daily_features(base.prices(spark, d)).select("code", "date", F.round("turnover", 6).alias("turnover"))
 
 
 @query(
