@@ -1,7 +1,7 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
-The index holds, for each licence template, its words that are rarest in the corpus (document frequencies
-are counted over all documents) with their positions. A file's words that stand in the index are looked up;
+The index holds, for each licence template, the words of its mandatory key phrase that are rarest in the
+corpus (document frequencies are counted over all documents) with their positions in the template. A file's words that stand in the index are looked up;
 hits of one template at one relative position (place in the file less place in the template) belong
 together, and where at least two rare words agree the template's mandatory key phrase must stand word for
 word at that relative position. Only rows for index hits are shuffled, never texts.
@@ -62,15 +62,21 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, in
 
 
 def build_index(templates: list[tuple[str, str, str]], frequencies: dict[str, int], rare: int = RARE) -> list[tuple[str, int, int]]:
-    """(word, template, position) of the rarest words of each template; a word counts at each of its places."""
+    """(word, template, position) of the rarest words of each template's key phrase. The phrase is mandatory,
+    so a file that matches has them all, at these relative positions."""
     index = []
-    for t, (_, text, _) in enumerate(templates):
-        words = text.split()
-        chosen = sorted(set(words), key=lambda w: (frequencies.get(w, 0), words.index(w)))[:rare]
-        index += [(w, t, i) for i, w in enumerate(words) if w in chosen]
+    for t, (_, text, key) in enumerate(templates):
+        phrase = key.split()
+        start = _find(text.split(), phrase)
+        chosen = sorted(range(len(phrase)), key=lambda i: (frequencies.get(phrase[i], 0), i))[:rare]
+        index += [(phrase[i], t, start + i) for i in sorted(chosen)]
     return index
 
 
+def _find(words: list[str], phrase: list[str]) -> int:
+    return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+
+
 def _n_words(spaced: Column) -> Column:
     return F.floor((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2)
 
@@ -78,7 +84,7 @@ def _n_words(spaced: Column) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
+    vocabulary = sorted({w for _, _, key in templates for w in key.split()})
     index = build_index(templates, document_frequencies(docs, vocabulary))
     rare = sorted({w for w, _, _ in index})
 
@@ -92,7 +98,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, bas
     hits = some.select("doc_id", "h", "words", F.explode(places).alias("x")).select("doc_id", "h", "words", "x.i", "x.w")
     # What a template says at the hit's relative position is compared where the words are: no second look-up.
     texts = [t.split() for _, t, _ in templates]
-    keys = [(k.split(), next(i for i in range(len(t)) if t[i : i + len(k.split())] == k.split())) for (_, _, k), t in zip(templates, texts, strict=True)]
+    keys = [(k.split(), _find(t, k.split())) for (_, _, k), t in zip(templates, texts, strict=True)]
     told = spark.createDataFrame([(t, templates[t][0], texts[t], keys[t][1], keys[t][0]) for t in range(len(templates))], "t int, label string, template array<string>, key_at int, key array<string>")
     start = F.col("i") - F.col("at")
     here = lambda at, n: F.slice("words", F.greatest(at, F.lit(0)) + 1, n)
