@@ -179,3 +179,23 @@ def window_half_open(spark, d):
     inside = "ts > timestamp_ntz'2024-01-02 00:00:00' and ts <= timestamp_ntz'2024-01-04 00:00:00'"
     e = base.read(spark, d, "events").where(inside).select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.col("event_type").alias("title"))
     return base.items(spark, d).where(inside).select("id", "kind", "title").unionByName(e)
+
+
+@query(
+    f"""SELECT * FROM (WITH {_GATE}, gated AS (SELECT * FROM lim WHERE inn AND NOT over_cap),
+        links AS (SELECT page_id % 1000 AS id, list_sort(list(DISTINCT url))[1:10] AS urls FROM pages GROUP BY 1)
+        SELECT day, CAST(count(*) AS INTEGER) AS n_passed, string_agg(CAST(g.id AS VARCHAR) || ':' || CAST(coalesce(len(urls), 0) AS VARCHAR), ',' ORDER BY round(score, 6) DESC, g.id) AS content
+        FROM gated g LEFT JOIN links USING (id) GROUP BY day)""",
+    ("items",),
+)
+def daily_pack(spark, d):
+    """PIP2, SNK9, JN7, TOP5: the day's pack, read back from its JSON."""
+    from ..plans import pack
+
+    i = F.col("id")
+    gated = gate_decisions(spark, d).join(base.items(spark, d).select("id", F.to_date("ts").alias("day"), "title", (i * 7 % 23).cast("double").alias("media_count")), "id")
+    urls = base.read(spark, d, "pages").select((F.col("page_id") % 1000).alias("id"), "url")
+    packs = pack.day_packs(gated, urls)
+    read = F.from_json("pack", "date string, events array<struct<event_id: long, urls: array<string>>>")["events"]
+    content = F.array_join(F.transform(read, lambda e: F.concat(e["event_id"].cast("string"), F.lit(":"), F.size(e["urls"]).cast("string"))), ",")
+    return packs.select("day", "n_passed", content.alias("content"))
