@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +71,29 @@ def title_media(c: Column) -> Column:
 
 def title_without_media(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s-\s[^-]+$", ""))
+
+
+@F.pandas_udf("string")
+def nfkc(c: pd.Series) -> pd.Series:
+    """Unicode compatibility form, which has no built-in."""
+    return c.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def company_name(c: Column) -> Column:
+    """Names for comparison: compatibility form, without legal forms and separators, lower case."""
+    bare = F.regexp_replace(nfkc(c), r"株式会社|有限会社|合同会社|\(株\)|\(有\)", "")
+    return F.lower(F.regexp_replace(bare, r"(?U)[\s・\-ー.,&]+", ""))
+
+
+def jst_date(ts: Column) -> Column:
+    return F.to_date(F.from_utc_timestamp(ts, "Asia/Tokyo"))
+
+
+def percent_encoded(c: Column) -> Column:
+    """URL encoding with %20 for blanks."""
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+
+def a_year_later(d: Column) -> Column:
+    """The same day of the next year; for 29 February the date 365 days on."""
+    return F.when((F.month(d) == 2) & (F.dayofmonth(d) == 29), F.date_add(d, 365)).otherwise(F.add_months(d, 12))
