@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character classes of names and of noise, and titles of strong filings.
 ENTITY = "[一-龥ー]{2,}|[ァ-ヶー]{2,}"
@@ -73,7 +74,7 @@ def title_without_media(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s-\s[^-]+$", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(c: pd.Series) -> pd.Series:
     """Unicode compatibility form, which has no built-in."""
     return c.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
