@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 MOST_RANKS = 1 << 18
-CACHED = 600_000
+CACHED = 700_000
 
 
 def load_ranks(file: str) -> dict[bytes, int]:
@@ -43,8 +43,10 @@ class Bpe:
         most = max(ranks.values(), default=0)
         # The bitmap's two lower levels, all zero between calls; the top level is one integer.
         self.low, self.mid = [0] * ((most >> 6) + 1), [0] * ((most >> 12) + 1)
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # Two generations of pieces: what is asked for again moves to the young one, the rest goes with the old.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails = {c: array("i", self.merge(c.encode())).tobytes() for c in ",."}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token. The queue is written out here: this loop is where the time goes."""
@@ -113,32 +115,32 @@ class Bpe:
 
     def piece(self, text: str) -> bytes:
         """Ids of a text, each match of the pattern by itself, as 32-bit integers."""
-        out = []
-        for w in self.pattern.findall(text):
-            if (got := self.words.get(w)) is None:
-                got = array("i", self.merge(w.encode())).tobytes()
-                if len(w) <= 40:
-                    if len(self.words) >= 2 * CACHED:
-                        self.words.clear()
-                    self.words[w] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join([array("i", self.merge(w.encode())).tobytes() for w in self.pattern.findall(text)])
+
+    def _led(self, p: str) -> bytes:
+        """Ids of a blank and what follows it, where that isn't in the young cache."""
+        if (got := self.old.get(p)) is None:
+            if p.isalpha():  # one pre-token
+                got = array("i", self.merge((" " + p).encode())).tobytes()
+            elif p[-1:] in self.tails and p[:-1].isalpha():
+                return (self.young.get(p[:-1]) or self._led(p[:-1])) + self.tails[p[-1]]
+            else:
+                got = self.piece(" " + p)
+        if len(p) <= 60:
+            if len(self.young) >= CACHED:
+                self.old, self.young = self.young, {}
+            self.young[p] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text. A blank between two other characters begins a pre-token, so the pieces that
         such blanks lead can be looked up; a text with two blanks in a row is matched whole."""
         if not text or "  " in text:
             return self.piece(text)
-        pieces, out = text.split(" "), []
-        cache = self.cache
-        if len(cache) >= CACHED:
-            cache.clear()
-        for k, p in enumerate(pieces):
-            if (got := cache.get(p) if k else None) is None:
-                got = self.piece(" " + p if k else p)
-                if k and len(p) <= 60:
-                    cache[p] = got
-            out.append(got)
+        first, *rest = text.split(" ")
+        out = [self.piece(first)]
+        for p in rest:
+            out.append(self.young.get(p) or self._led(p))
         return b"".join(out)
 
 

@@ -10,8 +10,8 @@ each other. So, over whole texts:
    that meet the item's bound are kept;
 3. each kept band is verified by an alignment confined to its diagonals, which gives the exact distance.
 
-k is EDITS of the item's length. Both sides are lower-cased and their white space collapsed; positions refer
-to that form. Items go to the tasks in slices of at most SLICE characters (a proven bound on what is
+k is EDITS of the item's length. Both sides are lower-cased, and runs of white space and punctuation become one
+blank; positions refer to that form. Items go to the tasks in slices of at most SLICE characters (a proven bound on what is
 broadcast); a larger benchmark takes several slices, each handled in the same pass over the documents
 or, beyond SLICES_A_PASS of them, in further passes. Documents aren't shuffled.
 
@@ -22,6 +22,7 @@ in the result; extra columns pass through `drop_contaminated`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,11 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
 
+_MARKS = re.compile(r"[\W_]+")
+
+
 def normal(text: str | None) -> str:
-    return " ".join(text.lower().split()) if text else ""
+    return _MARKS.sub(" ", text.lower()).strip() if text else ""
 
 
 def codes(text: str) -> np.ndarray:

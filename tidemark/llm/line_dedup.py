@@ -1,9 +1,9 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Lines are parsed by a tree of fixed depth: the number of tokens, then the LEAD leading tokens (tokens with a
-digit, "@" or "://" are variable from the start). In each leaf that enough documents reach, a token is
-constant at its position if enough documents have it there, and variable otherwise; a line's template is its
-tokens with the variable ones generalised. A template recurs if at least MIN_DOCS documents have lines of it
+Lines are parsed by a tree of fixed depth: the number of tokens (what single blanks separate), then the LEAD
+leading tokens (tokens with a digit, "@" or "://" are variable from the start). In each leaf that enough
+documents reach, a token is constant at its position if enough documents have it there, and variable
+otherwise; a line's template is its tokens with the variable ones generalised. A template recurs if at least MIN_DOCS documents have lines of it
 and at least CONSTANT of its tokens are constant, so that a leaf of different sentences gives none.
 
 Lines of recurring templates are dropped. Documents are told apart by their texts, so that exact copies of a
@@ -33,27 +33,25 @@ MOST = 0.5
 VARIABLE = "[0-9]|@|://"
 
 
-def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, "[ \t\r\f]+"), "")
-
-
 def masked(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.rlike(VARIABLE), F.lit("<*>")).otherwise(w))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(th, chars, pos, line, l1, l2): every line long enough with its leaf."""
+    """(th, chars, pos, line, l1, l2): every line long enough with its leaf. Only the leading tokens are
+    parsed here; most lines stand alone in their leaf and need no more."""
     one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.length("text").alias("chars"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    cut = one.withColumn("words", tokens(F.col("line"))).withColumn("n", F.size("words")).where(F.col("n") >= MIN_TOKENS)
-    lead = F.array_join(masked(F.slice("words", 1, LEAD)), " ")
-    return cut.select("th", "chars", "pos", "line", F.xxhash64("n", lead).alias("l1"), F.xxhash64(F.lit(1), "n", lead).alias("l2"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    long_enough = one.where((n >= MIN_TOKENS) & (F.trim("line") != ""))
+    lead = F.regexp_replace(F.substring_index("line", " ", LEAD), f"[^ ]*(?:{VARIABLE})[^ ]*", "<*>")
+    return long_enough.select("*", F.xxhash64(n, lead).alias("l1"), F.xxhash64(F.lit(1), n, lead).alias("l2"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(th, chars, pos, size) of the lines whose template recurs; th is the md5 of the text."""
     lines = _lines(docs)
     leaves = lines.select("l1", "l2", "th").distinct().groupBy("l1", "l2").count().where(F.col("count") >= min_docs).select("l1", "l2")
-    words = masked(tokens(F.col("line")))
+    words = masked(F.split("line", " "))
     hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "th", "chars", "pos", F.length("line").alias("size"), words.alias("words"))
     hot = materialise(hot.withColumn("id", F.unhex(F.md5(F.array_join("words", " ")))), "template-lines")
 

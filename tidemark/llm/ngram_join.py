@@ -298,7 +298,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     sketches = materialise(sketch(docs), "ngram-sketches")
     classes = _classes(docs, sketches)
     some = sketches.where("fp is not null").select("doc_id", "th", "fp").join(classes, F.col("fp") == F.col("c_fp"))
-    gone = some.where(~F.struct("doc_id", "th").eqNullSafe(F.col("class"))).select(F.col("doc_id").alias("g_doc"), F.col("th").alias("g_th")).distinct()
-    th = "__th"
-    kept = docs.withColumn(th, F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("g_doc")) & (F.col(th) == F.col("g_th")), "left_anti")
-    return kept.dropDuplicates(["doc_id", th]).drop(th)
+    keys = ["__id", "__null", "__th"]  # not null, so that the join and the removal of repeats share one exchange
+    key = lambda df, th: df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__th": th})
+    gone = key(some.where(~F.struct("doc_id", "th").eqNullSafe(F.col("class"))), F.col("th")).select(*keys).distinct()
+    return key(docs, F.xxhash64("text")).join(gone, keys, "left_anti").dropDuplicates(keys).select(*[f"`{c}`" for c in docs.columns])

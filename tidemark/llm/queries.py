@@ -81,15 +81,15 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_line_templates": r"""
+    "op3_line_templates": """
         WITH lines AS (
             SELECT text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
             FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
         cut AS (
-            SELECT text, pos, line, list_transform(list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda w: w <> ''),
+            SELECT text, pos, line, list_transform(string_split(line, ' '),
                    lambda w: CASE WHEN regexp_matches(w, '[0-9]|@|://') THEN '<*>' ELSE w END) AS words
             FROM lines),
-        leafed AS (SELECT *, len(words) AS n, words[1:3] AS heads FROM cut WHERE len(words) >= 4),
+        leafed AS (SELECT *, len(words) AS n, words[1:3] AS heads FROM cut WHERE len(words) >= 4 AND trim(line) <> ''),
         leaves AS (SELECT n, heads FROM leafed GROUP BY n, heads HAVING count(DISTINCT text) >= 10),
         hot AS (SELECT leafed.* FROM leafed JOIN leaves USING (n, heads)),
         forms AS (SELECT n, heads, words, count(DISTINCT text) AS docs FROM hot GROUP BY n, heads, words),
