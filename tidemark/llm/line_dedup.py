@@ -12,7 +12,8 @@ characters keeps all its lines: it is a copy of other documents, which is for ne
 settle, or it has nothing else.
 
 All counts combine before their shuffles and all keys of joins that can be hot stand on sides that the
-adaptive skew join splits. Texts are shuffled twice: once as lines, once to drop the lines found.
+adaptive skew join splits. Texts are shuffled once, to drop the lines found, and as lines only where the
+leaves that enough documents reach are too many for a broadcast by the planner's size check.
 
 Defined cases: null and empty texts stay as they are; blank lines and lines of fewer than MIN_TOKENS tokens
 are never dropped; all columns pass through; repeated rows are treated alike.
@@ -51,6 +52,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(th, chars, pos, size) of the lines whose template recurs; th is the md5 of the text."""
     lines = _lines(docs)
     leaves = lines.select("l1", "l2", "th").distinct().groupBy("l1", "l2").count().where(F.col("count") >= min_docs).select("l1", "l2")
+    leaves = materialise(leaves, "template-leaves")  # its size is known from here on: where it is small, lines stay where they are
     words = masked(F.split("line", " "))
     hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "th", "chars", "pos", F.length("line").alias("size"), words.alias("words"))
     hot = materialise(hot.withColumn("id", F.unhex(F.md5(F.array_join("words", " ")))), "template-lines")
