@@ -68,6 +68,16 @@ def test_copies_of_a_text_do_not_make_its_lines_recur(spark):
     assert line_dedup.recurring_lines(df).count() == 0
 
 
+def test_a_recurring_line_goes_where_it_is_most_of_a_text(spark):
+    rng = random.Random(4)
+    notice, body = words(rng, 60), [words(rng, 12) for _ in range(8)]
+    rows = [(i, f"{words(rng, 3)}\n{words(rng, 3)}\n{notice}") for i in range(12)]  # short pages
+    near = ["\n".join([*body[: i % 8], words(rng, 12), *body[i % 8 + 1 :], notice]) for i in range(16)]  # near copies
+    rows += [(100 + i, t) for i, t in enumerate(near)] + [(200, notice)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == t.removesuffix(notice).rstrip("\n") for i, t in rows)
+
+
 def test_line_edge_rows(docs, no_docs):
     out = line_dedup.drop_recurring(docs, min_docs=2)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -6,10 +6,11 @@ documents reach, a token is constant at its position if enough documents have it
 otherwise; a line's template is its tokens with the variable ones generalised. A template recurs if at least MIN_DOCS documents have lines of it
 and at least CONSTANT of its tokens are constant, so that a leaf of different sentences gives none.
 
-Lines of recurring templates are dropped. Documents are told apart by their texts, so that exact copies of a
-document don't make its lines recur; and a document of which dropped lines would take more than MOST of the
-characters keeps all its lines: it is a copy of other documents, which is for near-duplicate removal to
-settle, or it has nothing else.
+Lines of recurring templates are dropped wherever they stand. Documents are told apart by their texts, so that
+exact copies of a document don't make its lines recur, and near copies count as one: of documents that have
+more than half of their lines from templates of enough texts, those with the same rarest such template are a
+group, and a template recurs only if it stands in at least MIN_DOCS groups. Lines that only near copies share
+stay; settling those is for near-duplicate removal.
 
 All counts combine before their shuffles and all keys of joins that can be hot stand on sides that the
 adaptive skew join splits. Texts are shuffled once, to drop the lines found, and as lines only where the
@@ -30,7 +31,6 @@ LEAD = 3
 MIN_TOKENS = 4
 MIN_DOCS = 10
 CONSTANT = 0.6
-MOST = 0.5
 VARIABLE = "[0-9]|@|://"
 
 
@@ -39,9 +39,10 @@ def masked(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(th, chars, pos, line, l1, l2): every line long enough with its leaf. Only the leading tokens are
+    """(th, n_lines, pos, line, l1, l2): every line long enough with its leaf. Only the leading tokens are
     parsed here; most lines stand alone in their leaf and need no more."""
-    one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.length("text").alias("chars"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.split("text", "\n").alias("all"))
+    one = one.select("th", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n_lines"), F.posexplode("all").alias("pos", "line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     long_enough = one.where((n >= MIN_TOKENS) & (F.trim("line") != ""))
     lead = F.regexp_replace(F.substring_index("line", " ", LEAD), f"[^ ]*(?:{VARIABLE})[^ ]*", "<*>")
@@ -49,12 +50,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(th, chars, pos, size) of the lines whose template recurs; th is the md5 of the text."""
+    """(th, pos) of the lines whose template recurs; th is the md5 of the text."""
     lines = _lines(docs)
     leaves = lines.select("l1", "l2", "th").distinct().groupBy("l1", "l2").count().where(F.col("count") >= min_docs).select("l1", "l2")
     leaves = materialise(leaves, "template-leaves")  # its size is known from here on: where it is small, lines stay where they are
     words = masked(F.split("line", " "))
-    hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "th", "chars", "pos", F.length("line").alias("size"), words.alias("words"))
+    hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "th", "n_lines", "pos", words.alias("words"))
     hot = materialise(hot.withColumn("id", F.unhex(F.md5(F.array_join("words", " ")))), "template-lines")
 
     # Distinct lines of a leaf, with the number of documents that have them.
@@ -67,16 +68,23 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     templates = told.groupBy("l1", "l2", "id").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.avg("c").alias("share"))  # a row for each token of one line
     templates = templates.where(F.col("share") >= CONSTANT).select("l1", "l2", "id", F.unhex(F.md5(F.array_join("xs.word", " "))).alias("template"))
     seen = hot.select("l1", "l2", "id", "th").distinct().join(templates, ["l1", "l2", "id"])
-    recurs = seen.select("l1", "l2", "template", "th").distinct().groupBy("l1", "l2", "template").count().where(F.col("count") >= min_docs).drop("count")
-    chosen = templates.join(recurs, ["l1", "l2", "template"]).select("l1", "l2", "id")
-    return hot.select("l1", "l2", "id", "th", "chars", "pos", "size").distinct().join(chosen, ["l1", "l2", "id"]).select("th", "chars", "pos", "size")
+    texts = seen.select("l1", "l2", "template", "th").distinct().groupBy("l1", "l2", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
+    chosen = templates.join(texts, ["l1", "l2", "template"]).select("l1", "l2", "id", F.struct("texts", "l1", "l2", "template").alias("template"))
+    found = hot.select("l1", "l2", "id", "th", "n_lines", "pos").distinct().join(chosen, ["l1", "l2", "id"]).select("th", "n_lines", "pos", "template")
+    found = materialise(found, "template-found")
 
+    # Texts that are mostly such lines and have the same rarest template count as one.
+    shares = found.groupBy("th", "n_lines").agg(F.count("*").alias("n"), F.min("template").alias("rarest"))
+    groups = shares.select("th", F.when(F.col("n") * 2 > F.col("n_lines"), F.struct(F.lit(None).cast("binary").alias("th"), "rarest")).otherwise(F.struct("th", F.lit(None).cast(found.schema["template"].dataType).alias("rarest"))).alias("group"))
+    recurs = found.select("th", "template").distinct().join(groups, "th").select("template", "group").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    return found.join(recurs, "template").select("th", "pos")
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, most: float = MOST, count: str | None = None) -> DataFrame:
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, count: str | None = None) -> DataFrame:
     """docs without the lines whose template recurs; with `count`, a column of how many were dropped."""
     found = recurring_lines(docs, min_docs)
-    drops = found.groupBy("th", "chars").agg(F.collect_list("pos").alias("gone"), F.sum("size").alias("size"))  # one document's own lines
-    drops = materialise(drops.where(F.col("size") <= F.lit(most) * F.col("chars")).select(F.col("th").alias("__th"), "gone"), "template-drops").withColumnRenamed("gone", "__gone")
+    drops = found.groupBy(F.col("th").alias("__th")).agg(F.collect_list("pos").alias("gone"))  # one document's own lines
+    drops = materialise(drops, "template-drops").withColumnRenamed("gone", "__gone")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
