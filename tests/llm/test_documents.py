@@ -78,6 +78,14 @@ def test_a_recurring_line_goes_where_it_is_most_of_a_text(spark):
     assert all(out[i] == t.removesuffix(notice).rstrip("\n") for i, t in rows)
 
 
+def test_any_run_of_white_space_separates_tokens(spark):
+    rng = random.Random(6)
+    forms = ["Home\tNews\tSports\tWeather\tContact", "Home News  Sports Weather Contact", "  Home News Sports Weather Contact", "Home News Sports Weather Contact ", "Home News Sports Weather Contact\r"]
+    rows = [(i, "\n".join([words(rng, 9), forms[i % 5], words(rng, 8) + "  x"])) for i in range(15)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].split("\n") == t.split("\n")[::2] for i, t in rows)
+
+
 def test_line_edge_rows(docs, no_docs):
     out = line_dedup.drop_recurring(docs, min_docs=2)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-Lines are parsed by a tree of fixed depth: the number of tokens (what single blanks separate), then the LEAD
+Lines are parsed by a tree of fixed depth: the number of tokens (what runs of white space separate), then the LEAD
 leading tokens (tokens with a digit, "@" or "://" are variable from the start). In each leaf that enough
 documents reach, a token is constant at its position if enough documents have it there, and variable
 otherwise; a line's template is its tokens with the variable ones generalised. A template recurs if at least MIN_DOCS documents have lines of it
@@ -32,6 +32,7 @@ MIN_TOKENS = 4
 MIN_DOCS = 10
 CONSTANT = 0.6
 VARIABLE = "[0-9]|@|://"
+RUNS = "[\t\r\f][ \t\r\f]*| [ \t\r\f]+"  # white space that isn't a single blank already
 
 
 def masked(words: Column) -> Column:
@@ -41,10 +42,10 @@ def masked(words: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(th, n_lines, pos, line, l1, l2): every line long enough with its leaf. Only the leading tokens are
     parsed here; most lines stand alone in their leaf and need no more."""
-    one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.split("text", "\n").alias("all"))
-    one = one.select("th", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n_lines"), F.posexplode("all").alias("pos", "line"))
+    one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.split(F.regexp_replace("text", RUNS, " "), "\n").alias("all"))
+    one = one.select("th", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n_lines"), F.posexplode("all").alias("pos", "line")).withColumn("line", F.trim("line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    long_enough = one.where((n >= MIN_TOKENS) & (F.trim("line") != ""))
+    long_enough = one.where((n >= MIN_TOKENS) & (F.col("line") != ""))
     lead = F.regexp_replace(F.substring_index("line", " ", LEAD), f"[^ ]*(?:{VARIABLE})[^ ]*", "<*>")
     return long_enough.select("*", F.xxhash64(n, lead).alias("l1"), F.xxhash64(F.lit(1), n, lead).alias("l2"))
 
