@@ -84,3 +84,10 @@ def test_pieces_equal_the_whole_text():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)]
     for text, raw in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_blanks_in_other_white_space_are_encoded_whole():
+    tok, own = Tokenizer.from_file(FILE), token_output.PieceEncoder(FILE)
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0 b", "a \n\n b", "x \t y z", "one two \u3000 three", "plain words only"]
+    for text, raw in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids

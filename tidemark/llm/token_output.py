@@ -15,6 +15,7 @@ repeated doc_ids keep all their rows, in order of the text's hash; an empty tabl
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 SHARD = "shard int, path string, n_docs long, n_tokens long"
 CACHED = 1_000_000
+TOUCHING = re.compile(r" \s|[^\S ] ")
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -40,9 +42,9 @@ _encoders: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """A tokenizer of the tokenizers library behind a bounded cache of space-led pieces.
 
-    Byte-level BPE never merges across pre-tokens, and a blank between two other characters always starts
-    a pre-token; so the ids of a text are those of its pieces in turn. Texts with two blanks in a row go
-    to the library whole.
+    Byte-level BPE never merges across pre-tokens, and a blank between two characters that aren't white space always
+    starts a pre-token; so the ids of a text are those of its pieces in turn. Texts in which a blank touches another
+    white-space character go to the library whole.
     """
 
     def __init__(self, file: str) -> None:
@@ -77,7 +79,7 @@ class PieceEncoder:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for low in range(0, len(texts), 256):
-            block = [t if not t or "  " in t else [f" {p}" for p in t.split(" ")] for t in texts[low : low + 256]]
+            block = [t if not t or TOUCHING.search(t) else [f" {p}" for p in t.split(" ")] for t in texts[low : low + 256]]
             for pieces in block:
                 if isinstance(pieces, list):
                     pieces[0] = pieces[0][1:]
