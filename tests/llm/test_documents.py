@@ -86,6 +86,17 @@ def test_any_run_of_white_space_separates_tokens(spark):
     assert all(out[i].split("\n") == t.split("\n")[::2] for i, t in rows)
 
 
+def test_a_long_line_recurs_from_two_texts_on_unless_they_are_near_copies(spark):
+    rng = random.Random(8)
+    passage, short = words(rng, 50), words(rng, 6)
+    apart = [[words(rng, 60), passage, short, words(rng, 60)] for _ in range(2)]
+    body = [words(rng, 15) for _ in range(9)]
+    near = [[*body[:k], words(rng, 15), *body[k + 1 :]] for k in range(3)]
+    rows = list(enumerate(map("\n".join, apart + near)))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == "\n".join(x for x in t.split("\n") if x != passage) for i, t in rows)
+
+
 def test_line_edge_rows(docs, no_docs):
     out = line_dedup.drop_recurring(docs, min_docs=2)
     assert out.columns == docs.columns and out.count() == docs.count()

@@ -12,6 +12,11 @@ more than half of their lines from templates of enough texts, those with the sam
 group, and a template recurs only if it stands in at least MIN_DOCS groups. Lines that only near copies share
 stay; settling those is for near-duplicate removal.
 
+Lines of LONG tokens and more recur from LEAST documents on, where at least FIXED of the template's tokens are
+constant, in a tree of its own with LEAST as support. Such a template stands in fewer than MIN_DOCS documents,
+so their pairs are few; it is dropped if two of them aren't alike, with a Jaccard similarity of their runs of GRAM
+words under ALIKE: two edited copies of one text share lines too, and those stay.
+
 All counts combine before their shuffles and all keys of joins that can be hot stand on sides that the
 adaptive skew join splits. Texts are shuffled once, to drop the lines found, and as lines only where the
 leaves that enough documents reach are too many for a broadcast by the planner's size check.
@@ -31,6 +36,11 @@ LEAD = 3
 MIN_TOKENS = 4
 MIN_DOCS = 10
 CONSTANT = 0.6
+LONG = 12
+LEAST = 2
+FIXED = 0.8
+GRAM = 5
+ALIKE = 0.3
 VARIABLE = "[0-9]|@|://"
 RUNS = "[\t\r\f][ \t\r\f]*| [ \t\r\f]+"  # white space that isn't a single blank already
 
@@ -40,45 +50,72 @@ def masked(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(th, n_lines, pos, line, l1, l2): every line long enough with its leaf. Only the leading tokens are
+    """(th, n_lines, pos, line, n, l1, l2): every line long enough with its number of tokens n and its leaf. Only the leading tokens are
     parsed here; most lines stand alone in their leaf and need no more."""
     one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.split(F.regexp_replace("text", RUNS, " "), "\n").alias("all"))
     one = one.select("th", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n_lines"), F.posexplode("all").alias("pos", "line")).withColumn("line", F.trim("line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     long_enough = one.where((n >= MIN_TOKENS) & (F.col("line") != ""))
     lead = F.regexp_replace(F.substring_index("line", " ", LEAD), f"[^ ]*(?:{VARIABLE})[^ ]*", "<*>")
-    return long_enough.select("*", F.xxhash64(n, lead).alias("l1"), F.xxhash64(F.lit(1), n, lead).alias("l2"))
-
+    return long_enough.select("*", n.alias("n"), F.xxhash64(n, lead).alias("l1"), F.xxhash64(F.lit(1), n, lead).alias("l2"))
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(th, pos) of the lines whose template recurs; th is the md5 of the text."""
-    lines = _lines(docs)
-    leaves = lines.select("l1", "l2", "th").distinct().groupBy("l1", "l2").count().where(F.col("count") >= min_docs).select("l1", "l2")
-    leaves = materialise(leaves, "template-leaves")  # its size is known from here on: where it is small, lines stay where they are
-    words = masked(F.split("line", " "))
-    hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "th", "n_lines", "pos", words.alias("words"))
-    hot = materialise(hot.withColumn("id", F.unhex(F.md5(F.array_join("words", " ")))), "template-lines")
 
+def _found(hot: DataFrame, least: int, share: float) -> DataFrame:
+    """(th, n_lines, pos, template) of the lines whose template at least `least` texts have; a template begins with
+    their number."""
     # Distinct lines of a leaf, with the number of documents that have them.
     own = hot.select("l1", "l2", "id", "th").distinct().groupBy("l1", "l2", "id").agg(F.count("*").alias("docs"))
     forms = hot.groupBy("l1", "l2", "id").agg(F.min("words").alias("words")).join(own, ["l1", "l2", "id"])
     placed = forms.select("l1", "l2", "id", "docs", F.posexplode("words").alias("at", "word"))
     support = placed.groupBy("l1", "l2", "at", "word").agg(F.sum("docs").alias("support"))
-    constant = (F.col("support") >= min_docs) & (F.col("word") != "<*>")
+    constant = (F.col("support") >= least) & (F.col("word") != "<*>")
     told = placed.join(support, ["l1", "l2", "at", "word"]).select("l1", "l2", "id", F.struct("at", F.when(constant, F.col("word")).otherwise("<*>").alias("word")).alias("x"), constant.cast("int").alias("c"))
     templates = told.groupBy("l1", "l2", "id").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.avg("c").alias("share"))  # a row for each token of one line
-    templates = templates.where(F.col("share") >= CONSTANT).select("l1", "l2", "id", F.unhex(F.md5(F.array_join("xs.word", " "))).alias("template"))
+    templates = templates.where(F.col("share") >= share).select("l1", "l2", "id", F.unhex(F.md5(F.array_join("xs.word", " "))).alias("template"))
     seen = hot.select("l1", "l2", "id", "th").distinct().join(templates, ["l1", "l2", "id"])
-    texts = seen.select("l1", "l2", "template", "th").distinct().groupBy("l1", "l2", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
+    texts = seen.select("l1", "l2", "template", "th").distinct().groupBy("l1", "l2", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     chosen = templates.join(texts, ["l1", "l2", "template"]).select("l1", "l2", "id", F.struct("texts", "l1", "l2", "template").alias("template"))
-    found = hot.select("l1", "l2", "id", "th", "n_lines", "pos").distinct().join(chosen, ["l1", "l2", "id"]).select("th", "n_lines", "pos", "template")
-    found = materialise(found, "template-found")
+    return hot.select("l1", "l2", "id", "th", "n_lines", "pos").distinct().join(chosen, ["l1", "l2", "id"]).select("th", "n_lines", "pos", "template")
+
+
+def _grams(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(th, grams) of the texts named by some: hashes of every run of GRAM words."""
+    texts = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), "text").join(some, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
+    words = texts.select("th", F.array_remove(F.split("text", "[ \t\r\f\n]+"), "").alias("w"))  # LONG words at least
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (GRAM - 1)), lambda k: F.xxhash64(F.slice("w", k, GRAM)))
+    return materialise(words.select("th", F.array_distinct(runs).alias("grams")), "template-grams")
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(th, pos) of the lines whose template recurs; th is the md5 of the text."""
+    lines = _lines(docs)
+    leaves = lines.select("l1", "l2", "n", "th").distinct().groupBy("l1", "l2", "n").agg(F.count("*").alias("reach"))
+    leaves = leaves.where((F.col("reach") >= min_docs) | (F.col("n") >= LONG) & (F.col("reach") >= LEAST)).select("l1", "l2", "reach")
+    leaves = materialise(leaves, "template-leaves")  # its size is known from here on: where it is small, lines stay where they are
+    words = masked(F.split("line", " "))
+    hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "n", "reach", "th", "n_lines", "pos", words.alias("words"))
+    hot = materialise(hot.withColumn("id", F.unhex(F.md5(F.array_join("words", " ")))), "template-lines")
+
+    found = materialise(_found(hot.where(F.col("reach") >= min_docs), min_docs, CONSTANT), "template-found")
 
     # Texts that are mostly such lines and have the same rarest template count as one.
     shares = found.groupBy("th", "n_lines").agg(F.count("*").alias("n"), F.min("template").alias("rarest"))
     groups = shares.select("th", F.when(F.col("n") * 2 > F.col("n_lines"), F.struct(F.lit(None).cast("binary").alias("th"), "rarest")).otherwise(F.struct("th", F.lit(None).cast(found.schema["template"].dataType).alias("rarest"))).alias("group"))
     recurs = found.select("th", "template").distinct().join(groups, "th").select("template", "group").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    return found.join(recurs, "template").select("th", "pos")
+    many = found.join(recurs, "template").select("th", "pos")
+    if min_docs <= LEAST:
+        return many
+
+    few = _found(hot.where(F.col("n") >= LONG), LEAST, FIXED).where(F.col("template.texts") < min_docs).join(found, ["th", "pos"], "left_anti")
+    few = materialise(few, "template-few")
+    own = few.select("template", "th").distinct()
+    pairs = own.withColumnRenamed("th", "a").join(own.withColumnRenamed("th", "b"), "template").where("a < b")  # of fewer than min_docs texts
+    grams = _grams(docs, own.select("th").distinct())
+    two = pairs.select("a", "b").distinct().join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    apart = two.where(shared < F.lit(ALIKE) * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")
+    apart = pairs.join(apart, ["a", "b"]).select("template").distinct()
+    return many.union(few.join(apart, "template").select("th", "pos"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, count: str | None = None) -> DataFrame:
