@@ -43,6 +43,16 @@ def test_query(name, spark, duck, sf_dir):
     assert rows(got) == rows(want)
 
 
+def test_outcomes_and_returns_cover_every_pick(spark, sf_dir):
+    from tidemark.queries import base
+
+    picks = base.picks(spark, sf_dir).select("scenario_id", "code", "first_date").toPandas()
+    first = base.prices(spark, sf_dir).groupBy("code").agg({"date": "min"}).toDF("code", "first").toPandas().set_index("code")["first"].to_dict()
+    cases = [i for i, c, day in picks.itertuples(index=False) if c in first and first[c] <= day]
+    assert sorted(QUERIES["excess_return_window"](spark, sf_dir).toPandas()["scenario_id"]) == sorted(picks["scenario_id"])
+    assert sorted(QUERIES["past_case_outcomes"](spark, sf_dir).toPandas()["scenario_id"]) == sorted(cases)
+
+
 def test_entry_has_every_query():
     import __spark_entry__
 

@@ -71,7 +71,7 @@ def attention_asof(spark, d):
 )
 def excess_return_window(spark, d):
     """WIN1: return over the benchmark from before the pick to 30 days after."""
-    spans = base.picks(spark, d).where("status = 'F'").select("scenario_id", "code", F.col("first_date").alias("start"), F.date_add("first_date", 30).alias("end"))
+    spans = base.picks(spark, d).select("scenario_id", "code", F.col("first_date").alias("start"), F.date_add("first_date", 30).alias("end"))
     by_day = ops.benchmark_by_day(base.benchmark(spark, d), calendar.dimension(spark))
     return ops.excess_return(spans, base.prices(spark, d), by_day).select("scenario_id", "code", F.round("excess", 6).alias("excess"))
 

@@ -110,7 +110,7 @@ def past_case_outcomes(spark, d):
     by_day = ops.benchmark_by_day(base.benchmark(spark, d), calendar.dimension(spark))
     f = ops.daily_features(base.prices(spark, d)).select("code", "date", "close", "n").join(F.broadcast(by_day.select(F.col("b_date").alias("date"), "b_on")), "date")
     f = f.withColumn("state", F.struct("n", "close", "b_on"))
-    cases = base.picks(spark, d).where("status = 'P'").select("scenario_id", "code", F.col("first_date").alias("date"))
+    cases = base.picks(spark, d).select("scenario_id", "code", F.col("first_date").alias("date"))
     cases = ops.as_of(cases, f, ["code"], value="state", into="c").where("c is not null").drop("date")
     steps = cases.select("scenario_id", "code", "c", F.explode(F.sequence(F.col("c.n") + 1, F.col("c.n") + 20)).alias("n"))
     hit = steps.join(f.select("code", "n", "close", "b_on"), ["code", "n"], "left")
