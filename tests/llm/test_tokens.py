@@ -25,10 +25,28 @@ def test_bpe_equals_the_library_on_odd_texts(reference):
     parts = ["a", "aa", "the", "ß", " ", "  ", "\n", "é", "日本", "1", "##", "'s", "x", "\t", "😀", " ", ",", "."]
     for _ in range(500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
-        assert np.frombuffer(coder.encode(text), "<i4").tolist() == reference.encode_ordinary(text)
+        assert [np.frombuffer(x, "<i4").tolist() for x in coder.encode([text])] == [reference.encode_ordinary(text)]
     assert not any(coder.low) and not any(coder.mid)
 
 
+def test_one_queue_for_many_pre_tokens_equals_one_each(reference):
+    coder, rng = bpe.Bpe(bpe.load_ranks(RANKS), known.PATTERN), random.Random(4)
+    words = ["".join(rng.choice(("a", "aa", "th", "e", "ß", "日", "q", "ing", "\x00")) for _ in range(rng.randint(1, 30))).encode() for _ in range(800)]
+    ids, ends = coder.merge_all(words)
+    starts = [0, *ends.tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [reference._core_bpe.encode_single_piece(w) if w not in coder.ranks else coder.merge_all([w])[0].tolist() for w in words]
+    assert not any(coder.low) and not any(coder.mid)
+
+
+def test_blanks_that_touch_other_white_space_separate_nothing(reference):
+    coder = bpe.Bpe(bpe.load_ranks(RANKS), known.PATTERN)
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0 b", "a \n\n b", "x \t y z", "one two \u3000 three", " lead", "trail ", "nl\n", " ", "  ", "a 's b", "z \u200b y", "z \x1c y", "q\u180e r"]
+    want = [reference.encode_ordinary(t) for t in texts]
+    assert [np.frombuffer(x, "<i4").tolist() for x in coder.encode(texts)] == want
+    small = bpe.PieceCache(coder._alone, coder._led, 2)
+    assert [np.frombuffer(x, "<i4").tolist() for x in small.encode(texts) if x is not None] == want
+
+
 def test_bpe_long_pre_token_stays_near_linear(reference):
     coder = bpe.Bpe(bpe.load_ranks(RANKS), known.PATTERN)
     assert coder.merge(b"ab" * 5000) == reference.encode_ordinary("ab" * 5000)
@@ -43,6 +61,8 @@ def test_encode_and_decode_round_trip(docs, no_docs, reference):
     for r in rows:
         text = r["text"] or ""
         assert r["ids"] == reference.encode_ordinary(text) and bytes(r["decoded"]) == text.encode()
+    both = bpe.encode(docs.withColumn("decoded", docs["lang"]), RANKS, known.PATTERN, decoded="decoded").collect()
+    assert sorted(str((r["ids"], bytes(r["decoded"]))) for r in both) == sorted(str((r["ids"], bytes(r["decoded"]))) for r in rows)
     assert bpe.encode(no_docs, RANKS, known.PATTERN).count() == 0
 
 

@@ -37,8 +37,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as known
 
     file = known.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file, known.PATTERN)
-    return bpe.decode(coded.drop("text"), file).select(
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file, known.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
