@@ -68,7 +68,6 @@ def test_encode_and_decode_round_trip(docs, no_docs, reference):
 
 def test_files_give_back_all_ids_in_order(docs, no_docs):
     tok = Tokenizer.from_file(FILE)
-    tok.encode_special_tokens = True
     manifest = token_output.write_token_files(docs, FILE)
     rows = token_output.read_token_files(manifest).collect()
     assert len(rows) == docs.count()
@@ -97,17 +96,25 @@ def test_one_document_is_read_alone_and_damage_is_seen(docs):
         token_output.ShardReader(uri).read(k)
 
 
-def test_pieces_equal_the_whole_text():
-    tok, own, rng = Tokenizer.from_file(FILE), token_output.PieceEncoder(FILE), random.Random(2)
-    tok.encode_special_tokens = True
-    parts = ["ab", "don't", " ", "  ", "\n", "é", "日本", "12", "<|endoftext|>", "x,", "\t", "😀", " ", "　"]
+@pytest.mark.parametrize("as_text", [False, True])
+def test_pieces_equal_the_whole_text(as_text):
+    tok, own, rng = Tokenizer.from_file(FILE), token_output.PieceEncoder(FILE, as_text), random.Random(2)
+    tok.encode_special_tokens = as_text
+    parts = ["ab", "don't", " ", "  ", "\n", "é", "日本", "12", "<|endoftext|>", "x,", "\t", "😀", " ", "　"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(500)]
     for text, raw in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-def test_blanks_in_other_white_space_are_encoded_whole():
+def test_special_strings_are_what_the_plain_call_gives(spark):
+    text = "a <|endoftext|> b<|endoftext|>c  <|endoftext|> d"
+    rows = token_output.read_token_files(token_output.write_token_files(spark.createDataFrame([(1, text)], "doc_id long, text string"), FILE)).collect()
+    want = Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
+    assert want.count(50256) == 3 and np.frombuffer(rows[0]["ids"], "<u4").tolist() == [*want, 0]
+
+
+def test_blanks_in_other_white_space_separate_nothing():
     tok, own = Tokenizer.from_file(FILE), token_output.PieceEncoder(FILE)
-    texts = ["a \u00a0 \u00a0 b", "a\u00a0 b", "a \n\n b", "x \t y z", "one two \u3000 three", "plain words only"]
+    texts = ["a \u00a0 \u00a0 b", "a\u00a0 b", "a \n\n b", "x \t y z", "one two \u3000 three", "plain words only", " lead", "trail ", "nl\n", " ", "z \u200b y", "z \x1c y", "q\u180e r"]
     for text, raw in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids

@@ -26,12 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .pieces import PieceCache
+from .pieces import PieceCache, gather, parts
 
 MOST_RANKS = 1 << 18
 CACHED = 600_000
 LONG = 128  # bytes from which a pre-token has a queue of its own
-PART = 4 << 20  # characters of text that are split into pieces together
 
 
 def load_ranks(file: str) -> dict[bytes, int]:
@@ -215,16 +214,15 @@ class Bpe:
         shared = np.array([k for k, g in enumerate(got) if g is None], np.int64)
         kept = [g for g in got if g is not None]
         size = np.array([0 if g is None else 1 if g.__class__ is int else len(g) for g in got], np.int64)
-        flat = np.array([i for g in kept for i in ((g,) if g.__class__ is int else g)], np.int64)
-        begin = np.cumsum(size) - size
-        if len(shared):
+        flat = np.array([i for g in kept for i in ((g,) if g.__class__ is int else g)], "<i4")
+        if len(shared):  # their lists come after the others
             found, ends = self.merge_all([raw[k] for k in shared.tolist()])
-            size[shared] = np.diff(ends, prepend=0)
-            begin[shared] = len(flat) + ends - size[shared]
-            flat = np.concatenate([flat, found])
-        many = size[of]
-        upto = np.concatenate([[0], np.cumsum(many)])
-        return flat[np.repeat(begin[of] - upto[:-1], many) + np.arange(upto[-1])].astype("<i4"), upto
+            rest = np.flatnonzero([g is not None for g in got])
+            order = np.concatenate([rest, shared])
+            back = np.empty(len(got), np.int64)
+            back[order] = np.arange(len(got))
+            flat, size, of = np.concatenate([flat, found.astype("<i4")]), np.concatenate([size[rest], np.diff(ends, prepend=0)]), back[of]
+        return gather(flat, size, of)
 
     def _cut(self, words: list[str], starts: list[int]) -> list[bytes]:
         """Ids of pre-tokens as raw integers, in lists that begin at some of them."""
@@ -260,16 +258,14 @@ class Bytes:
         known = dict(zip(ranks.values(), ranks, strict=True))
         size = [len(known.get(i, b"")) for i in range(max(known, default=-1) + 1)]
         self.size = np.array(size, np.int64)
-        self.at = np.cumsum(self.size) - self.size
         self.table = np.frombuffer(b"".join(known.get(i, b"") for i in range(len(size))), np.uint8)
 
     def of(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of lists of ids that end at `ends`, and where those of each list end."""
         if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.size) and (self.size[ids] > 0).all()):
             raise ValueError("an id that no rank has")
-        size = self.size[ids]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return self.table[np.repeat(self.at[ids] - upto[:-1], size) + np.arange(upto[-1])], upto[ends]
+        data, upto = gather(self.table, self.size, ids)
+        return data, upto[ends]
 
 
 _coders: dict[str, tuple[Bpe, Bytes]] = {}
@@ -293,9 +289,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", i
         coder, back = _coders[key]
         for batch in batches:
             for b in parts(batch, place):
-                raw = coder.encode([t or "" for t in b.column(place).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
-                flat = np.frombuffer(b"".join(raw), "<i4")
+                flat, ends = coder.cache.ids(b.column(place))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4"), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists, *([_binary(*back.of(flat, ends))] if decoded else [])], names=[*kept, ids, *([decoded] if decoded else [])])
 
@@ -304,19 +298,6 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", i
     return out.mapInArrow(run, T.StructType([*out.schema.fields, *more]))
 
 
-def parts(batch, place: int):
-    """A record batch in slices of about PART characters of text."""
-    import pyarrow.compute as pc
-
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0)).astype(np.int64)
-    upto, low = np.cumsum(size), 0
-    while low < batch.num_rows:
-        done = int(upto[low - 1]) if low else 0
-        high = max(low + 1, int(np.searchsorted(upto, done + PART, "right")))
-        yield batch.slice(low, high - low)
-        low = high
-
-
 def _binary(data: np.ndarray, ends: np.ndarray):
     import pyarrow as pa
 

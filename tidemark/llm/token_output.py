@@ -9,13 +9,15 @@ Texts are spread by a range over (doc_id, text hash), so that shards in partitio
 order even where one doc_id repeats often, and each task streams its rows into one file. Every attempt
 writes a file of its own name; only files named by the manifest (rows of tasks that succeeded) count.
 
+Strings of special tokens in a text become their ids unless `special_as_text` is set.
+
 Defined cases: a null text is an empty one and yields the end id alone; null doc_ids come first;
 repeated doc_ids keep all their rows, in order of the text's hash; an empty table yields no shard.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, new_dir, open_fs
+from .pieces import PieceCache, parts
 
 # Fixed values of the public zstd seekable format.
 SKIPPABLE_INDEX = 0x184D2A5D
@@ -33,77 +36,67 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 
 SHARD = "shard int, path string, n_docs long, n_tokens long"
-CACHED = 1_000_000
-TOUCHING = re.compile(r" \s|[^\S ] ")
+CACHED = 600_000
+LINE = 256  # pieces that the library encodes in one string
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """A tokenizer of the tokenizers library behind a bounded cache of space-led pieces.
+    """A tokenizer of the tokenizers library behind a bounded cache of blank-led pieces.
 
-    Byte-level BPE never merges across pre-tokens, and a blank between two characters that aren't white space always
-    starts a pre-token; so the ids of a text are those of its pieces in turn. Texts in which a blank touches another
-    white-space character go to the library whole.
+    Strings of special tokens in a text are what the library makes of them: their ids or, with `special_as_text`,
+    ordinary text. A tokenizer whose added tokens hold or take white space gets whole texts.
     """
 
-    def __init__(self, file: str) -> None:
+    def __init__(self, file: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         self.tok = Tokenizer.from_file(file)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text
         self.starts = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.starts[i] = token[0] == "Ġ"
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-        led = [p for p in missing if p[0] == " " and len(p) > 1 and not p[1].isspace() and p[1].isprintable()]
-        rest = set(missing).difference(led)
-        if led:
-            ids = np.array(self.tok.encode("".join(led), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) == len(led):
-                raw, to = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-                self.cache.update((p, raw[a:b]) for p, a, b in zip(led, (at * 4).tolist(), to, strict=True))
-            else:
-                rest.update(led)
-        if rest:
-            rest = list(rest)
-            got = self.tok.encode_batch_fast(rest, add_special_tokens=False)
-            self.cache.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, got, strict=True))
+        added = self.tok.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or not t.content.isprintable() or " " in t.content for t in added)
+        self.cache = PieceCache(self.alone, self._led, CACHED)
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        """Ids of each string by itself, as little-endian unsigned 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _led(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a blank and each piece, of LINE pieces in one string; a piece begins at each token that begins with a
+        blank."""
+        out, groups = [], [pieces[k : k + LINE] for k in range(0, len(pieces), LINE)]
+        for group, raw in zip(groups, self.alone([" " + " ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")])
+            if len(at) != len(group):
+                out += self.alone([" " + p for p in group])
+                continue
+            cuts = [*(at * 4).tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for low in range(0, len(texts), 256):
-            block = [t if not t or TOUCHING.search(t) else [f" {p}" for p in t.split(" ")] for t in texts[low : low + 256]]
-            for pieces in block:
-                if isinstance(pieces, list):
-                    pieces[0] = pieces[0][1:]
-            need = set().union(*(p for p in block if isinstance(p, list)))
-            need.discard("")
-            if len(self.cache) + len(need) > CACHED:
-                self.cache.clear()
-            if missing := [p for p in need if p not in self.cache]:
-                self._learn(missing)
-            self.cache[""] = b""
-            get = self.cache.__getitem__
-            for p in block:
-                if isinstance(p, list):
-                    out.append(b"".join(map(get, p)))
-                else:
-                    out.append(np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
+        """The ids of each whole text."""
+        return self.alone(texts) if self.whole else self.cache.encode(texts)
 
+    def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of whole texts (null: empty), and the number of ids before each text and after the last."""
+        if not self.whole:
+            return self.cache.ids(texts)
+        raw = self.alone([t or "" for t in texts.to_pylist()])
+        return np.frombuffer(b"".join(raw), "<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
 
-def encoder(file: str) -> PieceEncoder:
+
+def encoder(file: str, special_as_text: bool = False) -> PieceEncoder:
     """One encoder for each worker process, kept over tasks."""
-    if file not in _encoders:
-        _encoders[file] = PieceEncoder(file)
-    return _encoders[file]
+    key = (file, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(*key)
+    return _encoders[key]
 
 
 def write_shard(out, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
@@ -111,7 +104,7 @@ def write_shard(out, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int
     import xxhash
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
     table, ids, n = [], [], 0
     for doc_id, raw in docs:
         frame = pack.compress(raw)
@@ -163,22 +156,25 @@ class ShardReader:
             k = to
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Encode docs (doc_id, text) into shards. Returns the manifest: shard, path, n_docs, n_tokens, start."""
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
+    """Encode docs (doc_id, text) into shards. Returns the manifest: shard, path, n_docs, n_tokens, start.
+
+    Strings of special tokens become their ids, as the library's call does by itself; `special_as_text` keeps such
+    ids out of the files."""
     folder = new_dir(docs.sparkSession, "tokens")
 
     def write(batches):
-        ids, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, end = encoder(tokenizer, special_as_text), np.array([end_id], "<u4").tobytes()
         fs, path = open_fs(folder)
         fs.create_dir(path, recursive=True)
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok.zst"
 
         def rows():
-            for b in batches:
-                texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-                for low in range(0, len(texts), 256):
-                    encoded = ids.encode(texts[low : low + 256])
-                    yield from zip(b.column("doc_id").slice(low, 256).to_pylist(), (x + end for x in encoded), strict=True)
+            for batch in batches:
+                for b in parts(batch, 1):
+                    flat, ends = ids.ids(b.column("text"))
+                    raw, cuts = memoryview(flat.tobytes()), (ends * 4).tolist()
+                    yield from zip(b.column("doc_id").to_pylist(), (bytes(raw[x:y]) + end for x, y in zip(cuts, cuts[1:], strict=False)), strict=True)
 
         import pyarrow as pa
 
