@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -57,8 +58,8 @@ def test_recurring_templates_go_and_other_lines_stay(spark):
     rows += [(100 + i, f"Only line number {i} of a text of nothing else") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("x"))
     out = {r["doc_id"]: r for r in line_dedup.drop_recurring(df, count="n").collect()}
-    assert all("Posted" not in out[i]["text"] and out[i]["n"] == 1 and len(out[i]["text"].split("\n")) == 5 for i in range(40))
-    assert all(out[100 + i]["text"] == rows[40 + i][1] for i in range(20))  # nothing else would be left
+    assert all("Posted" not in out[i]["text"] and "short one" not in out[i]["text"] and out[i]["n"] == 2 and len(out[i]["text"].split("\n")) == 4 for i in range(40))
+    assert all(out[100 + i]["text"] == rows[40 + i][1] for i in range(20))  # near copies, which count as one
     assert out[0]["gone"] == "x"
 
 
@@ -97,6 +98,31 @@ def test_a_long_line_recurs_from_two_texts_on_unless_they_are_near_copies(spark)
     assert all(out[i] == "\n".join(x for x in t.split("\n") if x != passage) for i, t in rows)
 
 
+def test_dropping_lines_takes_time_in_proportion(spark):
+    def took(n):
+        text = "\n".join(f"line {'x' * (k % 7)} of many" for k in range(n))
+        df = spark.createDataFrame([(k, text + f"\nlast {'yz' * k} one") for k in range(12)], "doc_id long, text string")
+        drops = spark.createDataFrame([(1,)], "x int")
+        gone = F.sequence(F.lit(0), F.lit(n - 1), F.lit(2))
+        real, line_dedup.recurring_lines = line_dedup.recurring_lines, lambda d, m: df.select(F.unhex(F.md5("text")).alias("th")).crossJoin(drops).select("th", F.explode(gone).alias("pos"))
+        try:
+            began = time.perf_counter()
+            assert line_dedup.drop_recurring(df).agg(F.max(F.length("text"))).first()[0] < 0.7 * len(text) + 100
+            return time.perf_counter() - began
+        finally:
+            line_dedup.recurring_lines = real
+
+    took(1000)
+    assert took(40_000) < 12 * took(10_000) + 2
+
+
+def test_names_of_columns_do_not_clash(spark):
+    rows = [(i, f"Some words {'ab' * i} here\nAll rights reserved by us\nmore {'cd' * i} text", "a", "b", "c") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, gone string, th string")
+    out = line_dedup.drop_recurring(df)
+    assert out.columns == df.columns and all("reserved" not in r["text"] and (r["key"], r["gone"], r["th"]) == ("a", "b", "c") for r in out.collect())
+
+
 def test_line_edge_rows(docs, no_docs):
     out = line_dedup.drop_recurring(docs, min_docs=2)
     assert out.columns == docs.columns and out.count() == docs.count()

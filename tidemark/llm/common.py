@@ -13,21 +13,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+    """The folder that driver and executors share, from spark.checkpoint.dir, as a URI with its scheme.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests, a laptop) a temporary folder is set.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all that this application's operators wrote to the shared folder: archives, token files, intermediate
+    tables. For the end of a job, when nothing refers to them any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -38,13 +62,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of a small frame; Spark's cleaner drops it when nothing refers to it."""
+    """A checkpoint of a small frame. Spark removes it with the frame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, else it stays in the checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+# Schemes under which Hadoop and pyarrow know the same store by different names.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs"}
+
+
 def open_fs(uri: str):
-    """(file system, path) for a URI of any store that pyarrow knows."""
+    """(file system, path) for a URI of a store that pyarrow knows; others raise."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, gap, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}" if gap else uri)

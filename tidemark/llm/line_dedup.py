@@ -2,27 +2,26 @@
 
 Lines are parsed by a tree of fixed depth: the number of tokens (what runs of white space separate), then the LEAD
 leading tokens (tokens with a digit, "@" or "://" are variable from the start). In each leaf that enough
-documents reach, a token is constant at its position if enough documents have it there, and variable
-otherwise; a line's template is its tokens with the variable ones generalised. A template recurs if at least MIN_DOCS documents have lines of it
-and at least CONSTANT of its tokens are constant, so that a leaf of different sentences gives none.
-
-Lines of recurring templates are dropped wherever they stand. Documents are told apart by their texts, so that
-exact copies of a document don't make its lines recur, and near copies count as one: of documents that have
-more than half of their lines from templates of enough texts, those with the same rarest such template are a
-group, and a template recurs only if it stands in at least MIN_DOCS groups. Lines that only near copies share
-stay; settling those is for near-duplicate removal.
-
-Lines of LONG tokens and more recur from LEAST documents on, where at least FIXED of the template's tokens are
-constant, in a tree of its own with LEAST as support. Such a template stands in fewer than MIN_DOCS documents,
-so their pairs are few; it is dropped if two of them aren't alike, with a Jaccard similarity of their runs of GRAM
-words under ALIKE: two edited copies of one text share lines too, and those stay.
-
-All counts combine before their shuffles and all keys of joins that can be hot stand on sides that the
-adaptive skew join splits. Texts are shuffled once, to drop the lines found, and as lines only where the
-leaves that enough documents reach are too many for a broadcast by the planner's size check.
-
-Defined cases: null and empty texts stay as they are; blank lines and lines of fewer than MIN_TOKENS tokens
-are never dropped; all columns pass through; repeated rows are treated alike.
+texts reach, a token is constant at its position if enough texts have it there, and variable otherwise; a line's
+template is its tokens with the variable ones generalised. A template recurs
+
+- if at least MIN_DOCS texts have lines of it and at least CONSTANT of its tokens are constant (in MIN_DOCS texts), so
+  that a leaf of different sentences gives none;
+- for lines of LONG tokens and more, also if at least LEAST texts have it and at least FIXED of its tokens are
+  constant (in LEAST texts).
+
+Lines of recurring templates are dropped wherever they stand.
+
+Texts are counted, not documents, so that exact copies don't make lines recur, and near copies count as one text:
+each leaf has a first text (by hash), and a text counts as another one if most of its lines and of its tokens stand in
+leaves whose first text is that one; lines that it shares with a third text are left out of this reckoning. Lines that only near copies share stay; settling those is for near-duplicate removal.
+
+All counts combine before their shuffles, and joins on keys that can be hot are left to the adaptive skew join. Lines
+move between tasks as hashes; texts are shuffled once, to drop the lines found. The leaves that recur are
+broadcast if they are at most SENT, else lines are shuffled to them.
+
+Defined cases: null and empty texts stay as they are; blank lines are never dropped; all columns pass through,
+whatever their names; repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -30,102 +29,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 LEAD = 3
-MIN_TOKENS = 4
 MIN_DOCS = 10
 CONSTANT = 0.6
 LONG = 12
 LEAST = 2
 FIXED = 0.8
-GRAM = 5
-ALIKE = 0.3
+SENT = 400_000  # leaves of two numbers each
 VARIABLE = "[0-9]|@|://"
 RUNS = "[\t\r\f][ \t\r\f]*| [ \t\r\f]+"  # white space that isn't a single blank already
 
 
-def masked(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.rlike(VARIABLE), F.lit("<*>")).otherwise(w))
+def masked(line: Column) -> Column:
+    """Tokens that are variable from the start as <*>."""
+    return F.when(line.rlike(VARIABLE), F.regexp_replace(line, f"(?<![^ ])[^ ]*?(?:{VARIABLE})[^ ]*", "<*>")).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(th, n_lines, pos, line, n, l1, l2): every line long enough with its number of tokens n and its leaf. Only the leading tokens are
-    parsed here; most lines stand alone in their leaf and need no more."""
-    one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), F.split(F.regexp_replace("text", RUNS, " "), "\n").alias("all"))
-    one = one.select("th", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n_lines"), F.posexplode("all").alias("pos", "line")).withColumn("line", F.trim("line"))
+    """(th, pos, line, n, leaf): every line that isn't blank, with its number of tokens and its leaf. Only the leading
+    tokens are parsed here; most lines stand alone in their leaf and need no more."""
+    runs = F.col("text").contains("  ") | F.col("text").contains("\t") | F.col("text").contains("\r") | F.col("text").contains("\f")
+    clean = F.when(runs, F.regexp_replace("text", RUNS, " ")).otherwise(F.col("text"))
+    # The hash is projected before the lines are exploded; beside the explosion it would be taken anew for each line.
+    one = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), clean.alias("text")).select("th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    long_enough = one.where((n >= MIN_TOKENS) & (F.col("line") != ""))
-    lead = F.regexp_replace(F.substring_index("line", " ", LEAD), f"[^ ]*(?:{VARIABLE})[^ ]*", "<*>")
-    return long_enough.select("*", n.alias("n"), F.xxhash64(n, lead).alias("l1"), F.xxhash64(F.lit(1), n, lead).alias("l2"))
-
-
-def _found(hot: DataFrame, least: int, share: float) -> DataFrame:
-    """(th, n_lines, pos, template) of the lines whose template at least `least` texts have; a template begins with
-    their number."""
-    # Distinct lines of a leaf, with the number of documents that have them.
-    own = hot.select("l1", "l2", "id", "th").distinct().groupBy("l1", "l2", "id").agg(F.count("*").alias("docs"))
-    forms = hot.groupBy("l1", "l2", "id").agg(F.min("words").alias("words")).join(own, ["l1", "l2", "id"])
-    placed = forms.select("l1", "l2", "id", "docs", F.posexplode("words").alias("at", "word"))
-    support = placed.groupBy("l1", "l2", "at", "word").agg(F.sum("docs").alias("support"))
-    constant = (F.col("support") >= least) & (F.col("word") != "<*>")
-    told = placed.join(support, ["l1", "l2", "at", "word"]).select("l1", "l2", "id", F.struct("at", F.when(constant, F.col("word")).otherwise("<*>").alias("word")).alias("x"), constant.cast("int").alias("c"))
-    templates = told.groupBy("l1", "l2", "id").agg(F.sort_array(F.collect_list("x")).alias("xs"), F.avg("c").alias("share"))  # a row for each token of one line
-    templates = templates.where(F.col("share") >= share).select("l1", "l2", "id", F.unhex(F.md5(F.array_join("xs.word", " "))).alias("template"))
-    seen = hot.select("l1", "l2", "id", "th").distinct().join(templates, ["l1", "l2", "id"])
-    texts = seen.select("l1", "l2", "template", "th").distinct().groupBy("l1", "l2", "template").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
-    chosen = templates.join(texts, ["l1", "l2", "template"]).select("l1", "l2", "id", F.struct("texts", "l1", "l2", "template").alias("template"))
-    return hot.select("l1", "l2", "id", "th", "n_lines", "pos").distinct().join(chosen, ["l1", "l2", "id"]).select("th", "n_lines", "pos", "template")
-
-
-def _grams(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """(th, grams) of the texts named by some: hashes of every run of GRAM words."""
-    texts = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("th"), "text").join(some, "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
-    words = texts.select("th", F.array_remove(F.split("text", "[ \t\r\f\n]+"), "").alias("w"))  # LONG words at least
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (GRAM - 1)), lambda k: F.xxhash64(F.slice("w", k, GRAM)))
-    return materialise(words.select("th", F.array_distinct(runs).alias("grams")), "template-grams")
+    some = one.withColumn("line", F.trim("line")).where("line <> ''").withColumn("n", n)
+    return some.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", LEAD))))
+
+
+def near_copies(places: DataFrame, shared: DataFrame) -> DataFrame:
+    """(th, g): texts that count as another one, g. `places` has every line (th, n), `shared` those (th, n, first) in
+    leaves of several texts."""
+    whole = places.groupBy("th").agg(F.count("*").alias("lines"), F.sum("n").alias("tokens"))
+    parts = shared.where("th <> first").groupBy("th", "first").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    best = parts.groupBy("th").agg(F.max(F.struct("c", "t", "first")).alias("x"), F.sum("c").alias("all_c"), F.sum("t").alias("all_t"))
+    most = "x.c * 2 > lines - (all_c - x.c) and x.t * 2 > tokens - (all_t - x.t)"
+    return best.join(whole, "th").where(most).select("th", F.col("x.first").alias("g"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(th, pos) of the lines whose template recurs; th is the md5 of the text."""
-    lines = _lines(docs)
-    leaves = lines.select("l1", "l2", "n", "th").distinct().groupBy("l1", "l2", "n").agg(F.count("*").alias("reach"))
-    leaves = leaves.where((F.col("reach") >= min_docs) | (F.col("n") >= LONG) & (F.col("reach") >= LEAST)).select("l1", "l2", "reach")
-    leaves = materialise(leaves, "template-leaves")  # its size is known from here on: where it is small, lines stay where they are
-    words = masked(F.split("line", " "))
-    hot = lines.join(leaves, ["l1", "l2"]).select("l1", "l2", "n", "reach", "th", "n_lines", "pos", words.alias("words"))
-    hot = materialise(hot.withColumn("id", F.unhex(F.md5(F.array_join("words", " ")))), "template-lines")
-
-    found = materialise(_found(hot.where(F.col("reach") >= min_docs), min_docs, CONSTANT), "template-found")
-
-    # Texts that are mostly such lines and have the same rarest template count as one.
-    shares = found.groupBy("th", "n_lines").agg(F.count("*").alias("n"), F.min("template").alias("rarest"))
-    groups = shares.select("th", F.when(F.col("n") * 2 > F.col("n_lines"), F.struct(F.lit(None).cast("binary").alias("th"), "rarest")).otherwise(F.struct("th", F.lit(None).cast(found.schema["template"].dataType).alias("rarest"))).alias("group"))
-    recurs = found.select("th", "template").distinct().join(groups, "th").select("template", "group").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    many = found.join(recurs, "template").select("th", "pos")
-    if min_docs <= LEAST:
-        return many
-
-    few = _found(hot.where(F.col("n") >= LONG), LEAST, FIXED).where(F.col("template.texts") < min_docs).join(found, ["th", "pos"], "left_anti")
-    few = materialise(few, "template-few")
-    own = few.select("template", "th").distinct()
-    pairs = own.withColumnRenamed("th", "a").join(own.withColumnRenamed("th", "b"), "template").where("a < b")  # of fewer than min_docs texts
-    grams = _grams(docs, own.select("th").distinct())
-    two = pairs.select("a", "b").distinct().join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    apart = two.where(shared < F.lit(ALIKE) * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")
-    apart = pairs.join(apart, ["a", "b"]).select("template").distinct()
-    return many.union(few.join(apart, "template").select("th", "pos"))
+    places = materialise(_lines(docs).select("th", "pos", "n", "leaf"), "template-places")
+    several = places.groupBy("n", "leaf").agg(F.min("th").alias("first"), F.max("th").alias("last")).where("first <> last").select("n", "leaf", "first")
+    shared = materialise(places.join(several, ["n", "leaf"]).select("th", "n", "leaf", "first"), "template-shared")
+    copies = materialise(near_copies(places, shared), "template-copies")
+
+    # Leaves that enough texts reach, near copies counted once.
+    counted = shared.select("n", "leaf", "th").join(copies, "th", "left").select("n", "leaf", F.coalesce("g", "th").alias("g"))
+    reach = counted.distinct().groupBy("n", "leaf").agg(F.count("*").alias("reach"))
+    leaves = materialise(reach.where((F.col("reach") >= min_docs) | (F.col("n") >= LONG) & (F.col("reach") >= LEAST)), "template-leaves")
+    few = F.broadcast if leaves.count() <= SENT else lambda df: df
+    hot = _lines(docs).join(few(leaves), ["n", "leaf"]).select("n", "leaf", "reach", "th", "pos", masked(F.col("line")).alias("line"))
+    hot = hot.join(copies, "th", "left").select("n", "leaf", "reach", "th", "pos", F.coalesce("g", "th").alias("g"), "line", F.unhex(F.md5("line")).alias("id"))
+    hot = materialise(hot, "template-lines")
+
+    # Tokens of distinct lines, and the number of texts that have each at its place in the leaf.
+    forms = hot.select("n", "leaf", "reach", "id", "line", "g").distinct().groupBy("n", "leaf", "reach", "id", "line").agg(F.count("*").alias("docs"))
+    placed = forms.select("n", "leaf", "reach", "id", "docs", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    support = placed.where("word <> '<*>'").groupBy("n", "leaf", "at", "word").agg(F.sum("docs").alias("support")).where(F.col("support") >= min(LEAST, min_docs))
+    told = placed.join(support, ["n", "leaf", "at", "word"], "left")
+    often, twice = F.coalesce(F.col("support") >= min_docs, F.lit(False)), F.coalesce(F.col("support") >= LEAST, F.lit(False))
+    token = lambda kept: F.sort_array(F.collect_list(F.struct("at", F.when(kept, F.col("word")).otherwise("<*>").alias("word"))))
+    name = lambda kept: F.unhex(F.md5(F.array_join(token(kept)["word"], " ")))
+    parsed = told.groupBy("n", "leaf", "reach", "id").agg(F.avg(often.cast("int")).alias("s1"), name(often).alias("t1"), F.avg(twice.cast("int")).alias("s2"), name(twice).alias("t2"))  # the tokens of one line
+    wide = F.when((F.col("s1") >= CONSTANT) & (F.col("reach") >= min_docs), F.struct(F.lit(min_docs).alias("least"), F.col("t1").alias("template")))
+    long = F.when((F.col("s2") >= FIXED) & (F.col("n") >= LONG), F.struct(F.lit(LEAST).alias("least"), F.col("t2").alias("template")))
+    named = parsed.select("n", "leaf", "id", F.explode(F.array_compact(F.array(wide, long))).alias("x")).select("n", "leaf", "id", "x.*")
+    named = materialise(named, "template-names")
+
+    # Templates that enough texts have, and the lines of these.
+    seen = hot.select("n", "leaf", "id", "g").distinct().join(named, ["n", "leaf", "id"]).select("n", "leaf", "least", "template", "g").distinct()
+    recurs = seen.groupBy("n", "leaf", "least", "template").agg(F.count("*").alias("texts")).where("texts >= least")
+    gone = named.join(recurs, ["n", "leaf", "least", "template"]).select("n", "leaf", "id").distinct()
+    return hot.select("n", "leaf", "id", "th", "pos").join(gone, ["n", "leaf", "id"]).select("th", "pos").distinct()
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, count: str | None = None) -> DataFrame:
     """docs without the lines whose template recurs; with `count`, a column of how many were dropped."""
-    found = recurring_lines(docs, min_docs)
-    drops = found.groupBy(F.col("th").alias("__th")).agg(F.collect_list("pos").alias("gone"))  # one document's own lines
-    drops = materialise(drops, "template-drops").withColumnRenamed("gone", "__gone")
+    key, gone = fresh(docs, "key"), fresh(docs, "gone")
+    drops = recurring_lines(docs, min_docs).groupBy(F.col("th").alias(key)).agg(F.collect_list("pos").alias(gone))  # one text's own lines
+    drops = materialise(drops, "template-drops")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    joined = docs.withColumn("__key", F.unhex(F.md5("text"))).join(drops, F.col("__key") == F.col("__th"), "left")
+    # The text's lines and the places to keep are bound once, not for each line.
+    both = F.array(F.struct(lines.alias("l"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)).alias("k")))
+    kept = F.transform(both, lambda b: F.array_join(F.transform(b["k"], lambda i: F.get(b["l"], i)), "\n"))[0]
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    joined = docs.withColumn(key, F.unhex(F.md5("text"))).join(drops, key, "left")
     columns = [text.alias("text") if c == "text" else joined[f"`{c}`"] for c in docs.columns]
-    return joined.select(*columns, *([F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(count)] if count else []))
+    return joined.select(*columns, *([F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(count)] if count else []))

@@ -80,37 +80,77 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
+_licences = ", ".join(f"({t}, '{label}', '{text}', '{key}')" for t, (label, text, key) in enumerate(license_scan.TEMPLATES))
+_phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.BASE.items())
+
 ORACLE_SQL: dict[str, str] = {
-    "op3_line_templates": """
-        WITH lines AS (
-            SELECT text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
-            FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
-        cut AS (
-            SELECT text, pos, line, list_transform(string_split(line, ' '),
-                   lambda w: CASE WHEN regexp_matches(w, '[0-9]|@|://') THEN '<*>' ELSE w END) AS words
-            FROM lines),
-        leafed AS (SELECT *, len(words) AS n, words[1:3] AS heads FROM cut WHERE len(words) >= 4 AND trim(line) <> ''),
-        leaves AS (SELECT n, heads FROM leafed GROUP BY n, heads HAVING count(DISTINCT text) >= 10),
-        hot AS (SELECT leafed.* FROM leafed JOIN leaves USING (n, heads)),
-        forms AS (SELECT n, heads, words, count(DISTINCT text) AS docs FROM hot GROUP BY n, heads, words),
-        placed AS (SELECT n, heads, words, docs, unnest(words) AS word, unnest(range(n)) AS spot FROM forms),
-        support AS (SELECT n, heads, spot, word, sum(docs) AS support FROM placed GROUP BY n, heads, spot, word),
-        templates AS (
-            SELECT n, heads, words, list(CASE WHEN support >= 10 AND word <> '<*>' THEN word ELSE '<*>' END ORDER BY spot) AS template
-            FROM placed JOIN support USING (n, heads, spot, word) GROUP BY n, heads, words
-            HAVING avg(CASE WHEN support >= 10 AND word <> '<*>' THEN 1 ELSE 0 END) >= 0.6),
-        recurs AS (
-            SELECT n, heads, template FROM hot JOIN templates USING (n, heads, words)
-            GROUP BY n, heads, template HAVING count(DISTINCT text) >= 10),
-        gone AS (
-            SELECT text, list(pos) AS gone FROM hot JOIN templates USING (n, heads, words) JOIN recurs USING (n, heads, template)
-            GROUP BY text HAVING sum(length(line)) <= 0.5 * length(text))
+    "op1_warc": """
+        WITH sized AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        kept AS (SELECT h, max(page_id) AS keeper FROM sized GROUP BY h),
+        digits AS (SELECT h, array_to_string(list_transform(range(32), lambda g: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum(
+            list_transform(range(5), lambda b: ((strpos('0123456789abcdef', h[(g * 5 + b) // 4 + 1]) - 1) >> (3 - (g * 5 + b) % 4)) % 2 * (1 << (4 - b)))) AS INTEGER) + 1, 1)), '') AS payload_digest
+            FROM (SELECT DISTINCT h FROM sized))
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM sized JOIN kept USING (h) JOIN digits USING (h)
+    """,
+    "op10_license_scan": rf"""
+        WITH files AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        placed AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM files),
+        licences AS (SELECT t, label, string_split(text, ' ') AS words, string_split(key, ' ') AS phrase, strpos(' ' || text || ' ', ' ' || key || ' ') AS cut, text FROM (VALUES {_licences}) v(t, label, text, key)),
+        templates AS (SELECT t, label, words, phrase, len(string_split(left(text, cut - 1), ' ')) - 1 AS key_at FROM licences),
+        phrases AS (SELECT label, string_split(phrase, ' ') AS phrase FROM (VALUES {_phrases}) v(phrase, label)),
+        idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT r) + 1)) + 0.01 AS weight
+            FROM (SELECT DISTINCT unnest(words) AS word FROM templates) LEFT JOIN placed USING (word) GROUP BY word),
+        bases AS (SELECT r, p.label, pos AS start FROM placed JOIN phrases p ON word = p.phrase[1] JOIN files USING (r) WHERE w[pos + 1 : pos + len(p.phrase)] = p.phrase),
+        founds AS (SELECT r, t, label, words, pos - key_at AS start FROM placed JOIN templates ON word = phrase[1] JOIN files USING (r) WHERE w[pos + 1 : pos + len(phrase)] = phrase),
+        spelled AS (SELECT r, t, label, start, unnest(words) AS word, unnest(range(len(words))) AS k FROM founds),
+        covers AS (SELECT s.r, s.t, s.label, s.start, sum(CASE WHEN p.word = s.word THEN weight ELSE 0 END) / sum(weight) AS cover
+            FROM spelled s JOIN idf ON idf.word = s.word LEFT JOIN placed p ON p.r = s.r AND p.pos = s.start + k GROUP BY s.r, s.t, s.label, s.start),
+        based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS own FROM bases GROUP BY r),
+        matched AS (SELECT r, list(DISTINCT label) AS found, max(cover) AS cover FROM covers GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(coalesce(own, []) || coalesce(found, []))), ',') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0 ELSE round(coalesce(cover, 0), 6) END AS score
+        FROM files LEFT JOIN based USING (r) LEFT JOIN matched USING (r)
+    """,
+    "op3_line_templates": r"""
+        WITH texts AS (SELECT DISTINCT text, md5(text) AS th FROM documents WHERE text IS NOT NULL),
+        cut AS (SELECT th, unnest(a) AS line, unnest(range(len(a))) AS pos
+            FROM (SELECT th, string_split(regexp_replace(text, '[\t\r\f][ \t\r\f]*| [ \t\r\f]+', ' ', 'g'), chr(10)) AS a FROM texts)),
+        lines AS (SELECT th, pos, words, len(words) AS n, words[1:3] AS heads FROM (
+            SELECT th, pos, list_transform(string_split(trim(line), ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]|@|://') THEN '<*>' ELSE w END) AS words
+            FROM cut WHERE trim(line) <> '')),
+        firsts AS (SELECT n, heads, min(th) AS first FROM lines GROUP BY n, heads HAVING count(DISTINCT th) > 1),
+        whole AS (SELECT th, count(*) AS lines, sum(n) AS tokens FROM lines GROUP BY th),
+        parts AS (SELECT th, first, count(*) AS c, sum(n) AS t FROM lines JOIN firsts USING (n, heads) WHERE th <> first GROUP BY th, first),
+        best AS (SELECT *, sum(c) OVER (PARTITION BY th) AS all_c, sum(t) OVER (PARTITION BY th) AS all_t FROM parts
+            QUALIFY row_number() OVER (PARTITION BY th ORDER BY c DESC, t DESC, first DESC) = 1),
+        copies AS (SELECT th, first AS g FROM best JOIN whole USING (th) WHERE c * 2 > lines - (all_c - c) AND t * 2 > tokens - (all_t - t)),
+        grouped AS (SELECT l.*, coalesce(g, th) AS g FROM lines l LEFT JOIN copies USING (th)),
+        leaves AS (SELECT n, heads, count(DISTINCT g) AS reach FROM grouped GROUP BY n, heads HAVING count(DISTINCT g) >= 10 OR n >= 12 AND count(DISTINCT g) >= 2),
+        hot AS (SELECT * FROM grouped JOIN leaves USING (n, heads)),
+        forms AS (SELECT n, heads, reach, words, count(DISTINCT g) AS docs FROM hot GROUP BY n, heads, reach, words),
+        placed AS (SELECT n, heads, reach, words, docs, unnest(words) AS word, unnest(range(n)) AS spot FROM forms),
+        support AS (SELECT n, heads, spot, word, CASE WHEN word = '<*>' THEN 0 ELSE sum(docs) END AS support FROM placed GROUP BY n, heads, spot, word),
+        parsed AS (
+            SELECT n, heads, reach, words,
+                   list(CASE WHEN support >= 10 THEN word ELSE '<*>' END ORDER BY spot) AS t1, avg(CASE WHEN support >= 10 THEN 1 ELSE 0 END) AS s1,
+                   list(CASE WHEN support >= 2 THEN word ELSE '<*>' END ORDER BY spot) AS t2, avg(CASE WHEN support >= 2 THEN 1 ELSE 0 END) AS s2
+            FROM placed JOIN support USING (n, heads, spot, word) GROUP BY n, heads, reach, words),
+        named AS (
+            SELECT n, heads, words, 10 AS least, t1 AS template FROM parsed WHERE s1 >= 0.6 AND reach >= 10
+            UNION ALL SELECT n, heads, words, 2, t2 FROM parsed WHERE s2 >= 0.8 AND n >= 12),
+        recurs AS (SELECT n, heads, least, template FROM hot JOIN named USING (n, heads, words) GROUP BY n, heads, least, template HAVING count(DISTINCT g) >= least),
+        gone AS (SELECT th, list(DISTINCT pos) AS gone FROM hot JOIN named USING (n, heads, words) JOIN recurs USING (n, heads, least, template) GROUP BY th)
         SELECT doc_id,
                CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(
                    list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(gone, i)),
                    lambda i: string_split(text, chr(10))[i + 1]), chr(10)) END AS text,
                CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped
-        FROM documents LEFT JOIN gone USING (text)
+        FROM documents LEFT JOIN gone ON md5(text) = th
     """,
     "op4_hamming_topk": """
         WITH codes AS (
