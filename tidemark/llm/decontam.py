@@ -15,13 +15,16 @@ blank; positions refer to that form. Items go to the tasks in slices of at most
 broadcast); a larger benchmark takes several slices, each handled in the same pass over the documents
 or, beyond SLICES_A_PASS of them, in further passes. Documents aren't shuffled.
 
-Defined cases: null and empty documents match nothing; null items and those of fewer than Q characters are
-not searched for; equal item texts count as the item with the smallest id; repeated documents are repeated
+Items of fewer than Q characters have no q-gram: they are searched for exactly, as runs of whole words.
+
+Defined cases: null and empty documents match nothing; null items and those without a letter or digit are
+not searched for; null doc_ids are kept; equal item texts count as the item with the smallest id; repeated documents are repeated
 in the result; extra columns pass through `drop_contaminated`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -61,9 +64,14 @@ def grams(c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Postings of a slice of items."""
+    """Postings of a slice of items; apart from them the short ones, by their words."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
+        self.short = {tuple(t.split(" ")): i for i, t in items if len(t) < Q}
+        self.heads: dict[str, set[int]] = {}
+        for words in self.short:
+            self.heads.setdefault(words[0], set()).add(len(words))
+        items = [x for x in items if len(x[1]) >= Q]
         self.ids = [i for i, _ in items]
         self.strings = [t for _, t in items]
         self.texts = [codes(t) for t in self.strings]
@@ -72,16 +80,27 @@ class Index:
         self.need = np.maximum(1, m - Q + 1 - self.k * Q)
         self.m = m
         g = [grams(t) for t in self.texts]
-        h = np.concatenate(g)
-        of = np.repeat(np.arange(len(g)), [len(x) for x in g])
-        at = np.concatenate([np.arange(len(x)) for x in g])
+        h = np.concatenate([np.zeros(0, np.uint64), *g])
+        of = np.repeat(np.arange(len(g)), np.array([len(x) for x in g], int))
+        at = np.concatenate([np.zeros(0, int), *(np.arange(len(x)) for x in g)])
         order = np.argsort(h, kind="stable")
         self.h, self.of, self.at = h[order], of[order], at[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         size = np.floor(np.log(np.maximum(m, 1)) / np.log(1.3)).astype(int)
         self.classes = [(int((m + self.k)[size == s].max()), int(self.need[size == s].min())) for s in np.unique(size)]
-        self.longest = int((m + 2 * self.k).max()) + Q
+        self.longest = int((m + 2 * self.k).max(initial=0)) + Q
+
+    def short_places(self, text: str) -> Iterator[tuple[int | None, int, int]]:
+        """(item_id, start, end) of the first place of each short item."""
+        words, at, seen = text.split(" "), 0, set()
+        for k, w in enumerate(words):
+            for n in self.heads.get(w, ()):
+                run = tuple(words[k : k + n])
+                if run in self.short and run not in seen:
+                    seen.add(run)
+                    yield self.short[run], at, at + len(" ".join(run))
+            at += len(w) + 1
 
 
 def _distance(item: np.ndarray, doc: np.ndarray, low: int, high: int, free: bool = True) -> tuple[int, int]:
@@ -160,7 +179,8 @@ def places(indexes: list[Index], text: str | None) -> list[tuple[int | None, int
                 found = (edits, start + low, end + low)
                 if (s, t) not in best or found < best[s, t]:
                     best[s, t] = found
-    return [(indexes[s].ids[t], *best[s, t]) for s, t in sorted(best)]
+    short = [(i, 0, start, end) for index in indexes if index.short and c for i, start, end in index.short_places(c)]
+    return [(indexes[s].ids[t], *best[s, t]) for s, t in sorted(best)] + short
 
 
 def slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
@@ -169,7 +189,7 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     held, size = {}, 0
     for r in one.orderBy("item_id", "text").toLocalIterator():
         t = normal(r["text"])
-        if len(t) < Q or t in held:
+        if not t or t in held:
             continue
         if held and size + len(t) > SLICE:
             yield [(i, t) for t, i in held.items()]
@@ -181,9 +201,10 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list]:
+    """Lists of (digest of a slice's content, the slice as a broadcast)."""
     sc, held = benchmark.sparkSession.sparkContext, []
     for s in slices(benchmark):
-        held.append(sc.broadcast(s))
+        held.append((hashlib.sha256(repr(s).encode()).hexdigest(), sc.broadcast(s)))
         if len(held) == SLICES_A_PASS:
             yield held
             held = []
@@ -195,11 +216,11 @@ _indexes: dict = {}
 
 
 def _of(sent: list) -> list[Index]:
-    """Indexes of broadcast slices, kept by the worker for its later tasks."""
-    key = tuple(b.value[0] + b.value[-1] + (len(b.value),) for b in sent)
+    """Indexes of broadcast slices, kept by the worker for its later tasks under the slices' digests."""
+    key = tuple(digest for digest, _ in sent)
     if key not in _indexes:
         _indexes.clear()
-        _indexes[key] = [Index(b.value) for b in sent]
+        _indexes[key] = [Index(b.value) for _, b in sent]
     return _indexes[key]
 
 
