@@ -13,13 +13,15 @@ order. Nothing is cut or capped. A page is handled within one row; there is no s
 
 Defined cases: null and empty html give an empty text; text outside any element belongs to the page's root;
 unclosed, misnested and cut-off tags are read as browsers do in the common cases (a new paragraph ends the
-last one, a new list item the last one, a tag cut off by the end of the page is dropped).
+last one, a new list item the last one, a tag cut off by the end of the page is dropped; a stray quote in a tag is
+a plain character). Time is linear in a page's length, and in its number of elements whatever their depth.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +52,8 @@ _HINTS = [re.compile(h, re.I) for h in HINTS]
 N_TAGS, N_HINTS, N_FORM = len(GROUPS) + 1, len(HINTS), 8
 N_UNARY = N_TAGS + N_HINTS + N_FORM
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?=[/a-zA-Z])[^>]*+\Z""", re.S)
+# A tag ends at the first ">" outside a value; quotes that don't begin a value are plain characters.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|<(?=[/a-zA-Z])[^>]*+\Z""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _GOLD = re.compile(r'data-gold="([01])"')
 
@@ -69,6 +72,7 @@ class Page:
         self.linked = [0]
         self.blocks: list[tuple[int, str]] = []
         names, nodes, run, links, at = ["#root"], [0], [], 0, 0
+        standing: Counter[str] = Counter()  # open elements by name
 
         def flush():
             nonlocal run
@@ -81,9 +85,16 @@ class Page:
         def close(k):
             nonlocal links
             flush()
+            standing.subtract(names[k:])
             del names[k:], nodes[k:]
             links = 0
 
+        def innermost(name):
+            k = len(names) - 1
+            while names[k] != name:
+                k -= 1
+            return k
+
         n = len(html)
         while at < n:
             m = _TAG.search(html, at)
@@ -101,8 +112,8 @@ class Page:
             if m[1]:
                 if name == "a":
                     links = max(0, links - 1)
-                elif name not in INLINE and name in names:
-                    close(len(names) - 1 - names[::-1].index(name))
+                elif name not in INLINE and standing[name]:
+                    close(innermost(name))
                 elif name == "p":
                     flush()
                 continue
@@ -118,9 +129,9 @@ class Page:
                 elif name == "br":
                     run.append(" ")
                 continue
-            if name in CLOSES_P and "p" in names:
-                close(len(names) - 1 - names[::-1].index("p"))
-            elif name in SIBLINGS:
+            if name in CLOSES_P and standing["p"]:
+                close(innermost("p"))
+            elif name in SIBLINGS and any(standing[x] for x in SIBLINGS[name][0].split()):
                 own, stops = SIBLINGS[name]
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] in stops:
@@ -139,6 +150,7 @@ class Page:
             self.gold.append(int(gold[1]) if gold else self.gold[nodes[-1]])
             self.linked.append(0)
             names.append(name)
+            standing[name] += 1
             nodes.append(len(self.parent) - 1)
         flush()
 
@@ -171,7 +183,8 @@ class Forest:
         hints = np.array([h for p in pages for h in p.hints], int)
         linked = np.array([x for p in pages for x in p.linked], float)
         self.gold = np.array([g for p in pages for g in p.gold], int)
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, int(self.depth.max(initial=0)) + 1)))[1:]
         below, below_linked = chars.copy(), linked.copy()
         for level in reversed(self.levels):
             np.add.at(below, self.parent[level], below[level])
