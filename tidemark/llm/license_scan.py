@@ -1,15 +1,17 @@
 """License scan by a positional rare-token index, in DataFrame functions only.
 
-The index holds, for each licence template, the words of its mandatory key phrase that are rarest in the
-corpus (document frequencies are counted over all documents) with their positions in the template. A file's words that stand in the index are looked up;
-hits of one template at one relative position (place in the file less place in the template) belong
-together, and where at least two rare words agree the template's mandatory key phrase must stand word for
-word at that relative position. Only rows for index hits are shuffled, never texts.
+The index holds postings (template, position) of each licence template's rarest words and of the rarest words of its
+mandatory key phrase; document frequencies are counted over all documents. Of each file's words that stand in
+the index the highest-IDF ones, and those of key phrases, are looked up at all their places. A place's postings give
+template starts (place in the file less place in the template); a start is kept where at least AGREE of the template's
+indexed words stand at their relative positions and the key phrase stands word for word at its own.
 
-Beside it, in each row, the base phrases are counted wherever their words stand consecutively.
+Since a key phrase's rarest words are always looked up, a template is found wherever its key phrase stands. The
+score is the largest IDF-weighted share of a template's words that stand in place among its matches; 1 where a base
+phrase stands (it is itself a template that is there whole), else 0.
 
-Score: the largest share of a template's words that stand in place among its verified matches, 1 where a
-base phrase stands (it is itself a template that is there whole), else 0.
+All is one narrow pass: nothing is shuffled but the document frequencies. A text is split into words once, and time
+is in proportion to its words and the postings at its rare words' places.
 
 Defined cases: a null text is an empty one; texts without words have no places; repeated rows give repeated
 results; null doc_ids are kept; extra columns of the input aren't read.
@@ -17,35 +19,20 @@ results; null doc_ids are kept; extra columns of the input aren't read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-# Opening words of public licence texts and notices, their labels and mandatory key phrases.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "licensed under the mit license", "mit license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
-    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0 universal"),
-]
-RARE = 4
+RARE = 8  # indexed words of a template
+RARE_KEY = 4  # indexed words of its key phrase
+LOOKED_UP = 16  # highest-IDF words of a file, beside those of key phrases
 AGREE = 2
+WIDE = 1 << 12  # more words than any template has
 
 
 def words_of(text: str = "text") -> Column:
@@ -56,91 +43,122 @@ def words_of(text: str = "text") -> Column:
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents hold each word of a fixed vocabulary."""
-    known = F.array(*map(F.lit, vocabulary))
-    found = docs.select(F.explode(F.array_intersect(words_of(), known)).alias("w")).groupBy("w").count()
+    found = docs.select(F.explode(F.array_intersect(words_of(), _strings(vocabulary))).alias("w")).groupBy("w").count()
     return {r["w"]: r["count"] for r in found.collect()}  # at most a row for each word of the vocabulary
 
 
-def build_index(templates: list[tuple[str, str, str]], frequencies: dict[str, int], rare: int = RARE) -> list[tuple[str, int, int]]:
-    """(word, template, position) of the rarest words of each template's key phrase. The phrase is mandatory,
-    so a file that matches has them all, at these relative positions."""
-    index = []
-    for t, (_, text, key) in enumerate(templates):
-        phrase = key.split()
-        start = _find(text.split(), phrase)
-        chosen = sorted(range(len(phrase)), key=lambda i: (frequencies.get(phrase[i], 0), i))[:rare]
-        index += [(phrase[i], t, start + i) for i in sorted(chosen)]
-    return index
+class Index:
+    """Templates, the positions of their indexed words, and all words' weights."""
+
+    def __init__(self, templates: list[tuple[str, str, str]], frequencies: dict[str, int], n_docs: int) -> None:
+        if any(len(text.split()) >= WIDE for _, text, _ in templates):
+            raise ValueError(f"a template has {WIDE} words or more")
+        self.labels = [label for label, _, _ in templates]
+        self.words = [text.split() for _, text, _ in templates]
+        self.keys = [key.split() for _, _, key in templates]
+        self.key_at = [_find(w, k) for w, k in zip(self.words, self.keys, strict=True)]
+        self.idf = {w: math.log((n_docs + 1) / (frequencies.get(w, 0) + 1)) + 0.01 for words in self.words for w in words}
+        self.at = []
+        for words, key, at in zip(self.words, self.keys, self.key_at, strict=True):
+            rarest = lambda places, n: sorted(places, key=lambda i: (-self.idf[words[i]], i))[:n]  # noqa: B023, E731
+            self.at.append(sorted({*rarest(range(len(words)), RARE), *rarest(range(at, at + len(key)), RARE_KEY)}))
+        self.postings: dict[str, list[int]] = {}
+        for t, (words, places) in enumerate(zip(self.words, self.at, strict=True)):
+            for i in places:
+                self.postings.setdefault(words[i], []).append(t * WIDE + i)
+        self.key_words = sorted({words[i] for words, key, at, places in zip(self.words, self.keys, self.key_at, self.at, strict=True) for i in places if at <= i < at + len(key)})
 
 
 def _find(words: list[str], phrase: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 
 
-def _n_words(spaced: Column) -> Column:
-    return F.floor((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2)
+def _strings(values: list[str]) -> Column:
+    """A constant array; it folds to one literal."""
+    return F.split(F.lit(" ".join(values)), " ")
+
+
+def _numbers(values: list, kind: str) -> Column:
+    return F.split(F.lit(" ".join(map(repr, values))), " ").cast(f"array<{kind}>")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
     """docs (doc_id, text) to doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    spark = docs.sparkSession
-    vocabulary = sorted({w for _, _, key in templates for w in key.split()})
-    index = build_index(templates, document_frequencies(docs, vocabulary))
-    rare = sorted({w for w, _, _ in index})
-
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), words_of().alias("words"))
-
-    # Positional hits: rows only for words of the index.
-    postings = F.broadcast(spark.createDataFrame(index, "w string, t int, at int"))
-    rare_array = F.array(*map(F.lit, rare))
-    some = keyed.where(F.arrays_overlap("words", rare_array))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(rare_array, x["w"]))
-    hits = some.select("doc_id", "h", "words", F.explode(places).alias("x")).select("doc_id", "h", "words", "x.i", "x.w")
-    # What a template says at the hit's relative position is compared where the words are: no second look-up.
-    texts = [t.split() for _, t, _ in templates]
-    keys = [(k.split(), _find(t, k.split())) for (_, _, k), t in zip(templates, texts, strict=True)]
-    told = spark.createDataFrame([(t, templates[t][0], texts[t], keys[t][1], keys[t][0]) for t in range(len(templates))], "t int, label string, template array<string>, key_at int, key array<string>")
-    start = F.col("i") - F.col("at")
-    here = lambda at, n: F.slice("words", F.greatest(at, F.lit(0)) + 1, n)
-    verified = (
-        hits.join(postings, "w")
-        .join(F.broadcast(told), "t")
-        .withColumn("start", start)
-        .where(F.col("start") + F.col("key_at") >= 0)
-        .where(here(F.col("start") + F.col("key_at"), F.size("key")) == F.col("key"))
-        .select("doc_id", "h", "t", "label", "start", "w", "at", F.size("template").alias("size"), F.aggregate(F.transform("template", lambda w, k: F.when((F.col("start") + k >= 0) & (F.get("words", F.col("start") + k) == w), 1).otherwise(0)), F.lit(0), lambda a, b: a + b).alias("in_place"))
-    )
-    matches = (
-        verified.groupBy("doc_id", "h", "t", "label", "start", "size", "in_place")
-        .agg(F.count_distinct("at").alias("agree"))  # distinct: rows may repeat
-        .where(f"agree >= {AGREE}")
-        .groupBy("doc_id", "h")
-        .agg(F.collect_set("label").alias("found"), F.max(F.col("in_place") / F.col("size")).alias("cover"))  # at most a label for each template
-        .select(F.col("doc_id").alias("m_doc"), F.col("h").alias("m_h"), "found", "cover")
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
+    index = Index(templates, document_frequencies(docs, vocabulary), docs.count())
+    phrases = [(p.split(), label) for p, label in base.items()]
+    anchors = [max(range(len(p)), key=lambda i: (len(p[i]), -i)) for p, _ in phrases]  # noqa: B023
+
+    rare = sorted({*index.postings, *(p[a] for (p, _), a in zip(phrases, anchors, strict=True))})
+    always = sorted({*index.key_words, *(p[a] for (p, _), a in zip(phrases, anchors, strict=True))})
+    weight = F.map_from_arrays(_strings(rare), _numbers([index.idf.get(w, 0.0) for w in rare], "double"))
+    posted = F.map_from_arrays(_strings([*index.postings]), F.array(*[_numbers(p, "int") for p in index.postings.values()]))
+    words, labels = F.array(*[_strings(w) for w in index.words]), _strings(index.labels)
+    keys, key_at = F.array(*[_strings(k) for k in index.keys]), _numbers(index.key_at, "int")
+    places_of = F.array(*[_numbers(a, "int") for a in index.at])
+    weights = F.array(*[_numbers([index.idf[x] for x in w], "double") for w in index.words])
+
+    # The file's rare words, then the places at which those looked up stand.
+    rows = docs.select("doc_id", words_of().alias("w"))
+    rows = rows.select("doc_id", "w", F.array_intersect("w", _strings(rare)).alias("rare"))
+    ranked = F.transform(F.sort_array(F.transform("rare", lambda x: F.struct((-F.element_at(weight, x)).alias("o"), x.alias("x")))), lambda s: s["x"])
+    rows = rows.select("doc_id", "w", F.array_union(F.slice(ranked, 1, LOOKED_UP), F.array_intersect("rare", _strings(always))).alias("asked"))
+    everywhere = F.when(F.size("asked") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
+    # Arrays that lambdas use are bound as lambda variables; as outer expressions they'd be taken anew for each element.
+    bound = F.array(F.struct(F.col("w").alias("w"), F.col("asked").alias("asked"), everywhere.alias("every")))
+    places = F.transform(bound, lambda b: F.struct(b["w"].alias("w"), F.filter(b["every"], lambda i: F.array_contains(b["asked"], F.get(b["w"], i))).alias("places")))
+
+    def matches(b: Column) -> Column:
+        """Starts of templates in the file, as (start + WIDE) * WIDE + template."""
+        file = b["w"]
+
+        def stands(code: Column) -> Column:
+            t, start = (code % WIDE).cast("int"), (F.floor(code / WIDE) - WIDE).cast("int")
+            agree = F.size(F.filter(F.get(places_of, t), lambda a: F.get(file, start + a) == F.get(F.get(words, t), a)))
+            at = start + F.get(key_at, t)
+            return (agree >= AGREE) & (at >= 0) & (F.slice(file, F.greatest(at, F.lit(0)) + 1, F.size(F.get(keys, t))) == F.get(keys, t))
+
+        def starts(i: Column) -> Column:
+            found = F.coalesce(F.element_at(posted, F.get(file, i)), F.array().cast("array<int>"))
+            return F.filter(F.transform(found, lambda p: (i - p % WIDE + WIDE).cast("long") * WIDE + F.floor(p / WIDE)), stands)
+
+        return F.array_distinct(F.flatten(F.transform(b["places"], starts)))
+
+    def cover(b: Column, code: Column) -> Column:
+        t, start = (code % WIDE).cast("int"), (F.floor(code / WIDE) - WIDE).cast("int")
+        pairs = F.zip_with(F.get(words, t), F.get(weights, t), lambda x, v: F.struct(x.alias("x"), v.alias("v")))
+        inside = F.transform(pairs, lambda x, k: F.when(F.get(b["w"], start + k) == x["x"], x["v"]).otherwise(0.0))
+        total = lambda a: F.aggregate(a, F.lit(0.0), lambda u, v: u + v)
+        return total(inside) / total(F.get(weights, t))
+
+    def base_starts(b: Column, phrase: list[str], anchor: int) -> Column:
+        here = lambda i: F.slice(b["w"], F.greatest(i - anchor, F.lit(0)) + 1, len(phrase)) == _strings(phrase)
+        own = F.filter(b["places"], lambda i: (F.get(b["w"], i) == phrase[anchor]) & (i >= anchor) & here(i))
+        return F.transform(own, lambda i: i - anchor)
+
+    whole = F.transform(places, lambda b: F.struct(b["w"].alias("w"), matches(b).alias("found"), *[base_starts(b, p, a).alias(f"p{k}") for k, ((p, _), a) in enumerate(zip(phrases, anchors, strict=True))]))
+    told = F.transform(
+        whole,
+        lambda b: F.struct(
+            F.size(b["w"]).cast("long").alias("n_words"),
+            F.transform(b["found"], lambda c: F.get(labels, (c % WIDE).cast("int"))).alias("found"),
+            F.array_max(F.transform(b["found"], lambda c: cover(b, c))).alias("cover"),
+            *[b[f"p{k}"].alias(f"p{k}") for k in range(len(phrases))],
+        ),
     )
-
-    # Base phrases in each row; words are spaced so that neighbouring places share no character.
-    anchors = F.array(*[F.lit(max(p.split(), key=len)) for p in base])
-    spaced = F.when(F.arrays_overlap("words", anchors), F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))).otherwise(F.lit(""))
-    rows = keyed.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), spaced.alias("s"))
-    phrase = {p: F.lit(" " + "  ".join(p.split()) + " ") for p in base}
-    count = {p: F.floor((F.length("s") - F.length(F.replace("s", x, F.lit("")))) / F.length(x)).cast("long") for p, x in phrase.items()}
-    rows = rows.withColumns({f"n_{k}": count[p] for k, p in enumerate(base)})
-    first = [F.when(F.col(f"n_{k}") > 0, _n_words(F.substring_index("s", " " + "  ".join(p.split()) + " ", 1))) for k, p in enumerate(base)]
-    last = [F.when(F.col(f"n_{k}") > 0, F.col("n_words") - _n_words(F.substring_index("s", " " + "  ".join(p.split()) + " ", -1)) - len(p.split())) for k, p in enumerate(base)]
-    labels = [F.when(F.col(f"n_{k}") > 0, F.lit(x)) for k, x in enumerate(base.values())]
+    rows = rows.select("doc_id", told[0].alias("r")).select("doc_id", "r.*")
+    starts = [F.col(f"p{k}") for k in range(len(phrases))]
     rows = rows.select(
-        "doc_id", "h", "n_words",
-        sum((F.col(f"n_{k}") for k in range(len(base))), F.lit(0)).cast("long").alias("n_base"),
-        F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"),
-        F.array_compact(F.array(*labels)).alias("own"),
+        "doc_id", "n_words", "found", "cover",
+        sum((F.size(s) for s in starts), F.lit(0)).cast("long").alias("n_base"),
+        F.least(*[F.array_min(s) for s in starts], F.lit(None).cast("int")).cast("long").alias("first_word"),
+        F.greatest(*[F.array_max(s) for s in starts], F.lit(None).cast("int")).cast("long").alias("last_word"),
+        F.array_compact(F.array(*[F.when(F.size(s) > 0, F.lit(label)) for s, (_, label) in zip(starts, phrases, strict=True)])).alias("own"),
     )
-
-    joined = rows.join(matches, (F.col("doc_id").eqNullSafe(F.col("m_doc"))) & (F.col("h") == F.col("m_h")), "left")
     line = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return joined.select(
+    return rows.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         line(F.col("own")).alias("base_labels"),
-        line(F.concat("own", F.coalesce("found", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("cover", F.lit(0.0))).alias("score"),
+        line(F.concat("own", "found")).alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.round(F.coalesce("cover", F.lit(0.0)), 6)).alias("score"),
     )
