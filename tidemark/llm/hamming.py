@@ -6,9 +6,12 @@ so a query looks up values at segment radius 0, 1, 2, ... and stops as soon as i
 within what the radius reached provably covers. Results are exact, ties go to the smaller id.
 
 Equal codes count once: a code stands with its k smallest ids (a windowed limit that is applied before the
-shuffle too), which is all that any query can need, and equal queries are searched once. Distinct codes are
-dealt into blocks of bounded expected size; a task indexes one block and answers one block of queries, and
-the k best of each block are merged.
+shuffle too), which is all that any query can need, and equal queries are searched once. The query set meets all
+rows in blocks: distinct codes are dealt into blocks of BLOCK expected codes, queries into blocks of QUERIES; a task
+indexes one block of codes and grows the radii of one block of queries, and the k best of each block are merged. A
+code is sent once for each block of queries, so for a fixed number of queries what is shuffled grows with the
+rows. (Radii as rounds of joins on segment values would send a probe for each value in a radius, some 10,000 a query
+at the distances of random codes, which is more than the rows of a block.)
 
 Defined cases: rows with a null id or a null or empty vector have no code and take no part; null elements
 and missing ones at a vector's end count as not positive; repeated rows of one id count once; fewer than k
@@ -23,8 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 32_768
-QUERIES = 512
+BLOCK = 1 << 17
+QUERIES = 1 << 14
 
 
 def sign_codes(vectors: DataFrame, dims: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -113,7 +116,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK,
     members = cut(some.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))  # at most k ids each
     asked = codes.where(is_query)
     wanted = cut(asked.select("code").distinct())
-    n_blocks, n_asked = -(-members.count() // block) or 1, -(-wanted.count() // queries) or 1
+    n_wanted = wanted.count()
+    spread = min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n_wanted // 128))  # few queries: at least a task for each core
+    n_blocks, n_asked = -(-members.count() // block) or 1, max(-(-n_wanted // queries), spread) or 1
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "code"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     stored = members.select(deal(1, n_blocks).alias("b"), "code", "ids").select("b", every(n_asked).alias("a"), "code", "ids")
