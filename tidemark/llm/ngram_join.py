@@ -23,10 +23,10 @@ from functools import cache
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, materialise
+from .common import cut, fresh, materialise
 
 WORDS = 5
 BANDS, ROWS = 24, 4
@@ -173,10 +173,11 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total[place[x], place[y]].astype(np.int64)
 
 
-def _block(rows: list[tuple], band: int, first: int, second: int) -> list[tuple[bytes, bytes, int]]:
-    """(fp, least fp of its component here, documents linked) for one pair of blocks."""
+def _block(rows: list[tuple], band: int, first: int, second: int) -> list[tuple[dict, dict, int]]:
+    """(node, least node of its component here, documents linked) for one pair of blocks."""
     one = {r[0]: r for r in rows}  # a row of the input may repeat
-    rows = sorted(one.values(), key=lambda r: (r[1] != first, r[0]))
+    order = lambda r: (r[5]["known"], r[5]["doc_id"], r[5]["th"])
+    rows = sorted(one.values(), key=lambda r: (r[1] != first, order(r)))
     cross = None if first == second else sum(r[1] == first for r in rows)
     sigs = np.array([np.frombuffer(r[3], np.uint32) for r in rows])
     sets = [np.frombuffer(r[4], np.uint64) for r in rows]
@@ -185,9 +186,9 @@ def _block(rows: list[tuple], band: int, first: int, second: int) -> list[tuple[
         return []
     docs = np.array([r[2] for r in rows], np.int64)
     links = np.bincount(x, docs[y], len(rows)) + np.bincount(y, docs[x], len(rows))
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    ranked = sorted(range(len(rows)), key=lambda i: order(rows[i]))
     label = np.empty(len(rows), int)
-    label[order] = np.arange(len(rows))
+    label[ranked] = np.arange(len(rows))
     while True:
         least = label.copy()
         np.minimum.at(least, x, label[y])
@@ -195,24 +196,33 @@ def _block(rows: list[tuple], band: int, first: int, second: int) -> list[tuple[
         if (least == label).all():
             break
         label = least
-    return [(r[0], rows[order[int(label[i])]][0], int(links[i])) for i, r in enumerate(rows) if links[i]]
+    return [(r[5], rows[ranked[int(label[i])]][5], int(links[i])) for i, r in enumerate(rows) if links[i]]
+
+
+def node(doc_id: Column, th: Column) -> Column:
+    """A representative's name: its least document, in an order in which null doc_ids come first. The least node of a
+    component is the class itself, so that no class has to be looked up by its label."""
+    return F.struct(doc_id.isNotNull().cast("int").alias("known"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc_id"), th.alias("th"))
+
+
+NODE = "struct<known: int, doc_id: long, th: long>"
 
 
 def _links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Representatives (fp, docs, least doc and text hash) and, by block, (fp, root, links)."""
+    """Representatives (fp, docs, node) and, by block, (node, root, links)."""
     spark = docs.sparkSession
     own = sketches.where("fp is not null")
-    reps = own.groupBy("fp").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "th")).alias("least"), F.first("keys").alias("keys"))
+    reps = own.groupBy("fp").agg(F.count("*").alias("docs"), F.min(node(F.col("doc_id"), F.col("th"))).alias("node"), F.first("keys").alias("keys"))
     reps = materialise(reps, "ngram-reps")
-    banded = reps.select("fp", "docs", F.posexplode("keys").alias("band", "key"))
+    banded = reps.select("fp", "docs", "node", F.posexplode("keys").alias("band", "key"))
     of = F.xxhash64("fp")
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum(of.bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.bit_xor(of).alias("x")).where("m > 1")
     chosen = buckets.groupBy("m", "s", "x").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     members = materialise(banded.join(chosen, ["band", "key"]), "ngram-members")
 
     # Whole shingle sets of those representatives only.
-    wanted = members.select("fp").distinct().join(reps.select("fp", "least"), "fp").select("fp", F.col("least.doc_id").alias("d"), F.col("least.th").alias("h"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("fp", "text")
+    wanted = members.select("fp", "node").distinct()
+    texts = docs.select(node(F.col("doc_id"), F.xxhash64("text")).alias("node"), "text").join(wanted, "node").select("fp", "text")
 
     def resketch(batches):
         import pyarrow as pa
@@ -225,15 +235,16 @@ def _links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     data = texts.mapInArrow(resketch, "fp binary, sig binary, shingles binary")
     own_block = F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own_block).select("fp", "docs", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("fp", "docs", "band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    grouped = dealt.join(data, "fp").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").select("band", "key", "i", "j", "fp", "own", "docs", "sig", "shingles")
+    dealt = members.withColumn("own", own_block).select("fp", "docs", "node", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("fp", "docs", "node", "band", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = dealt.join(data, "fp").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j").select("band", "key", "i", "j", "fp", "own", "docs", "sig", "shingles", "node")
 
     def compare(batches):
         import pyarrow as pa
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["fp", "root", "links"])
+            name = pa.struct([("known", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (name, name, pa.int64()), strict=True)], names=["node", "root", "links"])
 
         now, held, found = None, [], []
         for batch in batches:
@@ -254,8 +265,8 @@ def _links(sketches: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if found:
             yield out(found)
 
-    found = grouped.mapInArrow(compare, "fp binary, root binary, links long")
-    return reps.select("fp", "docs", "least"), materialise(found, "ngram-links")
+    found = grouped.mapInArrow(compare, f"node {NODE}, root {NODE}, links long")
+    return reps.select("fp", "docs", "node"), materialise(found, "ngram-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,14 +284,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(fp, docs, links, least: of the class) for representatives with copies or links."""
+    """(c_fp, n_links, class: the least node) for representatives with copies or links."""
     reps, found = _links(sketches, docs)
-    links = found.groupBy("fp").agg(F.sum("links").alias("links"))
-    labels = components(found.where("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct())
-    some = reps.join(links, "fp", "left").where("docs > 1 or links is not null").join(labels, F.col("fp") == F.col("node"), "left").select("fp", "docs", "links", "least", F.coalesce("label", "fp").alias("label"))
-    some = cut(some)
-    least = some.groupBy("label").agg(F.min("least").alias("class"))
-    return cut(some.join(least, "label").select(F.col("fp").alias("c_fp"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
+    some = reps.join(links, "node", "left").where("docs > 1 or links is not null").join(labels, "node", "left")
+    return cut(some.select(F.col("fp").alias("c_fp"), (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("class")))
 
 
 def similar_classes(docs: DataFrame) -> DataFrame:
@@ -288,7 +297,8 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     sketches = materialise(sketch(docs), "ngram-sketches")
     classes = _classes(docs, sketches)
     some = sketches.where("fp is not null").select("doc_id", "fp").join(classes, F.col("fp") == F.col("c_fp"), "left")
-    out = some.select("doc_id", F.when(F.col("c_fp").isNull(), F.col("doc_id")).otherwise(F.col("class.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    own = F.when(F.col("class.known") == 1, F.col("class.doc_id"))
+    out = some.select("doc_id", F.when(F.col("c_fp").isNull(), F.col("doc_id")).otherwise(own).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.unionByName(sketches.where("fp is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
@@ -297,8 +307,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     a doc_id and a text give one."""
     sketches = materialise(sketch(docs), "ngram-sketches")
     classes = _classes(docs, sketches)
-    some = sketches.where("fp is not null").select("doc_id", "th", "fp").join(classes, F.col("fp") == F.col("c_fp"))
-    keys = ["__id", "__null", "__th"]  # not null, so that the join and the removal of repeats share one exchange
-    key = lambda df, th: df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__th": th})
-    gone = key(some.where(~F.struct("doc_id", "th").eqNullSafe(F.col("class"))), F.col("th")).select(*keys).distinct()
-    return key(docs, F.xxhash64("text")).join(gone, keys, "left_anti").dropDuplicates(keys).select(*[f"`{c}`" for c in docs.columns])
+    some = sketches.where("fp is not null").select(node(F.col("doc_id"), F.col("th")).alias("own"), "fp").join(classes, F.col("fp") == F.col("c_fp"))
+    # Never null, so that the join and the removal of repeats share one exchange.
+    names = [fresh(docs, f"own_{f}") for f in ("known", "doc_id", "th")]
+    fields = lambda c: {n: c[f] for n, f in zip(names, ("known", "doc_id", "th"), strict=True)}
+    gone = some.where("own <> class").withColumns(fields(F.col("own"))).select(*names).distinct()
+    th = F.coalesce(F.xxhash64("text"), F.lit(0))
+    own = docs.withColumns(fields(node(F.col("doc_id"), th)))
+    return own.join(gone, names, "left_anti").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])
