@@ -2,10 +2,11 @@
 
 Of two documents with different labels the better one is preferred. The score is linear in features of the
 text's form (lengths, character classes, repetition), and the weights minimise the logistic loss of feature
-differences over preference pairs. The cut is a quantile of the scores of the labelled sample: the share of
-that sample that is labelled 0. A monotone map puts the cut at CUT and gives scores from 0 to 1.
+differences over preference pairs. The cut is a quantile of the scores of all labelled documents that may be learnt
+from: the share of them that is labelled 0 (to a thousandth, by a sketch). A monotone map puts the
+cut at CUT and gives scores from 0 to 1.
 
-The fit uses a bounded sample of labelled rows (`sample`, chosen by hash) and a bounded number of pairs
+The fit uses a bounded sample of labelled documents (`sample`, chosen by hash) and a bounded number of pairs
 (`pairs`); both are small whatever the corpus. Features of the sample come from the same code as those of
 the corpus. Scoring is one pass without a shuffle over whole texts.
 
@@ -16,6 +17,7 @@ and every document gets the score 1; extra columns pass through `keep_good` unto
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import pairwise
 
 import numpy as np
@@ -23,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut as cut_lineage
+
 CUT = 0.7
 SAMPLE = 20_000
 PAIRS = 60_000
+ACCURACY = 50_000
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 1
@@ -82,10 +87,15 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `sample` labelled documents that aren't held out."""
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of labelled documents that aren't held out and whose labels agree."""
     agreed = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2")
-    chosen = agreed.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows
+    return agreed.select("doc_id", F.col("y").cast("int")).join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def sample_rows(docs: DataFrame, told: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most `sample` documents of `told` (doc_id, y)."""
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows
 
     def run(batches):
         import pyarrow as pa
@@ -115,8 +125,9 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> dict:
-    """The model: center, scale, weights, cut and slope."""
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7, cut: Callable | None = None) -> dict:
+    """The model: center, scale, weights, cut and slope. `cut` gives the cut for center, scale and weights; by itself it is
+    that of x and y."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     model = {"center": np.zeros(N_FEATURES), "scale": np.ones(N_FEATURES), "w": np.zeros(N_FEATURES), "cut": -1e9, "slope": 1.0}
     if not len(good) or not len(bad):
@@ -129,18 +140,42 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, s
     diff = np.where(flip[:, None], z[b] - z[a], z[a] - z[b])
     w = _newton(diff, (~flip).astype(float), ridge)
     s = z @ w
-    cut = float(np.quantile(s, len(bad) / len(y)))
+    cut = float(np.quantile(s, len(bad) / len(y))) if cut is None else cut(center, scale, w)
     slope = _newton(np.c_[s - cut, np.ones(len(s))], y.astype(float), 1e-4)[0]
     return {"center": center, "scale": scale, "w": w, "cut": cut, "slope": float(np.clip(slope, 0.05, 50))}
 
 
+def raw_scores(center: np.ndarray, scale: np.ndarray, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.clip((x - center) / scale, -8, 8) @ w
+
+
 def apply_model(model: dict, x: np.ndarray) -> np.ndarray:
-    s = np.clip((x - model["center"]) / model["scale"], -8, 8) @ model["w"]
+    s = raw_scores(model["center"], model["scale"], model["w"], x)
     return 1 / (1 + np.exp(-np.clip(model["slope"] * (s - model["cut"]) + np.log(CUT / (1 - CUT)), -40, 40)))
 
 
+def _cut_of_all(docs: DataFrame, told: DataFrame) -> Callable:
+    """The cut over all documents of `told`, by a sketch that combines before its shuffle."""
+
+    def cut(center, scale, w) -> float:
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for low in range(0, batch.num_rows, 1024):
+                    b = batch.slice(low, 1024)
+                    yield pa.RecordBatch.from_arrays([b.column(1), pa.array(raw_scores(center, scale, w, _matrix(b, 0)))], names=["y", "s"])
+
+        scored = docs.select("doc_id", "text").join(told, "doc_id").select("text", "y").mapInArrow(run, "y int, s double")
+        share, scores = scored.agg(F.avg(1 - F.col("y")), F.percentile_approx("s", [k / 1000 for k in range(1001)], ACCURACY)).first()
+        return float(scores[round(share * 1000)])
+
+    return cut
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    return fit(*sample_rows(docs, labels, sample))
+    told = cut_lineage(learnable(docs, labels))
+    return fit(*sample_rows(docs, told, sample), cut=_cut_of_all(docs, told))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", into: str = "score") -> DataFrame:
