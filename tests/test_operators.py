@@ -149,14 +149,14 @@ def test_text(spark):
     assert (r["a"], r["b"], r["c"], r["d"], r["e"], r["f"], r["g"], r["h"]) == ("a b", ["ab", "bc", "ca"], ["x"], [], ["東京電力", "アメリカ", "発表"], "1234", "Reuters", 0.5)
 
 
-def brute_clusters(titles):
+def brute_clusters(titles, entity=tx.ENTITY):
     import re
 
     clusters, label = [], []
     for t in titles:
         s = re.sub(tx.NOISE, "", t)
         g = {s[i : i + 2] for i in range(len(s) - 1)} if len(s) > 1 else ({s} if s else set())
-        e = set(re.findall(tx.ENTITY, t))
+        e = set(re.findall(entity, t))
         sims = [max(len(a & x) / len(a | x) if a | x else 0.0 for a, x in ((g, c[0]), (e, c[1]))) for c in clusters]
         best = max(range(len(sims)), key=lambda i: (sims[i], -i), default=None)
         if best is None or sims[best] < 0.5 or sims[best] == 0:
@@ -182,6 +182,14 @@ def test_percentile_ranks(spark):
     values, history = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 9.0), (2, 1.0)], "k int, v double"), spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 5.0), (1, 7.0)], "k int, v double")
     got = sorted(tuple(r) for r in events.percentile_rank(values, history, "v", ["k"], "p").collect())
     assert got == [(1, 0.0, 0.0), (1, 5.0, 0.25), (1, 9.0, 1.0), (2, 1.0, 0.0)]
+    again = values.unionByName(values)
+    assert sorted(r["p"] for r in events.percentile_rank(again, history.drop("k"), "v", [], "p").collect()) == [0.0, 0.0, 0.25, 0.25, 0.25, 0.25, 1.0, 1.0]
+
+
+def test_history_looks_back_a_span_of_days(spark):
+    rows = spark.createDataFrame([(date(2024, 1, 1), 1.0), (date(2024, 1, 1), 1.0), (date(2024, 1, 3), 2.0), (date(2024, 1, 9), 3.0)], "day date, v double")
+    got = sorted(tuple(r) for r in events.look_back(rows, "day", "v", 6).collect())
+    assert got == [(date(2024, 1, 3), 1.0, 2), (date(2024, 1, 9), 2.0, 1)]
 
 
 def test_gate_order_and_cap(spark):
@@ -196,39 +204,85 @@ def test_gate_order_and_cap(spark):
 
 
 def brute_fold(log):
-    s = dict(status=None, strength=None, started=None, clock=None, reason=None, n=0)
-    for k, _, day, change, status, strength, reason in sorted(log, key=lambda r: r[:2]):
+    s = None
+    for k, _, day, change, status, strength, reason, rise in sorted(log, key=lambda r: r[:2]):
         if k == 0:
-            s["status"], s["strength"] = status, strength
-            if status == "進行中":
-                s["started"] = s["clock"] = day
+            on = day if status == "進行中" else None
+            s = dict(status=status, strength=strength, started=on, clock=on, reason=None, n=0, rise=rise, version=1)
+        elif s is None:
+            return None
         elif k == 3:
             s["n"] += 1
             s["strength"] = strength or s["strength"]
+            if rise is not None:
+                s["rise"], s["version"] = rise, s["version"] + 1
             if change == "強化" and s["status"] == "進行中":
                 s["clock"] = day
             elif change == "起動" and s["status"] == "待機":
-                s["status"], s["started"], s["clock"] = "進行中", day, day
+                s.update(status="進行中", started=day, clock=day)
             elif change == "消滅":
-                s["status"], s["reason"] = "終了", "シナリオが崩れた"
+                s.update(status="終了", reason="シナリオが崩れた")
         elif k == 4:
             s["status"], s["reason"] = status, reason or s["reason"]
             if status == "進行中" and s["started"] is None:
-                s["started"] = s["clock"] = day
-    return tuple(s.values())
+                s.update(started=day, clock=day)
+    return tuple(s.values()) if s else None
 
 
 def test_fold_equals_loop(spark):
     rng, rows = random.Random(2), []
     for key in range(60):
-        rows.append((key, 0, 1, date(2024, 1, 1), None, rng.choice(["待機", "進行中"]), "Weak", None))
-        for s in range(2, rng.randint(3, 12)):
+        first = 1 if key % 10 else 0  # every tenth scenario is unknown, others have up to two rows of their own
+        for s in range(1, first * rng.randint(1, 2) + 1):
+            rows.append((key, 0, s, date(2024, 1, 1), None, rng.choice(["待機", "進行中"]), "Weak", None, 0.1))
+        for s in range(3, rng.randint(4, 12)):
             k = rng.choice([3, 3, 3, 4])
-            rows.append((key, k, s, date(2024, 1, 1) + timedelta(days=s), rng.choice(["強化", "弱体化", "起動", "消滅"]) if k == 3 else None, rng.choice(["進行中", "休眠", "終了"]) if k == 4 else None, rng.choice(["Medium", None]), rng.choice(["r", None]) if k == 4 else None))
-    df = spark.createDataFrame(rows, "key int, k int, s int, day date, change string, status string, strength string, reason string")
-    out = state.fold(df, "key", *[F.col(c) for c in ("k", "s", "day", "change", "status", "strength", "reason")]).collect()
-    for r in out:
-        assert tuple(r)[1:] == brute_fold([x[1:] for x in rows if x[0] == r["key"]])
+            rows.append((key, k, s, date(2024, 1, 1) + timedelta(days=s), rng.choice(["強化", "弱体化", "起動", "消滅"]) if k == 3 else None, rng.choice(["進行中", "休眠", "終了"]) if k == 4 else None, rng.choice(["Medium", None]), rng.choice(["r", None]) if k == 4 else None, rng.choice([0.2, None])))
+    df = spark.createDataFrame(rows, "key int, k int, s int, day date, change string, status string, strength string, reason string, rise double")
+    out = {r["key"]: tuple(r)[1:] for r in state.fold(df, "key", *[F.col(c) for c in ("k", "s", "day", "change", "status", "strength", "reason", "rise")]).collect()}
+    assert out == {k: f for k in range(60) if (f := brute_fold([x[1:] for x in rows if x[0] == k]))}
+    assert set(range(60)) - set(out) == set(range(0, 60, 10))
+
+
+def test_upserts_take_one_whole_row_of_a_batch(spark):
+    old = spark.createDataFrame([(1, "a", 1, 1)], "k int, x string, y int, seen int")
+    new = spark.createDataFrame([(1, "b", 9, 2), (1, "c", 3, 3), (2, "d", 1, 5), (2, "d", 2, 4)], "k int, x string, y int, seen int")
+    assert sorted(map(tuple, tables.upsert_keep_first(old, new, ["k"], ["x", "y"], ["seen"], ["seen"]).collect())) == [(1, "c", 3, 1), (2, "d", 1, 4)]
+    assert sorted(map(tuple, tables.replace_rows(old, new, ["k"]).collect())) == [(1, "c", 3, 3), (2, "d", 2, 4)]
+
+
+def test_clusters_cross_sources(spark):
+    rows = [(1, 1, "NHK reports a new rule", "news", "a", 1, None), (1, 2, "NHK reports a new rule", "news", "b", 2, None), (1, 3, "NHK reports a new rule.", "disclosure", "c", 3, "7203"), (1, 4, "Something else altogether", "news", "a", 4, None)]
+    df = spark.createDataFrame(rows, "day int, id int, title string, kind string, source string, ts int, code string")
+    out = sorted(events.to_events(events.cluster(df, ["day"], ["ts", "id"]), ["day"]).collect(), key=lambda r: r["cluster_no"])
+    assert [(r["media_count"], r["n_items"], r["codes"], r["news_ids"], r["disclosure_ids"]) for r in out] == [(3, 3, ["7203"], [1, 2], [3]), (1, 1, [], [4], [])]
+
+
+def test_company_names(spark):
+    names = ["㈱Ａ_Ｂ‐Ｃ", "株式会社 a b c", "A・B,C", "(有)x", "有限会社ーx."]
+    out = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", tx.company_name(F.col("n")).alias("v")).collect()
+    assert {r["i"]: r["v"] for r in out} == {0: "abc", 1: "abc", 2: "ab,c", 3: "(有)x", 4: "x"}
+
+
+def test_no_excess_gives_no_sigma(spark):
+    df = spark.createDataFrame([(date(2024, 1, 4), 0.0, 0.0, None, None), (date(2024, 1, 4), 0.0, 0.0, 1.0, 1.0)], "date date, ret double, prior_vol double, b0 double, b1 double").withColumn("row", F.monotonically_increasing_id())
+    for r in df.collect():
+        day = spark.createDataFrame([(date(2024, 1, 4), r["b0"], r["b1"])], "b_date date, b_before double, b_on double")
+        assert px.day_sigma(df.where(F.col("row") == r["row"]), day).first()["sigma"] == (None if r["b0"] is None else 0.0)
+
+
+def test_bigrams_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("".join(chr(97 + (i * i) % 26) for i in range(n)),)], "t string")
+        began = time.perf_counter()
+        assert df.select(F.size(tx.bigrams(F.col("t")))).first()[0] > 10
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(200_000) < 12 * took(20_000) + 2
+    assert one(spark, tx.bigrams(F.lit("日本 語")), tx.bigrams(F.lit("x")), tx.bigrams(F.lit(None).cast("string"))) == (["日本", "本語"], ["x"], [])
 
 
 def test_chain_is_sound_and_changes_are_seen(spark):

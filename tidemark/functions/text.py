@@ -9,9 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Character classes of names and of noise, and titles of strong filings.
+# Character classes of names and of noise, legal forms and separators of company names, outlets of tier 2,
+# titles of strong filings.
 ENTITY = "[一-龥ー]{2,}|[ァ-ヶー]{2,}"
 NOISE = r"[\s、。,\.　「」『』（）()【】\-—―:：/／]+"
+LEGAL_FORMS = r"株式会社|\(株\)|有限会社|合同会社"
+SEPARATORS = r"(?U)[\s・･.\-‐－ー_]"
+TIER_2_OUTLETS = [
+    "NHK", "日本経済新聞", "日経クロステック", "朝日新聞", "読売新聞", "毎日新聞", "産経新聞", "共同通信", "時事通信", "ロイター", "Reuters", "ブルームバーグ", "Bloomberg",
+    "東洋経済オンライン", "ダイヤモンド・オンライン",
+]
 STRONG = ["大量保有報告書", "変更報告書", "公開買付", "TOB", "資本業務提携", "業務提携", "業績予想の修正", "業績予想を修正", "上方修正", "下方修正"]
 
 
@@ -28,12 +35,16 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)" + NOISE, "")
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value taken once: inside a lambda an outer expression would run anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bigrams(c: Column) -> Column:
     """Distinct character pairs of the stripped text; one character is itself, none gives an empty array."""
-    t = stripped(c)
-    n = F.length(t)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    chars = F.regexp_extract_all(stripped(c), F.lit("(?s)(.)"), 1)
+    pairs = lambda s: F.array_distinct(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.concat(a, b)))
+    return bind(chars, lambda s: F.when(F.size(s) > 1, pairs(s)).otherwise(s))
 
 
 def entities(c: Column, pattern: str = ENTITY) -> Column:
@@ -56,7 +67,7 @@ def is_strong(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "&nbsp;", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&nbsp;", " "))
 
 
 def security_code(c: Column) -> Column:
@@ -70,8 +81,15 @@ def title_media(c: Column) -> Column:
     return F.trim(F.regexp_extract(c, r"\s-\s([^-]+)$", 1))
 
 
-def title_without_media(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s-\s[^-]+$", ""))
+def title_without_media(title: Column, media: Column) -> Column:
+    """The headline without " - " and the outlet at its end."""
+    tail = F.concat(F.lit(" - "), media)
+    cut = F.when((media != "") & F.endswith(title, tail), F.left(title, F.length(title) - F.length(tail))).otherwise(title)
+    return normal_space(cut)
+
+
+def outlet_tier(media: Column) -> Column:
+    return F.when(media.isin(TIER_2_OUTLETS), 2).otherwise(3)
 
 
 @F.pandas_udf(T.StringType())
@@ -82,8 +100,7 @@ def nfkc(c: pd.Series) -> pd.Series:
 
 def company_name(c: Column) -> Column:
     """Names for comparison: compatibility form, without legal forms and separators, lower case."""
-    bare = F.regexp_replace(nfkc(c), r"株式会社|有限会社|合同会社|\(株\)|\(有\)", "")
-    return F.lower(F.regexp_replace(bare, r"(?U)[\s・\-ー.,&]+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(nfkc(c), LEGAL_FORMS, ""), SEPARATORS, ""))
 
 
 def jst_date(ts: Column) -> Column:

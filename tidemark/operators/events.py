@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,11 +14,12 @@ COLD_START = 20
 
 
 def cluster(items: DataFrame, group: list[str], order: list[str], threshold: float = 0.5, entity: str = tx.ENTITY) -> DataFrame:
-    """One-pass greedy clustering within each group (a day's items of one source or language).
+    """One-pass greedy clustering within each group (a day's items of all sources).
 
     In order, an item joins the cluster with the greatest similarity (bigrams of titles or entities, the better
-    of the two; the earliest cluster on ties) if that reaches the threshold, else it starts one. An inverted
-    index of bigrams and entities finds all clusters with any overlap; others have similarity 0.
+    of the two; the earliest cluster on ties) if that reaches the threshold, else it starts one. A set's similarity is at
+    most the smaller size over the larger, so clusters whose sizes differ too much aren't compared. The result depends
+    on the order of a group's items, so a group is one task: a day's items are the bound.
     Returns items with cluster_no (from 0 within the group).
     """
     noise, name = re.compile(tx.NOISE), re.compile(entity)
@@ -28,15 +28,22 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
         import pandas as pd
 
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        grams, names, index, label = [], [], defaultdict(set), []
+        grams, names, label = [], [], []
+
+        def alike(a, b):
+            few, many = sorted((len(a), len(b)))
+            if not few or few < threshold * many:
+                return 0.0
+            both = len(a & b)
+            return both / (len(a) + len(b) - both)
+
         for title in pdf["title"]:
             t = noise.sub("", title or "")
             g = {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else ({t} if t else set())
             e = set(name.findall(title or ""))
-            near = sorted(set().union(*(index[("g", x)] for x in g), *(index[("e", x)] for x in e)))
             best, score = -1, 0.0
-            for c in near:
-                s = max(len(g & grams[c]) / len(g | grams[c]) if g | grams[c] else 0.0, len(e & names[c]) / len(e | names[c]) if e | names[c] else 0.0)
+            for c in range(len(grams)):
+                s = max(alike(g, grams[c]), alike(e, names[c]))
                 if s > score:
                     best, score = c, s
             if best < 0 or score < threshold:
@@ -45,10 +52,6 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
                 names.append(set())
             grams[best] |= g
             names[best] |= e
-            for x in g:
-                index[("g", x)].add(best)
-            for x in e:
-                index[("e", x)].add(best)
             label.append(best)
         return pdf.assign(cluster_no=pd.Series(label, dtype="int32"))
 
@@ -57,29 +60,55 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
     return items.groupBy(*group).applyInPandas(run, T.StructType([*items.schema.fields, T.StructField("cluster_no", T.IntegerType())]))
 
 
-def to_events(clustered: DataFrame, group: list[str]) -> DataFrame:
-    """One event for each cluster: the longest title (the first of equals), media count, first time, ids."""
+def to_events(clustered: DataFrame, group: list[str], entity: str = tx.ENTITY) -> DataFrame:
+    """One event for each cluster: the longest title (the first of equals), distinct sources, first time, sorted codes,
+    ids by kind, entities of all titles. A cluster's lists are bounded by its day's items."""
     keys = [*group, "cluster_no"]
-    return clustered.groupBy(*keys).agg(
+    ids = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))))
+    return clustered.withColumn("__e", tx.entities(F.col("title"), entity)).groupBy(*keys).agg(
         F.min_by("title", F.struct(-F.length("title"), "ts", "id")).alias("title"),
         F.count_distinct("source").alias("media_count"),
         F.min("ts").alias("first_observed_at"),
         F.count("*").alias("n_items"),
         F.bool_or(F.col("kind") == "disclosure").alias("has_disclosure"),
+        F.array_sort(F.collect_set("code")).alias("codes"),
+        ids("news").alias("news_ids"),
+        ids("disclosure").alias("disclosure_ids"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__e")))).alias("entities"),
     )
 
 
-def percentile_rank(values: DataFrame, history: DataFrame, value: str, by: list[str], into: str) -> DataFrame:
-    """Share of history strictly below each value; 0 without history. History is counted by distinct value
-    first, so what is ranked is small; no pair of value and history row is formed."""
-    h = history.groupBy(*by, value).agg(F.count("*").alias("__c")).withColumn("__k", F.lit(1))
-    v = values.withColumn("__c", F.lit(0).cast("long")).withColumn("__k", F.lit(0))
-    w = Window.partitionBy(*by).orderBy(value, "__k").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    out = v.unionByName(h, allowMissingColumns=True)
-    out = out.withColumn("__below", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn("__all", F.sum("__c").over(every))
+def percentile_rank(values: DataFrame, history: DataFrame, value: str, by: list[str], into: str, weight: Column | None = None) -> DataFrame:
+    """Share of history strictly below each value; 0 without history. Both sides are reduced to distinct values before
+    they are ranked, and the rank joins the rows by value; no pair of value and history row is formed. `weight` is how
+    many rows a row of history stands for."""
+    h = history.groupBy(*by, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("__c")).withColumn("__k", F.lit(1))
+    v = values.select(*by, value).distinct().withColumn("__c", F.lit(0).cast("long")).withColumn("__k", F.lit(0))
+    part = by or [F.lit(1)]
+    w = Window.partitionBy(*part).orderBy(value, "__k").rowsBetween(Window.unboundedPreceding, -1)
+    out = v.unionByName(h).withColumn("__below", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn("__all", F.sum("__c").over(Window.partitionBy(*part)))
     rank = F.when(F.col("__all") > 0, F.col("__below") / F.col("__all")).otherwise(0.0)
-    return out.withColumn(into, rank).where("__k = 0").drop("__c", "__k", "__below", "__all")
+    ranks = out.where("__k = 0").select(*[F.col(c).alias(f"__{c}") for c in (*by, value)], rank.alias(into))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, value)]
+    return values.join(ranks, same, "left").drop(*[f"__{c}" for c in (*by, value)])
+
+
+def look_back(rows: DataFrame, day: str, value: str, days: int = 90) -> DataFrame:
+    """(day, value, n): for each day of rows the values of the `days` days before it, as counts of distinct values."""
+    own = rows.groupBy(F.col(day).alias("__d"), value).agg(F.count("*").alias("__n"))
+    later = own.select(value, "__n", F.explode(F.sequence(F.date_add("__d", 1), F.date_add("__d", days))).alias(day))
+    return later.join(rows.select(day).distinct(), day, "left_semi").groupBy(day, value).agg(F.sum("__n").alias("n"))
+
+
+def seen_before(events: DataFrame, day: str, novelty: str) -> DataFrame:
+    """events with `seen`: whether their novelty hash came up on an earlier day."""
+    first = events.groupBy(novelty).agg(F.min(day).alias("__first"))
+    return events.join(first, novelty).withColumn("seen", F.col("__first") < F.col(day)).drop("__first")
+
+
+def forced(title: Column, codes: Column, active_codes: Column, keywords: Column) -> Column:
+    """Whether an event touches an active scenario: a common code, or one of its keywords in the title."""
+    return F.coalesce(F.arrays_overlap(codes, active_codes), F.lit(False)) | F.exists(keywords, lambda k: F.contains(title, k))
 
 
 def composite(parts: list[tuple[Column, Column, Column]]) -> Column:

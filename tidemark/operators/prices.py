@@ -23,16 +23,30 @@ LIMIT_BANDS = [
 ]
 
 
-def as_of(probes: DataFrame, series: DataFrame, by: list[str], on: str = "date", value: str = "close", into: str = "close", inclusive: bool = True) -> DataFrame:
-    """probes with the series' last value on or before (inclusive) or strictly before their date; one shuffle
-    of both sides together, no join."""
+def last_values(probes: DataFrame, series: DataFrame, by: list[str], on: str, value: str, into: str, inclusive: bool) -> DataFrame:
+    """probes with the series' last value on or before (inclusive) or strictly before their date: one window over both
+    sides, for probes of which a key has few."""
     left = probes.withColumn("__v", F.lit(None).cast(series.schema[value].dataType)).withColumn("__k", F.lit(1 if inclusive else -1))
     right = series.select(*by, on, F.col(value).alias("__v")).withColumn("__k", F.lit(0))
-    both = left.unionByName(right, allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy(on, "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = left.unionByName(right, allowMissingColumns=True)
     return both.withColumn(into, F.last("__v", ignorenulls=True).over(w)).where(F.col("__k") != 0).drop("__v", "__k")
 
 
+def rejoin(rows: DataFrame, told: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """rows with the values that `told`, a row for each distinct combination of keys, has for theirs (nulls are equal)."""
+    told = told.select(*[F.col(c).alias(f"__{c}") for c in keys], *values)
+    return rows.join(told, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys], "left").drop(*[f"__{c}" for c in keys])
+
+
+def as_of(probes: DataFrame, series: DataFrame, by: list[str], on: str = "date", value: str = "close", into: str = "close", inclusive: bool = True) -> DataFrame:
+    """probes with the series' last value on or before (inclusive) or strictly before their date. Distinct (by, date) are
+    looked up, and what is found joins the probes, so that many probes of one key and day cost one row of that
+    key's window."""
+    told = last_values(probes.select(*by, on).distinct(), series, by, on, value, into, inclusive)
+    return rejoin(probes, told, [*by, on], [into])
+
+
 def benchmark_by_day(benchmark: DataFrame, calendar: DataFrame) -> DataFrame:
     """(b_date, b_before, b_on): benchmark close strictly before, and on or before, each calendar day."""
     w = Window.orderBy("d")  # a row for each day of the calendar
@@ -60,24 +74,26 @@ def daily_features(prices: DataFrame, window: int = 20, surged_days: int = 20) -
 
 def day_sigma(features: DataFrame, by_day: DataFrame) -> DataFrame:
     """features with excess (over the benchmark, same day) and sigma = excess / prior volatility; with no
-    volatility sigma is infinite where there is an excess, else 0."""
+    volatility sigma is infinite where there is an excess, 0 where it is 0; null without an excess."""
     out = features.join(F.broadcast(by_day), F.col("date") == F.col("b_date"), "left")
     excess = F.col("ret") - (F.try_divide(F.col("b_on"), F.col("b_before")) - 1)
     out = out.withColumn("excess", excess)
-    sigma = F.when(F.col("prior_vol") == 0, F.when(F.col("excess") != 0, F.lit(float("inf"))).otherwise(0.0)).otherwise(F.try_divide(F.col("excess"), F.col("prior_vol")))
+    sigma = F.when(F.col("prior_vol") == 0, F.when(F.col("excess") != 0, F.lit(float("inf"))).when(F.col("excess") == 0, 0.0)).otherwise(F.try_divide(F.col("excess"), F.col("prior_vol")))
     return out.withColumn("sigma", F.when(F.col("prior_vol").isNotNull(), sigma))
 
 
 def excess_return(spans: DataFrame, prices: DataFrame, by_day: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """spans (code, start, end, ...) with the return from the close strictly before start to the close on or
-    before end, over the benchmark's."""
-    out = as_of(spans.withColumn("date", F.col(start)), prices, ["code"], into="from_close", inclusive=False)
-    out = as_of(out.withColumn("date", F.col(end)), prices, ["code"], into="to_close")
+    before end, over the benchmark's; equal spans are looked up once."""
+    keys = ["code", *dict.fromkeys((start, end))]
+    asked = spans.select(*keys).distinct()
+    out = last_values(asked.withColumn("date", F.col(start)), prices, ["code"], "date", "close", "from_close", False)
+    out = last_values(out.withColumn("date", F.col(end)), prices, ["code"], "date", "close", "to_close", True)
     first = by_day.select(F.col("b_date").alias("__s"), F.col("b_before").alias("__b0"))
     last = by_day.select(F.col("b_date").alias("__e"), F.col("b_on").alias("__b1"))
     out = out.join(F.broadcast(first), F.col(start) == F.col("__s"), "left").join(F.broadcast(last), F.col(end) == F.col("__e"), "left")
     value = (F.try_divide(F.col("to_close"), F.col("from_close")) - 1) - (F.try_divide(F.col("__b1"), F.col("__b0")) - 1)
-    return out.withColumn("excess", value).drop("date", "__s", "__e", "__b0", "__b1")
+    return rejoin(spans, out.withColumn("excess", value), keys, ["excess"])
 
 
 def price_limit(price: Column) -> Column:
@@ -90,23 +106,23 @@ def price_limit(price: Column) -> Column:
 
 def moved(picks: DataFrame, prices: DataFrame, by_day: DataFrame, calendar: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """picks (scenario_id, code, first_date, expected_days) with max_excess (at least 0), moved_at, moved and
-    days_to_move over the horizon after the pick date."""
+    days_to_move over the horizon after the pick date; equal spans are followed once."""
     from ..calendar import add_business_days, with_seq
 
-    out = add_business_days(picks, "first_date", F.least("expected_days", F.lit(th.moved_max_days)), "end_date", calendar)
+    keys = ["code", "first_date", "expected_days"]
+    asked = picks.select(*keys).distinct()
+    out = add_business_days(asked, "first_date", F.least("expected_days", F.lit(th.moved_max_days)), "end_date", calendar)
     out = add_business_days(out, "first_date", F.lit(1), "start", calendar)
     out = as_of(out.withColumn("date", F.col("start")), prices, ["code"], into="base", inclusive=False).drop("date")
     base = by_day.select(F.col("b_date").alias("__s"), F.col("b_before").alias("__b0"))
     out = out.join(F.broadcast(base), F.col("start") == F.col("__s"), "left").drop("__s")
     days = prices.select("code", F.col("date").alias("day"), F.col("close").alias("day_close")).join(F.broadcast(by_day.select("b_date", "b_on")), F.col("day") == F.col("b_date"))
-    keys = ["scenario_id", "code", "first_date", "expected_days"]
-    # Picks meet prices month by month of the horizon, so that the range condition has an equality beside it.
+    # Spans meet prices month by month of the horizon, so that the range condition has an equality beside it.
     month = lambda c: F.trunc(c, "month")
     spread = out.withColumn("__m", F.explode(F.sequence(month("first_date"), month("end_date"), F.expr("interval 1 month"))))
     hit = spread.join(days.withColumn("__m", month("day")), ["code", "__m"]).where("day > first_date and day <= end_date")
     excess = (F.try_divide(F.col("day_close"), F.col("base")) - 1) - (F.try_divide(F.col("b_on"), F.col("__b0")) - 1)
-    hit = hit.withColumn("excess", excess)
-    seen = hit.groupBy(*keys).agg(
+    seen = hit.withColumn("excess", excess).groupBy(*keys).agg(
         F.greatest(F.max("excess"), F.lit(0.0)).alias("max_excess"),
         F.min(F.when(F.col("excess") >= th.move_start_excess, F.col("day"))).alias("moved_at"),
         F.bool_or(F.col("excess") >= th.moved_excess).alias("moved"),

@@ -27,19 +27,20 @@ def insert_new(existing: DataFrame, new: DataFrame, keys: list[str], order: Colu
     return first.select(*new.columns).join(existing.select(*keys), keys, "left_anti")
 
 
-def upsert_keep_first(existing: DataFrame, new: DataFrame, keys: list[str], updated: list[str], kept: list[str]) -> DataFrame:
-    """All rows after an upsert that takes new values of `updated` but keeps first values of `kept`."""
+def upsert_keep_first(existing: DataFrame, new: DataFrame, keys: list[str], updated: list[str], kept: list[str], order: list[str] | None = None) -> DataFrame:
+    """All rows after an upsert that takes new values of `updated` but keeps first values of `kept`. Of rows of one key
+    within a batch the last (first) by `order` is taken, whole; by itself the order is that of all other columns."""
     both = existing.withColumn("__s", F.lit(0)).unionByName(new.withColumn("__s", F.lit(1)))
-    last = [F.max_by(c, "__s").alias(c) for c in updated]
-    first = [F.min_by(c, "__s").alias(c) for c in kept]
-    return both.groupBy(*keys).agg(*last, *first)
+    place = F.struct("__s", *(order or [*updated, *kept]))
+    rows = both.groupBy(*keys).agg(F.max_by(F.struct(*updated), place).alias("__u"), F.min_by(F.struct(*kept), place).alias("__f"))
+    return rows.select(*keys, "__u.*", "__f.*")
 
 
-def replace_rows(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows after an upsert in which the new row wins whole."""
+def replace_rows(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """All rows after an upsert in which the new row wins whole; of several, the last by `order`, or by all columns."""
     others = [c for c in existing.columns if c not in keys]
     both = existing.withColumn("__s", F.lit(0)).unionByName(new.withColumn("__s", F.lit(1)))
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*others), "__s").alias("__v")).select(*keys, "__v.*")
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("__s", *(order or others))).alias("__v")).select(*keys, "__v.*")
 
 
 def partial_upsert(existing: DataFrame, new: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
