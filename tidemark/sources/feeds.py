@@ -11,8 +11,9 @@ RSS_SCHEMA = "title string, link string, description string, summary string, pub
 TIMELINE = "timeline array<struct<series: string, data: array<struct<date: string, value: string, norm: string>>>>"
 PAGEVIEWS = "items array<struct<project: string, article: string, granularity: string, timestamp: string, access: string, agent: string, views: long>>"
 FILINGS = "results array<struct<docID: string, secCode: string, filerName: string, docTypeCode: string, submitDateTime: string, docDescription: string>>"
-FILING_TYPES = {"350": "大量保有報告書", "360": "変更報告書", "030": "有価証券届出書", "140": "四半期報告書"}
-# Outlets whose reports count as tier 2.
+# Kept filing types with their labels, page-view projects, the listing's base address.
+FILING_TYPES = {"350": "大量保有報告書", "360": "変更報告書", "030": "有価証券報告書", "140": "臨時報告書"}
+LISTING_BASE = "https://www.release.tdnet.info/inbs/"
 PROJECTS = {"ja.wikipedia": "wiki_ja", "en.wikipedia": "wiki_en"}
 
 
@@ -43,6 +44,40 @@ def listing_rows(df: DataFrame, html: str, pattern: str) -> DataFrame:
     return out.select(*df.columns, F.col("__m.href").alias("href"), tx.strip_tags(F.col("__m.label")).alias("label"), "pos")
 
 
+def disclosures(df: DataFrame, html: str, list_date: str) -> DataFrame:
+    """df's other columns with one row for each listed disclosure: disclosure_id, code, company_name, title, url,
+    published_at. Cells are told by the first name of their class; rows without a name or code are dropped; a time is
+    Japanese on the list's day."""
+    kept = [c for c in df.columns if c != html]
+    rows = df.select(*kept, F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("__row"))
+    cell = F.lit(r'(?is)<td\b[^>]*\bclass="\s*([^"\s]*)[^"]*"[^>]*>(.*?)</td>')
+    rows = rows.withColumn("__cells", F.arrays_zip(F.regexp_extract_all("__row", cell, 1).alias("kind"), F.regexp_extract_all("__row", cell, 2).alias("body")))
+    own = lambda kind, which: F.try_element_at(F.filter("__cells", lambda x: x["kind"] == kind)["body"], F.lit(which))
+    rows = rows.select(*kept, *[tx.strip_tags(own(f"kj{n}", -1)).alias(f"__{n}") for n in ("Time", "Code", "Name", "Title")], own("kjTitle", 1).alias("__html"))
+    anchor = r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a>'
+    href, label = F.trim(F.regexp_extract("__html", anchor, 1)), F.regexp_extract("__html", anchor, 2)
+    url = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(LISTING_BASE), F.ltrim(href, F.lit("/"))))
+    clock = r"^(\d{1,2}):(\d{2})$"
+    local = F.when(F.col("__Time").rlike(clock), F.make_timestamp(F.year(list_date), F.month(list_date), F.day(list_date), F.regexp_extract("__Time", clock, 1).cast("int"), F.regexp_extract("__Time", clock, 2).cast("int"), F.lit(0)))
+    rows = rows.where("__Code is not null and __Name <> ''")
+    return rows.select(
+        *kept, tx.sha256(url).alias("disclosure_id"), F.nullif("__Code", F.lit("")).alias("code"), F.col("__Name").alias("company_name"),
+        F.when(href != "", tx.strip_tags(label)).otherwise(F.coalesce("__Title", F.lit(""))).alias("title"), url.alias("url"), F.to_utc_timestamp(local, "Asia/Tokyo").alias("published_at"),
+    )
+
+
+def keyword_entries(df: DataFrame, title: str, outlet: str, keyword: str) -> DataFrame:
+    """df's other columns with source, title, summary, source_tier and text_hash of entries of a keyword feed: the outlet
+    is the entry's own, else what ends the headline, and it is taken off the headline."""
+    media = F.coalesce(F.nullif(F.trim(outlet), F.lit("")), tx.title_media(F.col(title)), F.lit(""))
+    rows = df.withColumn("__media", media).withColumn("__title", tx.title_without_media(F.col(title), F.col("__media")))
+    kept = [c for c in df.columns if c not in (title, outlet, keyword)]
+    return rows.select(
+        *kept, F.concat(F.lit("google_news:"), keyword).alias("source"), F.col("__title").alias("title"), F.col("__media").alias("summary"),
+        tx.outlet_tier(F.col("__media")).alias("source_tier"), tx.sha256(F.concat("__title", F.lit("\n"), "__media")).alias("text_hash"),
+    )
+
+
 def timeline(df: DataFrame, json: str) -> DataFrame:
     """(date, value) of every numeric point."""
     series = df.select(F.explode(F.from_json(json, TIMELINE)["timeline"]).alias("s"))
