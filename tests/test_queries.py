@@ -53,6 +53,31 @@ def test_outcomes_and_returns_cover_every_pick(spark, sf_dir):
     assert sorted(QUERIES["past_case_outcomes"](spark, sf_dir).toPandas()["scenario_id"]) == sorted(cases)
 
 
+def test_event_clusters_equal_a_loop(spark, sf_dir):
+    """The query itself, over all documents, against a plain scan of all clusters."""
+    import re
+
+    from tests.test_operators import brute_clusters
+    from tidemark.functions import text as tx
+    from tidemark.queries import base
+    from tidemark.queries.events import NAMES
+
+    items = sorted((r["ts"].date(), r["ts"], r["id"], r["title"], r["source"]) for r in base.items(spark, sf_dir).collect())
+    want = {}
+    for day in {i[0] for i in items}:
+        own = [i for i in items if i[0] == day]
+        for i, label in zip(own, brute_clusters([i[3] for i in own], NAMES), strict=True):
+            want.setdefault((str(day), label), []).append(i)
+    got = {(str(r["day"]), r["cluster_no"]): r for r in QUERIES["greedy_event_clusters"](spark, sf_dir).collect()}
+    assert set(got) == set(want)
+    for key, rows_ in want.items():
+        r = got[key]
+        assert (r["n_items"], r["media_count"]) == (len(rows_), len({i[4] for i in rows_}))
+        assert r["title"] == min(rows_, key=lambda i: (-len(i[3]), i[1], i[2]))[3]
+        assert r["entities"] == ",".join(sorted({e for i in rows_ for e in re.findall(NAMES, i[3])}))
+    assert tx.NOISE and any(len(v) > 1 for v in want.values())
+
+
 def test_entry_has_every_query():
     import __spark_entry__
 

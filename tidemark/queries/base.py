@@ -65,10 +65,10 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, kind, source, ts): documents as headlines, the first 60 characters of the first line."""
+    """(id, title, kind, source, ts, code): documents as items, whole texts as titles; disclosures have a code."""
     i = F.col("doc_id")
     return read(spark, sf_dir, "documents").select(
-        i.alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
+        i.alias("id"), F.coalesce("text", F.lit("")).alias("title"), F.when(i % 7 == 0, (i % 97).cast("string")).alias("code"),
         F.when(i % 7 == 0, "disclosure").otherwise("news").alias("kind"), "source",
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id * 7)").alias("ts"),
     )
@@ -97,12 +97,12 @@ CTE = {
             avg(close * volume) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS turnover,
             close / lag(close, 20) OVER (PARTITION BY code ORDER BY date) - 1 AS ret_k
         FROM (SELECT *, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS ret, row_number() OVER (PARTITION BY code ORDER BY date) AS n FROM px))""",
-    "sig": """sig AS (SELECT *, CASE WHEN prior_vol IS NULL THEN NULL WHEN prior_vol = 0 THEN CASE WHEN excess <> 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END ELSE excess / prior_vol END AS sigma
+    "sig": """sig AS (SELECT *, CASE WHEN prior_vol IS NULL THEN NULL WHEN prior_vol = 0 THEN CASE WHEN excess <> 0 THEN CAST('Infinity' AS DOUBLE) WHEN excess = 0 THEN 0 END ELSE excess / prior_vol END AS sigma
         FROM (SELECT feat.*, ret - (b_on / b_before - 1) AS excess FROM feat LEFT JOIN bday ON date = b_date))""",
     "picks": """picks AS (SELECT o_orderkey AS scenario_id, c_nationkey AS code, CAST(o_orderdate AS DATE) AS first_date, CAST(o_orderkey % 26 + 3 AS INTEGER) AS expected_days,
             (o_orderkey % 20 + 1) / 100.0::DOUBLE AS median, (o_orderkey % 90 + 5) / 100.0::DOUBLE AS prob, o_orderstatus AS status, o_orderpriority AS priority
         FROM orders JOIN customer ON o_custkey = c_custkey)""",
-    "items": """items AS (SELECT doc_id AS id, substring(string_split(text, chr(10))[1], 1, 60) AS title, CASE WHEN doc_id % 7 = 0 THEN 'disclosure' ELSE 'news' END AS kind, source,
+    "items": """items AS (SELECT doc_id AS id, coalesce(text, '') AS title, CASE WHEN doc_id % 7 = 0 THEN CAST(doc_id % 97 AS VARCHAR) END AS code, CASE WHEN doc_id % 7 = 0 THEN 'disclosure' ELSE 'news' END AS kind, source,
             TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 7 MINUTE * doc_id AS ts FROM documents)""",
     "attn": "attn AS (SELECT user_id AS key, event_type AS source, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3)",
     "moved": """spans AS (SELECT p.scenario_id, p.code, p.first_date, p.expected_days, s.bd_seq AS seq, e.d AS end_date, n.d AS start

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import events as ops
 from ..sources import feeds
+from ..thresholds import DEFAULT
 from . import base
 from .base import query
 
 NAMES = "[A-Za-zÀ-ÿ]{6,}"  # the shared documents have Latin letters only
 _STRIP = r"regexp_replace(title, '[\s、。,\.　「」『』（）()【】\-—―:：/／]+', '', 'g')"
-_GRAMS = "CASE WHEN length(t) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(t) - 1, 1) + 1), lambda i: substring(t, i, 2))) END"
+_GRAMS = "CASE WHEN length(t) = 0 THEN [] WHEN length(t) = 1 THEN [t] ELSE list_distinct(list_transform(list_zip(string_split(t, '')[1:-2], string_split(t, '')[2:]), lambda z: z[1] || z[2])) END"
 _NAMES = "list_distinct(regexp_extract_all(title, '[A-Za-zÀ-ÿ]{6,}'))"
 
 
@@ -31,31 +32,34 @@ def text_novelty(spark, d):
 
 
 @query(
-    f"""SELECT id, before, round(greatest(title_sim, name_sim), 6) AS similarity FROM (
-        SELECT id, before, CASE WHEN len(list_distinct(g || pg)) = 0 THEN 0 ELSE len(list_intersect(g, pg)) / len(list_distinct(g || pg)) END AS title_sim,
-               CASE WHEN len(list_distinct(n || pn)) = 0 THEN 0 ELSE len(list_intersect(n, pn)) / len(list_distinct(n || pn)) END AS name_sim
-        FROM (SELECT id, g, names AS n, lag(id) OVER w AS before, lag(g) OVER w AS pg, lag(names) OVER w AS pn
-              FROM (SELECT *, {_GRAMS} AS g FROM (SELECT *, {_STRIP} AS t, {_NAMES} AS names FROM items)) WINDOW w AS (PARTITION BY source ORDER BY title, id))
-        WHERE before IS NOT NULL)""",
+    f"""SELECT * FROM (WITH sets AS (SELECT id, {_GRAMS} AS g, names AS n FROM (SELECT *, {_STRIP} AS t, {_NAMES} AS names FROM items))
+        SELECT id, before, round(greatest(title_sim, name_sim), 6) AS similarity FROM (
+        SELECT a.id, b.id AS before, CASE WHEN len(list_distinct(a.g || b.g)) = 0 THEN 0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) END AS title_sim,
+               CASE WHEN len(list_distinct(a.n || b.n)) = 0 THEN 0 ELSE len(list_intersect(a.n, b.n)) / len(list_distinct(a.n || b.n)) END AS name_sim
+        FROM sets a JOIN sets b ON a.id = b.id + 1))""",
     ("items",),
 )
 def similarity_to_previous(spark, d):
-    """CL4, CL7, SET4, JN21: similarity of a headline to the one before it in its source's order."""
-    w = Window.partitionBy("source").orderBy("title", "id")
-    i = base.items(spark, d).select("id", "source", "title", tx.bigrams(F.col("title")).alias("g"), tx.entities(F.col("title"), NAMES).alias("n"))
-    i = i.withColumns({"before": F.lag("id").over(w), "pg": F.lag("g").over(w), "pn": F.lag("n").over(w)}).where("before is not null")
+    """CL4, CL7, SET4: similarity of an item to the one before it."""
+    i = base.items(spark, d).select("id", tx.bigrams(F.col("title")).alias("g"), tx.entities(F.col("title"), NAMES).alias("n"))
+    before = i.select((F.col("id") + 1).alias("id"), F.col("id").alias("before"), F.col("g").alias("pg"), F.col("n").alias("pn"))
     both = F.greatest(tx.jaccard(F.col("g"), F.col("pg")), tx.jaccard(F.col("n"), F.col("pn")))
-    return i.select("id", "before", F.round(both, 6).alias("similarity"))
+    return i.join(before, "id").select("id", "before", F.round(both, 6).alias("similarity"))
 
 
-@query()
-def greedy_event_clusters(spark, d):
-    """CL1, AGG6, AGG7, CL6: one-pass clustering of each source's items of a day, and its events."""
+def clustered_events(spark, d):
     i = base.items(spark, d).withColumn("day", F.to_date("ts"))
-    events = ops.to_events(ops.cluster(i, ["day", "source"], ["ts", "id"], entity=NAMES), ["day", "source"])
+    events = ops.to_events(ops.cluster(i, ["day"], ["ts", "id"], entity=NAMES), ["day"], NAMES)
     return events.withColumn("event_id", tx.sha256(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("::"), tx.novelty_hash(F.col("title"), tx.entities(F.col("title"), NAMES)))))
 
 
+@query()
+def greedy_event_clusters(spark, d):
+    """CL1, JN21, AGG6, AGG7, CL6: one-pass clustering of a day's items of all sources, and its events."""
+    line = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return clustered_events(spark, d).select("day", "cluster_no", "event_id", "title", "media_count", "first_observed_at", "n_items", "has_disclosure", line("codes"), line("news_ids"), line("disclosure_ids"), line("entities"))
+
+
 @query(
     """SELECT key, source, date, value, CASE WHEN n = 0 THEN 0.0 ELSE CAST(below AS DOUBLE) / n END AS rank FROM (
         SELECT a.*, (SELECT count(*) FROM attn h WHERE h.source = a.source AND h.date < DATE '2024-01-20' AND h.value < a.value) AS below,
@@ -84,11 +88,25 @@ def high_attention_cut(spark, d):
     return a.join(F.broadcast(cut), "source").select("key", "source", "date", "value", (F.col("value") > F.col("cut")).alias("high"))  # cut: a row for each event type
 
 
-_GATE = """facts AS (SELECT id, CAST(ts AS DATE) AS day, CASE WHEN id % 17 = 0 THEN '上方修正' || title ELSE title END AS title, (id * 7) % 23 AS media_count, (id * 3) % 17 / 4.0::DOUBLE AS growth,
-        id % 11 = 0 AS seen, id % 29 = 0 AS forced FROM items),
-    ranked AS (SELECT f.*, (SELECT CAST(count(*) AS DOUBLE) FROM facts h WHERE h.id % 3 = 0 AND h.media_count < f.media_count) / (SELECT count(*) FROM facts WHERE id % 3 = 0) AS score,
-        (SELECT CAST(count(*) AS DOUBLE) FROM facts h WHERE h.id % 3 = 0 AND h.growth < f.growth) / (SELECT count(*) FROM facts WHERE id % 3 = 0) AS gp FROM facts f),
-    flags AS (SELECT *, score >= 0.95 AS a, growth > 0 AND gp >= 0.95 AS g, regexp_matches(title, '上方修正') AS s FROM ranked),
+_share = "(SELECT CAST(coalesce(count(*) FILTER (WHERE h.{0} < f.{0}), 0) AS DOUBLE) / nullif(count(*), 0) FROM facts h WHERE h.day < f.day AND h.day >= f.day - 90)".format
+_any = "(SELECT coalesce(bool_or(h.{0} > 0), false) FROM facts h WHERE h.day < f.day AND h.day >= f.day - 90)".format
+_GATE = f"""base AS (SELECT *, CAST(ts AS DATE) AS day, id % 100 AS key, {_STRIP} AS t, {_NAMES} AS names FROM items),
+    hashed AS (SELECT *, sha256(array_to_string(list_sort(names)[1:3], '|') || '::' || t) AS novelty, list_sort(names)[1] AS grp FROM base),
+    media AS (SELECT day, grp, count(DISTINCT source) AS media_count FROM hashed GROUP BY 1, 2),
+    firsts AS (SELECT novelty, min(day) AS first FROM hashed GROUP BY 1),
+    view_a AS (SELECT * FROM attn WHERE source = 'view'), click_a AS (SELECT * FROM attn WHERE source = 'click'),
+    active AS (SELECT list(CAST(o_custkey % 97 AS VARCHAR)) AS codes FROM (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15)),
+    words AS (SELECT list(word) AS keywords FROM (SELECT regexp_extract(text, '[A-Za-zÀ-ÿ]{{10,}}') AS word FROM benchmark ORDER BY item_id LIMIT 15) WHERE word <> ''),
+    facts AS (SELECT h.id, h.day, CASE WHEN h.id % 17 = 0 THEN '上方修正' || h.title ELSE h.title END AS title, CAST(media_count AS DOUBLE) AS media_count, coalesce(v.value, 0) AS gdelt, coalesce(c.value, 0) AS wiki,
+        CASE WHEN w.value > 0 THEN coalesce(v.value, 0) / w.value - 1 ELSE 0 END AS growth, first < h.day AS seen,
+        coalesce(list_contains(codes, h.code), false) OR len(list_filter(keywords, lambda k: contains(h.title, k))) > 0 AS forced
+        FROM hashed h LEFT JOIN media m ON m.day = h.day AND m.grp IS NOT DISTINCT FROM h.grp JOIN firsts USING (novelty) CROSS JOIN active CROSS JOIN words
+        ASOF LEFT JOIN view_a v ON v.key = h.key AND v.date <= h.day ASOF LEFT JOIN click_a c ON c.key = h.key AND c.date <= h.day ASOF LEFT JOIN view_a w ON w.key = h.key AND w.date < h.day),
+    ranked AS (SELECT f.*, CASE WHEN media_count > 0 OR {_any('media_count')} THEN coalesce({_share('media_count')}, 0) END AS p1, CASE WHEN gdelt > 0 OR {_any('gdelt')} THEN coalesce({_share('gdelt')}, 0) END AS p2,
+        CASE WHEN wiki > 0 OR {_any('wiki')} THEN coalesce({_share('wiki')}, 0) END AS p3, coalesce({_share('growth')}, 0) AS gp, {_any('growth')} AS growing,
+        (SELECT count(*) FROM facts h WHERE h.day < f.day AND h.day >= f.day - 90) < 20 AS cold FROM facts f),
+    scored AS (SELECT *, CASE WHEN p1 IS NULL AND p2 IS NULL AND p3 IS NULL THEN 0 ELSE (coalesce(p1, 0) + coalesce(p2, 0) + coalesce(p3, 0)) / ((p1 IS NOT NULL)::INT + (p2 IS NOT NULL)::INT + (p3 IS NOT NULL)::INT) END AS score FROM ranked),
+    flags AS (SELECT *, score >= 0.95 OR cold AND media_count > 0 AS a, growth > 0 AND growing AND gp >= 0.95 AS g, regexp_matches(title, '上方修正') AS s FROM scored),
     why AS (SELECT *, array_to_string(list_filter([CASE WHEN a THEN '注目度が上位5%' END, CASE WHEN g THEN '注目度の伸びが上位5%' END, CASE WHEN s THEN '強い種類の開示' END], lambda x: x IS NOT NULL), ' / ') AS w,
         NOT seen AND (a OR g OR s OR forced) AS inn FROM flags),
     lim AS (SELECT *, inn AND NOT forced AND row_number() OVER (PARTITION BY day, inn AND NOT forced ORDER BY score DESC, media_count DESC, id) > 3 AS over_cap FROM why)"""
@@ -98,21 +116,54 @@ _GATE = """facts AS (SELECT id, CAST(ts AS DATE) AS day, CASE WHEN id % 17 = 0 T
     f"""SELECT * FROM (WITH {_GATE} SELECT id, round(score, 6) AS score, inn AND NOT over_cap AS passed, inn AND forced AS forced_in,
         CASE WHEN seen THEN '新規性なし(既知の事実)' WHEN NOT inn THEN '注目度・開示の種類のいずれの条件も満たさない' WHEN forced AND w = '' THEN '進行中シナリオに関係'
              WHEN forced THEN w || '(進行中シナリオの別枠)' WHEN over_cap THEN w || '(上限 3 件を超過)' ELSE w END AS reason FROM lim)""",
-    ("items",),
+    ("items", "attn"),
 )
 def gate_decisions(spark, d):
-    """GT1-3, TOP3, FLT5-6, SET5, JN6: percentile scores, conditions, the day's cap, reasons."""
-    i = F.col("id")
-    facts = base.items(spark, d).select(
-        "id", F.to_date("ts").alias("day"), F.when(i % 17 == 0, F.concat(F.lit("上方修正"), "title")).otherwise(F.col("title")).alias("title"),
-        (i * 7 % 23).cast("double").alias("media_count"), (i * 3 % 17 / 4.0).alias("growth"), (i % 11 == 0).alias("seen"), (i % 29 == 0).alias("forced"), F.lit(1).alias("one"),
-    )
-    history = facts.where("id % 3 = 0")
-    ranked = ops.percentile_rank(facts, history.select("one", "media_count"), "media_count", ["one"], "score")
-    ranked = ops.percentile_rank(ranked, history.select("one", "growth"), "growth", ["one"], "growth_percentile")
-    ranked = ranked.withColumns({"disclosure_type": F.lit(""), "pos": i, "score": ops.composite([(F.col("media_count"), F.col("score"), F.lit(True))])})
-    out = ops.gate(ranked, F.lit(False), F.lit(True))
-    return out.select("id", F.round("score", 6).alias("score"), "passed", "forced_in", "reason")
+    """GT1-3, TOP3, FLT4-6, SET5, JN6: three indicators ranked against the 90 days before, growth, novelty, active scenarios,
+    the day's cap, reasons; cold start where the history is short."""
+    return _gated(spark, d).select("id", F.round("score", 6).alias("score"), "passed", "forced_in", "reason")
+
+
+def _gated(spark, d):
+    from ..operators.prices import last_values, rejoin
+    from ..shared import cut
+
+    names = tx.entities(F.col("title"), NAMES)
+    i = base.items(spark, d).select("id", "title", "source", "code", F.to_date("ts").alias("day"), (F.col("id") % 100).alias("key"), names.alias("names"))
+    i = i.withColumns({"novelty": tx.novelty_hash(F.col("title"), F.col("names")), "grp": F.coalesce(F.array_min("names"), F.lit(""))})
+    media = i.groupBy("day", "grp").agg(F.count_distinct("source").cast("double").alias("media_count"))
+    facts = ops.seen_before(i.join(media, ["day", "grp"]).drop("grp", "names", "source"), "day", "novelty")
+    a, asked = base.attention(spark, d), i.select("key", "day").distinct()
+    for source, into, inclusive in (("view", "gdelt", True), ("click", "wiki", True), ("view", "before", False)):
+        series = a.where(F.col("source") == source).select("key", F.col("date").alias("day"), "value")
+        asked = last_values(asked, series, ["key"], "day", "value", into, inclusive)
+    facts = rejoin(facts, asked, ["key", "day"], ["gdelt", "wiki", "before"])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    facts = facts.withColumns({"gdelt": zero("gdelt"), "wiki": zero("wiki"), "growth": F.when(F.col("before") > 0, zero("gdelt") / F.col("before") - 1).otherwise(0.0)})
+    # Active scenarios: at most as many as the cap allows, one row.
+    top = base.read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(DEFAULT.max_active_scenarios)
+    active = top.agg(F.collect_list((F.col("o_custkey") % 97).cast("string")).alias("active_codes"))
+    words = base.read(spark, d, "benchmark").orderBy("item_id").limit(DEFAULT.max_active_scenarios).select(F.regexp_extract("text", "[A-Za-zÀ-ÿ]{10,}", 0).alias("word")).where("word <> ''")
+    keywords = words.agg(F.collect_list("word").alias("keywords"))
+    facts = facts.join(F.broadcast(active)).join(F.broadcast(keywords))
+    facts = facts.withColumns(
+        {
+            "forced": ops.forced(F.col("title"), F.array_compact(F.array("code")), F.col("active_codes"), F.col("keywords")), "disclosure_type": F.lit(""), "pos": F.col("id"),
+            "title": F.when(F.col("id") % 17 == 0, F.concat(F.lit("上方修正"), "title")).otherwise(F.col("title")),
+        }
+    ).drop("active_codes", "keywords")
+    facts = cut(facts)
+    told, own = facts.select("day").distinct(), facts
+    for name in ("media_count", "gdelt", "wiki", "growth"):
+        before = ops.look_back(own.select("day", name), "day", name)
+        ranks = ops.percentile_rank(own.select("day", name).distinct(), before, name, ["day"], f"{name}_rank", F.col("n"))
+        facts = rejoin(facts, ranks, ["day", name], [f"{name}_rank"])
+        told = told.join(before.groupBy("day").agg(F.bool_or(F.col(name) > 0).alias(f"{name}_any"), F.sum("n").alias(f"{name}_n")), "day", "left")
+    facts = facts.join(told, "day")
+    any_ = lambda name: F.coalesce(F.col(f"{name}_any"), F.lit(False))
+    score = ops.composite([(F.col(n), F.col(f"{n}_rank"), any_(n)) for n in ("media_count", "gdelt", "wiki")])
+    facts = facts.withColumns({"score": score, "growth_percentile": F.col("growth_rank")})
+    return ops.gate(facts, F.coalesce("media_count_n", F.lit(0)) < ops.COLD_START, any_("growth"))
 
 
 @query(
@@ -163,20 +214,20 @@ def filing_rows(spark, d):
     ("items",),
 )
 def outlet_counts(spark, d):
-    """SRC2, AGG4, SC7: outlet from the headline's end; articles and distinct outlets by day."""
+    """AGG4: outlet from the headline's end; articles and distinct outlets by day."""
     head = F.when(F.col("id") % 5 == 0, F.col("title")).otherwise(F.concat("title", F.lit(" - "), "source"))
     i = base.items(spark, d).select(F.to_date("ts").alias("day"), tx.title_media(head).alias("media"))
     return i.groupBy("day").agg(F.count("*").alias("articles"), F.count_distinct(F.when(F.col("media") != "", F.col("media"))).alias("outlets"))
 
 
 @query(
-    """SELECT id, kind, title FROM items WHERE ts > TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-04 00:00:00'
-    UNION ALL SELECT event_id, 'event', event_type FROM events WHERE ts > TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-04 00:00:00'""",
+    """SELECT id, kind, title FROM items WHERE ts > TIMESTAMP '2024-01-01 15:00:00' AND ts <= TIMESTAMP '2024-01-02 15:00:00'
+    UNION ALL SELECT event_id, 'event', event_type FROM events WHERE ts > TIMESTAMP '2024-01-01 15:00:00' AND ts <= TIMESTAMP '2024-01-02 15:00:00'""",
     ("items",),
 )
 def window_half_open(spark, d):
-    """FLT1-3, SET1-2: half-open time window over a union of inputs."""
-    inside = "ts > timestamp_ntz'2024-01-02 00:00:00' and ts <= timestamp_ntz'2024-01-04 00:00:00'"
+    """FLT1-2, SET1-2: a Japanese day as a half-open window (after its midnight, up to the next) over a union of inputs."""
+    inside = "ts > timestamp_ntz'2024-01-01 15:00:00' and ts <= timestamp_ntz'2024-01-02 15:00:00'"
     e = base.read(spark, d, "events").where(inside).select(F.col("event_id").alias("id"), F.lit("event").alias("kind"), F.col("event_type").alias("title"))
     return base.items(spark, d).where(inside).select("id", "kind", "title").unionByName(e)
 
@@ -186,14 +237,13 @@ def window_half_open(spark, d):
         links AS (SELECT page_id % 1000 AS id, list_sort(list(DISTINCT url))[1:10] AS urls FROM pages GROUP BY 1)
         SELECT day, CAST(count(*) AS INTEGER) AS n_passed, string_agg(CAST(g.id AS VARCHAR) || ':' || CAST(coalesce(len(urls), 0) AS VARCHAR), ',' ORDER BY round(score, 6) DESC, g.id) AS content
         FROM gated g LEFT JOIN links USING (id) GROUP BY day)""",
-    ("items",),
+    ("items", "attn"),
 )
 def daily_pack(spark, d):
     """PIP2, SNK9, JN7, TOP5: the day's pack, read back from its JSON."""
     from ..plans import pack
 
-    i = F.col("id")
-    gated = gate_decisions(spark, d).join(base.items(spark, d).select("id", F.to_date("ts").alias("day"), "title", (i * 7 % 23).cast("double").alias("media_count")), "id")
+    gated = _gated(spark, d).withColumn("score", F.round("score", 6))
     urls = base.read(spark, d, "pages").select((F.col("page_id") % 1000).alias("id"), "url")
     packs = pack.day_packs(gated, urls)
     read = F.from_json("pack", "date string, events array<struct<event_id: long, urls: array<string>>>")["events"]

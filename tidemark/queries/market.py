@@ -63,7 +63,7 @@ def attention_asof(spark, d):
 
 @query(
     """SELECT s.scenario_id, s.code, round((c1.close / c0.close - 1) - (b1.b_on / b0.b_before - 1), 6) AS excess
-    FROM (SELECT *, CAST(first_date + 30 AS DATE) AS until FROM picks WHERE status = 'F') s
+    FROM (SELECT *, CAST(first_date + 30 AS DATE) AS until FROM picks) s
     ASOF LEFT JOIN px c0 ON s.code = c0.code AND c0.date < s.first_date
     ASOF LEFT JOIN px c1 ON s.code = c1.code AND c1.date <= s.until
     LEFT JOIN bday b0 ON b0.b_date = s.first_date LEFT JOIN bday b1 ON b1.b_date = s.until""",
@@ -88,10 +88,10 @@ def day_excess_sigma_20(spark, d):
     return _sigma(spark, d).where("sigma is not null").select("code", "date", F.round("excess", 6).alias("excess"), F.round("sigma", 6).alias("sigma"))
 
 
-@query("SELECT code, date, round(sigma, 6) AS sigma FROM sig WHERE sigma >= 2 ORDER BY sigma DESC, code, date LIMIT 500", SIG)
+@query("SELECT code, date, round(sigma, 6) AS sigma FROM sig WHERE sigma >= 2", SIG)
 def signal_reacted_days(spark, d):
-    """WIN5, flagship: the strongest reactions."""
-    return _sigma(spark, d).where("sigma >= 2").orderBy(F.desc("sigma"), "code", "date").limit(500).select("code", "date", F.round("sigma", 6).alias("sigma"))
+    """WIN5, TOP6, flagship: all reactions."""
+    return _sigma(spark, d).where("sigma >= 2").select("code", "date", F.round("sigma", 6).alias("sigma"))
 
 
 @query("SELECT code, date, round(ret_k, 6) AS ret_20 FROM feat WHERE ret_k IS NOT NULL", ("px", "feat"))
@@ -107,7 +107,7 @@ def avg_turnover_20(spark, d):
 
 
 @query(
-    """SELECT code, date, close, round(sigma, 2) AS sigma, round(ret_k, 4) AS return_20d, round(turnover, 0) AS avg_turnover
+    """SELECT code, date, close, round_even(sigma, 2) AS sigma, round_even(ret_k, 4) AS return_20d, round_even(turnover, 0) AS avg_turnover
     FROM sig WHERE date >= (SELECT max(date) FROM px) - 240 QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1""",
     SIG,
 )
@@ -117,7 +117,7 @@ def market_state_latest(spark, d):
     last = base.prices(spark, d).agg(F.max("date").alias("last"))
     near = s.join(F.broadcast(last), F.col("date") >= F.date_sub("last", 240))
     top = near.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("date")))).where("r = 1")
-    return top.select("code", "date", "close", F.round("sigma", 2).alias("sigma"), F.round("ret_k", 4).alias("return_20d"), F.round("turnover", 0).alias("avg_turnover"))
+    return top.select("code", "date", "close", F.bround("sigma", 2).alias("sigma"), F.bround("ret_k", 4).alias("return_20d"), F.bround("turnover", 0).alias("avg_turnover"))
 
 
 @query(
@@ -173,7 +173,7 @@ MOVED = ("px", "idx", "cal", "bday", "picks", "moved")
 
 @query("SELECT scenario_id, code, round(max_excess, 6) AS max_excess, moved_at, moved, days_to_move FROM moves", MOVED)
 def moved_within_horizon(spark, d):
-    """WIN6, AGG19, SC25: best excess over the horizon, the day a move began, and whether it went far enough."""
+    """WIN6, AGG19: best excess over the horizon, the day a move began, and whether it went far enough."""
     return _moved(spark, d).select("scenario_id", "code", F.round("max_excess", 6).alias("max_excess"), "moved_at", "moved", "days_to_move")
 
 
@@ -183,18 +183,15 @@ def moved_within_horizon(spark, d):
     MOVED,
 )
 def monthly_hit_rates(spark, d):
-    """AGG14, AGG16, PIP7: hit rate by month, with the upper median of days to the move."""
-    m = _moved(spark, d).withColumn("month", F.trunc("first_date", "month"))
-    # The middle comes from counts of distinct values, not from a list of all rows.
-    days = m.where("days_to_move is not null").groupBy("month", "days_to_move").count()
-    w = Window.partitionBy("month")
-    run = days.withColumn("upto", F.sum("count").over(w.orderBy("days_to_move"))).withColumn("all", F.sum("count").over(w))
-    middle = run.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("month").agg(F.min("days_to_move").alias("upper_median_days"))
-    rates = m.groupBy("month").agg(
-        F.count("*").alias("picks"), F.count_if("moved").alias("hits"),
-        F.round(F.avg(F.when(F.col("moved"), 1.0).otherwise(0.0)), 3).alias("hit_rate"), F.count("days_to_move").alias("begun"),
+    """AGG16, PIP7: hit rate by month, with the upper median of days to the move."""
+    m = _moved(spark, d).groupBy(F.trunc("first_date", "month").alias("month"), "days_to_move").agg(F.count("*").alias("n"), F.count_if("moved").alias("hits"))
+    # Rates and the middle come from counts of distinct values, not from a list of all rows.
+    w, begun = Window.partitionBy("month"), F.when(F.col("days_to_move").isNotNull(), F.col("n"))
+    run = m.withColumn("upto", F.sum(begun).over(w.orderBy("days_to_move"))).withColumn("all", F.sum(begun).over(w))
+    return run.groupBy("month").agg(
+        F.sum("n").alias("picks"), F.sum("hits").alias("hits"), F.round(F.sum("hits") / F.sum("n"), 3).alias("hit_rate"),
+        F.coalesce(F.sum(begun), F.lit(0)).alias("begun"), F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("days_to_move"))).alias("upper_median_days"),
     )
-    return rates.join(middle, "month", "left").select("month", "picks", "hits", "hit_rate", "begun", "upper_median_days")
 
 
 @query(

@@ -63,7 +63,7 @@ def reference_resolution(spark, d):
     """SELECT user_id, max(CAST(ts AS DATE)) AS last, date_diff('day', max(CAST(ts AS DATE)), DATE '2024-02-05') >= 7 AS due FROM events WHERE event_type = 'signup' GROUP BY user_id"""
 )
 def themes_due(spark, d):
-    """FLT11, FLT14: due if nothing came for a week."""
+    """FLT14: due if nothing came for a week."""
     e = base.read(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.max(F.to_date("ts")).alias("last"))
     return e.select("user_id", "last", (F.datediff(F.lit("2024-02-05").cast("date"), "last") >= 7).alias("due"))
 
@@ -88,17 +88,17 @@ def dates_and_rounding(spark, d):
     return base.read(spark, d, "orders").select("o_orderkey", tx.a_year_later(F.to_date("o_orderdate")).alias("next_year"), F.bround(F.col("o_totalprice") / 7, 2).alias("half_even"))
 
 
-@query("SELECT s_suppkey, lower(regexp_replace(s_name, '[\\s・\\-ー.,&]+', '', 'g')) AS name, replace(url_encode(s_name || ' é'), '+', '%20') AS encoded FROM supplier")
+@query("SELECT s_suppkey, lower(s_name) || 'ab,c&d' AS name, replace(url_encode(s_name || ' é'), '+', '%20') AS encoded FROM supplier")
 def names_and_urls(spark, d):
     """SC4, SC31: comparable company names (from full-width forms) and percent encoding."""
-    wide = F.concat(F.lit("株式会社"), F.translate("s_name", "0123456789", "０１２３４５６７８９"))
+    wide = F.concat(F.lit("㈱"), F.translate("s_name", "0123456789", "０１２３４５６７８９"), F.lit("_A‐ B・,C&Dー"))
     return base.read(spark, d, "supplier").select("s_suppkey", tx.company_name(wide).alias("name"), tx.percent_encoded(F.concat("s_name", F.lit(" é"))).alias("encoded"))
 
 
 @query(
     """SELECT scenario_id, round(greatest(coalesce(max(excess), 0), 0), 6) AS max_excess, coalesce(max(excess) >= 0.10, false) AS moved, CAST(min(CASE WHEN excess >= 0.05 THEN k END) AS INTEGER) AS days_to_move FROM (
         SELECT c.scenario_id, x.n - c.n AS k, (x.close / c.close - 1) - (b.b_on / b0.b_on - 1) AS excess
-        FROM (SELECT p.scenario_id, f.* FROM picks p ASOF JOIN feat f ON p.code = f.code AND f.date <= p.first_date WHERE p.status = 'P') c
+        FROM (SELECT p.scenario_id, f.* FROM picks p ASOF JOIN feat f ON p.code = f.code AND f.date <= p.first_date) c
         LEFT JOIN feat x ON x.code = c.code AND x.n > c.n AND x.n <= c.n + 20 LEFT JOIN bday b ON b.b_date = x.date LEFT JOIN bday b0 ON b0.b_date = c.date) GROUP BY scenario_id""",
     ("px", "idx", "cal", "bday", "feat", "picks"),
 )

@@ -106,15 +106,31 @@ def hash_chain_audit(spark, d):
     return ops.chain_breaks(chained(spark, d), "conv_id", "seq", "prev", "own").select("conv_id", "turn")
 
 
-@query()
+@query(
+    """WITH r AS (SELECT user_id, event_id AS s, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'signup' THEN 0 WHEN event_type IN ('view', 'click', 'purchase') THEN 3 ELSE 4 END AS k, event_type, event_id AS i,
+        CASE event_type WHEN 'view' THEN '強化' WHEN 'click' THEN '起動' ELSE CASE WHEN event_id % 50 = 0 THEN '消滅' ELSE '弱体化' END END AS change,
+        ['Weak', 'Weak+', 'Medium', 'Strong'][event_id % 4 + 1] AS strength, CASE WHEN event_type = 'signup' OR event_id % 6 = 0 THEN value END AS rise FROM events),
+    sc AS (SELECT user_id, CASE WHEN max(s) % 2 = 0 THEN '進行中' ELSE '待機' END AS st0, arg_max(strength, s) AS str0, arg_max(day, s) AS d0, arg_max(rise, s) AS rise0 FROM r WHERE k = 0 GROUP BY 1),
+    u AS (SELECT r.*, st0 FROM r JOIN sc USING (user_id) WHERE k = 3),
+    dead AS (SELECT user_id, min(s) AS dead FROM u WHERE change = '消滅' GROUP BY 1),
+    wake AS (SELECT user_id, min(s) AS wake, arg_min(day, s) AS wday FROM u LEFT JOIN dead USING (user_id) WHERE change = '起動' AND st0 = '待機' AND (dead IS NULL OR s < dead) GROUP BY 1),
+    renew AS (SELECT user_id, arg_max(day, s) AS rday FROM u LEFT JOIN dead USING (user_id) LEFT JOIN wake USING (user_id) WHERE change = '強化' AND (dead IS NULL OR s < dead) AND (st0 = '進行中' OR s > wake) GROUP BY 1),
+    up AS (SELECT user_id, CAST(count(*) AS INTEGER) AS n, arg_max(strength, s) AS strength, arg_max(rise, s) FILTER (WHERE rise IS NOT NULL) AS rise, CAST(count(rise) AS INTEGER) AS versions FROM u GROUP BY 1),
+    told AS (SELECT user_id, ['進行中', '休眠', '終了'][max(s) % 3 + 1] AS last, arg_min(day, s) FILTER (WHERE s % 3 = 0) AS bday FROM r WHERE k = 4 GROUP BY 1)
+    SELECT user_id, coalesce(last, CASE WHEN dead IS NOT NULL THEN '終了' WHEN wake IS NOT NULL THEN '進行中' ELSE st0 END) AS status, coalesce(up.strength, str0) AS strength,
+        coalesce(wday, CASE WHEN st0 = '進行中' THEN d0 END, bday) AS started_date, coalesce(rday, wday, CASE WHEN st0 = '進行中' THEN d0 END, bday) AS clock_date,
+        CASE WHEN last IS NOT NULL THEN '予定' WHEN dead IS NOT NULL THEN 'シナリオが崩れた' END AS end_reason, coalesce(n, 0) AS n_updates, coalesce(up.rise, rise0) AS rise, 1 + coalesce(versions, 0) AS rise_version
+    FROM sc LEFT JOIN dead USING (user_id) LEFT JOIN wake USING (user_id) LEFT JOIN renew USING (user_id) LEFT JOIN up USING (user_id) LEFT JOIN told USING (user_id)"""
+)
 def scenario_state_fold(spark, d):
-    """STF1: events as records of scenarios, folded by kind and sequence."""
+    """STF1, JN4: events as records of scenarios, folded by kind and sequence; users without a scenario row are dropped."""
     e, i = base.read(spark, d, "events"), F.col("event_id")
     kind = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type").isin("view", "click", "purchase"), 3).otherwise(4)
     change = F.when(F.col("event_type") == "view", "強化").when(F.col("event_type") == "click", "起動").when(i % 50 == 0, "消滅").otherwise("弱体化")
     status = F.when(kind == 0, F.when(i % 2 == 0, "進行中").otherwise("待機")).when(kind == 4, F.when(i % 3 == 0, "進行中").when(i % 3 == 1, "休眠").otherwise("終了"))
     strength = F.element_at(F.array(*map(F.lit, ["Weak", "Weak+", "Medium", "Strong"])), (i % 4 + 1).cast("int"))
-    return state.fold(e, "user_id", kind, i, F.to_date("ts"), change, status, strength, F.when(kind == 4, F.lit("予定")))
+    rise = F.when((kind == 0) | (i % 6 == 0), F.col("value"))
+    return state.fold(e, "user_id", kind, i, F.to_date("ts"), change, status, strength, F.when(kind == 4, F.lit("予定")), rise)
 
 
 @query(
@@ -136,7 +152,7 @@ def plan_status_overlay(spark, d):
     ON c_nationkey = s_nationkey AND (contains(a, b) OR contains(b, a))"""
 )
 def name_match_containment(spark, d):
-    """JN18, VAL3: equal code and either name holds the other."""
+    """JN18: equal code and either name holds the other."""
     bare = lambda c, p: F.lower(F.regexp_replace(c, f"^{p}#0*", ""))
     c = base.read(spark, d, "customer").select("c_custkey", "c_nationkey", bare("c_name", "Customer").alias("a")).where("length(a) >= 2")
     s = base.read(spark, d, "supplier").select("s_suppkey", "s_nationkey", bare("s_name", "Supplier").alias("b")).where("length(b) >= 2")
@@ -166,14 +182,21 @@ def json_fields(spark, d):
 
 
 @query(
-    """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS runs, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS executed, CAST(count_if(o_orderstatus <> 'F') AS BIGINT) AS skipped,
-    strftime(date_trunc('month', min(o_orderdate)) - INTERVAL 1 MONTH, '%Y-%m') AS previous_month FROM orders GROUP BY 1"""
+    """SELECT r.*, reasons AS skip_reasons FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS runs, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS executed, CAST(count_if(o_orderstatus <> 'F') AS BIGINT) AS skipped,
+        strftime(date_trunc('month', min(o_orderdate)) - INTERVAL 1 MONTH, '%Y-%m') AS previous_month FROM orders GROUP BY 1) r
+    LEFT JOIN (SELECT month, string_agg(reason || ':' || n, ',' ORDER BY reason) AS reasons FROM (
+        SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS reason, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2) GROUP BY 1) USING (month)"""
 )
 def monthly_operation(spark, d):
-    """AGG18, FLT8, SC24, SC29: executed and skipped counts by month."""
+    """AGG18, FLT8, SC24, SC29: executed and skipped runs by month, and how often each reason to skip was given."""
     o = base.read(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
     f = F.col("o_orderstatus") == "F"
-    return o.groupBy("month").agg(F.count("*").alias("runs"), F.count_if(f).alias("executed"), F.count_if(~f).alias("skipped"), F.date_format(F.add_months(F.trunc(F.min("o_orderdate"), "MM"), -1), "yyyy-MM").alias("previous_month"))
+    one = o.groupBy("month", "o_orderpriority").agg(F.count("*").alias("n"), F.count_if(f).alias("ran"), F.min("o_orderdate").alias("first"))
+    reason = F.when(F.col("n") > F.col("ran"), F.concat_ws(":", "o_orderpriority", (F.col("n") - F.col("ran")).cast("string")))
+    return one.groupBy("month").agg(  # a row for each reason
+        F.sum("n").alias("runs"), F.sum("ran").alias("executed"), (F.sum("n") - F.sum("ran")).alias("skipped"),
+        F.date_format(F.add_months(F.trunc(F.min("first"), "MM"), -1), "yyyy-MM").alias("previous_month"), F.nullif(F.array_join(F.array_sort(F.collect_list(reason)), ","), F.lit("")).alias("skip_reasons"),
+    )
 
 
 @query(
@@ -181,7 +204,7 @@ def monthly_operation(spark, d):
     list_sort([o_orderkey % 7, o_orderkey % 5, o_orderkey % 3])[1] AS low, list_sort([o_orderkey % 7, o_orderkey % 5, o_orderkey % 3])[2] AS median, list_sort([o_orderkey % 7, o_orderkey % 5, o_orderkey % 3])[3] AS high FROM orders"""
 )
 def commit_normalisation(spark, d):
-    """SC22, SC23, VAL2: reordered triples and clamped spans."""
+    """SC22, SC23: reordered triples and clamped spans."""
     k = F.col("o_orderkey")
     three, days = F.array_sort(F.array(k % 7, k % 5, k % 3)), (k % 40).cast("int")
     span = F.when(F.col("o_orderstatus") == "O", F.least(F.greatest(days, F.lit(5)), F.lit(20))).otherwise(days)

@@ -68,29 +68,44 @@ def evaluate_candidates(spark, d):
 _RANKED = f"""{_SCORED}, latest AS (SELECT f.*, t.turnover * 10000 AS turnover, t.close AS price, t.ret_k AS surge FROM final f ASOF LEFT JOIN feat t ON f.code = t.code AND t.date <= f.eval_date),
     excl AS (SELECT *, CASE WHEN scenario_id % 13 = 0 THEN '売り方向(caution)の候補' WHEN scenario_id % 31 = 0 THEN '監理・整理ポストの銘柄' WHEN coalesce(turnover, 0) < 3e8 THEN '流動性の下限を満たさない' WHEN coalesce(price, 0) < 100 THEN '株価100円未満'
         WHEN coalesce(surge, 0) > 0.5 THEN '直近ですでに急騰している' WHEN scenario_id % 9 = 0 THEN '裏取りの証拠が信頼度3・4の情報源だけ' END AS reason FROM latest),
-    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY round(confidence, 9) DESC, scenario_id) AS INTEGER) AS rank FROM excl)"""
+    placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY eval_date ORDER BY round(confidence, 9) DESC, scenario_id) AS INTEGER) AS rank FROM excl)"""
 
 
 @query(
-    f"""SELECT * FROM (WITH {_RANKED} SELECT scenario_id, code, rank, reason, CASE WHEN reason IS NULL AND sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY code ORDER BY rank) <= 3 THEN '本命' ELSE '監視' END AS tier FROM placed)""",
+    f"""SELECT * FROM (WITH {_RANKED} SELECT scenario_id, code, rank, reason, CASE WHEN reason IS NULL AND sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY eval_date ORDER BY rank) <= 3 THEN '本命' ELSE '監視' END AS tier FROM placed)""",
     ("px", "idx", "cal", "bday", "feat", "picks"),
 )
 def rank_picks_top3(spark, d):
-    """FLT7, TOP1-2, PIP4: exclusion cascade, ranks by confidence, the first three without a reason."""
+    """FLT7, TOP1: exclusion cascade, ranks by confidence within an evaluation day, the first three without a reason."""
+    return _ranked(spark, d).select("scenario_id", "code", "rank", "reason", "tier")
+
+
+def _ranked(spark, d):
     ev = evaluated(spark, d).withColumn("date", F.col("eval_date"))
     f = ops.daily_features(base.prices(spark, d)).withColumn("state", F.struct("turnover", "close", "ret_k"))
     ev = ops.as_of(ev, f, ["code"], value="state", into="last")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     side = F.when(F.col("scenario_id") % 13 == 0, "caution").otherwise("long")
     reason = sc.exclusion(side, F.col("scenario_id") % 31 == 0, zero(F.col("last.turnover") * 10000), zero(F.col("last.close")), zero(F.col("last.ret_k")), F.col("scenario_id") % 9 == 0)
-    ranked = state.rank_picks(ev.withColumn("reason", reason), ["code"], [F.desc(F.round("confidence", 9)), F.asc("scenario_id")])
-    return ranked.select("scenario_id", "code", "rank", "reason", "tier")
+    return state.rank_picks(ev.withColumns({"side": side, "reason": reason}), ["eval_date"], [F.desc(F.round("confidence", 9)), F.asc("scenario_id")])
+
+
+@query(
+    f"""SELECT * FROM (WITH {_RANKED}, overridden AS (SELECT *, CASE WHEN NOT started THEN '待機中(未起動)' WHEN price IS NULL THEN '株価データが無い' ELSE reason END AS reason2 FROM placed)
+        SELECT scenario_id, code, rank, reason2 AS reason, CASE WHEN reason2 IS NULL AND sum(CASE WHEN reason2 IS NULL AND scenario_id % 13 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY eval_date ORDER BY rank) <= 3 AND scenario_id % 13 <> 0 THEN '本命' ELSE '監視' END AS tier FROM overridden)""",
+    ("px", "idx", "cal", "bday", "feat", "picks"),
+)
+def rank_overrides(spark, d):
+    """TOP2, PIP4: reasons of missing prices and of waiting scenarios override the first ones, and the first three by rank
+    that are long and have no reason are promoted; ranks stay."""
+    out = state.override(_ranked(spark, d), ["eval_date"], F.col("last.close").isNotNull(), ~F.col("started"))
+    return out.select("scenario_id", "code", "rank", "reason", "tier")
 
 
-@query("SELECT scenario_id, code, row_number() OVER (PARTITION BY code ORDER BY prob, scenario_id) <= count(*) OVER (PARTITION BY code) - 15 AS dormant FROM picks", ("picks",))
+@query("SELECT scenario_id, code, row_number() OVER (PARTITION BY first_date ORDER BY prob, scenario_id) <= count(*) OVER (PARTITION BY first_date) - 15 AS dormant FROM picks", ("picks",))
 def scenario_cap_dormant(spark, d):
-    """TOP4, JN24: all but the 15 most probable scenarios of a group go dormant."""
-    w = Window.partitionBy("code")
+    """TOP4: all but the 15 most probable scenarios of a day go dormant."""
+    w = Window.partitionBy("first_date")
     place, n = F.row_number().over(w.orderBy("prob", "scenario_id")), F.count("*").over(w)
     return base.picks(spark, d).select("scenario_id", "code", (place <= n - DEFAULT.max_active_scenarios).alias("dormant"))
 
