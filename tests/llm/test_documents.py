@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -46,6 +47,24 @@ def test_quality_edge_rows(docs, no_docs, spark):
     assert quality.keep_good(no_docs, quality.train(no_docs, labels.limit(0))).count() == 0
 
 
+def test_query_scores_equal_a_plain_fit(spark, sf_dir):
+    """The query over all documents: features, pairs, fit and cut again without Spark."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    told = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    ids = sorted(set(told) & set(docs))
+    x, y = np.array([quality.features(docs[i]) for i in ids]), np.array([told[i] for i in ids])
+    model = quality.fit(x, y)
+    got = {r["doc_id"]: r for r in QUERIES["op2_quality_ranking"](spark, sf_dir).collect()}
+    assert set(got) == set(docs)
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in docs)
+    want = {i: quality.apply_model(model, quality.features(t)[None])[0] for i, t in docs.items()}
+    # Both cuts are the same quantile, one interpolated, one between two ranks of a grid.
+    assert np.mean([(want[i] >= quality.CUT) == (got[i]["predicted"] == 1) for i in docs]) > 0.95
+    order = sorted(docs, key=lambda i: want[i])
+    scores = [got[i]["score"] for i in order]
+    assert all(b >= a - 1e-9 for a, b in zip(scores, scores[1:], strict=False))
+
+
 # Lines
 
 
@@ -237,6 +256,55 @@ def test_matches_do_not_depend_on_chunks_or_slices(spark, monkeypatch):
     assert decontam.find(d, b.limit(0)).count() == 0 and decontam.find(d.limit(0), b).count() == 0
 
 
+def test_indexes_of_two_benchmarks_are_told_apart():
+    """Both have the same first and last item and the same number of items; one worker meets both."""
+    rng = random.Random(10)
+    first, last, a, b = (words(rng, 20) for _ in range(4))
+
+    class Sent:
+        def __init__(self, items):
+            self.value = items
+
+    one, two = [(1, first), (2, a), (3, last)], [(1, first), (2, b), (3, last)]
+    digest = lambda items: decontam.hashlib.sha256(repr(items).encode()).hexdigest()
+    doc = "some text before " + b + " and after"
+    assert decontam.places(decontam._of([(digest(one), Sent(one))]), doc) == []
+    assert [p[0] for p in decontam.places(decontam._of([(digest(two), Sent(two))]), doc)] == [2]
+
+
+def test_short_items_are_whole_words(spark):
+    d = spark.createDataFrame([(1, "It says Rule 42, twice: rule 42."), (2, "rule 421"), (3, "overrule 42"), (None, "RULE-42"), (4, "x"), (5, "no such thing")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "rule 42"), (8, "X!"), (9, " ?! "), (10, "")], "item_id long, text string")
+    got = sorted(map(tuple, decontam.find(d.withColumn("item_id", F.lit(1)), b).collect()), key=str)
+    assert got == sorted([(1, 7, 0, 8, 15), (None, 7, 0, 0, 7), (4, 8, 0, 0, 1)], key=str)
+    kept = decontam.drop_contaminated(d.withColumn("item_id", F.lit(1)), b)
+    assert kept.columns == ["doc_id", "text", "item_id"] and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5]
+
+
+def test_query_finds_what_a_full_search_finds(spark, sf_dir):
+    """The query over all documents, against a search of every item in every document without filters."""
+    docs = {r["doc_id"]: decontam.normal(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect(), key=lambda r: r["item_id"]):
+        items.setdefault(decontam.normal(r["text"]), r["item_id"])
+    rows = QUERIES["op7_decontamination"](spark, sf_dir).collect()
+    whole = {(i, item) for i, t in docs.items() for x, item in items.items() if x in t}
+    assert whole == {(r["doc_id"], r["item_id"]) for r in rows if r["n_edits"] == 0}
+    text = {item: x for x, item in items.items()}
+    for r in rows:
+        assert edit_distance(docs[r["doc_id"]][r["start_at"] : r["end_at"]], text[r["item_id"]]) == r["n_edits"] <= decontam.EDITS * len(text[r["item_id"]])
+    # Edited places: a scan with the plain recurrence over every diagonal of the documents that share a long word run.
+    found = {(r["doc_id"], r["item_id"]) for r in rows}
+    for i, t in docs.items():
+        c = decontam.codes(t)
+        for x, item in items.items():
+            w = x.split(" ")
+            runs = {" ".join(w[k : k + 4]) for k in range(0, len(w) - 3, 4)}
+            if (i, item) not in found and sum(run in t for run in runs) >= max(2, len(runs) // 2) and len(x) <= 2000:
+                edits, _ = decontam._distance(decontam.codes(x), c, -len(x), len(c))
+                assert edits > min(int(decontam.EDITS * len(x)), (len(x) - decontam.Q + 1 - 4) // decontam.Q)
+
+
 # Licences
 
 
@@ -261,3 +329,42 @@ def test_base_places_and_rare_token_matches(spark):
     by = {r["doc_id"]: r["labels"] for r in out}
     assert by[1] == "apache-2.0,reserved" and by[3] == "mit" and by[4] == "" and by[2] == "cc-by"
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_words_weigh_and_time_is_in_proportion(spark):
+    rng = random.Random(12)
+    mit = next(t for label, t, _ in license_scan.TEMPLATES if label == "mit")
+    half = mit.split()[: len(mit.split()) // 2]
+    rows = [(1, words(rng, 30) + " " + mit.upper() + "."), (2, " ".join(half)), (3, mit.replace("permission", "license", 1))] + [(10 + i, words(rng, 20)) for i in range(20)]
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == ("mit", 1.0) and out[2][0] == "mit" and 0.2 < out[2][1] < 0.8 and out[3] == ("", 0.0)
+    assert all(out[10 + i] == ("", 0.0) for i in range(20))
+
+    def took(n):
+        df = spark.createDataFrame([(1, "license by 1 general " * (n // 4))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert license_scan.scan(df).first()["n_words"] == n
+        return time.perf_counter() - began
+
+    took(400)
+    assert took(200_000) < 14 * took(20_000) + 3
+
+
+def test_names_of_the_join_do_not_clash(spark):
+    rows = [(1, "one two three four five six seven", "a", "b", "c"), (2, "one two three four five six seven", "d", "e", "f"), (None, "else " * 9, "g", "h", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_known string, own_doc_id string, own_th string")
+    kept = ngram_join.distinct_documents(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_bands_miss_no_pair_of_the_shared_documents(spark, sf_dir):
+    """Recall of the candidate search over all documents: every pair at the threshold shares a band."""
+    sets = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        s = ngram_join.shingles(r["text"])
+        if len(s):
+            sets[s.tobytes()] = s
+    sets = list(sets.values())
+    keys = [ngram_join.band_keys(ngram_join.signature(s)) for s in sets]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * (n := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    assert pairs and all((keys[a] == keys[b]).any() for a, b in pairs)

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import re
+import time
 
 from tidemark.llm import html_extract, warc
+from tidemark.llm.queries import QUERIES
 
 
 def pages(spark):
@@ -83,3 +86,40 @@ def test_extract_keeps_rows_and_columns(spark):
     out = html_extract.extract(pages(spark))
     assert out.columns == ["page_id", "url", "path", "text"] and out.count() == 7
     assert html_extract.extract(pages(spark).limit(0)).count() == 0
+
+
+def test_stray_quotes_do_not_leak_markup():
+    model = html_extract.default_model()
+    page = """<body><nav><a href="/">Home</a></nav><article><h1>Title here</h1><p title="5" tall">Hello there, this is the first paragraph of it.</p>
+      <p class='a' b'>And a second one, which is long enough too.</p><p data-x=a"b>Third of them, no less of a sentence.</p><p title="a > b">Fourth and last one of all.</p></article></body>"""
+    text = "Title here Hello there, this is the first paragraph of it. And a second one, which is long enough too. Third of them, no less of a sentence. Fourth and last one of all."
+    assert html_extract.main_texts([page], model) == [text]
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    model = html_extract.default_model()
+
+    def took(n):
+        page = "<article>" + "<div>" * n + "<p>Some words of a text." + "</div>" * n + "<p>More words, of a text.</p>" * n + "</article>"
+        began = time.perf_counter()
+        assert len(html_extract.main_texts([page], model)[0]) > 20 * n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(20_000) < 14 * took(2_000) + 2
+
+
+def test_query_gives_the_article_without_what_stands_around_it(spark, sf_dir):
+    """The query over all pages, against a plain cut of the shared pages' own article element."""
+    from html import unescape
+
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in QUERIES["op8_html_extract"](spark, sf_dir).collect()}
+    assert set(got) == set(html)
+    alike = 0
+    for i, h in html.items():
+        inner = re.search(r"(?s)<(article|main)\b[^>]*>(.*)</\1>", h)
+        want = " ".join(unescape(re.sub(r"<[^>]+>", " ", inner[2])).split()) if inner else None
+        alike += want is not None and re.sub(r"\s", "", got[i]["text"]) == re.sub(r"\s", "", want)
+        assert got[i]["n_chars"] == len(got[i]["text"])
+    assert alike >= 0.9 * sum("<article" in h or "<main" in h for h in html.values())

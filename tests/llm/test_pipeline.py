@@ -72,3 +72,21 @@ def test_benchmark_stage_drops_documents_with_an_item(spark, sf_dir, staged):
 
 def test_last_stage_encodes_what_is_left(staged):
     assert staged[5].count() == staged[4].count() and {"doc_id", "ids", "n_tokens"} <= set(staged[5].columns)
+
+
+@pytest.mark.parametrize("name", ["docs", "no_docs"])
+def test_every_stage_takes_odd_rows(name, request, spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, and columns with clashing names."""
+    docs = request.getfixturevalue(name)
+    docs = docs.withColumnsRenamed({"ids": "key"}).withColumn("n_chars", docs["doc_id"])
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, 1, 0), (None, 1, 0), (6, 0, None), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a benchmark item that no document here has in it"), (None, "x y"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    n = docs.count()
+    for stage, run in corpus_pipeline.STAGES:
+        out = run(spark, docs, str(tmp_path))
+        assert out.count() <= n
+        if stage == corpus_pipeline.STAGES[-1][0]:
+            assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() == n
+            assert all(len(r["ids"]) == r["n_tokens"] for r in out.collect())
+        else:
+            assert out.columns == docs.columns

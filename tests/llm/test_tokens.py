@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, token_output
+from tidemark.llm.queries import QUERIES
 
 RANKS = known.path("byte_bpe_multi_50k.tiktoken")
 FILE = known.path("byte_bpe_50k.json")
@@ -118,3 +120,19 @@ def test_blanks_in_other_white_space_separate_nothing():
     texts = ["a \u00a0 \u00a0 b", "a\u00a0 b", "a \n\n b", "x \t y z", "one two \u3000 three", "plain words only", " lead", "trail ", "nl\n", " ", "z \u200b y", "z \x1c y", "q\u180e r"]
     for text, raw in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_equals_the_library_over_all_documents(spark, sf_dir, reference):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    tok = Tokenizer.from_file(FILE)
+    rows = {r["doc_id"]: r for r in QUERIES["op6_byte_bpe"](spark, sf_dir).collect()}
+    files = {r["doc_id"]: r for r in QUERIES["op9_token_output"](spark, sf_dir).collect()}
+    assert set(rows) == set(files) == set(texts)
+    start = 0
+    for i in sorted(texts):
+        ids = reference.encode_ordinary(texts[i])
+        assert (rows[i]["n_tokens"], rows[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert rows[i]["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest()
+        other = [*tok.encode(texts[i], add_special_tokens=False).ids, 0]
+        assert (files[i]["start"], files[i]["n_tokens"], files[i]["ids_crc32"]) == (start, len(other), zlib.crc32(np.array(other, "<u4").tobytes()))
+        start += len(other)
