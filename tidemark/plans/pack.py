@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+JAPAN = timezone(timedelta(hours=9))
+
+
+def pack_window(day: date, now: datetime, previous: datetime | None = None) -> tuple[datetime, datetime]:
+    """(start, end] of the items of a day's pack: from the previous pack, or the day's Japanese midnight, to now, or the
+    day's end where that is earlier; a day yet to come is taken whole."""
+    first = datetime(day.year, day.month, day.day, tzinfo=JAPAN)
+    last = first + timedelta(days=1)
+    return previous or first, last if now < first else min(now, last)
+
+
 def day_packs(gated: DataFrame, urls: DataFrame, most_urls: int = 10) -> DataFrame:
     """(day, n_passed, pack, pack_hash): passed events by score with their first urls; the gate bounds how many
     pass, so a pack is small. The hash is the first 16 digits of the document's SHA-256."""

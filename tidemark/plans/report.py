@@ -33,3 +33,20 @@ def markdown(ranked: DataFrame, day: str, most: int = 50) -> str:
     lines = [f"# {day}", "", "| # | code | tier | confidence | stars |", "|-|-|-|-|-|"]
     lines += [f"| {r['rank']} | {r['code']} | {r['tier']} | {percent(r['confidence'])} | {'★' * r['stars']} |" for r in rows]
     return "\n".join(lines) + "\n"
+
+
+def morning(moves: DataFrame, signals: DataFrame, day: str, most: int = 50) -> str:
+    """The morning's notice: codes that moved overnight (code, z) and signals (code, company_name, signals)."""
+    lines = [f"# {day}", "", "## Moves overnight", ""]
+    lines += [f"- {r['code']}: {r['z']:.1f}" for r in moves.orderBy(F.desc("z"), "code").limit(most).collect()] or ["- none"]
+    lines += ["", "## Signals", ""]
+    lines += [f"- {r['code']} {r['company_name']}: {r['signals']}" for r in signals.orderBy("code").limit(most).collect()] or ["- none"]
+    return "\n".join(lines) + "\n"
+
+
+def month_markdown(metrics: DataFrame) -> str:
+    """The monthly table (a row for each month) of the review's rates."""
+    head = ["month", "picks", "pending", "hit_rate_by_stock", "hit_rate_by_scenario", "stage1_hit_rate", "lead_rate"]
+    rows = metrics.select(*head).orderBy("month").collect()
+    cell = lambda n, v: str(v) if n in ("month", "picks", "pending") else percent(v)
+    return "\n".join(["| " + " | ".join(head) + " |", "|" + "-|" * len(head), *("| " + " | ".join(cell(n, r[n]) for n in head) + " |" for r in rows)]) + "\n"

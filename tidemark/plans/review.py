@@ -42,3 +42,8 @@ def monthly_input(metrics: DataFrame, related: DataFrame) -> DataFrame:
     movers = related.groupBy("month").agg(F.count_if("moved").alias("related_movers"))
     out = metrics.join(movers, "month", "left").withColumn("related_movers", F.coalesce("related_movers", F.lit(0)))
     return out.select("month", F.to_json(F.struct(*out.columns)).alias("input"))
+
+
+def write_cases(outcomes: DataFrame, path: str) -> None:
+    """Computed outcomes of past cases as a table of their own, beside the curated files, which stay as they are."""
+    outcomes.write.mode("overwrite").parquet(path)

@@ -20,6 +20,32 @@ def read_prices(spark: SparkSession, folder: str, start: str, end: str) -> DataF
     return raw.select(code.alias("code"), "*").where(F.col("date").between(start, end))
 
 
+def price_reader(kind: str, folder: str):
+    """The price source that a configuration names, as a function of (spark, start, end)."""
+    known = {"csv_dir": lambda spark, start, end: read_prices(spark, folder, start, end)}
+    if kind not in known:
+        raise ValueError(f"no price source {kind!r}; there are {sorted(known)}")
+    return known[kind]
+
+
+def read_config(path: str, example: str) -> dict:
+    """A YAML configuration, or the example where there is none; paths in it are relative to its folder."""
+    import yaml
+
+    own = Path(path) if Path(path).exists() else Path(example)
+    config = yaml.safe_load(own.read_text(encoding="utf-8")) or {}
+    return config | {"paths": {k: str((own.parent / v).resolve()) for k, v in (config.get("paths") or {}).items()}}
+
+
+def read_inbox(spark: SparkSession, folder: str, pattern: str = "daily_*.json") -> DataFrame:
+    """The inbox's newest document by file name, one row: name, text (without a byte-order mark), source_hash, error (null
+    where the text is JSON)."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    newest = files.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("text")).agg(F.max_by(F.struct("name", "text"), "name").alias("d"))
+    rows = newest.where("d is not null").select("d.*")
+    return rows.withColumns({"source_hash": F.sha2("text", 256), "error": F.when(F.try_parse_json("text").isNull(), "not JSON")})
+
+
 def read_records(spark: SparkSession, path: str, payload: str) -> DataFrame:
     """One kind of append-only JSON lines, with its envelope; order by _seq."""
     return spark.read.schema(f"{ENVELOPE}, {payload}").json(path)
