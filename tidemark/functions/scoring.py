@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..thresholds import DEFAULT, Thresholds
 
-# Fixed values.
+# Names of temperatures and strengths, factors, the upper bound; the label texts of the rules below.
 TEMPERATURES = {"上昇中": 1.1, "横ばい": 1.0, "冷却中": 0.9}
 STRENGTHS = ["Weak", "Weak+", "Medium", "Strong"]
 IGNORED = "⚠ 無視されている疑い"
@@ -31,8 +30,11 @@ def confidence(prob: Column, median: Column, priced: Column, fresh: Column) -> C
     return prob * remaining_room(median, priced) * fresh
 
 
-def stars(value: Column, th: Thresholds = DEFAULT) -> Column:
-    low, mid, high = th.star_thresholds
+STARS_FROM = (0.05, 0.10, 0.20)
+
+
+def stars(value: Column) -> Column:
+    low, mid, high = STARS_FROM
     return F.when(value >= high, 4).when(value >= mid, 3).when(value >= low, 2).otherwise(1)
 
 
@@ -62,37 +64,46 @@ def diagnosis(attention_high: Column, tier1_reacted: Column, reacted: Column) ->
     )
 
 
-def exclusion(side: Column, monitored: Column, turnover: Column, price: Column, surge: Column, low_tier: Column, th: Thresholds = DEFAULT) -> Column:
+# Yen a day on average, yen a share, and the return of the last 20 rows.
+LEAST_TURNOVER, LEAST_PRICE, SURGE = 3e8, 100.0, 0.50
+
+
+def exclusion(side: Column, monitored: Column, turnover: Column, price: Column, surge: Column, low_tier: Column) -> Column:
     """The first reason that keeps a candidate from being picked; null for none."""
     return (
         F.when(side == "caution", "売り方向(caution)の候補")
         .when(monitored, "監理・整理ポストの銘柄")
-        .when(turnover < th.min_turnover_yen, "流動性の下限を満たさない")
-        .when(price < th.min_price_yen, "株価100円未満")
-        .when(surge > th.surged_return, "直近ですでに急騰している")
+        .when(turnover < LEAST_TURNOVER, "流動性の下限を満たさない")
+        .when(price < LEAST_PRICE, "株価100円未満")
+        .when(surge > SURGE, "直近ですでに急騰している")
         .when(low_tier, "裏取りの証拠が信頼度3・4の情報源だけ")
     )
 
 
-def end_reason(broken: Column, started: Column, waiting_days: Column, elapsed: Column, expected_days: Column, tier1_reacted: Column, reacted: Column, priced: Column, th: Thresholds = DEFAULT) -> Column:
+REACTION = 2.0  # sigmas from which a day counts as a reaction
+LONGEST_WAIT = 60  # business days, of a start or of signals after a pick
+PRICED_FULLY, PRICED_NEARLY, LAST_DAYS = 0.80, 0.70, 2
+
+
+def end_reason(broken: Column, started: Column, waiting_days: Column, elapsed: Column, expected_days: Column, tier1_reacted: Column, reacted: Column, priced: Column) -> Column:
     late = elapsed > expected_days
     return (
         F.when(broken, "シナリオが崩れた")
-        .when(~started & (waiting_days >= th.not_started_days), "起動しなかった")
+        .when(~started & (waiting_days >= LONGEST_WAIT), "起動しなかった")
         .when(~started, F.lit(None).cast("string"))
-        .when(priced >= th.priced_in_done, "織り込みが完了した")
+        .when(priced >= PRICED_FULLY, "織り込みが完了した")
         .when(late & ~tier1_reacted & ~reacted, "材料が弱かった")
         .when(late & tier1_reacted & ~reacted, "連想が市場に届かなかった")
     )
 
 
-def sell_signals(broken: Column, weakened: Column, priced: Column, remaining: Column, th: Thresholds = DEFAULT) -> Column:
+def sell_signals(broken: Column, weakened: Column, priced: Column, remaining: Column) -> Column:
     return F.array_compact(
         F.array(
             F.when(broken, "崩れる条件に当たるニュースが出た"),
             F.when(weakened, "シナリオが弱体化・終了した"),
-            F.when(priced >= th.priced_in_near, "織り込み度が70%以上(完了が近い)"),
-            F.when(remaining <= th.ending_soon_days, "想定期間の終わりが近い"),
+            F.when(priced >= PRICED_NEARLY, "織り込み度が70%以上(完了が近い)"),
+            F.when(remaining <= LAST_DAYS, "想定期間の終わりが近い"),
         )
     )
 

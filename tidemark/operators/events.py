@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..thresholds import DEFAULT, Thresholds
 
-COLD_START = 20
+COLD_START = 20  # rows of history below which ranks say little
+LOOK_BACK = 90  # days of history
+TOP_SHARE, EVENTS_A_DAY = 0.95, 3
 
 
 def cluster(items: DataFrame, group: list[str], order: list[str], threshold: float = 0.5, entity: str = tx.ENTITY) -> DataFrame:
@@ -93,7 +94,7 @@ def percentile_rank(values: DataFrame, history: DataFrame, value: str, by: list[
     return values.join(ranks, same, "left").drop(*[f"__{c}" for c in (*by, value)])
 
 
-def look_back(rows: DataFrame, day: str, value: str, days: int = 90) -> DataFrame:
+def look_back(rows: DataFrame, day: str, value: str, days: int = LOOK_BACK) -> DataFrame:
     """(day, value, n): for each day of rows the values of the `days` days before it, as counts of distinct values."""
     own = rows.groupBy(F.col(day).alias("__d"), value).agg(F.count("*").alias("__n"))
     later = own.select(value, "__n", F.explode(F.sequence(F.date_add("__d", 1), F.date_add("__d", days))).alias(day))
@@ -119,23 +120,23 @@ def composite(parts: list[tuple[Column, Column, Column]]) -> Column:
     return F.when(n > 0, total / n).otherwise(0.0)
 
 
-def gate(events: DataFrame, cold_start: Column, growth_measured: Column, th: Thresholds = DEFAULT) -> DataFrame:
+def gate(events: DataFrame, cold_start: Column, growth_measured: Column) -> DataFrame:
     """Verdicts for events with score, media_count, growth, growth_percentile, title, disclosure_type, seen,
-    forced, day and pos: passed, forced_in, reason. At most th.gate_max_events that aren't forced pass a day."""
-    attention = (F.col("score") >= th.gate_attention_pct) | (cold_start & (F.col("media_count") > 0))
-    growth = (F.col("growth") > 0) & growth_measured & (F.col("growth_percentile") >= th.gate_attention_pct)
+    forced, day and pos: passed, forced_in, reason. At most EVENTS_A_DAY that aren't forced pass a day."""
+    attention = (F.col("score") >= TOP_SHARE) | (cold_start & (F.col("media_count") > 0))
+    growth = (F.col("growth") > 0) & growth_measured & (F.col("growth_percentile") >= TOP_SHARE)
     strong = tx.is_strong(F.col("title")) | tx.is_strong(F.col("disclosure_type"))
     reasons = F.array_join(F.array_compact(F.array(F.when(attention, "注目度が上位5%"), F.when(growth, "注目度の伸びが上位5%"), F.when(strong, "強い種類の開示"))), " / ")
     meets = attention | growth | strong
     out = events.withColumns({"__why": reasons, "__in": ~F.col("seen") & (meets | F.col("forced"))})
     own = Window.partitionBy("day", F.col("__in") & ~F.col("forced")).orderBy(F.desc("score"), F.desc("media_count"), "pos")
-    out = out.withColumn("__over", F.col("__in") & ~F.col("forced") & (F.row_number().over(own) > th.gate_max_events))
+    out = out.withColumn("__over", F.col("__in") & ~F.col("forced") & (F.row_number().over(own) > EVENTS_A_DAY))
     reason = (
         F.when(F.col("seen"), "新規性なし(既知の事実)")
         .when(~F.col("__in"), "注目度・開示の種類のいずれの条件も満たさない")
         .when(F.col("forced") & (F.col("__why") == ""), "進行中シナリオに関係")
         .when(F.col("forced"), F.concat("__why", F.lit("(進行中シナリオの別枠)")))
-        .when(F.col("__over"), F.concat("__why", F.lit(f"(上限 {th.gate_max_events} 件を超過)")))
+        .when(F.col("__over"), F.concat("__why", F.lit(f"(上限 {EVENTS_A_DAY} 件を超過)")))
         .otherwise(F.col("__why"))
     )
     passed = F.col("__in") & ~F.col("__over")

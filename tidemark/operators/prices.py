@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..thresholds import DEFAULT, Thresholds
 
 # Lower bound of the price band and its daily limit width.
 LIMIT_BANDS = [
@@ -104,14 +103,18 @@ def price_limit(price: Column) -> Column:
     return out
 
 
-def moved(picks: DataFrame, prices: DataFrame, by_day: DataFrame, calendar: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+# A move: its excess, the excess at which it has begun, and the longest span it may take in business days.
+MOVE, MOVE_BEGINS, HORIZON = 0.10, 0.05, 20
+
+
+def moved(picks: DataFrame, prices: DataFrame, by_day: DataFrame, calendar: DataFrame) -> DataFrame:
     """picks (scenario_id, code, first_date, expected_days) with max_excess (at least 0), moved_at, moved and
     days_to_move over the horizon after the pick date; equal spans are followed once."""
     from ..calendar import add_business_days, with_seq
 
     keys = ["code", "first_date", "expected_days"]
     asked = picks.select(*keys).distinct()
-    out = add_business_days(asked, "first_date", F.least("expected_days", F.lit(th.moved_max_days)), "end_date", calendar)
+    out = add_business_days(asked, "first_date", F.least("expected_days", F.lit(HORIZON)), "end_date", calendar)
     out = add_business_days(out, "first_date", F.lit(1), "start", calendar)
     out = as_of(out.withColumn("date", F.col("start")), prices, ["code"], into="base", inclusive=False).drop("date")
     base = by_day.select(F.col("b_date").alias("__s"), F.col("b_before").alias("__b0"))
@@ -124,8 +127,8 @@ def moved(picks: DataFrame, prices: DataFrame, by_day: DataFrame, calendar: Data
     excess = (F.try_divide(F.col("day_close"), F.col("base")) - 1) - (F.try_divide(F.col("b_on"), F.col("__b0")) - 1)
     seen = hit.withColumn("excess", excess).groupBy(*keys).agg(
         F.greatest(F.max("excess"), F.lit(0.0)).alias("max_excess"),
-        F.min(F.when(F.col("excess") >= th.move_start_excess, F.col("day"))).alias("moved_at"),
-        F.bool_or(F.col("excess") >= th.moved_excess).alias("moved"),
+        F.min(F.when(F.col("excess") >= MOVE_BEGINS, F.col("day"))).alias("moved_at"),
+        F.bool_or(F.col("excess") >= MOVE).alias("moved"),
     )
     done = picks.join(seen, keys, "left").withColumn("max_excess", F.coalesce("max_excess", F.lit(0.0))).withColumn("moved", F.coalesce("moved", F.lit(False)))
     done = with_seq(with_seq(done, "first_date", "__a", calendar), "moved_at", "__b", calendar)

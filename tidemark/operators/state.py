@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_PICKS, ACTIVE = 3, 15  # picks of a day, scenarios at a time
 # Reasons of the second ranking pass, the order in which record kinds are applied.
 NOT_STARTED = "待機中(未起動)"
 NO_PRICES = "株価データが無い"
@@ -55,7 +56,7 @@ def plan_status(plan: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.where("__p is not null").select(*keys, F.when(F.col("__u") > F.col("__p"), F.col("__told")).otherwise(F.col("__own")).alias("status"))
 
 
-def override(ranked: DataFrame, by: list[str], has_prices: Column, waiting: Column, max_picks: int = 3) -> DataFrame:
+def override(ranked: DataFrame, by: list[str], has_prices: Column, waiting: Column, max_picks: int = MAX_PICKS) -> DataFrame:
     """ranked (rank, reason, side) after a second pass: no prices, then waiting, replace the reason, and the first max_picks
     by rank that are long and have none are promoted; ranks stay as they are."""
     from pyspark.sql import Window
@@ -67,7 +68,7 @@ def override(ranked: DataFrame, by: list[str], has_prices: Column, waiting: Colu
     return out.withColumn("tier", F.when(able & (run <= max_picks), "本命").otherwise("監視"))
 
 
-def rank_picks(candidates: DataFrame, by: list[str], order: list[Column], max_picks: int = 3) -> DataFrame:
+def rank_picks(candidates: DataFrame, by: list[str], order: list[Column], max_picks: int = MAX_PICKS) -> DataFrame:
     """candidates with rank (by order) and tier: the first max_picks without a reason, within each group."""
     from pyspark.sql import Window
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators import records
 from ..sources import masters
-from ..thresholds import DEFAULT, Thresholds
+
+
+SHORTEST, LONGEST = 5, 20  # business days that a one-off scenario is given
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ def numbers(scenarios: DataFrame, n_known: int) -> DataFrame:
     return out.withColumn("scenario_id", F.format_string("SC%04d", F.col("__own") + F.col("__before") + n_known)).drop("__own", "__before")
 
 
-def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int, th: Thresholds = DEFAULT) -> dict[str, DataFrame]:
+def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int) -> dict[str, DataFrame]:
     """The frames to append, by record kind.
 
     documents (doc); scenarios (doc, ref, time_type, expected_days, low, median, high, started); candidates (doc, ref, no,
@@ -61,7 +63,7 @@ def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, ev
         return out.where("scenario_id is not null").drop("__new", "__old", "scenario")
 
     three = F.array_sort(F.array("low", "median", "high"))
-    days = F.when(F.col("time_type") == "単発", F.least(F.greatest("expected_days", F.lit(th.min_expected_days)), F.lit(th.max_expected_days))).otherwise(F.col("expected_days"))
+    days = F.when(F.col("time_type") == "単発", F.least(F.greatest("expected_days", F.lit(SHORTEST)), F.lit(LONGEST))).otherwise(F.col("expected_days"))
     scenario = numbered.select(
         "doc", "ref", "scenario_id", "time_type", days.alias("expected_days"), three[0].alias("low"), three[1].alias("median"), three[2].alias("high"),
         F.when(F.col("started"), "進行中").otherwise("待機").alias("status"), F.lit(1).alias("version"),

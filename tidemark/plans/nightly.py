@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..calendar import add_business_days, with_seq
 from ..functions import scoring as sc
 from ..operators.prices import as_of, excess_return, moved
-from ..thresholds import DEFAULT, Thresholds
+from ..operators.state import ACTIVE
 
 
-def endings(evaluated: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def endings(evaluated: DataFrame) -> DataFrame:
     """(scenario_id, end_reason) of scenarios that end: reactions of any candidate (stage 2 or later), the
     largest priced-in degree."""
     one = evaluated.groupBy("scenario_id").agg(
@@ -20,26 +20,26 @@ def endings(evaluated: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
         F.first("expected_days").alias("expected_days"), F.bool_or("tier1_reacted").alias("tier1"), F.bool_or(F.col("reacted") & (F.col("stage") >= 2)).alias("reacted"), F.max("priced").alias("priced"),
     )
     cols = [F.col(c) for c in ("broken", "started", "waiting_days", "elapsed", "expected_days", "tier1", "reacted", "priced")]
-    return one.select("scenario_id", sc.end_reason(*cols, th).alias("end_reason")).where("end_reason is not null")
+    return one.select("scenario_id", sc.end_reason(*cols).alias("end_reason")).where("end_reason is not null")
 
 
-def dormant(active: DataFrame, confidence: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def dormant(active: DataFrame, confidence: DataFrame) -> DataFrame:
     """Active scenarios beyond the cap, the least confident first; a scenario without candidates counts as 0.
     Active scenarios are a bounded working set, so their one ranking is small."""
     best = confidence.groupBy("scenario_id").agg(F.max("confidence").alias("c"))
     w = Window.partitionBy(F.lit(1))
     told = active.join(best, "scenario_id", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
     told = told.withColumns({"r": F.row_number().over(w.orderBy("c", "scenario_id")), "n": F.count("*").over(w)})
-    return told.where(F.col("r") <= F.col("n") - th.max_active_scenarios).select("scenario_id")
+    return told.where(F.col("r") <= F.col("n") - ACTIVE).select("scenario_id")
 
 
-def new_signals(signals: DataFrame, emitted: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def new_signals(signals: DataFrame, emitted: DataFrame) -> DataFrame:
     """Signals (scenario_id, code, days_since_pick, signals) that differ from the last emitted ones, up to the
     limit of days after the pick."""
     last = emitted.groupBy("scenario_id", "code").agg(F.max_by("signals", "_seq").alias("__last"))
     out = signals.join(last, ["scenario_id", "code"], "left")
     changed = ~F.coalesce("__last", F.array().cast("array<string>")).eqNullSafe(F.col("signals"))
-    return out.where(changed & (F.col("days_since_pick") <= th.not_started_days)).drop("__last")
+    return out.where(changed & (F.col("days_since_pick") <= sc.LONGEST_WAIT)).drop("__last")
 
 
 def first_picks(ranked: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -47,15 +47,15 @@ def first_picks(ranked: DataFrame, tracked: DataFrame) -> DataFrame:
     return ranked.where("tier = '本命'").join(tracked.select("scenario_id", "code"), ["scenario_id", "code"], "left_anti")
 
 
-def reacted(spans: DataFrame, sigma: DataFrame, since: str, until: str, into: str, th: Thresholds = DEFAULT) -> DataFrame:
+def reacted(spans: DataFrame, sigma: DataFrame, since: str, until: str, into: str) -> DataFrame:
     """spans (code, since, until, ...) with whether any day in them reached the mark: the last such day up to `until`
     isn't before `since`."""
-    marks = sigma.where(F.col("sigma") >= th.reacted_sigma).select("code", "date", F.col("date").alias("last"))
+    marks = sigma.where(F.col("sigma") >= sc.REACTION).select("code", "date", F.col("date").alias("last"))
     out = as_of(spans.withColumn("date", F.col(until)), marks, ["code"], value="last", into="__last")
     return out.withColumn(into, F.coalesce(F.col("__last") >= F.col(since), F.lit(False))).drop("date", "__last")
 
 
-def final_grades(grades: DataFrame, prices: DataFrame, index: DataFrame, sigma: DataFrame, calendar: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def final_grades(grades: DataFrame, prices: DataFrame, index: DataFrame, sigma: DataFrame, calendar: DataFrame) -> DataFrame:
     """(scenario_id, detail) of grades (scenario_id, code, first_date, grade, unchecked, day) that are due: given before the
     day, with the next business day reached. A grade waits while prices don't reach that day; the larger sigma of its
     two days confirms or lowers it, no sigma at all leaves it unchecked."""
@@ -65,18 +65,18 @@ def final_grades(grades: DataFrame, prices: DataFrame, index: DataFrame, sigma:
     days = due.select("scenario_id", "code", F.explode(F.array("first_date", "next_day")).alias("date"))
     top = days.join(sigma.select("code", "date", "sigma"), ["code", "date"]).groupBy("scenario_id").agg(F.max("sigma").alias("s"))
     out = due.join(last, "code", "left").join(F.broadcast(newest)).join(top, "scenario_id", "left")
-    lower = sc.checked_grade(F.col("grade"), F.col("s") >= th.reacted_sigma)
+    lower = sc.checked_grade(F.col("grade"), F.col("s") >= sc.REACTION)
     verdict = (
         F.when(~F.col("unchecked") & F.col("last").isNotNull() & (F.least("last", "newest") < F.col("next_day")), "waiting")
         .when(F.col("unchecked") | F.col("last").isNull() | F.col("s").isNull(), F.concat("grade", F.lit("|unchecked")))
         .when(lower != F.col("grade"), F.concat(lower, F.lit("|lowered")))
-        .when((F.col("s") >= th.reacted_sigma) & F.col("grade").isin("B", "C"), F.concat("grade", F.lit("|overlooked")))
+        .when((F.col("s") >= sc.REACTION) & F.col("grade").isin("B", "C"), F.concat("grade", F.lit("|overlooked")))
         .otherwise(F.concat("grade", F.lit("|kept")))
     )
     return out.select("scenario_id", verdict.alias("detail"))
 
 
-def transition(night: DataFrame, prices: DataFrame, index: DataFrame, sigma: DataFrame, by_day: DataFrame, calendar: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def transition(night: DataFrame, prices: DataFrame, index: DataFrame, sigma: DataFrame, by_day: DataFrame, calendar: DataFrame) -> DataFrame:
     """(kind, scenario_id, detail) that one night writes, each step on what the ones before it decided.
 
     night: (scenario_id, code, first_date, expected_days, median, prob, stage, started, grade, unchecked, day), a candidate
@@ -84,25 +84,25 @@ def transition(night: DataFrame, prices: DataFrame, index: DataFrame, sigma: Dat
     a weak reason, or ended without being priced in, give the signal of a weakened scenario.
     """
     ev = excess_return(night, prices, by_day, "first_date", "day")
-    ev = reacted(ev, sigma, "first_date", "day", "hit", th)
+    ev = reacted(ev, sigma, "first_date", "day", "hit")
     ev = with_seq(with_seq(ev, "first_date", "__a", calendar), "day", "__b", calendar).withColumn("elapsed", F.col("__b") - F.col("__a"))
     ev = ev.withColumn("priced", F.when(F.col("started"), F.coalesce(sc.priced_in(F.col("excess"), F.col("median")), F.lit(0.0))).otherwise(0.0))
     ev = ev.withColumns({"broken": F.lit(False), "waiting_days": F.col("elapsed"), "tier1_reacted": F.col("hit"), "reacted": F.col("hit")})
-    ended = endings(ev, th)
+    ended = endings(ev)
     fresh = sc.freshness(F.col("started"), F.col("elapsed"), F.col("expected_days"))
     ev = ev.withColumn("confidence", F.round(sc.confidence(F.col("prob"), F.col("median"), F.col("priced"), fresh), 9))
     active = ev.select("scenario_id").distinct().join(ended, "scenario_id", "left_anti")
-    asleep = dormant(active, ev, th)
-    moves = moved(night.where("first_date < day").select("scenario_id", "code", "first_date", "expected_days"), prices, by_day, calendar, th).where("moved")
+    asleep = dormant(active, ev)
+    moves = moved(night.where("first_date < day").select("scenario_id", "code", "first_date", "expected_days"), prices, by_day, calendar).where("moved")
     told = ev.join(ended, "scenario_id", "left").join(asleep.withColumn("__asleep", F.lit(True)), "scenario_id", "left")
     reason = F.col("end_reason")
-    weak = F.coalesce(reason.isin("材料が弱かった", "連想が市場に届かなかった", "シナリオが崩れた"), F.lit(False)) | (reason.isNotNull() & (F.col("priced") < th.priced_in_near))
+    weak = F.coalesce(reason.isin("材料が弱かった", "連想が市場に届かなかった", "シナリオが崩れた"), F.lit(False)) | (reason.isNotNull() & (F.col("priced") < sc.PRICED_NEARLY))
     open_ = F.col("started") & reason.isNull() & F.col("__asleep").isNull()
-    signals = sc.sell_signals(F.lit(False), weak, F.col("priced"), F.when(open_, F.col("expected_days") - F.col("elapsed")).otherwise(99), th)
-    signed = told.withColumn("signals", F.array_join(signals, "|")).where((F.col("signals") != "") & (F.col("elapsed") <= th.not_started_days))
+    signals = sc.sell_signals(F.lit(False), weak, F.col("priced"), F.when(open_, F.col("expected_days") - F.col("elapsed")).otherwise(99))
+    signed = told.withColumn("signals", F.array_join(signals, "|")).where((F.col("signals") != "") & (F.col("elapsed") <= sc.LONGEST_WAIT))
     row = lambda kind, df, detail: df.select(F.lit(kind).alias("kind"), "scenario_id", detail.alias("detail"))
     parts = [
-        row("grade_final", final_grades(night, prices, index, sigma, calendar, th), F.col("detail")), row("ended", ended, reason),
+        row("grade_final", final_grades(night, prices, index, sigma, calendar), F.col("detail")), row("ended", ended, reason),
         row("dormant", asleep, F.lit("over the cap")), row("moved", moves, F.date_format("moved_at", "yyyy-MM-dd")), row("sell_signal", signed, F.col("signals")),
     ]
     out = parts[0]

@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 
 from ..calendar import with_seq
 from ..functions import scoring as sc
+from ..operators.prices import HORIZON, MOVE_BEGINS
 from ..operators.tables import latest_by
-from ..thresholds import DEFAULT, Thresholds
 
 
-def closed(elapsed: Column, expected_days: Column, th: Thresholds = DEFAULT) -> Column:
+def closed(elapsed: Column, expected_days: Column) -> Column:
     """Whether a pick's window is over: more business days than its expected ones, at most the longest horizon."""
-    return elapsed > F.least(expected_days, F.lit(th.moved_max_days))
+    return elapsed > F.least(expected_days, F.lit(HORIZON))
 
 
-def metrics(picks: DataFrame, decisions: DataFrame, today: Column, calendar: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def metrics(picks: DataFrame, decisions: DataFrame, today: Column, calendar: DataFrame) -> DataFrame:
     """One row a month of first picks (scenario_id, code, first_date, expected_days, moved, at_pick, scenario, stage), with
     the latest decision on each (scenario_id, code, action, _seq). Picks that neither moved nor are closed are pending."""
     out = with_seq(with_seq(picks.withColumn("__today", today), "first_date", "__a", calendar), "__today", "__b", calendar)
-    out = out.withColumn("done", F.coalesce(F.col("moved") | closed(F.col("__b") - F.col("__a"), F.col("expected_days"), th), F.lit(False))).withColumn("month", F.trunc("first_date", "month"))
+    out = out.withColumn("done", F.coalesce(F.col("moved") | closed(F.col("__b") - F.col("__a"), F.col("expected_days")), F.lit(False))).withColumn("month", F.trunc("first_date", "month"))
     out = out.join(latest_by(decisions, ["scenario_id", "code"], [F.col("_seq")], ["action"]), ["scenario_id", "code"], "left")
     hit, done = F.col("moved").cast("int"), F.col("done")
     rate = lambda which, value=hit: F.round(F.avg(F.when(which, value)), 3)
     bought, passed = done & (F.col("action") == "買う"), done & F.col("action").isin("監視", "見送り")
     stocks = out.groupBy("month").agg(
         F.count_if(done).alias("picks"), F.count_if(~done).alias("pending"), rate(done).alias("hit_rate_by_stock"), rate(done & (F.col("stage") == 1)).alias("stage1_hit_rate"),
-        rate(done & F.col("moved") & F.col("at_pick").isNotNull(), (F.col("at_pick") < th.move_start_excess).cast("int")).alias("lead_rate"),
+        rate(done & F.col("moved") & F.col("at_pick").isNotNull(), (F.col("at_pick") < MOVE_BEGINS).cast("int")).alias("lead_rate"),
         F.count_if(bought).alias("bought"), rate(bought).alias("bought_hit_rate"), F.count_if(passed).alias("passed"), rate(passed).alias("passed_hit_rate"),
     )
     one = out.where("done").groupBy("month", "scenario").agg(F.bool_or("moved").alias("hit"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import events as ops
+from ..operators.state import ACTIVE
 from ..sources import feeds
-from ..thresholds import DEFAULT
 from . import base
 from .base import query
 
@@ -141,9 +141,9 @@ def _gated(spark, d):
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     facts = facts.withColumns({"gdelt": zero("gdelt"), "wiki": zero("wiki"), "growth": F.when(F.col("before") > 0, zero("gdelt") / F.col("before") - 1).otherwise(0.0)})
     # Active scenarios: at most as many as the cap allows, one row.
-    top = base.read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(DEFAULT.max_active_scenarios)
+    top = base.read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(ACTIVE)
     active = top.agg(F.collect_list((F.col("o_custkey") % 97).cast("string")).alias("active_codes"))
-    words = base.read(spark, d, "benchmark").orderBy("item_id").limit(DEFAULT.max_active_scenarios).select(F.regexp_extract("text", "[A-Za-zÀ-ÿ]{10,}", 0).alias("word")).where("word <> ''")
+    words = base.read(spark, d, "benchmark").orderBy("item_id").limit(ACTIVE).select(F.regexp_extract("text", "[A-Za-zÀ-ÿ]{10,}", 0).alias("word")).where("word <> ''")
     keywords = words.agg(F.collect_list("word").alias("keywords"))
     facts = facts.join(F.broadcast(active)).join(F.broadcast(keywords))
     facts = facts.withColumns(

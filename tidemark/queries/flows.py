@@ -10,7 +10,6 @@ from ..operators import prices as ops
 from ..operators import state
 from ..plans import commit as commits
 from ..plans import nightly
-from ..thresholds import DEFAULT
 from . import base
 from .base import query
 
@@ -160,8 +159,8 @@ _REVIEW = f"""judged AS (SELECT m.*, date_trunc('month', m.first_date)::DATE AS
     scenarios AS (SELECT month, count(*) AS n, count_if(hit) AS k FROM by_scenario GROUP BY 1),
     stocks AS (SELECT month, CAST(count_if(coalesce(closed, false)) AS BIGINT) AS picks, CAST(count_if(NOT coalesce(closed, false)) AS BIGINT) AS pending, round(avg(moved::INT) FILTER (WHERE closed), 3) AS hit_rate_by_stock,
         round(avg(moved::INT) FILTER (WHERE closed AND stage = 1), 3) AS stage1_hit_rate, round(avg((at_pick < 0.05)::INT) FILTER (WHERE closed AND moved AND at_pick IS NOT NULL), 3) AS lead_rate,
-        CAST(count_if(closed AND action = '買う') AS BIGINT) AS bought, round(avg(moved::INT) FILTER (WHERE closed AND action = '買う'), 3) AS bought_hit_rate,
-        CAST(count_if(closed AND action IN ('監視', '見送り')) AS BIGINT) AS passed, round(avg(moved::INT) FILTER (WHERE closed AND action IN ('監視', '見送り')), 3) AS passed_hit_rate FROM judged GROUP BY 1)"""
+        count(*) FILTER (WHERE closed AND action = '買う') AS bought, round(avg(moved::INT) FILTER (WHERE closed AND action = '買う'), 3) AS bought_hit_rate,
+        count(*) FILTER (WHERE closed AND action IN ('監視', '見送り')) AS passed, round(avg(moved::INT) FILTER (WHERE closed AND action IN ('監視', '見送り')), 3) AS passed_hit_rate FROM judged GROUP BY 1)"""
 
 
 @query(
@@ -198,14 +197,14 @@ def event_candidates(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, n_nationkey AS code, arg_min(s_name, l_linenumber) AS company_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+    """SELECT o_orderkey, n_nationkey AS code, arg_min(s_name, (l_linenumber, s_name)) AS company_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
     JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2"""
 )
 def pick_names(spark, d):
     """JN26: the name of a code from the first candidate of the same scenario that has it."""
     s = base.read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("code"), "s_name")
     li = base.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber").join(s, "l_suppkey")
-    return li.groupBy("o_orderkey", "code").agg(F.min_by("s_name", "l_linenumber").alias("company_name"))
+    return li.groupBy("o_orderkey", "code").agg(F.min_by("s_name", F.struct("l_linenumber", "s_name")).alias("company_name"))
 
 
 @query("SELECT l_orderkey AS scenario_id, l_linenumber AS arrow_no, o_orderstatus AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE CAST(l_shipdate AS DATE) = DATE '1997-06-02'")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import tables
-from ..thresholds import DEFAULT
 from . import base
 from .base import query
 
@@ -118,7 +117,7 @@ def past_case_outcomes(spark, d):
     hit = hit.withColumn("excess", excess).withColumn("k", F.col("n") - F.col("c.n"))
     return hit.groupBy("scenario_id").agg(
         F.round(F.greatest(F.coalesce(F.max("excess"), F.lit(0.0)), F.lit(0.0)), 6).alias("max_excess"),
-        F.coalesce(F.max("excess") >= DEFAULT.moved_excess, F.lit(False)).alias("moved"), F.min(F.when(F.col("excess") >= DEFAULT.move_start_excess, F.col("k"))).alias("days_to_move"),
+        F.coalesce(F.max("excess") >= ops.MOVE, F.lit(False)).alias("moved"), F.min(F.when(F.col("excess") >= ops.MOVE_BEGINS, F.col("k"))).alias("days_to_move"),
     )
 
 

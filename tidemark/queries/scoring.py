@@ -9,7 +9,6 @@ from .. import calendar
 from ..functions import scoring as sc
 from ..operators import prices as ops
 from ..operators import state
-from ..thresholds import DEFAULT
 from . import base
 from .base import query
 
@@ -107,7 +106,7 @@ def scenario_cap_dormant(spark, d):
     """TOP4: all but the 15 most probable scenarios of a day go dormant."""
     w = Window.partitionBy("first_date")
     place, n = F.row_number().over(w.orderBy("prob", "scenario_id")), F.count("*").over(w)
-    return base.picks(spark, d).select("scenario_id", "code", (place <= n - DEFAULT.max_active_scenarios).alias("dormant"))
+    return base.picks(spark, d).select("scenario_id", "code", (place <= n - state.ACTIVE).alias("dormant"))
 
 
 @query(
@@ -143,7 +142,7 @@ def grade_check(spark, d):
     days = p.select("scenario_id", "code", F.explode(F.array("first_date", "next")).alias("date"))
     top = days.join(sig, ["code", "date"], "left").groupBy("scenario_id").agg(F.max("sigma").alias("s"))
     grade = F.substring(F.lit("SABC"), (F.col("scenario_id") % 4 + 1).cast("int"), F.lit(1))
-    reacted = F.col("s") >= DEFAULT.reacted_sigma
+    reacted = F.col("s") >= sc.REACTION
     return top.select("scenario_id", grade.alias("grade"), F.round("s", 6).alias("max_sigma"), reacted.alias("reacted"), F.coalesce(sc.checked_grade(grade, reacted), grade).alias("final_grade"))
 
 
