@@ -36,7 +36,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left: all columns but text, with ids and n_tokens in place of any of these names."""
     import public_tokenizers as known
 
     coded = bpe.encode(docs, known.path("byte_bpe_multi_50k.tiktoken"), known.PATTERN)
