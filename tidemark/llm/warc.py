@@ -116,21 +116,18 @@ class _Window:
     def find_magic(self, at: int, end: int) -> int:
         """The first offset in [at, end) at which gzip magic begins, or -1."""
         while at < end:
-            block = self.get(at, STEP)
-            if len(block) < 3:
-                if at + len(block) >= self.size:
-                    return -1
-                block = self.file.read_at(3, at)  # across two blocks
-                if block == MAGIC:
-                    return at
-                at += 1
-                continue
-            k = block.find(MAGIC)
+            if not self.get(at, 1):
+                return -1
+            k = self.block.find(MAGIC, at - self.at)  # where it is; nothing is copied
             if k >= 0:
-                return at + k if at + k < end else -1
-            at += len(block) - 2
-            if at + 2 >= self.size:
+                return self.at + k if self.at + k < end else -1
+            tail = self.at + len(self.block)
+            if tail >= self.size:
                 return -1
+            for edge in range(max(at, tail - len(MAGIC) + 1), tail):  # across two blocks
+                if edge < end and self.file.read_at(len(MAGIC), edge) == MAGIC:
+                    return edge
+            at = tail
         return -1
 
 
