@@ -9,13 +9,20 @@ from .. import calendar
 from ..functions import scoring as sc
 from ..operators import prices as ops
 from ..operators import state
+from ..plans import nightly
 from . import base
 from .base import query
 
-# Candidates at their evaluation date, 12 days after the pick; flags stand in for what other tables tell.
-_EVAL = """ev AS (SELECT p.*, CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE) AS eval_date, p.scenario_id % 3 <> 0 AS started, p.scenario_id % 4 = 0 AS attention_high, p.scenario_id % 5 = 0 AS tier1,
-        p.scenario_id % 7 = 0 AS reacted, p.scenario_id % 6 / 5.0::DOUBLE AS verified, CAST(p.scenario_id % 3 AS INTEGER) AS denied, p.scenario_id % 8 <> 0 AS clear,
-        ['上昇中', '横ばい', '冷却中', NULL][p.scenario_id % 4 + 1] AS temperature, ['Weak', 'Weak+', 'Medium', 'Strong'][p.scenario_id % 4 + 1] AS strength, ['Weak', 'Weak+', 'Medium', 'Strong'][p.scenario_id // 4 % 4 + 1] AS initial FROM picks p)"""
+# Candidates at an evaluation date up to 39 days after the pick. Reactions and the final grade come from prices; the rest
+# (start, shares of verified arrows, strengths) is what a person or a model tells, derived from the key.
+_EVAL = """ev AS (SELECT p.*, CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE) AS eval_date, p.scenario_id % 3 <> 0 AS started,
+        CASE WHEN coalesce(s, 2) < 2 THEN p.scenario_id % 4 = 0 ELSE p.scenario_id % 4 < 2 END AS attention_high,
+        EXISTS (SELECT 1 FROM sig g WHERE g.sigma >= 2 AND g.code = (p.code + 1) % 25 AND g.date >= p.first_date AND g.date <= CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE)) AS tier1,
+        EXISTS (SELECT 1 FROM sig g WHERE g.sigma >= 2 AND g.code = p.code AND g.date >= p.first_date AND g.date <= CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE)) AS reacted,
+        p.scenario_id % 6 / 5.0::DOUBLE AS verified, CAST(p.scenario_id % 3 AS INTEGER) AS denied, p.scenario_id % 8 <> 0 AS clear,
+        ['上昇中', '横ばい', '冷却中', NULL][p.scenario_id % 4 + 1] AS temperature, ['Weak', 'Weak+', 'Medium', 'Strong'][p.scenario_id % 4 + 1] AS strength, ['Weak', 'Weak+', 'Medium', 'Strong'][p.scenario_id // 4 % 4 + 1] AS initial
+        FROM picks p LEFT JOIN (SELECT p.scenario_id, max(sigma) AS s FROM picks p JOIN cal a ON a.d = p.first_date JOIN cal b ON b.is_bd AND b.bd_seq = a.bd_seq + 1
+            JOIN sig ON sig.code = p.code AND (sig.date = p.first_date OR sig.date = b.d) GROUP BY 1) t ON t.scenario_id = p.scenario_id)"""
 _SCORED = f"""{_EVAL}, spanned AS (SELECT e.*, (c1.close / c0.close - 1) - (b1.b_on / b0.b_before - 1) AS excess, b.bd_seq - a.bd_seq AS elapsed FROM ev e
         ASOF LEFT JOIN px c0 ON e.code = c0.code AND c0.date < e.first_date ASOF LEFT JOIN px c1 ON e.code = c1.code AND c1.date <= e.eval_date
         LEFT JOIN bday b0 ON b0.b_date = e.first_date LEFT JOIN bday b1 ON b1.b_date = e.eval_date LEFT JOIN cal a ON a.d = e.first_date LEFT JOIN cal b ON b.d = e.eval_date),
@@ -24,7 +31,7 @@ _SCORED = f"""{_EVAL}, spanned AS (SELECT e.*, (c1.close / c0.close - 1) - (b1.b
     conf AS (SELECT *, least(greatest(prob * (0.8 + 0.4 * verified) * pow(0.7, denied) * CASE WHEN clear THEN 1 ELSE 0.8 END * CASE WHEN diagnosis = '⚠ 無視されている疑い' THEN 0.5 ELSE 1 END
             * CASE temperature WHEN '上昇中' THEN 1.1 WHEN '冷却中' THEN 0.9 ELSE 1 END * (1 + 0.1 * (list_position(['Weak', 'Weak+', 'Medium', 'Strong'], strength) - list_position(['Weak', 'Weak+', 'Medium', 'Strong'], initial))), 0), 0.95) AS p2 FROM scored),
     final AS (SELECT *, median * greatest(0, 1 - priced) AS room, p2 * median * greatest(0, 1 - priced) * fresh AS confidence FROM conf)"""
-NEEDS = ("px", "idx", "cal", "bday", "picks")
+NEEDS = ("px", "idx", "cal", "bday", "feat", "sig", "picks")
 
 
 def _pick(names, k):
@@ -36,13 +43,26 @@ def evaluated(spark, d):
     key, cal = F.col("scenario_id"), calendar.dimension(spark)
     ev = base.picks(spark, d).withColumns(
         {
-            "eval_date": F.expr("date_add(first_date, cast(scenario_id % 40 as int))"), "started": key % 3 != 0, "attention_high": key % 4 == 0, "tier1": key % 5 == 0, "reacted": key % 7 == 0,
+            "eval_date": F.expr("date_add(first_date, cast(scenario_id % 40 as int))"), "started": key % 3 != 0, "peer": (F.col("code") + 1) % 25,
             "verified": key % 6 / F.lit(5.0), "denied": (key % 3).cast("int"), "clear": key % 8 != 0, "temperature": _pick(["上昇中", "横ばい", "冷却中", None], key % 4),
             "strength": _pick(sc.STRENGTHS, key % 4), "initial": _pick(sc.STRENGTHS, F.floor(key / 4) % 4),
         }
     )
-    by_day = ops.benchmark_by_day(base.benchmark(spark, d), cal)
-    ev = ops.excess_return(ev, base.prices(spark, d), by_day, "first_date", "eval_date")
+    by_day, prices = ops.benchmark_by_day(base.benchmark(spark, d), cal), base.prices(spark, d)
+    sigma = ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma")
+    # Reactions of the candidate and of the tier-1 company before it in the chain, each (code, pick, day) once.
+    spans = ev.select("code", "peer", "first_date", "eval_date").distinct()
+    spans = nightly.reacted(spans, sigma, "first_date", "eval_date", "reacted")
+    spans = nightly.reacted(spans.withColumnsRenamed({"code": "own", "peer": "code"}), sigma, "first_date", "eval_date", "tier1").withColumnsRenamed({"code": "peer", "own": "code"})
+    ev = ops.rejoin(ev, spans.drop("peer"), ["code", "first_date", "eval_date"], ["reacted", "tier1"])
+    # Attention is high where the final grade of the pick's day is S or A.
+    days = calendar.add_business_days(ev.select("code", "first_date").distinct(), "first_date", F.lit(1), "next", cal).select("code", "first_date", F.explode(F.array("first_date", "next")).alias("date"))
+    top = days.join(sigma, ["code", "date"]).groupBy("code", "first_date").agg(F.max("sigma").alias("top"))
+    ev = ops.rejoin(ev, top, ["code", "first_date"], ["top"])
+    grade = F.substring(F.lit("SABC"), (key % 4 + 1).cast("int"), F.lit(1))
+    final = sc.checked_grade(grade, F.coalesce(F.col("top") >= sc.REACTION, F.lit(True)))
+    ev = ev.withColumn("attention_high", final.isin("S", "A"))
+    ev = ops.excess_return(ev, prices, by_day, "first_date", "eval_date")
     ev = calendar.with_seq(calendar.with_seq(ev, "first_date", "a", cal), "eval_date", "b", cal).withColumn("elapsed", F.col("b") - F.col("a"))
     ev = ev.withColumn("fresh", sc.freshness(F.col("started"), F.col("elapsed"), F.col("expected_days")))
     ev = ev.withColumn("priced", F.when(F.col("started"), F.coalesce(sc.priced_in(F.col("excess"), F.col("median")), F.lit(0.0))).otherwise(0.0))
@@ -59,7 +79,7 @@ def evaluated(spark, d):
     NEEDS,
 )
 def evaluate_candidates(spark, d):
-    """PIP3, JN9, JN12, SC14-19, AGG11: freshness, priced-in degree, diagnosis, probability, confidence, stars."""
+    """PIP3, JN9, JN12, WIN5, SC14-19, AGG11: freshness, priced-in degree, diagnosis, probability, confidence, stars."""
     r = lambda c, n=None: F.round(c, 6).alias(n or c)
     return evaluated(spark, d).select("scenario_id", "code", r("fresh"), r("priced"), r("room"), "diagnosis", r("p2", "prob"), r("confidence"), sc.stars(F.col("confidence")).alias("stars"))
 
@@ -72,7 +92,7 @@ _RANKED = f"""{_SCORED}, latest AS (SELECT f.*, t.turnover * 10000 AS turnover,
 
 @query(
     f"""SELECT * FROM (WITH {_RANKED} SELECT scenario_id, code, rank, reason, CASE WHEN reason IS NULL AND sum(CASE WHEN reason IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY eval_date ORDER BY rank) <= 3 THEN '本命' ELSE '監視' END AS tier FROM placed)""",
-    ("px", "idx", "cal", "bday", "feat", "picks"),
+    NEEDS,
 )
 def rank_picks_top3(spark, d):
     """FLT7, TOP1: exclusion cascade, ranks by confidence within an evaluation day, the first three without a reason."""
@@ -92,7 +112,7 @@ def _ranked(spark, d):
 @query(
     f"""SELECT * FROM (WITH {_RANKED}, overridden AS (SELECT *, CASE WHEN NOT started THEN '待機中(未起動)' WHEN price IS NULL THEN '株価データが無い' ELSE reason END AS reason2 FROM placed)
         SELECT scenario_id, code, rank, reason2 AS reason, CASE WHEN reason2 IS NULL AND sum(CASE WHEN reason2 IS NULL AND scenario_id % 13 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY eval_date ORDER BY rank) <= 3 AND scenario_id % 13 <> 0 THEN '本命' ELSE '監視' END AS tier FROM overridden)""",
-    ("px", "idx", "cal", "bday", "feat", "picks"),
+    NEEDS,
 )
 def rank_overrides(spark, d):
     """TOP2, PIP4: reasons of missing prices and of waiting scenarios override the first ones, and the first three by rank
