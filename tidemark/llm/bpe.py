@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from .pieces import PieceCache, gather, parts
 
 MOST_RANKS = 1 << 18
-CACHED = 600_000
+CACHED = 300_000
+PART = 2 << 20  # bytes of text that are encoded together
+DECODED = 1 << 17  # ids whose bytes are gathered together
 LONG = 128  # bytes from which a pre-token has a queue of its own
 
 
@@ -264,8 +266,9 @@ class Bytes:
         """The bytes of lists of ids that end at `ends`, and where those of each list end."""
         if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.size) and (self.size[ids] > 0).all()):
             raise ValueError("an id that no rank has")
-        data, upto = gather(self.table, self.size, ids)
-        return data, upto[ends]
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        data = [gather(self.table, self.size, ids[k : k + DECODED])[0] for k in range(0, len(ids), DECODED)]
+        return np.concatenate([np.zeros(0, np.uint8), *data]), upto[ends]
 
 
 _coders: dict[str, tuple[Bpe, Bytes]] = {}
@@ -288,7 +291,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", i
             _coders[key] = Bpe(sent.value, pattern), Bytes(sent.value)
         coder, back = _coders[key]
         for batch in batches:
-            for b in parts(batch, place):
+            for b in parts(batch, place, PART):
                 flat, ends = coder.cache.ids(b.column(place))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype("<i4"), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists, *([_binary(*back.of(flat, ends))] if decoded else [])], names=[*kept, ids, *([decoded] if decoded else [])])

@@ -26,15 +26,15 @@ _EDGE = re.compile(f"[{_SPACE}]")
 _UNEVEN = f" [{_SPACE}]|[{_SPACE}] |[{_SPACE}]\\z"  # for RE2: a blank beside white space, or white space at the end
 
 
-def parts(batch, place: int) -> Iterator:
-    """A record batch in slices of about PART bytes of text."""
+def parts(batch, place: int, part: int = PART) -> Iterator:
+    """A record batch in slices of about `part` bytes of text."""
     import pyarrow.compute as pc
 
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0)).astype(np.int64)
     upto, low = np.cumsum(size), 0
     while low < batch.num_rows:
         done = int(upto[low - 1]) if low else 0
-        high = max(low + 1, int(np.searchsorted(upto, done + PART, "right")))
+        high = max(low + 1, int(np.searchsorted(upto, done + part, "right")))
         yield batch.slice(low, high - low)
         low = high
 
