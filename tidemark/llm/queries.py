@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hamming, html_extract, license_scan, line_dedup, ngram_join, quality, token_output, warc
+from . import bpe, centroid_walk, decontam, hamming, html_extract, license_scan, line_dedup, ngram_join, quality, rlz_dedup, token_output, warc
 from .common import table
 
 
@@ -67,6 +67,18 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_centroid_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = centroid_walk.whole_vectors(table(spark, sf_dir, "embeddings"), dims=64, scale=1024)
+    start = F.asc_nulls_last(F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")).cast("binary"), 256))
+    found = centroid_walk.cluster(vectors, start, k=8, rounds=10)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_walk.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rlz_dedup.drop_repeated(docs, kept=lambda words: F.sha2(words, 256)).withColumnRenamed("kept", "kept_sha256")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_ranking": op2_quality_ranking,
@@ -78,8 +90,31 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_token_output": op9_token_output,
     "op10_license_scan": op10_license_scan,
+    "op12_centroid_walk": op12_centroid_walk,
+    "op13_rlz_dedup": op13_rlz_dedup,
 }
 
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round a CTE after the one before it."""
+    nearest = """a{r} AS MATERIALIZED (SELECT rid, x, min(d * {k} + cluster) % {k} AS cluster, min(d) AS d FROM (
+            SELECT rid, x, cluster, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept, c{r}) GROUP BY rid, x)"""
+    means = """s{r} AS MATERIALIZED (SELECT cluster, list(m ORDER BY dim) AS c FROM (
+            SELECT cluster, dim, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (
+                SELECT cluster, unnest(x) AS v, unnest(range(64)) AS dim FROM a{r}) GROUP BY cluster, dim) GROUP BY cluster),
+        c{n} AS MATERIALIZED (SELECT cluster, coalesce(s{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN s{r} USING (cluster))"""
+    steps = [f"{nearest.format(r=r, k=k)},\n        {means.format(r=r, n=r + 1)}" for r in range(rounds)] + [nearest.format(r=rounds, k=k)]
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x AS c FROM (SELECT sha256('3:' || vec_id) AS h, x FROM kept ORDER BY h, x LIMIT {k})),
+        {", ".join(steps)},
+        cost AS (SELECT cluster, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+        SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM a{rounds}) AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (rid) JOIN cost USING (cluster) JOIN c{rounds} USING (cluster)
+    """
+
+
 _licences = ", ".join(f"({t}, '{label}', '{text}', '{key}')" for t, (label, text, key) in enumerate(license_scan.TEMPLATES))
 _phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.BASE.items())
 
@@ -165,4 +200,15 @@ ORACLE_SQL: dict[str, str] = {
             FROM pairs)
         SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10
     """,
+    "op12_centroid_walk": _centroid_sql(),
+    "op13_rlz_dedup": rf"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        placed AS (SELECT r, w, unnest(range(greatest(len(w) - {rlz_dedup.LEAST - 1}, 0))) AS s FROM texts),
+        windows AS (SELECT r, s, md5(array_to_string(w[s + 1 : s + {rlz_dedup.LEAST}], ' ')) AS h FROM placed),
+        gone AS (SELECT DISTINCT r, unnest(range(s, s + {rlz_dedup.LEAST})) AS k FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS k FROM texts),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n_kept FROM words ANTI JOIN gone USING (r, k) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r)
+    """,
 }
