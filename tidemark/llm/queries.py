@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroid_walk, decontam, hamming, html_extract, license_scan, line_dedup, ngram_join, quality, rlz_dedup, token_output, warc
+from . import bpe, centroid_walk, decontam, hamming, html_extract, license_scan, line_dedup, ngram_join, quality, rlz_dedup, token_output, warc, whitening
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.whole_vectors(table(spark, sf_dir, "embeddings"), scale=64, shift=1_000_000), components=32)
+
+
 def op12_centroid_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = centroid_walk.whole_vectors(table(spark, sf_dir, "embeddings"), dims=64, scale=1024)
     start = F.asc_nulls_last(F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")).cast("binary"), 256))
@@ -90,6 +94,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_token_output": op9_token_output,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_centroid_walk": op12_centroid_walk,
     "op13_rlz_dedup": op13_rlz_dedup,
 }
