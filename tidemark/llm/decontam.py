@@ -10,16 +10,17 @@ each other. So, over whole texts:
    that meet the item's bound are kept;
 3. each kept band is verified by an alignment confined to its diagonals, which gives the exact distance.
 
-k is EDITS of the item's length. Both sides are lower-cased, and runs of white space and punctuation become one
+k is EDITS of the item's length. Where the lemma leaves no shared q-gram for that (items of 20 to 23 characters), the item is
+indexed by shorter ones, of SHORT_Q characters. Both sides are lower-cased, and runs of white space and punctuation become one
 blank; positions refer to that form. Items go to the tasks in slices of at most SLICE characters (a proven bound on what is
 broadcast); a larger benchmark takes several slices, each handled in the same pass over the documents
 or, beyond SLICES_A_PASS of them, in further passes. Documents aren't shuffled.
 
-Items of fewer than Q characters have no q-gram: they are searched for exactly, as runs of whole words.
+Items of fewer than Q characters have no q-gram and are too short for an edit: they are searched for exactly, as runs of whole
+words. Items that are equal in normal form are one item, that with the smallest id; they are grouped before they are sliced.
 
 Defined cases: null and empty documents match nothing; null items and those without a letter or digit are
-not searched for; null doc_ids are kept; equal item texts count as the item with the smallest id; repeated documents are repeated
-in the result; extra columns pass through `drop_contaminated`.
+not searched for; null doc_ids are kept; repeated documents are repeated in the result; extra columns pass through `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 12
+SHORT_Q = 8
 EDITS = 0.05
 SLICE = 1_000_000
 SLICES_A_PASS = 4
@@ -52,21 +54,33 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """Hashes of all q-grams."""
-    if len(c) < Q:
+def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hashes of all q-grams; q is Q or SHORT_Q."""
+    if len(c) < q:
         return np.zeros(0, np.uint64)
     two = (c[:-1].astype(np.uint64) + np.uint64(7)) * _P + c[1:]
     four = two[:-2] * _P + (two[2:] ^ (two[2:] >> np.uint64(29)))
     eight = four[:-4] * _P + (four[4:] ^ (four[4:] >> np.uint64(31)))
-    h = eight[: len(c) - Q + 1] * _P + four[8 : 8 + len(c) - Q + 1]
+    h = eight[: len(c) - q + 1] * _P + (four[8 : 8 + len(c) - q + 1] if q == Q else np.uint64(1))
     return (h ^ (h >> np.uint64(32))) * _P
 
 
+def edits_of(length: int) -> int:
+    return int(length * EDITS)
+
+
+def indexes_of(items: list[tuple[int | None, str]]) -> list[Index]:
+    """A slice's items in the index for the q-gram length that the lemma allows them."""
+    fits = lambda t: len(t) < Q or len(t) - Q + 1 - edits_of(len(t)) * Q >= 1
+    few = [x for x in items if not fits(x[1])]
+    return [Index([x for x in items if fits(x[1])], Q), *([Index(few, SHORT_Q)] if few else [])]
+
+
 class Index:
-    """Postings of a slice of items; apart from them the short ones, by their words."""
+    """Postings of items by their q-grams; apart from them those shorter than Q, by their words."""
 
-    def __init__(self, items: list[tuple[int | None, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], q: int = Q) -> None:
+        self.q = q
         self.short = {tuple(t.split(" ")): i for i, t in items if len(t) < Q}
         self.heads: dict[str, set[int]] = {}
         for words in self.short:
@@ -76,10 +90,10 @@ class Index:
         self.strings = [t for _, t in items]
         self.texts = [codes(t) for t in self.strings]
         m = np.array([len(t) for t in self.texts], int)
-        self.k = np.maximum(0, np.minimum((m * EDITS).astype(int), (m - Q + 1 - 4) // Q))
-        self.need = np.maximum(1, m - Q + 1 - self.k * Q)
+        self.k = np.array([edits_of(x) for x in m.tolist()], int)
+        self.need = np.maximum(1, m - q + 1 - self.k * q)
         self.m = m
-        g = [grams(t) for t in self.texts]
+        g = [grams(t, q) for t in self.texts]
         h = np.concatenate([np.zeros(0, np.uint64), *g])
         of = np.repeat(np.arange(len(g)), np.array([len(x) for x in g], int))
         at = np.concatenate([np.zeros(0, int), *(np.arange(len(x)) for x in g)])
@@ -126,7 +140,7 @@ def _distance(item: np.ndarray, doc: np.ndarray, low: int, high: int, free: bool
 def _places(index: Index, text: str) -> Iterator[tuple[int, int, int, int]]:
     """(item, edits, start, end) of verified places in one stretch of a document."""
     c = codes(text)
-    h = grams(c)
+    h = grams(c, index.q)
     if not len(h):
         return
     hit = index.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
@@ -185,19 +199,24 @@ def places(indexes: list[Index], text: str | None) -> list[tuple[int | None, int
 
 def slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Normalised items in slices of bounded size; items come to the driver one partition at a time."""
-    one = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    held, size = {}, 0
-    for r in one.orderBy("item_id", "text").toLocalIterator():
-        t = normal(r["text"])
-        if not t or t in held:
-            continue
-        if held and size + len(t) > SLICE:
-            yield [(i, t) for t, i in held.items()]
-            held, size = {}, 0
-        held[t] = r["item_id"]
-        size += len(t)
+
+    def normalised(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normal(t) for t in b.column(1).to_pylist()], pa.string())], names=["item_id", "form"])
+
+    forms = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(normalised, "item_id long, form string")
+    one = forms.where("form <> ''").groupBy("form").agg(F.min("item_id").alias("item_id"))
+    held, size = [], 0
+    for r in one.orderBy("item_id", "form").toLocalIterator():
+        if held and size + len(r["form"]) > SLICE:
+            yield held
+            held, size = [], 0
+        held.append((r["item_id"], r["form"]))
+        size += len(r["form"])
     if held:
-        yield [(i, t) for t, i in held.items()]
+        yield held
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list]:
@@ -220,7 +239,7 @@ def _of(sent: list) -> list[Index]:
     key = tuple(digest for digest, _ in sent)
     if key not in _indexes:
         _indexes.clear()
-        _indexes[key] = [Index(b.value) for _, b in sent]
+        _indexes[key] = [index for _, b in sent for index in indexes_of(b.value)]
     return _indexes[key]
 
 
