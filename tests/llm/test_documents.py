@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, line_dedup, license_scan, ngram_join, quality
@@ -98,6 +99,17 @@ def test_a_recurring_line_goes_where_it_is_most_of_a_text(spark):
     assert all(out[i] == t.removesuffix(notice).rstrip("\n") for i, t in rows)
 
 
+@pytest.mark.parametrize("body", [1, 3, 6, 40])
+def test_pages_lose_header_and_footer_however_short_their_bodies(spark, body):
+    rng = random.Random(body)
+    header, footer = words(rng, 13), words(rng, 13)
+    rows = [(i, f"{header}\n{words(rng, body)}\n{footer}") for i in range(60)]
+    copies = [(100 + i, "\n".join(["Near copies of one text", *(words(random.Random(j), 14) for j in range(9) if j != i % 9), words(rng, 14)])) for i in range(40)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows + copies, "doc_id long, text string")).collect()}
+    assert all(out[i] == t.split("\n")[1] for i, t in rows)
+    assert all(out[i] == t for i, t in copies)
+
+
 def test_any_run_of_white_space_separates_tokens(spark):
     rng = random.Random(6)
     forms = ["Home\tNews\tSports\tWeather\tContact", "Home News  Sports Weather Contact", "  Home News Sports Weather Contact", "Home News Sports Weather Contact ", "Home News Sports Weather Contact\r"]
@@ -302,7 +314,31 @@ def test_query_finds_what_a_full_search_finds(spark, sf_dir):
             runs = {" ".join(w[k : k + 4]) for k in range(0, len(w) - 3, 4)}
             if (i, item) not in found and sum(run in t for run in runs) >= max(2, len(runs) // 2) and len(x) <= 2000:
                 edits, _ = decontam._distance(decontam.codes(x), c, -len(x), len(c))
-                assert edits > min(int(decontam.EDITS * len(x)), (len(x) - decontam.Q + 1 - 4) // decontam.Q)
+                assert edits > len(x) // 20  # 5 %
+
+
+@pytest.mark.parametrize("length", range(12, 64))
+def test_every_edit_that_five_percent_allow_is_found(length):
+    """One letter changed, left out or put in, at every place of an item, for each edit that 5 % of its length allow."""
+    rng = random.Random(length)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+    indexes = decontam.indexes_of([(1, item), (2, "quite another item of more than twenty letters")])
+    for at in range(length):
+        text = list(item)
+        for k in range(length // 20):
+            p = (at + 20 * k) % length
+            text[p] = {0: "0", 1: "", 2: text[p] + "7"}[(at + k) % 3]
+        found = decontam.places(indexes, "some words before " + "".join(text) + " and after")
+        assert [p[0] for p in found] == [1] and found[0][1] <= length // 20, (at, "".join(text))
+
+
+def test_items_equal_in_normal_form_are_one_whatever_the_slices(spark, monkeypatch):
+    rows = [(3, "What is the capital of France, they asked?"), (1, "what is the capital  of france they asked"), (2, "Another question altogether, of some length")]
+    b = spark.createDataFrame(rows, "item_id long, text string")
+    d = spark.createDataFrame([(1, "x what is THE capital of france they asked y")], "doc_id long, text string")
+    for size in (1_000_000, 10):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        assert [(r["doc_id"], r["item_id"]) for r in decontam.find(d, b).collect()] == [(1, 1)]
 
 
 # Licences
@@ -331,6 +367,15 @@ def test_base_places_and_rare_token_matches(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_key_phrase_alone_is_no_licence(spark):
+    bsl = next(t for label, t, _ in license_scan.TEMPLATES if label == "bsl-1.0")
+    rng = random.Random(2)
+    texts = ["Permission is hereby granted, free of charge, to visit the park", "we do not use the mit license here", bsl, "Released under the MIT License.", "licensed under CC BY-NC 4.0"]
+    rows = list(enumerate(texts)) + [(10 + i, words(rng, 30) + " and the licensed under a person to any of this") for i in range(60)]
+    out = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(5)] == ["", "", "bsl-1.0", "mit", "cc-by,cc-by-nc"] and not any(out[10 + i] for i in range(60))
+
+
 def test_license_words_weigh_and_time_is_in_proportion(spark):
     rng = random.Random(12)
     mit = next(t for label, t, _ in license_scan.TEMPLATES if label == "mit")

@@ -3,10 +3,12 @@
 The index holds postings (template, position) of each licence template's rarest words and of the rarest words of its
 mandatory key phrase; document frequencies are counted over all documents. Of each file's words that stand in
 the index the highest-IDF ones, and those of key phrases, are looked up at all their places. A place's postings give
-template starts (place in the file less place in the template); a start is kept where at least AGREE of the template's
-indexed words stand at their relative positions and the key phrase stands word for word at its own.
+template starts (place in the file less place in the template). A start is kept where the key phrase stands word for word at
+its own place and the words beside it agree: of the template's words within NEAR places of the key phrase, outside it, those
+that stand at their relative positions have at least SHARE of the IDF weight. So a phrase that a licence has in common with
+other prose, or with another licence, isn't a match by itself; a template without words beside its key phrase needs no more.
 
-Since a key phrase's rarest words are always looked up, a template is found wherever its key phrase stands. The
+Since a key phrase's rarest words are always looked up, no template whose key phrase and surroundings stand is missed. The
 score is the largest IDF-weighted share of a template's words that stand in place among its matches; 1 where a base
 phrase stands (it is itself a template that is there whole), else 0.
 
@@ -31,7 +33,8 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 RARE = 8  # indexed words of a template
 RARE_KEY = 4  # indexed words of its key phrase
 LOOKED_UP = 16  # highest-IDF words of a file, beside those of key phrases
-AGREE = 2
+NEAR = 8
+SHARE = 0.4
 WIDE = 1 << 12  # more words than any template has
 
 
@@ -62,6 +65,7 @@ class Index:
         for words, key, at in zip(self.words, self.keys, self.key_at, strict=True):
             rarest = lambda places, n: sorted(places, key=lambda i: (-self.idf[words[i]], i))[:n]  # noqa: B023, E731
             self.at.append(sorted({*rarest(range(len(words)), RARE), *rarest(range(at, at + len(key)), RARE_KEY)}))
+        self.near = [[i for i in range(max(0, at - NEAR), min(len(w), at + len(k) + NEAR)) if not at <= i < at + len(k)] for w, k, at in zip(self.words, self.keys, self.key_at, strict=True)]
         self.postings: dict[str, list[int]] = {}
         for t, (words, places) in enumerate(zip(self.words, self.at, strict=True)):
             for i in places:
@@ -95,7 +99,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, bas
     posted = F.map_from_arrays(_strings([*index.postings]), F.array(*[_numbers(p, "int") for p in index.postings.values()]))
     words, labels = F.array(*[_strings(w) for w in index.words]), _strings(index.labels)
     keys, key_at = F.array(*[_strings(k) for k in index.keys]), _numbers(index.key_at, "int")
-    places_of = F.array(*[_numbers(a, "int") for a in index.at])
+    beside = F.array(*[_numbers(a, "int") if a else F.array().cast("array<int>") for a in index.near])
+    wanted = _numbers([SHARE * sum(index.idf[w[i]] for i in a) - 1e-9 for w, a in zip(index.words, index.near, strict=True)], "double")
     weights = F.array(*[_numbers([index.idf[x] for x in w], "double") for w in index.words])
 
     # The file's rare words, then the places at which those looked up stand.
@@ -114,9 +119,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, bas
 
         def stands(code: Column) -> Column:
             t, start = (code % WIDE).cast("int"), (F.floor(code / WIDE) - WIDE).cast("int")
-            agree = F.size(F.filter(F.get(places_of, t), lambda a: F.get(file, start + a) == F.get(F.get(words, t), a)))
+            own, weight_of = F.get(words, t), F.get(weights, t)
+            agree = F.aggregate(F.get(beside, t), F.lit(0.0), lambda u, a: u + F.when(F.get(file, start + a) == F.get(own, a), F.get(weight_of, a)).otherwise(0.0))
             at = start + F.get(key_at, t)
-            return (agree >= AGREE) & (at >= 0) & (F.slice(file, F.greatest(at, F.lit(0)) + 1, F.size(F.get(keys, t))) == F.get(keys, t))
+            return (agree >= F.get(wanted, t)) & (at >= 0) & (F.slice(file, F.greatest(at, F.lit(0)) + 1, F.size(F.get(keys, t))) == F.get(keys, t))
 
         def starts(i: Column) -> Column:
             found = F.coalesce(F.element_at(posted, F.get(file, i)), F.array().cast("array<int>"))

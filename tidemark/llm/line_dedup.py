@@ -14,7 +14,11 @@ Lines of recurring templates are dropped wherever they stand.
 
 Texts are counted, not documents, so that exact copies don't make lines recur, and near copies count as one text:
 each leaf has a first text (by hash), and a text counts as another one if most of its lines and of its tokens stand in
-leaves whose first text is that one; lines that it shares with a third text are left out of this reckoning. Lines that only near copies share stay; settling those is for near-duplicate removal.
+leaves whose first text is that one; lines that it shares with a third text are left out of this reckoning. Pages of one
+layout share a header and a footer that may outweigh their bodies, which doesn't make them copies: where all that a text shares
+with the first one stands in MIN_DOCS texts, and it has lines of its own, it is a copy only if it shares COPIED_LINES lines and
+more with that one, and these are COPIED of them and its own lines, in number and in tokens. Lines that only near copies share stay; settling those is for
+near-duplicate removal.
 
 All counts combine before their shuffles, and joins on keys that can be hot are left to the adaptive skew join. Lines
 move between tasks as hashes; texts are shuffled once, to drop the lines found. The leaves that recur are
@@ -37,6 +41,8 @@ CONSTANT = 0.6
 LONG = 12
 LEAST = 2
 FIXED = 0.8
+COPIED_LINES = 4
+COPIED = 0.8
 SENT = 400_000  # leaves of two numbers each
 VARIABLE = "[0-9]|@|://"
 RUNS = "[\t\r\f][ \t\r\f]*| [ \t\r\f]+"  # white space that isn't a single blank already
@@ -59,14 +65,22 @@ def _lines(docs: DataFrame) -> DataFrame:
     return some.withColumn("leaf", F.xxhash64("n", masked(F.substring_index("line", " ", LEAD))))
 
 
-def near_copies(places: DataFrame, shared: DataFrame) -> DataFrame:
-    """(th, g): texts that count as another one, g. `places` has every line (th, n), `shared` those (th, n, first) in
+def near_copies(places: DataFrame, shared: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(th, g): texts that count as another one, g. `places` has every line (th, n), `shared` those (th, n, leaf, first) in
     leaves of several texts."""
     whole = places.groupBy("th").agg(F.count("*").alias("lines"), F.sum("n").alias("tokens"))
-    parts = shared.where("th <> first").groupBy("th", "first").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
-    best = parts.groupBy("th").agg(F.max(F.struct("c", "t", "first")).alias("x"), F.sum("c").alias("all_c"), F.sum("t").alias("all_t"))
-    most = "x.c * 2 > lines - (all_c - x.c) and x.t * 2 > tokens - (all_t - x.t)"
-    return best.join(whole, "th").where(most).select("th", F.col("x.first").alias("g"))
+    wide = shared.select("n", "leaf", "th").distinct().groupBy("n", "leaf").agg((F.count("*") >= min_docs).alias("wide")).where("wide")
+    parts = shared.join(wide, ["n", "leaf"], "left").groupBy("th", "first")
+    parts = parts.agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.sum(F.when(F.col("wide"), 0).otherwise(1)).alias("few"))
+    other = lambda c: F.when(F.col("th") != F.col("first"), c)
+    best = parts.groupBy("th").agg(
+        F.max(other(F.struct("c", "t", "first", "few"))).alias("x"), F.sum(other(F.col("c"))).alias("all_c"), F.sum(other(F.col("t"))).alias("all_t"),
+        F.sum("c").alias("shared_c"), F.sum("t").alias("shared_t"),
+    )
+    most = F.expr("x.c * 2 > lines - (all_c - x.c) and x.t * 2 > tokens - (all_t - x.t)")
+    nearly = (F.col("x.c") >= F.expr("x.c + lines - shared_c") * COPIED) & (F.col("x.t") >= F.expr("x.t + tokens - shared_t") * COPIED)
+    copied = (F.col("x.few") > 0) | (F.col("shared_c") == F.col("lines")) | (F.col("x.c") >= COPIED_LINES) & nearly
+    return best.where("x is not null").join(whole, "th").where(most & copied).select("th", F.col("x.first").alias("g"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -74,7 +88,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     places = materialise(_lines(docs).select("th", "pos", "n", "leaf"), "template-places")
     several = places.groupBy("n", "leaf").agg(F.min("th").alias("first"), F.max("th").alias("last")).where("first <> last").select("n", "leaf", "first")
     shared = materialise(places.join(several, ["n", "leaf"]).select("th", "n", "leaf", "first"), "template-shared")
-    copies = materialise(near_copies(places, shared), "template-copies")
+    copies = materialise(near_copies(places, shared, min_docs), "template-copies")
 
     # Leaves that enough texts reach, near copies counted once.
     counted = shared.select("n", "leaf", "th").join(copies, "th", "left").select("n", "leaf", F.coalesce("g", "th").alias("g"))

@@ -144,10 +144,12 @@ ORACLE_SQL: dict[str, str] = {
         idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT r) + 1)) + 0.01 AS weight
             FROM (SELECT DISTINCT unnest(words) AS word FROM templates) LEFT JOIN placed USING (word) GROUP BY word),
         bases AS (SELECT r, p.label, pos AS start FROM placed JOIN phrases p ON word = p.phrase[1] JOIN files USING (r) WHERE w[pos + 1 : pos + len(p.phrase)] = p.phrase),
-        founds AS (SELECT r, t, label, words, pos - key_at AS start FROM placed JOIN templates ON word = phrase[1] JOIN files USING (r) WHERE w[pos + 1 : pos + len(phrase)] = phrase),
-        spelled AS (SELECT r, t, label, start, unnest(words) AS word, unnest(range(len(words))) AS k FROM founds),
+        founds AS (SELECT r, t, label, words, key_at, len(phrase) AS key_n, pos - key_at AS start FROM placed JOIN templates ON word = phrase[1] JOIN files USING (r) WHERE w[pos + 1 : pos + len(phrase)] = phrase),
+        spelled AS (SELECT r, t, label, start, key_at, key_n, unnest(words) AS word, unnest(range(len(words))) AS k FROM founds),
+        near AS (SELECT *, k BETWEEN key_at - {license_scan.NEAR} AND key_at + key_n - 1 + {license_scan.NEAR} AND NOT k BETWEEN key_at AND key_at + key_n - 1 AS beside FROM spelled),
         covers AS (SELECT s.r, s.t, s.label, s.start, sum(CASE WHEN p.word = s.word THEN weight ELSE 0 END) / sum(weight) AS cover
-            FROM spelled s JOIN idf ON idf.word = s.word LEFT JOIN placed p ON p.r = s.r AND p.pos = s.start + k GROUP BY s.r, s.t, s.label, s.start),
+            FROM near s JOIN idf ON idf.word = s.word LEFT JOIN placed p ON p.r = s.r AND p.pos = s.start + k GROUP BY s.r, s.t, s.label, s.start
+            HAVING coalesce(sum(CASE WHEN p.word = s.word THEN weight ELSE 0 END) FILTER (beside), 0) >= {license_scan.SHARE} * coalesce(sum(weight) FILTER (beside), 0) - 1e-9),
         based AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS own FROM bases GROUP BY r),
         matched AS (SELECT r, list(DISTINCT label) AS found, max(cover) AS cover FROM covers GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
@@ -163,12 +165,14 @@ ORACLE_SQL: dict[str, str] = {
         lines AS (SELECT th, pos, words, len(words) AS n, words[1:3] AS heads FROM (
             SELECT th, pos, list_transform(string_split(trim(line), ' '), lambda w: CASE WHEN regexp_matches(w, '[0-9]|@|://') THEN '<*>' ELSE w END) AS words
             FROM cut WHERE trim(line) <> '')),
-        firsts AS (SELECT n, heads, min(th) AS first FROM lines GROUP BY n, heads HAVING count(DISTINCT th) > 1),
+        firsts AS (SELECT n, heads, min(th) AS first, count(DISTINCT th) < 10 AS narrow FROM lines GROUP BY n, heads HAVING count(DISTINCT th) > 1),
         whole AS (SELECT th, count(*) AS lines, sum(n) AS tokens FROM lines GROUP BY th),
-        parts AS (SELECT th, first, count(*) AS c, sum(n) AS t FROM lines JOIN firsts USING (n, heads) WHERE th <> first GROUP BY th, first),
-        best AS (SELECT *, sum(c) OVER (PARTITION BY th) AS all_c, sum(t) OVER (PARTITION BY th) AS all_t FROM parts
-            QUALIFY row_number() OVER (PARTITION BY th ORDER BY c DESC, t DESC, first DESC) = 1),
-        copies AS (SELECT th, first AS g FROM best JOIN whole USING (th) WHERE c * 2 > lines - (all_c - c) AND t * 2 > tokens - (all_t - t)),
+        parts AS (SELECT th, first, count(*) AS c, sum(n) AS t, count(*) FILTER (narrow) AS few FROM lines JOIN firsts USING (n, heads) GROUP BY th, first),
+        best AS (SELECT *, sum(c) FILTER (th <> first) OVER (PARTITION BY th) AS all_c, sum(t) FILTER (th <> first) OVER (PARTITION BY th) AS all_t,
+                sum(c) OVER (PARTITION BY th) AS shared_c, sum(t) OVER (PARTITION BY th) AS shared_t FROM parts
+            QUALIFY row_number() OVER (PARTITION BY th ORDER BY th = first, c DESC, t DESC, first DESC) = 1),
+        copies AS (SELECT th, first AS g FROM best JOIN whole USING (th) WHERE th <> first AND c * 2 > lines - (all_c - c) AND t * 2 > tokens - (all_t - t)
+                AND (few > 0 OR shared_c = lines OR c >= 4 AND c >= (c + lines - shared_c) * 0.8 AND t >= (t + tokens - shared_t) * 0.8)),
         grouped AS (SELECT l.*, coalesce(g, th) AS g FROM lines l LEFT JOIN copies USING (th)),
         leaves AS (SELECT n, heads, count(DISTINCT g) AS reach FROM grouped GROUP BY n, heads HAVING count(DISTINCT g) >= 10 OR n >= 12 AND count(DISTINCT g) >= 2),
         hot AS (SELECT * FROM grouped JOIN leaves USING (n, heads)),
