@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.canonical import row_json
 
 # Fixed values.
 GENESIS = "0" * 64
@@ -15,30 +15,51 @@ GRADES = ["S", "A", "B", "C"]
 TIME_TYPES = ["単発", "局面展開", "予定日"]
 
 
-def canonical_hash(row: dict) -> str:
-    """SHA-256 of JSON with sorted keys and no escapes."""
-    return hashlib.sha256(json.dumps(row, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
-
+def chain(rows: DataFrame, kind: str, order: str, after: tuple[int, str] = (0, GENESIS), by: list[str] | None = None) -> DataFrame:
+    """rows with _seq, _kind, _prev_hash and _hash, the SHA-256 of the row's canonical JSON without the hash itself; so each
+    hash covers the row's content and, by _prev_hash, all before it. With `by` each key has a chain of its own.
 
-def chain(rows: DataFrame, kind: str, order: str, after: tuple[int, str] = (0, GENESIS)) -> DataFrame:
-    """rows with _seq, _kind, _prev_hash and _hash, each hash covering the one before it. A chain is sequential
-    by nature: rows are one kind's new records of a night, in `order`, and run in one task."""
-    names = rows.columns
+    A chain is sequential by nature: its rows are one night's new records, in `order`, and run in one task. That task only
+    joins texts and hashes; what a hash covers is built before it, in parallel."""
+    keys = by or []
+    whole = rows.withColumns({"_kind": F.lit(kind), "_prev_hash": F.lit("")})
+    w = Window.partitionBy(*(keys or [F.lit(kind)])).orderBy(order)
+    whole = whole.withColumn("_seq", F.row_number().over(w).cast("long") + after[0])
+    before, rest = row_json(whole.schema, whole.columns, around="_prev_hash")
+    whole = whole.withColumns({"__before": before, "__rest": rest, "_hash": F.lit("")})
 
     def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        seq, prev = after
-        told = []
-        for r in pdf.to_dict("records"):
-            seq += 1
-            own = {n: None if r[n] is None else str(r[n]) for n in names} | {"_seq": seq, "_kind": kind, "_prev_hash": prev}
-            told.append((seq, kind, prev, canonical_hash(own)))
-            prev = told[-1][-1]
-        columns = zip(*told, strict=True) if told else ([], [], [], [])
-        return pdf.assign(**dict(zip(("_seq", "_kind", "_prev_hash", "_hash"), map(list, columns), strict=True)))
-
-    fields = [T.StructField("_seq", T.LongType()), T.StructField("_kind", T.StringType()), T.StructField("_prev_hash", T.StringType()), T.StructField("_hash", T.StringType())]
-    return rows.groupBy(F.lit(kind)).applyInPandas(run, T.StructType([*rows.schema.fields, *fields]))
+        pdf = pdf.sort_values("_seq").reset_index(drop=True)
+        prev, links, own = after[1], [], []
+        for a, b in zip(pdf["__before"], pdf["__rest"], strict=True):
+            links.append(prev)
+            prev = hashlib.sha256(f"{a}{prev}{b}".encode()).hexdigest()
+            own.append(prev)
+        return pdf.assign(_prev_hash=links, _hash=own)
+
+    chained = whole.groupBy(*(keys or ["_kind"])).applyInPandas(run, whole.schema)
+    return chained.select(*rows.columns, "_seq", "_kind", "_prev_hash", "_hash")
+
+
+def audit(rows: DataFrame, chain: list[str], after: tuple[int, str] = (0, GENESIS)) -> DataFrame:
+    """Rows of chains that aren't as they were written, with `problem`: `content` where the row's own hash, taken anew, isn't
+    the one it carries; `link` where the hash it carries of the row before isn't that row's; `number` where the number before
+    it is missing, or its own stands more than once. A row may have several. A last hash that was forged is told by the
+    content, so nothing outside the table is needed. Rows look up the one before by number; no chain is gathered."""
+    hashed = [c for c in rows.columns if c != "_hash"]
+    own = F.sha2(row_json(rows.schema, hashed).cast("binary"), 256)
+    before = rows.groupBy(*chain, (F.col("_seq") + 1).alias("_seq")).agg(F.max("_hash").alias("__before"))
+    twice = rows.groupBy(*chain, "_seq").agg(F.count("*").alias("__times")).where("__times > 1")
+    told = rows.withColumn("__own", own).join(before, [*chain, "_seq"], "left").join(twice, [*chain, "_seq"], "left")
+    first = F.col("_seq") == after[0] + 1
+    expected = F.when(first, F.lit(after[1])).otherwise(F.col("__before"))
+    problems = {
+        "number": (~first & F.col("__before").isNull()) | F.col("__times").isNotNull(),
+        "link": ~F.col("_prev_hash").eqNullSafe(expected),
+        "content": ~F.col("_hash").eqNullSafe(F.col("__own")),
+    }
+    found = F.array_compact(F.array(*[F.when(wrong, F.lit(name)) for name, wrong in problems.items()]))
+    return told.withColumn("problem", F.explode(found)).select(*rows.columns, "problem")
 
 
 def violations(checks: dict[str, Column]) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import state
+from ..operators import records, state
 from ..operators import tables as ops
+from ..plans import documents
+from ..shared import cut
 from . import base
 from .base import query
 
@@ -106,6 +108,105 @@ def hash_chain_audit(spark, d):
     return ops.chain_breaks(chained(spark, d), "conv_id", "seq", "prev", "own").select("conv_id", "turn")
 
 
+def written_turns(spark, d):
+    """Conversations as records: a chain each, as written."""
+    turns = base.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return records.chain(turns, "turn", "turn", by=["conv_id"])
+
+
+@query(
+    r"""WITH RECURSIVE body AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations),
+    json AS (SELECT *, ', "_seq": ' || seq || ', "conv_id": ' || conv_id || ', "role": ' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ', "text": ' AS front, ', "turn": ' || turn || '}' AS back FROM body),
+    linked AS (SELECT conv_id, seq, repeat('0', 64) AS prev, sha256('{"_kind": "turn", "_prev_hash": "' || repeat('0', 64) || '"' || front || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || back) AS own FROM json WHERE seq = 1
+        UNION ALL SELECT j.conv_id, j.seq, l.own, sha256('{"_kind": "turn", "_prev_hash": "' || l.own || '"' || front || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || back) FROM linked l JOIN json j ON j.conv_id = l.conv_id AND j.seq = l.seq + 1),
+    stored AS (SELECT j.conv_id, j.seq, j.front, j.back, CASE WHEN j.conv_id % 11 = 1 AND j.seq = 2 THEN coalesce(text, '') || '!' ELSE text END AS text,
+            CASE WHEN j.conv_id % 11 = 2 AND j.seq = 2 THEN repeat('f', 64) ELSE prev END AS prev,
+            CASE WHEN j.conv_id % 11 = 3 AND j.seq = max(j.seq) OVER (PARTITION BY j.conv_id) THEN repeat('e', 64) ELSE own END AS own
+        FROM json j JOIN linked USING (conv_id, seq)),
+    kept AS (SELECT *, sha256('{"_kind": "turn", "_prev_hash": "' || prev || '"' || front || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || back) AS anew FROM stored WHERE NOT (conv_id % 11 = 4 AND seq = 2)),
+    met AS (SELECT k.*, b.own AS before FROM kept k LEFT JOIN kept b ON b.conv_id = k.conv_id AND b.seq = k.seq - 1)
+    SELECT conv_id, seq AS _seq, 'number' AS problem FROM met WHERE seq > 1 AND before IS NULL
+    UNION ALL SELECT conv_id, seq, 'link' FROM met WHERE prev IS DISTINCT FROM CASE WHEN seq = 1 THEN repeat('0', 64) ELSE before END
+    UNION ALL SELECT conv_id, seq, 'content' FROM met WHERE own <> anew"""
+)
+def record_audit(spark, d):
+    """WIN8, VAL6, SC28, SNK7: chains of whole records; of every eleven conversations one has a changed text, one a wrong
+    link, one a forged last hash, one a missing record, and each of these is told by its kind."""
+    from pyspark.sql import Window
+
+    k, last = F.col("conv_id") % 11, F.max("_seq").over(Window.partitionBy("conv_id"))
+    stored = written_turns(spark, d).withColumn("__last", last)
+    second = F.col("_seq") == 2
+    forged = stored.withColumns(
+        {
+            "text": F.when((k == 1) & second, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")),
+            "_prev_hash": F.when((k == 2) & second, F.repeat(F.lit("f"), 64)).otherwise(F.col("_prev_hash")),
+            "_hash": F.when((k == 3) & (F.col("_seq") == F.col("__last")), F.repeat(F.lit("e"), 64)).otherwise(F.col("_hash")),
+        }
+    ).where(~((k == 4) & second))
+    return records.audit(cut(forged.drop("__last")), ["conv_id"]).select("conv_id", "_seq", "problem")
+
+
+# What an order should look like as a document; many don't.
+ORDER_FORM = documents.record(
+    {
+        "key": {"type": "integer"}, "date": documents.DAY, "status": documents.one_of("F", "O"), "total": {"type": "number"},
+        "priority": {"type": "string", "minLength": 6, "pattern": "^[1-4]-"},
+        "lines": documents.listed(
+            documents.record({"no": documents.FROM_ONE, "quantity": {"type": "integer", "maximum": 45}, "discount": {"type": "number", "minimum": 0.01}, "flag": documents.one_of("A", "N")}),
+            minItems=1, maxItems=6,
+        ),
+    },
+    {"remark": documents.or_null("string")},
+)
+
+
+def order_documents(spark, d):
+    """(o_orderkey, text): orders with their lines as JSON; some lack the date or have it in another form, have a total in quotes, a
+    key that isn't known or no closing brace."""
+    k = F.col("o_orderkey")
+    line = F.struct(F.col("l_linenumber").alias("no"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag"))
+    lines = base.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))  # an order's own lines
+    o = base.read(spark, d, "orders").join(lines, "o_orderkey", "left")
+    day = F.when(k % 29 == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    fields = [
+        k.alias("key"), F.when(k % 19 != 0, day).alias("date"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+        F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"), F.when(k % 23 == 0, "x").alias("note"),
+    ]
+    quoted = F.to_json(F.struct(*fields, F.col("o_totalprice").cast("string").alias("total")))
+    plain = F.to_json(F.struct(*fields, F.col("o_totalprice").alias("total")))
+    text = F.when(k % 17 == 0, quoted).otherwise(plain)
+    return o.select("o_orderkey", F.when(k % 101 == 0, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text).alias("text"))
+
+
+@query(
+    """WITH lines AS (SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_returnflag) - 1 AS i, l_linenumber, l_quantity, l_discount, l_returnflag FROM lineitem),
+    sizes AS (SELECT o_orderkey, count(*) AS n FROM lines GROUP BY 1),
+    found AS (
+        SELECT o_orderkey, '' AS k1, -1 AS i, '' AS k2, '(全体)' AS path, 'date is required' AS text FROM orders WHERE o_orderkey % 19 = 0
+        UNION ALL SELECT o_orderkey, '', -1, '', '(全体)', 'not allowed: note' FROM orders WHERE o_orderkey % 23 = 0
+        UNION ALL SELECT o_orderkey, 'date', -1, '', 'date', 'not a date' FROM orders WHERE o_orderkey % 29 = 0 AND o_orderkey % 19 <> 0
+        UNION ALL SELECT o_orderkey, 'lines', -1, '', 'lines', 'fewer than 1 items' FROM orders ANTI JOIN sizes USING (o_orderkey)
+        UNION ALL SELECT o_orderkey, 'lines', -1, '', 'lines', 'more than 6 items' FROM sizes WHERE n > 6
+        UNION ALL SELECT o_orderkey, 'lines', i, 'discount', 'lines/' || i || '/discount', 'less than the minimum of 0.01' FROM lines WHERE l_discount < 0.01
+        UNION ALL SELECT o_orderkey, 'lines', i, 'flag', 'lines/' || i || '/flag', 'not one of A, N' FROM lines WHERE l_returnflag NOT IN ('A', 'N')
+        UNION ALL SELECT o_orderkey, 'lines', i, 'quantity', 'lines/' || i || '/quantity', 'greater than the maximum of 45' FROM lines WHERE l_quantity > 45
+        UNION ALL SELECT o_orderkey, 'lines', i, 'quantity', 'lines/' || i || '/quantity', 'not of type integer' FROM lines WHERE l_quantity <> floor(l_quantity)
+        UNION ALL SELECT o_orderkey, 'priority', -1, '', 'priority', 'doesn''t match ^[1-4]-' FROM orders WHERE o_orderpriority[1] NOT IN ('1', '2', '3', '4')
+        UNION ALL SELECT o_orderkey, 'priority', -1, '', 'priority', 'shorter than 6' FROM orders WHERE length(o_orderpriority) < 6
+        UNION ALL SELECT o_orderkey, 'status', -1, '', 'status', 'not one of F, O' FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+        UNION ALL SELECT o_orderkey, 'total', -1, '', 'total', 'not of type number' FROM orders WHERE o_orderkey % 17 = 0),
+    told AS (SELECT o_orderkey, count(*) AS n, string_agg(path || ': ' || text, ' | ' ORDER BY k1, i, k2, text) AS errors FROM found GROUP BY 1)
+    SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE coalesce(n, 0) END AS INTEGER) AS n_errors,
+        CASE WHEN o_orderkey % 101 = 0 THEN '(全体): not JSON' ELSE coalesce(errors, '') END AS errors FROM orders LEFT JOIN told USING (o_orderkey)"""
+)
+def document_errors(spark, d):
+    """VAL1, VAL8, SRC26: what is wrong with each document by its schema, sorted by path: kinds, values, bounds, lengths, patterns,
+    dates, missing and unknown keys, and texts that are no JSON."""
+    told = documents.checked(order_documents(spark, d), ORDER_FORM)
+    return told.select("o_orderkey", F.size("errors").alias("n_errors"), F.array_join("errors", " | ").alias("errors"))
+
+
 @query(
     """WITH r AS (SELECT user_id, event_id AS s, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'signup' THEN 0 WHEN event_type IN ('view', 'click', 'purchase') THEN 3 ELSE 4 END AS k, event_type, event_id AS i,
         CASE event_type WHEN 'view' THEN '強化' WHEN 'click' THEN '起動' ELSE CASE WHEN event_id % 50 = 0 THEN '消滅' ELSE '弱体化' END END AS change,
