@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import records
+from ..operators.ranks import numbered
+from ..shared import cut
 from ..sources import masters
 
 
@@ -28,14 +30,9 @@ class Known:
 
 
 def numbers(scenarios: DataFrame, n_known: int) -> DataFrame:
-    """scenarios (doc, ref, ...) with scenario_id: SC and a running number in order of doc and ref. Numbers run within a
-    document; the documents' offsets come from one row each."""
-    counts = scenarios.groupBy("doc").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)  # a row for each document of the night
-    offsets = counts.select("doc", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("doc").orderBy("ref"))
-    out = scenarios.withColumn("__own", own).join(offsets, "doc")
-    return out.withColumn("scenario_id", F.format_string("SC%04d", F.col("__own") + F.col("__before") + n_known)).drop("__own", "__before")
+    """scenarios (doc, ref, ...) with scenario_id: SC and a running number in order of doc and ref, after the known ones."""
+    told = numbered(scenarios, [F.asc("doc"), F.asc("ref")], "__n")
+    return told.withColumn("scenario_id", F.format_string("SC%04d", F.col("__n") + n_known)).drop("__n")
 
 
 def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int) -> dict[str, DataFrame]:
@@ -50,11 +47,11 @@ def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, ev
     broken = bad(scenarios.join(n, ["doc", "ref"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0))), records.scenario_checks())
     broken = broken.unionByName(bad(candidates, records.candidate_checks())).distinct()
     again = documents.join(known.documents, "doc", "left_semi").join(broken.select("doc"), "doc", "left_anti").select("doc", F.lit("committed before").alias("error"))
-    errors = broken.unionByName(again).groupBy("doc").agg(F.array_sort(F.collect_set("error")).alias("errors"))  # at most a name for each check
+    errors = cut(broken.unionByName(again).groupBy("doc").agg(F.array_sort(F.collect_set("error")).alias("errors")))  # at most a name for each check
     ok = lambda df: df.join(errors, "doc", "left_anti")
 
-    numbered = numbers(ok(scenarios), n_known)
-    ids = numbered.select("doc", F.col("ref").cast("string").alias("scenario"), F.col("scenario_id").alias("__new"))
+    given = cut(numbers(ok(scenarios), n_known))
+    ids = given.select("doc", F.col("ref").cast("string").alias("scenario"), F.col("scenario_id").alias("__new"))
     old = known.scenarios.select(F.col("scenario_id").alias("scenario")).distinct().withColumn("__old", F.col("scenario"))
 
     def resolved(df):
@@ -64,15 +61,15 @@ def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, ev
 
     three = F.array_sort(F.array("low", "median", "high"))
     days = F.when(F.col("time_type") == "単発", F.least(F.greatest("expected_days", F.lit(SHORTEST)), F.lit(LONGEST))).otherwise(F.col("expected_days"))
-    scenario = numbered.select(
+    scenario = given.select(
         "doc", "ref", "scenario_id", "time_type", days.alias("expected_days"), three[0].alias("low"), three[1].alias("median"), three[2].alias("high"),
         F.when(F.col("started"), "進行中").otherwise("待機").alias("status"), F.lit(1).alias("version"),
     )
-    told = masters.reconcile(ok(candidates), names, aliases).join(numbered.select("doc", "ref", "scenario_id"), ["doc", "ref"])
+    told = masters.reconcile(ok(candidates), names, aliases).join(given.select("doc", "ref", "scenario_id"), ["doc", "ref"])
     place = F.row_number().over(Window.partitionBy("scenario_id").orderBy("no", "code"))
     accepted = told.where("ok").withColumn("candidate_id", F.concat("scenario_id", F.lit("-"), place.cast("string"))).drop("ok", "reason")
     rejected = told.where("not ok").select("doc", "scenario_id", "code", "company_name", "reason")
-    proof = resolved(evidence)
+    proof = cut(resolved(evidence))
     support = proof.where("supports = 'for' and source_tier <= 2").select("scenario_id", "arrow_no").unionByName(known.support.select("scenario_id", "arrow_no"))
     seen = records.downgrade(resolved(statuses), support.withColumns({"supports": F.lit("for"), "source_tier": F.lit(1)}))
     kept = ok(updates).join(known.scenarios.select("scenario_id").distinct(), "scenario_id", "left_semi")

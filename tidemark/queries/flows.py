@@ -9,17 +9,18 @@ from .. import calendar
 from ..operators import prices as ops
 from ..operators import state
 from ..plans import commit as commits
-from ..plans import nightly
+from ..plans import nightly, tracking
+from ..shared import cut
 from . import base
 from .base import query
 
-# The commit: a customer's orders are one night's document, orders its scenarios, lines its candidates and evidence.
-_DOCS = """sc AS (SELECT o_custkey AS doc, o_orderkey AS ref, ['単発', '局面展開', '予定日'][o_orderkey % 3 + 1] AS time_type, CAST(o_orderkey % 62 + CASE WHEN o_orderkey % 997 = 0 THEN 0 ELSE 1 END AS INTEGER) AS expected_days,
-        o_orderkey % 7 AS low, o_orderkey % 5 AS median, o_orderkey % 3 AS high, o_orderstatus = 'F' AS started FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 5)),
+# The commit: a customer's orders of a month are one night's document, orders its scenarios, lines its candidates and evidence.
+_DOCS = """sc AS (SELECT o_custkey * 12 + month(o_orderdate) - 1 AS doc, o_orderkey AS ref, ['単発', '局面展開', '予定日'][o_orderkey % 3 + 1] AS time_type, CAST(o_orderkey % 62 + CASE WHEN o_orderkey % 997 = 0 THEN 0 ELSE 1 END AS INTEGER) AS expected_days,
+        o_orderkey % 7 AS low, o_orderkey % 5 AS median, o_orderkey % 3 AS high, o_orderstatus = 'F' AS started FROM orders),
     docs AS (SELECT DISTINCT doc FROM sc),
-    ca AS (SELECT o_custkey AS doc, o_orderkey AS ref, l_linenumber AS no, l_suppkey AS code, l_suppkey IN (SELECT s_suppkey FROM supplier) AS known, l_linenumber % 4 <> 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier) AS named FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 5),
-    ev AS (SELECT o_custkey AS doc, o_orderkey AS ref, l_linenumber AS arrow_no, l_returnflag <> 'R' AS supports, l_linenumber % 4 + 1 AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    broken AS (SELECT doc, 'expected_days' AS error FROM sc WHERE NOT expected_days BETWEEN 1 AND 60 UNION SELECT doc, 'n_candidates' FROM ca GROUP BY doc, ref HAVING count(*) > 5),
+    ca AS (SELECT o_custkey * 12 + month(o_orderdate) - 1 AS doc, o_orderkey AS ref, l_linenumber AS no, l_suppkey AS code, l_suppkey IN (SELECT s_suppkey FROM supplier) AS known, l_linenumber % 4 <> 0 AND l_suppkey IN (SELECT s_suppkey FROM supplier) AS named FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    ev AS (SELECT o_custkey * 12 + month(o_orderdate) - 1 AS doc, o_orderkey AS ref, l_linenumber AS arrow_no, l_returnflag <> 'R' AS supports, l_linenumber % 4 + 1 AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    broken AS (SELECT doc, 'expected_days' AS error FROM sc WHERE NOT expected_days BETWEEN 1 AND 60 UNION SELECT doc, 'n_candidates' FROM sc LEFT JOIN ca USING (doc, ref) GROUP BY doc, ref HAVING NOT count(no) BETWEEN 1 AND 5),
     errors AS (SELECT doc, string_agg(error, ',' ORDER BY error) AS error FROM broken GROUP BY doc),
     refused AS (SELECT doc, error FROM errors UNION SELECT doc, 'committed before' FROM docs WHERE doc % 13 = 0 AND doc NOT IN (SELECT doc FROM errors)),
     ids AS (SELECT doc, ref, 'SC' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS id FROM (
@@ -35,23 +36,22 @@ _DOCS = """sc AS (SELECT o_custkey AS doc, o_orderkey AS ref, ['単発', '局面
     UNION ALL SELECT 'rejected_candidate', id, CAST(code AS VARCHAR) || CASE WHEN known THEN '|name differs' ELSE '|unknown code' END FROM ca JOIN ids USING (doc, ref) WHERE NOT named
     UNION ALL SELECT 'evidence', id, CAST(arrow_no AS VARCHAR) || '|' || tier FROM ev JOIN ids USING (doc, ref)
     UNION ALL SELECT 'check_plan', id, CAST(arrow_no AS VARCHAR) || '|' || CASE WHEN bool_or(supports AND tier <= 2) OVER (PARTITION BY id, arrow_no) THEN '確認' ELSE '未確認' END FROM ev JOIN ids USING (doc, ref)
-    UNION ALL SELECT 'scenario_update', 'SC' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0'), CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey NOT IN (SELECT doc FROM refused) AND o_orderkey % 50 BETWEEN 1 AND 40"""
+    UNION ALL SELECT 'scenario_update', 'SC' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0'), CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey * 12 + month(o_orderdate) - 1 NOT IN (SELECT doc FROM refused) AND o_orderkey % 50 BETWEEN 1 AND 40"""
 )
 def commit_kinds(spark, d):
     """VAL1-2, STF10, FLT10, SC22-23, JN22: rows of each record kind that the commit of all documents writes."""
     o, li = base.read(spark, d, "orders"), base.read(spark, d, "lineitem")
     k, no = F.col("o_orderkey"), F.col("l_linenumber")
-    doc = F.col("o_custkey").alias("doc")
-    lines = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == k)
-    few = lines.where("l_linenumber <= 5")
+    doc = (F.col("o_custkey") * 12 + F.month("o_orderdate") - 1).alias("doc")
+    lines = li.join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == k)
     span = (k % 62 + F.when(k % 997 == 0, 0).otherwise(1)).cast("int")
-    scenarios = o.join(few.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select(
+    scenarios = o.select(
         doc, k.alias("ref"), F.element_at(F.array(*map(F.lit, ["単発", "局面展開", "予定日"])), (k % 3 + 1).cast("int")).alias("time_type"), span.alias("expected_days"),
         (k % 7).alias("low"), (k % 5).alias("median"), (k % 3).alias("high"), (F.col("o_orderstatus") == "F").alias("started"),
     )
     code = F.lpad(F.col("l_suppkey").cast("string"), 4, "0")
     s = base.read(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("code"), F.col("s_name").alias("master_name"))
-    candidates = few.join(s.select(F.col("code").alias("__c"), "master_name"), F.col("__c") == code, "left").select(
+    candidates = lines.join(s.select(F.col("code").alias("__c"), "master_name"), F.col("__c") == code, "left").select(
         doc, k.alias("ref"), no.alias("no"), code.alias("code"), F.coalesce(F.when(no % 4 != 0, F.concat(F.lit("株式会社 "), "master_name")), F.lit("other")).alias("company_name"),
         F.lit(0.5).alias("realization_prob"), F.lit(1).alias("stage"), F.lit("long").alias("side"),
     )
@@ -76,14 +76,14 @@ def commit_kinds(spark, d):
     return whole
 
 
-# The nightly transition on one day: picks of the nine months before, each a scenario of one candidate.
-DAY, SINCE = "1998-03-03", "1997-06-01"
+# The nightly transition on one day: all picks up to it, each a scenario of one candidate.
+DAY = "1998-03-03"
 for _name in ("px", "idx"):
     base.CTE[f"{_name}_day"] = base.CTE[_name].replace(f"{_name} AS (", f"{_name} AS (SELECT * FROM (", 1) + f" WHERE date <= DATE '{DAY}')"
 
 _NIGHT = f"""night AS (SELECT p.*, s.bd_seq AS s0, n.bd_seq AS s1, x.d AS next_day, CAST(p.scenario_id % 3 + 1 AS INTEGER) AS stage, p.scenario_id % 7 <> 0 AS started,
         substring('SABC', CAST(p.scenario_id % 4 + 1 AS INTEGER), 1) AS grade, p.scenario_id % 10 = 0 AS unchecked
-        FROM picks p JOIN cal s ON s.d = first_date JOIN cal n ON n.d = DATE '{DAY}' JOIN cal x ON x.is_bd AND x.bd_seq = s.bd_seq + 1 WHERE first_date BETWEEN DATE '{SINCE}' AND DATE '{DAY}'),
+        FROM picks p JOIN cal s ON s.d = first_date JOIN cal n ON n.d = DATE '{DAY}' JOIN cal x ON x.is_bd AND x.bd_seq = s.bd_seq + 1 WHERE first_date <= DATE '{DAY}'),
     asof_night AS (SELECT n.*, n.s1 - n.s0 AS elapsed, (c1.close / c0.close - 1) - (b1.b_on / b0.b_before - 1) AS excess
         FROM night n ASOF LEFT JOIN px c0 ON n.code = c0.code AND c0.date < n.first_date LEFT JOIN (SELECT code, arg_max(close, date) AS close FROM px GROUP BY code) c1 ON c1.code = n.code
         LEFT JOIN bday b0 ON b0.b_date = n.first_date LEFT JOIN bday b1 ON b1.b_date = DATE '{DAY}'),
@@ -114,7 +114,7 @@ def _night(spark, d):
     by_day = ops.benchmark_by_day(index, cal)
     sigma = ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma")
     k = F.col("scenario_id")
-    night = base.picks(spark, d).where(F.col("first_date").between(SINCE, DAY)).withColumns(
+    night = base.picks(spark, d).where(F.col("first_date") <= F.lit(DAY).cast("date")).withColumns(
         {"stage": (k % 3 + 1).cast("int"), "started": k % 7 != 0, "grade": F.substring(F.lit("SABC"), (k % 4 + 1).cast("int"), F.lit(1)), "unchecked": k % 10 == 0, "day": F.lit(DAY).cast("date")}
     )
     return nightly.transition(night, prices, index, sigma, by_day, cal)
@@ -122,7 +122,7 @@ def _night(spark, d):
 
 @query(f"SELECT * FROM (WITH {_NIGHT} SELECT kind, scenario_id, detail FROM night_rows)", NIGHT)
 def nextday_transition(spark, d):
-    """PIP5, STF3-4, STF8-9, TOP4, JN15, JN17, JN24: what one night writes, in order: final grades (or waiting), endings,
+    """PIP5, STF3-4, TOP4, JN15, JN24: what one night writes, in order: final grades (or waiting), endings,
     scenarios beyond the cap, moves, sell signals."""
     return _night(spark, d)
 
@@ -134,6 +134,92 @@ def nextday_counts(spark, d):
     return _night(spark, d).groupBy(kind.alias("counter")).agg(F.count("*").alias("n"))
 
 
+# Two nights in a row; on the second the feed of some codes gives nothing.
+NIGHTS = ("1998-03-03", "1998-03-04")
+for _name in ("px", "idx"):
+    base.CTE[f"{_name}_last"] = base.CTE[_name].replace(f"{_name} AS (", f"{_name} AS (SELECT * FROM (", 1) + f" WHERE date <= DATE '{NIGHTS[1]}')"
+
+
+def _night_sql(n: int) -> str:
+    """A night's tables after those of the night before (n - 1)."""
+    b = n - 1
+    return f"""fed{n} AS (SELECT * FROM px WHERE date <= DATE '{NIGHTS[b]}' AND NOT ({n} = 2 AND code % 6 = 1)),
+    ev{n} AS (SELECT p.scenario_id, p.code, p.first_date, p.expected_days, p.median, p.prob, CAST(p.scenario_id % 3 + 1 AS INTEGER) AS stage, p.scenario_id % 7 <> 0 AS started, t.bd_seq - s.bd_seq AS elapsed,
+        (c1.close / c0.close - 1) - (b1.b_on / b0.b_before - 1) AS excess, o.status AS old_status, o.reason AS old_reason, l.priced AS last_priced, coalesce(w.weakened, false) AS weakened, coalesce(w.broken, false) AS broken,
+        EXISTS (SELECT 1 FROM sig g WHERE g.code = p.code AND sigma >= 2 AND g.date BETWEEN p.first_date AND DATE '{NIGHTS[b]}' AND NOT ({n} = 2 AND p.code % 6 = 1)) AS hit
+        FROM picks p JOIN cal s ON s.d = p.first_date JOIN cal t ON t.d = DATE '{NIGHTS[b]}'
+        ASOF LEFT JOIN fed{n} c0 ON p.code = c0.code AND c0.date < p.first_date LEFT JOIN (SELECT code, arg_max(close, date) AS close FROM fed{n} GROUP BY code) c1 ON c1.code = p.code
+        LEFT JOIN bday b0 ON b0.b_date = p.first_date LEFT JOIN bday b1 ON b1.b_date = DATE '{NIGHTS[b]}' LEFT JOIN status{b} o USING (scenario_id) LEFT JOIN snap{b} l USING (scenario_id)
+        LEFT JOIN (SELECT scenario_id, bool_or(type IN ('弱体化', '消滅')) AS weakened, bool_or(type = '消滅') AS broken FROM upd WHERE night <= {n} GROUP BY 1) w USING (scenario_id)
+        WHERE p.first_date <= DATE '{NIGHTS[b]}'),
+    told{n} AS (SELECT *, NOT started OR excess IS NOT NULL AS seen, CASE WHEN NOT started THEN 0 WHEN excess IS NOT NULL THEN greatest(0, excess / median) ELSE coalesce(last_priced, 0) END AS priced FROM ev{n}),
+    ends{n} AS (SELECT *, CASE WHEN broken THEN 'シナリオが崩れた' WHEN NOT started AND elapsed >= 60 THEN '起動しなかった' WHEN NOT started THEN NULL WHEN priced >= 0.8 THEN '織り込みが完了した'
+        WHEN elapsed > expected_days AND NOT hit THEN '材料が弱かった' WHEN elapsed > expected_days AND hit AND stage < 2 THEN '連想が市場に届かなかった' END AS end_reason,
+        round(prob * median * greatest(0, 1 - priced) * CASE WHEN started THEN greatest(0, 1 - elapsed / expected_days) ELSE 1 END, 9) AS confidence FROM told{n} WHERE old_status IS NULL),
+    open{n} AS (SELECT *, row_number() OVER (ORDER BY confidence, scenario_id) <= count(*) OVER () - 15 AS dormant FROM ends{n} WHERE end_reason IS NULL),
+    new_status{n} AS (SELECT scenario_id, '終了' AS status, end_reason AS reason FROM ends{n} WHERE end_reason IS NOT NULL UNION ALL SELECT scenario_id, '休眠', NULL FROM open{n} WHERE dormant),
+    status{n} AS (SELECT * FROM new_status{n} UNION ALL SELECT * FROM status{b}),
+    new_snap{n} AS (SELECT scenario_id, priced FROM open{n} WHERE NOT dormant AND seen),
+    snap{n} AS (SELECT * FROM new_snap{n} UNION ALL SELECT * FROM snap{b} ANTI JOIN new_snap{n} USING (scenario_id)),
+    sg{n} AS (SELECT scenario_id, elapsed, array_to_string(list_filter([
+            CASE WHEN weakened OR coalesce(reason IN ('材料が弱かった', '連想が市場に届かなかった', 'シナリオが崩れた'), false) OR reason IS NOT NULL AND priced < 0.7 THEN 'シナリオが弱体化・終了した' END,
+            CASE WHEN priced >= 0.7 THEN '織り込み度が70%以上(完了が近い)' END, CASE WHEN active AND seen AND started AND expected_days - elapsed <= 2 THEN '想定期間の終わりが近い' END], lambda x: x IS NOT NULL), '|') AS signals
+        FROM (SELECT t.*, coalesce(e.end_reason, CASE WHEN t.old_status = '終了' THEN t.old_reason END) AS reason, coalesce(NOT q.dormant, false) AS active
+            FROM told{n} t LEFT JOIN ends{n} e USING (scenario_id) LEFT JOIN open{n} q USING (scenario_id))),
+    new_sig{n} AS (SELECT scenario_id, signals FROM sg{n} LEFT JOIN (SELECT scenario_id, signals AS before FROM signal{b}) USING (scenario_id) WHERE signals <> '' AND elapsed <= 60 AND signals IS DISTINCT FROM before),
+    signal{n} AS (SELECT * FROM new_sig{n} UNION ALL SELECT * FROM signal{b} ANTI JOIN new_sig{n} USING (scenario_id)),
+    new_move{n} AS (SELECT h.scenario_id, min(CASE WHEN excess >= 0.05 THEN day END) AS moved_at FROM hits h JOIN picks p USING (scenario_id)
+        WHERE day <= DATE '{NIGHTS[b]}' AND p.first_date < DATE '{NIGHTS[b]}' AND NOT ({n} = 2 AND h.code % 6 = 1) AND h.scenario_id NOT IN (SELECT scenario_id FROM move{b}) GROUP BY 1 HAVING bool_or(excess >= 0.10)),
+    move{n} AS (SELECT scenario_id FROM new_move{n} UNION ALL SELECT scenario_id FROM move{b}),
+    rows{n} AS (SELECT '{NIGHTS[b]}' AS night, status AS kind, scenario_id, coalesce(reason, '') AS detail FROM new_status{n}
+        UNION ALL SELECT '{NIGHTS[b]}', 'snapshot', scenario_id, CAST(CAST(round(priced * 1000000) AS BIGINT) AS VARCHAR) FROM new_snap{n} UNION ALL SELECT '{NIGHTS[b]}', 'sell_signal', scenario_id, signals FROM new_sig{n}
+        UNION ALL SELECT '{NIGHTS[b]}', 'moved', scenario_id, strftime(moved_at, '%Y-%m-%d') FROM new_move{n}
+        UNION ALL SELECT '{NIGHTS[b]}', 'picked', scenario_id, strftime(first_date, '%Y-%m-%d') FROM picks WHERE first_date <= DATE '{NIGHTS[b]}' AND first_date >= DATE '{NIGHTS[0]}' AND ({n} = 1 OR first_date > DATE '{NIGHTS[0]}'))"""
+
+
+_TWO = f"""upd AS (SELECT scenario_id, scenario_id % 4 + 1 AS night, CASE WHEN priority = '5-LOW' THEN '弱体化' WHEN priority = '4-NOT SPECIFIED' THEN '消滅' ELSE '強化' END AS type FROM picks),
+    status0 AS (SELECT scenario_id, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS reason FROM picks WHERE false), signal0 AS (SELECT scenario_id, '' AS signals FROM picks WHERE false),
+    move0 AS (SELECT scenario_id FROM picks WHERE false), snap0 AS (SELECT scenario_id, scenario_id % 100 / 100.0::DOUBLE AS priced FROM picks WHERE scenario_id % 2 = 0 AND first_date < DATE '{NIGHTS[0]}'),
+    {_night_sql(1)}, {_night_sql(2)}"""
+
+
+@query(f"SELECT * FROM (WITH {_TWO} SELECT * FROM rows1 UNION ALL SELECT * FROM rows2)", ("px_last", "idx_last", "cal", "bday", "feat", "sig", "picks", "moved"))
+def two_nights(spark, d):
+    """STF7-9, PIP4-5, JN17: what two nights in a row write to the tables of snapshots, tracking and statuses. Before the first,
+    all earlier picks are tracked and half of them have a snapshot. The second night ends only what the first left open, repeats
+    no signal, move or pick, and takes the last snapshot for codes whose feed gives nothing."""
+    cal, k = calendar.dimension(spark), F.col("scenario_id")
+    first, second = (F.lit(n).cast("date") for n in NIGHTS)
+    prices = cut(base.prices(spark, d).where(F.col("date") <= second))
+    by_day = cut(ops.benchmark_by_day(base.benchmark(spark, d).where(F.col("date") <= second), cal))
+    sigma = cut(ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma"))
+    picks = cut(base.picks(spark, d).where(F.col("first_date") <= second).withColumns({"stage": (k % 3 + 1).cast("int"), "started": k % 7 != 0}))
+    kind = F.when(F.col("priority") == "5-LOW", tracking.WEAKENING).when(F.col("priority") == "4-NOT SPECIFIED", tracking.BREAKING).otherwise("強化")
+    updates = picks.select("scenario_id", (k % 4 + 1).alias("n"), kind.alias("type"))
+    past, earlier = F.date_sub(first, 1).alias("night"), picks.where(F.col("first_date") < first)
+    kept = tracking.Kept(
+        earlier.where(k % 2 == 0).select(past, "scenario_id", "code", (k % 100 / F.lit(100.0)).alias("priced")),
+        earlier.select(past, "scenario_id", "code", F.lit("picked").alias("event"), F.date_format("first_date", "yyyy-MM-dd").alias("detail")),
+        earlier.where(F.lit(False)).select(past, "scenario_id", F.lit("").alias("status"), F.lit("").alias("reason")),
+    )
+    new = []
+    for n, (day, fed) in enumerate(zip(NIGHTS, (F.lit(True), F.col("code") % 6 != 1), strict=True), 1):
+        up_to = lambda c, day=day: F.col(c) <= F.lit(day).cast("date")
+        new.append(tracking.night(day, picks.where(up_to("first_date")), updates.where(F.col("n") <= n), prices.where(up_to("date") & fed), sigma.where(up_to("date") & fed), by_day, cal, kept))
+        kept = kept.plus(new[-1])
+    row = lambda t, kind, detail: t.select(F.date_format("night", "yyyy-MM-dd").alias("night"), kind.alias("kind"), "scenario_id", detail.alias("detail"))
+    parts = []
+    for t in new:
+        parts += [
+            row(t.statuses, F.col("status"), F.coalesce("reason", F.lit(""))), row(t.tracking, F.col("event"), F.col("detail")),
+            row(t.snapshots, F.lit("snapshot"), F.round(F.col("priced") * 1000000).cast("long").cast("string")),
+        ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query(
     """SELECT s.scenario_id, s.code, coalesce(max(g.date) >= s.first_date, false) AS reacted FROM picks s
     LEFT JOIN sig g ON g.code = s.code AND g.sigma >= 2 AND g.date <= CAST(s.first_date + s.expected_days AS DATE) GROUP BY s.scenario_id, s.code, s.first_date""",
