@@ -82,6 +82,21 @@ def test_held_out_labelled_pages():
     assert ((f.marginals(*model) >= 0.5) == f.gold).mean() > 0.98
 
 
+def test_short_and_bare_pages_keep_their_text():
+    """Pages of little more than their article: no text is lost for want of surroundings, and what isn't the article still goes."""
+    told = {
+        "<article><p>One two three four five six seven eight nine ten eleven twelve.</p></article>": "One two three four five six seven eight nine ten eleven twelve.",
+        "<article>Hello<div class='ad'>Buy now</div>world</article>": "Hello world",
+        "<main>Plain line<br>another line<br>third line</main>": "Plain line another line third line",
+        "<html><body><p>A first plain paragraph of some words.</p><p>And a second one that follows it.</p></body></html>": "A first plain paragraph of some words. And a second one that follows it.",
+        "<article><p>Some text of the page here.</p></article><div role=contentinfo>(c) 2024</div>": "Some text of the page here.",
+        "<html><body><nav><a href=/>Home</a> <a href=/b>News</a></nav><footer>(c) 2020</footer></body></html>": "",
+        "<body><div class=menu><a href=/>a</a></div><div class='ad'>Buy</div></body>": "",
+        "<body><h1>Title of it</h1><p>One paragraph.</p></body>": "Title of it One paragraph.",
+    }
+    assert html_extract.main_texts(list(told), html_extract.default_model()) == list(told.values())
+
+
 def test_extract_keeps_rows_and_columns(spark):
     out = html_extract.extract(pages(spark))
     assert out.columns == ["page_id", "url", "path", "text"] and out.count() == 7

@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The block elements of a page are the nodes of a tree with a binary label each (content or not). A node's
-own potential is log-linear in its tag, hints in class, id and role, and the form of its text; a potential
+own potential is log-linear in its tag, hints in class, id and role, the form of its text, its share of the page's text and
+whether the page names an article at all; a potential
 of each parent-child pair couples their labels, apart for children with hints of their own and those without.
 Sum-product messages, upward and then downward, give each node's exact content marginal; both passes run
 level by level over all pages of a batch at once. Weights maximise the likelihood of labelled pages, whose
@@ -11,7 +12,7 @@ common page layouts by a rule; `train` accepts any others.
 Blocks whose node is content are decoded, their white space is collapsed, and they are joined in page
 order. Nothing is cut or capped. A page is handled within one row; there is no shuffle.
 
-Defined cases: null and empty html give an empty text; text outside any element belongs to the page's root;
+Defined cases: null and empty html give an empty text, as does a page all of whose blocks are judged no content; text outside any element belongs to the page's root;
 unclosed, misnested and cut-off tags are read as browsers do in the common cases (a new paragraph ends the
 last one, a new list item the last one, a tag cut off by the end of the page is dropped; a stray quote in a tag is
 a plain character). Time is linear in a page's length, and in its number of elements whatever their depth.
@@ -40,7 +41,7 @@ _GROUP = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
 HINTS = [
     r"\b(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|adsense|adslot|ad[-_]\w+)\b",
     r"nav|menu|breadcrumb|\btabs?\b|toolbar|pagination|pager",
-    r"foot|copyright|legal|colophon",
+    r"foot|copyright|legal|colophon|contentinfo",
     r"side|widget|rail|complementary",
     r"comment|repl(?:y|ies)|disqus|discussion|responses",
     r"cookie|notice|consent|gdpr|alert|popup|modal|overlay|warning|disclaimer",
@@ -49,7 +50,7 @@ HINTS = [
     r"header|masthead|topbar|branding|site[-_]?title",
 ]
 _HINTS = [re.compile(h, re.I) for h in HINTS]
-N_TAGS, N_HINTS, N_FORM = len(GROUPS) + 1, len(HINTS), 8
+N_TAGS, N_HINTS, N_FORM = len(GROUPS) + 1, len(HINTS), 10
 N_UNARY = N_TAGS + N_HINTS + N_FORM
 
 # A tag ends at the first ">" outside a value; quotes that don't begin a value are plain characters.
@@ -193,7 +194,10 @@ class Forest:
         x[np.arange(n), tag] = 1
         x[:, N_TAGS : N_TAGS + N_HINTS] = hints[:, None] >> np.arange(N_HINTS) & 1
         density = np.minimum(1, below_linked / np.maximum(1, below))
-        x[:, -8:] = np.c_[np.log1p(chars) / 4, np.log1p(below) / 6, density, density > 0.6, np.minimum(ends, 8) / 4, chars == 0, marks > 0, (chars > 0) & (chars < 25)]
+        page = np.repeat(np.arange(len(pages)), np.diff(self.start))
+        share = below / np.maximum(1, np.bincount(page, chars, len(pages)))[page] if n else below
+        named = np.bincount(page, (tag == 0) | (hints >> 7 & 1 > 0), len(pages))[page] > 0 if n else below  # the page has an article of some name
+        x[:, -N_FORM:] = np.c_[np.log1p(chars) / 4, np.log1p(below) / 6, density, density > 0.6, np.minimum(ends, 8) / 4, chars == 0, marks > 0, (chars > 0) & (chars < 25), share, ~named.astype(bool)]
         self.x = x
         self.kind = (hints & ~(1 << 7) > 0).astype(int) + (np.isin(tag, [0, 6, 7, 8, 9, 10])) * 2  # of the pair with the parent
         self.kind = np.minimum(self.kind, 2)
@@ -247,7 +251,7 @@ def train(labelled: list[str], steps: int = 300, rate: float = 0.1, ridge: float
     return w, pair
 
 
-def labelled_pages(n: int = 240, seed: int = 3) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
     """Labelled pages of common layouts: where the article stands, and what stands around and inside it."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
@@ -325,9 +329,37 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[str]:
             parts.insert(0, off("header", "", words(2, 6)))
         return "".join(parts)
 
+    def short():
+        """A short article as blocks, as bare text, or as lines with breaks, at times with an advert between."""
+        form, between = rng.random(), advert() if maybe(0.25) else ""
+        if form < 0.4:
+            return "".join(f"<p>{prose(1, 3) if maybe(0.7) else words(1, 14) + '.'}</p>" for _ in range(rng.integers(1, 3))) + between
+        if form < 0.7:
+            return f"{words(1, 10)}{between}{words(1, 10) if between else ''}"
+        return "<br>".join(words(1, 6) for _ in range(rng.integers(1, 5))) + between
+
+    def bare():
+        """A page of little more than its article, which may stand in the body itself."""
+        tag = pick("article", "main", "div", "section", "body", "body")
+        inner = (f"<h1>{words(2, 9)}</h1>" if maybe(0.3) else "") + (short() if tag != "body" or maybe(0.6) else "".join(f"<p>{prose(1, 4)}</p>" for _ in range(rng.integers(1, 5))))
+        around = [nav() if maybe(0.2) else "", footer() if maybe(0.4) else ""]
+        if tag == "body":
+            head = f'<head data-gold="0"><title>{words(2, 6)}</title></head>' if maybe(0.6) else ""
+            return f'<html>{head}<body data-gold="1">{around[0]}{inner}{around[1]}</body></html>'
+        whole = f'{around[0]}<{tag} data-gold="1">{inner}</{tag}>{around[1]}'
+        return whole if maybe(0.3) else f'<html><body data-gold="0">{whole}</body></html>'
+
+    def footer():
+        tag, attrs = pick(("footer", ""), ("footer", 'class="footer"'), ("div", 'class="footer"'), ("div", 'id="footer"'), ("div", 'role="contentinfo"'), ("footer", 'role="contentinfo"'), ("div", 'class="site-footer"'))
+        return off(tag, attrs, pick(f"&copy; {words(1, 3)} &middot; {prose(1, 4)}", f"(c) {rng.integers(1990, 2030)}", f"&copy; {words(1, 4)}", f"<p>&copy; {words(2, 6)}</p><ul>{links(3)}</ul>", f"<p>{prose(1, 3)}</p>"))
+
     pages = []
     for _ in range(n):
         odd = pick(0.0, 0.0, 0.0, 0.9)
+        if maybe(0.4):
+            odd = 0.0
+            pages.append(bare())
+            continue
         tag, attrs = pick(("article", ""), ("article", ""), ("article", 'class="post"'), ("main", ""), ("div", 'class="content"'), ("div", 'id="main"'), ("div", 'class="entry-content"'), ("div", 'class="story"'), ("div", ""), ("section", 'class="article-body"'), ("td", ""))
         page = [f'<html><head data-gold="0"><title>{words(2, 6)}</title></head><body data-gold="0">']
         page += [nav()] if maybe(0.8) else []
@@ -340,7 +372,7 @@ def labelled_pages(n: int = 240, seed: int = 3) -> list[str]:
         page += [comments()] if maybe(0.45) else []
         page += [form()] if maybe(0.3) else []
         page += [advert()] if maybe(0.3) else []
-        page.append(off(pick("footer", "footer", "div"), pick('class="footer"', 'id="footer"', 'class="site-footer"'), pick(f"&copy; {words(1, 3)} &middot; {prose(1, 4)}", f"<p>&copy; {words(2, 6)}</p><ul>{links(3)}</ul>", f"<p>{prose(1, 3)}</p>")))
+        page.append(footer())
         pages.append("".join(page) + "</body></html>")
     return pages
 
