@@ -186,15 +186,29 @@ def test_percentile_ranks(spark):
     assert sorted(r["p"] for r in events.percentile_rank(again, history.drop("k"), "v", [], "p").collect()) == [0.0, 0.0, 0.25, 0.25, 0.25, 0.25, 1.0, 1.0]
 
 
-def test_history_looks_back_a_span_of_days(spark):
-    rows = spark.createDataFrame([(date(2024, 1, 1), 1.0), (date(2024, 1, 1), 1.0), (date(2024, 1, 3), 2.0), (date(2024, 1, 9), 3.0)], "day date, v double")
-    got = sorted(tuple(r) for r in events.look_back(rows, "day", "v", 6).collect())
-    assert got == [(date(2024, 1, 3), 1.0, 2), (date(2024, 1, 9), 2.0, 1)]
+def test_ranks_in_a_sliding_history_equal_a_count_over_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(date(2024, 1, 1) + timedelta(days=rng.randrange(0, 70)), float(rng.randrange(6)), float(rng.choice([0, 0, -1, 3]))) for _ in range(400)] + [(date(2024, 9, 1), 1.0, 1.0)]
+    got = {(r["name"], r["day"], r["value"]): (r["rank"], r["n"], r["any"]) for r in events.sliding_ranks(spark.createDataFrame(rows, "day date, a double, b double"), "day", ["a", "b"], 13).collect()}
+    want = {}
+    for k, name in ((1, "a"), (2, "b")):
+        for r in rows:
+            past = [x[k] for x in rows if 1 <= (r[0] - x[0]).days <= 13]
+            want[name, r[0], r[k]] = (sum(v < r[k] for v in past) / len(past) if past else 0.0, len(past), any(v > 0 for v in past))
+    assert got == want
+
+
+def test_blocks_of_days_are_the_days(spark):
+    for low in range(-9, 9):
+        for size in range(100):
+            days = [t for level, number in events._blocks(low, low + size - 1) for t in range(number << level, (number + 1) << level)]
+            assert days == list(range(low, low + size)) and len(events._blocks(low, low + size - 1)) <= 2 * size.bit_length()
 
 
 def test_gate_order_and_cap(spark):
     rows = [(i, 1, f"t{i}", 1.0, float(i), 0.0, 0.0, "", i == 0, i == 1, i) for i in range(7)] + [(9, 1, "TOB", 0.0, 0.0, 0.0, 0.0, "", False, False, 9), (10, 1, "x", 0.5, 1.0, 0.0, 0.0, "", False, False, 10)]
     df = spark.createDataFrame(rows, "id int, day int, title string, score double, media_count double, growth double, growth_percentile double, disclosure_type string, seen boolean, forced boolean, pos int")
+    df = df.withColumn("strong", events.strong_kind(F.col("title"), F.col("disclosure_type")))
     out = {r["id"]: (r["passed"], r["forced_in"], r["reason"]) for r in events.gate(df, F.lit(False), F.lit(False)).collect()}
     assert [i for i in out if out[i][0]] and {i for i in out if out[i][0]} == {1, 4, 5, 6}
     assert out[0][2] == "新規性なし(既知の事実)" and out[1] == (True, True, "注目度が上位5%(進行中シナリオの別枠)") and out[9][2] == "強い種類の開示(上限 3 件を超過)" and not out[10][0]

@@ -42,7 +42,7 @@ def bind(value: Column, use) -> Column:
 
 def bigrams(c: Column) -> Column:
     """Distinct character pairs of the stripped text; one character is itself, none gives an empty array."""
-    chars = F.regexp_extract_all(stripped(c), F.lit("(?s)(.)"), 1)
+    chars = F.array_remove(F.split(stripped(c), ""), "")
     pairs = lambda s: F.array_distinct(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.concat(a, b)))
     return bind(chars, lambda s: F.when(F.size(s) > 1, pairs(s)).otherwise(s))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import cut
+from .ranks import running
 
 COLD_START = 20  # rows of history below which ranks say little
 LOOK_BACK = 90  # days of history
@@ -80,25 +82,67 @@ def to_events(clustered: DataFrame, group: list[str], entity: str = tx.ENTITY) -
 
 
 def percentile_rank(values: DataFrame, history: DataFrame, value: str, by: list[str], into: str, weight: Column | None = None) -> DataFrame:
-    """Share of history strictly below each value; 0 without history. Both sides are reduced to distinct values before
-    they are ranked, and the rank joins the rows by value; no pair of value and history row is formed. `weight` is how
-    many rows a row of history stands for."""
-    h = history.groupBy(*by, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("__c")).withColumn("__k", F.lit(1))
-    v = values.select(*by, value).distinct().withColumn("__c", F.lit(0).cast("long")).withColumn("__k", F.lit(0))
-    part = by or [F.lit(1)]
-    w = Window.partitionBy(*part).orderBy(value, "__k").rowsBetween(Window.unboundedPreceding, -1)
-    out = v.unionByName(h).withColumn("__below", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn("__all", F.sum("__c").over(Window.partitionBy(*part)))
+    """Share of history strictly below each value; 0 without history. Both sides are reduced to distinct values, which are put in
+    order in ranges, so that no task has all values of a key, and the rank joins the rows by value; no pair of value and
+    history row is formed. `weight` is how many rows a row of history stands for."""
+    ranks = _below(values.select(*by, value), history, value, by, F.lit(1) if weight is None else weight)
     rank = F.when(F.col("__all") > 0, F.col("__below") / F.col("__all")).otherwise(0.0)
-    ranks = out.where("__k = 0").select(*[F.col(c).alias(f"__{c}") for c in (*by, value)], rank.alias(into))
+    told = ranks.select(*[F.col(c).alias(f"__{c}") for c in (*by, value)], rank.alias(into))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, value)]
-    return values.join(ranks, same, "left").drop(*[f"__{c}" for c in (*by, value)])
-
-
-def look_back(rows: DataFrame, day: str, value: str, days: int = LOOK_BACK) -> DataFrame:
-    """(day, value, n): for each day of rows the values of the `days` days before it, as counts of distinct values."""
-    own = rows.groupBy(F.col(day).alias("__d"), value).agg(F.count("*").alias("__n"))
-    later = own.select(value, "__n", F.explode(F.sequence(F.date_add("__d", 1), F.date_add("__d", days))).alias(day))
-    return later.join(rows.select(day).distinct(), day, "left_semi").groupBy(day, value).agg(F.sum("__n").alias("n"))
+    return values.join(told, same, "left").drop(*[f"__{c}" for c in (*by, value)])
+
+
+def _below(asked: DataFrame, history: DataFrame, value: str, by: list[str], weight: Column) -> DataFrame:
+    """(by, value, __below, __all): for each distinct asked value the weight of its key's history below it, and of all of it."""
+    h = history.groupBy(*by, value).agg(F.sum(weight).cast("long").alias("__c")).withColumn("__k", F.lit(1))
+    v = asked.distinct().withColumn("__c", F.lit(0).cast("long")).withColumn("__k", F.lit(0))
+    placed = running(v.unionByName(h), [F.col(value).asc_nulls_first(), F.asc("__k")], "__c", "__below", by).where("__k = 0")
+    if not by:
+        return placed.join(F.broadcast(h.agg(F.sum("__c").alias("__all")))).drop("__c", "__k")
+    totals = h.groupBy(*by).agg(F.sum("__c").alias("__all"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return placed.alias("p").join(totals.alias("t"), same, "left").select(*[F.col(f"p.{c}") for c in (*by, value, "__below")], F.coalesce("t.__all", F.lit(0)).alias("__all"))
+
+
+def _blocks(low: int, high: int) -> list[tuple[int, int]]:
+    """(level, number) of the blocks of 2^level days that together are the days low to high, both included."""
+    out = []
+    while low <= high:
+        level = 0
+        while low % (2 << level) == 0 and low + (2 << level) - 1 <= high:
+            level += 1
+        out.append((level, low >> level))
+        low += 1 << level
+    return out
+
+
+def sliding_ranks(rows: DataFrame, day: str, names: list[str], days: int = LOOK_BACK) -> DataFrame:
+    """(name, day, value, rank, n, any): for each distinct (day, value) of each named column the share of that column's values of the
+    `days` days before which is strictly below it, their number, and whether any is positive.
+
+    A value of the history isn't copied to each day that looks back to it: it stands in one block of 2^level days for each
+    level, and a day's look-back is a handful of such blocks, whose counts add up. Days are those that occur; their blocks are
+    made on the driver (a row for each day of the calendar that occurs, times some ten)."""
+    spark = rows.sparkSession
+    long = rows.select(F.unix_date(day).alias("t"), F.stack(F.lit(len(names)), *[x for n in names for x in (F.lit(n), F.col(n))]).alias("name", "value"))
+    own = cut(long.groupBy("name", "t", "value").agg(F.count("*").alias("n")))
+    levels = range((days + 1).bit_length())
+    block = lambda level: F.struct(F.lit(level).alias("level"), F.shiftright("t", level).alias("number"))
+    history = own.withColumn("b", F.explode(F.array(*[block(level) for level in levels]))).select("name", F.col("b.level").alias("level"), F.col("b.number").alias("number"), "value", "n")
+    occurring = [r["t"] for r in own.select("t").distinct().collect()]
+    parts = [(t, level, number) for t in occurring for level, number in _blocks(t - days, t - 1)]
+    asked_blocks = F.broadcast(spark.createDataFrame(parts, "t int, level int, number int"))
+    asked = own.select("name", "t", "value").join(asked_blocks, "t")
+    told = _below(asked.select("name", "level", "number", "value"), history, "value", ["name", "level", "number"], F.col("n"))
+    told = asked.join(told, ["name", "level", "number", "value"]).groupBy("name", "t", "value").agg(F.sum("__below").alias("__below"), F.sum("__all").alias("n"))
+    positive = own.where("value > 0").select("name", F.col("t").alias("__t")).distinct()  # a row for each name and day
+    looks = F.broadcast(spark.createDataFrame([(t,) for t in occurring], "t int"))
+    some = positive.join(looks, (F.col("__t") < F.col("t")) & (F.col("__t") >= F.col("t") - days)).select("name", "t").distinct().withColumn("any", F.lit(True))
+    rank = F.when(F.col("n") > 0, F.col("__below") / F.col("n")).otherwise(0.0)
+    told = told.join(F.broadcast(some), ["name", "t"], "left")
+    return told.select("name", F.date_from_unix_date("t").alias(day), "value", rank.alias("rank"), "n", F.coalesce("any", F.lit(False)).alias("any"))
 
 
 def seen_before(events: DataFrame, day: str, novelty: str) -> DataFrame:
@@ -120,17 +164,26 @@ def composite(parts: list[tuple[Column, Column, Column]]) -> Column:
     return F.when(n > 0, total / n).otherwise(0.0)
 
 
+def strong_kind(title: Column, disclosure_type: Column) -> Column:
+    """Whether an event's title or type is that of a strong disclosure."""
+    return tx.is_strong(title) | tx.is_strong(disclosure_type)
+
+
 def gate(events: DataFrame, cold_start: Column, growth_measured: Column) -> DataFrame:
-    """Verdicts for events with score, media_count, growth, growth_percentile, title, disclosure_type, seen,
-    forced, day and pos: passed, forced_in, reason. At most EVENTS_A_DAY that aren't forced pass a day."""
+    """Verdicts for events with score, media_count, growth, growth_percentile, strong, seen, forced, day and pos (a number of
+    its own): passed, forced_in, reason. At most EVENTS_A_DAY that aren't forced pass a day: the best of each task are told
+    first, then of all, and only these few meet the events again."""
     attention = (F.col("score") >= TOP_SHARE) | (cold_start & (F.col("media_count") > 0))
     growth = (F.col("growth") > 0) & growth_measured & (F.col("growth_percentile") >= TOP_SHARE)
-    strong = tx.is_strong(F.col("title")) | tx.is_strong(F.col("disclosure_type"))
+    strong = F.col("strong")
     reasons = F.array_join(F.array_compact(F.array(F.when(attention, "注目度が上位5%"), F.when(growth, "注目度の伸びが上位5%"), F.when(strong, "強い種類の開示"))), " / ")
     meets = attention | growth | strong
-    out = events.withColumns({"__why": reasons, "__in": ~F.col("seen") & (meets | F.col("forced"))})
-    own = Window.partitionBy("day", F.col("__in") & ~F.col("forced")).orderBy(F.desc("score"), F.desc("media_count"), "pos")
-    out = out.withColumn("__over", F.col("__in") & ~F.col("forced") & (F.row_number().over(own) > EVENTS_A_DAY))
+    out = cut(events.withColumns({"__why": reasons, "__in": ~F.col("seen") & (meets | F.col("forced"))}))
+    own = Window.partitionBy("day").orderBy(F.desc("score"), F.desc("media_count"), "pos")
+    rank = F.row_number().over(own)
+    best = out.where(F.col("__in") & ~F.col("forced")).select("day", "pos", "score", "media_count").withColumn("__r", rank).where(F.col("__r") <= EVENTS_A_DAY)
+    best = best.select("day", "pos", F.lit(True).alias("__best"))
+    out = out.join(best, ["day", "pos"], "left").withColumn("__over", F.col("__in") & ~F.col("forced") & F.col("__best").isNull())
     reason = (
         F.when(F.col("seen"), "新規性なし(既知の事実)")
         .when(~F.col("__in"), "注目度・開示の種類のいずれの条件も満たさない")
@@ -140,4 +193,4 @@ def gate(events: DataFrame, cold_start: Column, growth_measured: Column) -> Data
         .otherwise(F.col("__why"))
     )
     passed = F.col("__in") & ~F.col("__over")
-    return out.withColumns({"passed": passed, "forced_in": F.col("__in") & F.col("forced"), "reason": reason}).drop("__why", "__in", "__over")
+    return out.withColumns({"passed": passed, "forced_in": F.col("__in") & F.col("forced"), "reason": reason}).drop("__why", "__in", "__over", "__best")

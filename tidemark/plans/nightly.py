@@ -3,7 +3,7 @@ each step on what the one before it wrote."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..calendar import add_business_days, with_seq
@@ -24,13 +24,12 @@ def endings(evaluated: DataFrame) -> DataFrame:
 
 
 def dormant(active: DataFrame, confidence: DataFrame) -> DataFrame:
-    """Active scenarios beyond the cap, the least confident first; a scenario without candidates counts as 0.
-    Active scenarios are a bounded working set, so their one ranking is small."""
+    """Active scenarios beyond the cap, the least confident first; a scenario without candidates counts as 0. The few most
+    confident ones are taken (each task's best, then the best of all), and the others are all that isn't among them."""
     best = confidence.groupBy("scenario_id").agg(F.max("confidence").alias("c"))
-    w = Window.partitionBy(F.lit(1))
     told = active.join(best, "scenario_id", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
-    told = told.withColumns({"r": F.row_number().over(w.orderBy("c", "scenario_id")), "n": F.count("*").over(w)})
-    return told.where(F.col("r") <= F.col("n") - ACTIVE).select("scenario_id")
+    kept = told.orderBy(F.desc("c"), F.desc("scenario_id")).limit(ACTIVE).select("scenario_id")
+    return told.select("scenario_id").join(F.broadcast(kept), "scenario_id", "left_anti")
 
 
 def new_signals(signals: DataFrame, emitted: DataFrame) -> DataFrame:

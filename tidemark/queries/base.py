@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..calendar import days_off
+from ..shared import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,7 +68,7 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title, kind, source, ts, code): documents as items, whole texts as titles; disclosures have a code."""
     i = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         i.alias("id"), F.coalesce("text", F.lit("")).alias("title"), F.when(i % 7 == 0, (i % 97).cast("string")).alias("code"),
         F.when(i % 7 == 0, "disclosure").otherwise("news").alias("kind"), "source",
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id * 7)").alias("ts"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import events as ops
+from ..operators.ranks import running
 from ..operators.state import ACTIVE
+from ..shared import cut
 from ..sources import feeds
 from . import base
 from .base import query
@@ -82,10 +83,12 @@ def percentile_rank_strict(spark, d):
 def high_attention_cut(spark, d):
     """WIN12: strictly above the value at place floor(0.8 n) of the sorted history."""
     a = base.attention(spark, d)
-    w = Window.partitionBy("source")
-    run = a.groupBy("source", "value").count().withColumn("upto", F.sum("count").over(w.orderBy("value"))).withColumn("n", F.sum("count").over(w))
-    cut = run.where((F.col("n") >= 20) & (F.col("upto") > F.floor(F.col("n") * 0.8))).groupBy("source").agg(F.min("value").alias("cut"))
-    return a.join(F.broadcast(cut), "source").select("key", "source", "date", "value", (F.col("value") > F.col("cut")).alias("high"))  # cut: a row for each event type
+    counts = a.groupBy("source", "value").count()
+    placed = running(counts, [F.asc("value")], "count", "before", ["source"])
+    totals = counts.groupBy("source").agg(F.sum("count").alias("n")).where("n >= 20")
+    upto = F.col("before") + F.col("count")
+    cuts = placed.join(F.broadcast(totals), "source").where(upto > F.floor(F.col("n") * 0.8)).groupBy("source").agg(F.min("value").alias("cut"))
+    return a.join(F.broadcast(cuts), "source").select("key", "source", "date", "value", (F.col("value") > F.col("cut")).alias("high"))  # cut: a row for each event type
 
 
 _share = "(SELECT CAST(coalesce(count(*) FILTER (WHERE h.{0} < f.{0}), 0) AS DOUBLE) / nullif(count(*), 0) FROM facts h WHERE h.day < f.day AND h.day >= f.day - 90)".format
@@ -124,46 +127,50 @@ def gate_decisions(spark, d):
     return _gated(spark, d).select("id", F.round("score", 6).alias("score"), "passed", "forced_in", "reason")
 
 
-def _gated(spark, d):
+def _active(spark, d):
+    """(active_codes, keywords) of the active scenarios: at most as many as the cap allows, one row."""
+    top = base.read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(ACTIVE)
+    active = top.agg(F.collect_list((F.col("o_custkey") % 97).cast("string")).alias("active_codes"))
+    words = base.read(spark, d, "benchmark").orderBy("item_id").limit(ACTIVE).select(F.regexp_extract("text", "[A-Za-zÀ-ÿ]{10,}", 0).alias("word")).where("word <> ''")
+    return F.broadcast(active.join(words.agg(F.collect_list("word").alias("keywords"))))
+
+
+def verdicts(facts, attention):
+    """facts (id, day, key, media_count, novelty, strong, forced) through the gate, with the attention that their keys have."""
     from ..operators.prices import last_values, rejoin
-    from ..shared import cut
 
-    names = tx.entities(F.col("title"), NAMES)
-    i = base.items(spark, d).select("id", "title", "source", "code", F.to_date("ts").alias("day"), (F.col("id") % 100).alias("key"), names.alias("names"))
-    i = i.withColumns({"novelty": tx.novelty_hash(F.col("title"), F.col("names")), "grp": F.coalesce(F.array_min("names"), F.lit(""))})
-    media = i.groupBy("day", "grp").agg(F.count_distinct("source").cast("double").alias("media_count"))
-    facts = ops.seen_before(i.join(media, ["day", "grp"]).drop("grp", "names", "source"), "day", "novelty")
-    a, asked = base.attention(spark, d), i.select("key", "day").distinct()
+    facts = ops.seen_before(facts, "day", "novelty").drop("novelty")
+    asked = facts.select("key", "day").distinct()
     for source, into, inclusive in (("view", "gdelt", True), ("click", "wiki", True), ("view", "before", False)):
-        series = a.where(F.col("source") == source).select("key", F.col("date").alias("day"), "value")
+        series = attention.where(F.col("source") == source).select("key", F.col("date").alias("day"), "value")
         asked = last_values(asked, series, ["key"], "day", "value", into, inclusive)
     facts = rejoin(facts, asked, ["key", "day"], ["gdelt", "wiki", "before"])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    facts = facts.withColumns({"gdelt": zero("gdelt"), "wiki": zero("wiki"), "growth": F.when(F.col("before") > 0, zero("gdelt") / F.col("before") - 1).otherwise(0.0)})
-    # Active scenarios: at most as many as the cap allows, one row.
-    top = base.read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(ACTIVE)
-    active = top.agg(F.collect_list((F.col("o_custkey") % 97).cast("string")).alias("active_codes"))
-    words = base.read(spark, d, "benchmark").orderBy("item_id").limit(ACTIVE).select(F.regexp_extract("text", "[A-Za-zÀ-ÿ]{10,}", 0).alias("word")).where("word <> ''")
-    keywords = words.agg(F.collect_list("word").alias("keywords"))
-    facts = facts.join(F.broadcast(active)).join(F.broadcast(keywords))
-    facts = facts.withColumns(
-        {
-            "forced": ops.forced(F.col("title"), F.array_compact(F.array("code")), F.col("active_codes"), F.col("keywords")), "disclosure_type": F.lit(""), "pos": F.col("id"),
-            "title": F.when(F.col("id") % 17 == 0, F.concat(F.lit("上方修正"), "title")).otherwise(F.col("title")),
-        }
-    ).drop("active_codes", "keywords")
-    facts = cut(facts)
-    told, own = facts.select("day").distinct(), facts
-    for name in ("media_count", "gdelt", "wiki", "growth"):
-        before = ops.look_back(own.select("day", name), "day", name)
-        ranks = ops.percentile_rank(own.select("day", name).distinct(), before, name, ["day"], f"{name}_rank", F.col("n"))
-        facts = rejoin(facts, ranks, ["day", name], [f"{name}_rank"])
-        told = told.join(before.groupBy("day").agg(F.bool_or(F.col(name) > 0).alias(f"{name}_any"), F.sum("n").alias(f"{name}_n")), "day", "left")
-    facts = facts.join(told, "day")
-    any_ = lambda name: F.coalesce(F.col(f"{name}_any"), F.lit(False))
-    score = ops.composite([(F.col(n), F.col(f"{n}_rank"), any_(n)) for n in ("media_count", "gdelt", "wiki")])
+    growth = F.when(F.col("before") > 0, zero("gdelt") / F.col("before") - 1).otherwise(0.0)
+    facts = cut(facts.withColumns({"gdelt": zero("gdelt"), "wiki": zero("wiki"), "growth": growth, "pos": F.col("id")}).drop("before"))
+    names = ["media_count", "gdelt", "wiki", "growth"]
+    ranks = cut(ops.sliding_ranks(facts, "day", names))
+    for name in names:
+        own = ranks.where(F.col("name") == name).select("day", F.col("value").alias(name), F.col("rank").alias(f"{name}_rank"), F.col("any").alias(f"{name}_any"), F.col("n").alias(f"{name}_n"))
+        facts = facts.join(own, ["day", name])
+    score = ops.composite([(F.col(n), F.col(f"{n}_rank"), F.col(f"{n}_any")) for n in ("media_count", "gdelt", "wiki")])
     facts = facts.withColumns({"score": score, "growth_percentile": F.col("growth_rank")})
-    return ops.gate(facts, F.coalesce("media_count_n", F.lit(0)) < ops.COLD_START, any_("growth"))
+    return ops.gate(facts, F.col("media_count_n") < ops.COLD_START, F.col("growth_any"))
+
+
+def _gated(spark, d):
+    names = tx.entities(F.col("title"), NAMES)
+    i = base.items(spark, d).join(_active(spark, d)).select("id", "title", "source", "code", F.to_date("ts").alias("day"), (F.col("id") % 100).alias("key"), names.alias("names"), "active_codes", "keywords")
+    named = F.when(F.col("id") % 17 == 0, F.concat(F.lit("上方修正"), "title")).otherwise(F.col("title"))
+    # What the gate needs of a title is told here; the texts themselves go no further.
+    facts = cut(
+        i.select(
+            "id", "day", "key", "source", F.coalesce(F.array_min("names"), F.lit("")).alias("grp"), tx.novelty_hash(F.col("title"), F.col("names")).alias("novelty"),
+            ops.strong_kind(named, F.lit("")).alias("strong"), ops.forced(F.col("title"), F.array_compact(F.array("code")), F.col("active_codes"), F.col("keywords")).alias("forced"),
+        )
+    )
+    media = facts.groupBy("day", "grp").agg(F.count_distinct("source").cast("double").alias("media_count"))
+    return verdicts(facts.join(media, ["day", "grp"]).drop("grp", "source"), base.attention(spark, d))
 
 
 @query(
@@ -243,7 +250,8 @@ def daily_pack(spark, d):
     """PIP2, SNK9, JN7, TOP5: the day's pack, read back from its JSON."""
     from ..plans import pack
 
-    gated = _gated(spark, d).withColumn("score", F.round("score", 6))
+    gated = _gated(spark, d).where("passed").withColumn("score", F.round("score", 6))
+    gated = gated.join(base.items(spark, d).select("id", "title"), "id")
     urls = base.read(spark, d, "pages").select((F.col("page_id") % 1000).alias("id"), "url")
     packs = pack.day_packs(gated, urls)
     read = F.from_json("pack", "date string, events array<struct<event_id: long, urls: array<string>>>")["events"]

@@ -1,4 +1,4 @@
-"""Cutting long lineages through the folder that driver and executors share."""
+"""Cutting long lineages through the folder that driver and executors share; spreading small inputs over the cores."""
 
 from __future__ import annotations
 
@@ -19,3 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
             folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that costs much more than moving its rows: a scan of few,
+    small files gives fewer tasks than that. Tables of a cluster's size have their tasks already and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
