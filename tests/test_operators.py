@@ -1,6 +1,7 @@
 """Operators against brute force on small random inputs, and boundary values of the rules."""
 
 import random
+import time
 from datetime import date, timedelta
 
 import numpy as np
@@ -178,6 +179,25 @@ def test_greedy_clusters_equal_scan(spark):
     assert [got[i] for i in range(120)] == brute_clusters(titles)
 
 
+def test_clusters_of_a_long_day_take_time_near_its_items(spark):
+    """20,000 headlines of one day: a loop over all clusters would compare some 10^8 pairs."""
+    rng = random.Random(3)
+    chars = [chr(0x4E00 + k) for k in range(3000)]
+    heads = ["".join(rng.choice(chars) for _ in range(24)) for _ in range(9000)]
+    titles = [h if rng.random() < 0.5 else h[:20] + "".join(rng.choice(chars) for _ in range(4)) for h in (rng.choice(heads) for _ in range(20_000))]
+
+    def took(n):
+        df = spark.createDataFrame([(1, i, t) for i, t in enumerate(titles[:n])], "day int, id int, title string").coalesce(1)
+        began = time.perf_counter()
+        found = [r["cluster_no"] for r in events.cluster(df, ["day"], ["id"]).orderBy("id").collect()]
+        took = time.perf_counter() - began
+        assert found[:100] == brute_clusters(titles[:100]) and len(set(found)) > len(found) / 4
+        return took
+
+    took(100)
+    assert took(20_000) < 14 * took(2_000) + 5
+
+
 def test_percentile_ranks(spark):
     values, history = spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 9.0), (2, 1.0)], "k int, v double"), spark.createDataFrame([(1, 0.0), (1, 5.0), (1, 5.0), (1, 7.0)], "k int, v double")
     got = sorted(tuple(r) for r in events.percentile_rank(values, history, "v", ["k"], "p").collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +17,60 @@ LOOK_BACK = 90  # days of history
 TOP_SHARE, EVENTS_A_DAY = 0.95, 3
 
 
+class Clusters:
+    """The clusters of one day so far, with an inverted index of their tokens (of one kind: bigrams or entities).
+
+    A set's similarity to a cluster is at most the smaller size over the larger; and a cluster that reaches the threshold t with a
+    set of n tokens has ceil(t n) of them at least, so it has one of any n - ceil(t n) + 1. The rarest so many are looked up, and
+    only clusters in their lists whose sizes allow the threshold are compared, as masks of bits."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.bits: dict[str, int] = {}
+        self.lists: list[list[int]] = []
+        self.masks: list[int] = []
+        self.sizes: list[int] = []
+
+    def tokens(self, words: set[str]) -> list[int]:
+        for w in words:
+            if w not in self.bits:
+                self.bits[w] = len(self.lists)
+                self.lists.append([])
+        return [self.bits[w] for w in words]
+
+    def near(self, tokens: list[int]) -> set[int]:
+        """Numbers of the clusters that may reach the threshold."""
+        n = len(tokens)
+        enough = math.ceil(self.threshold * n - 1e-9)
+        rare = sorted(tokens, key=lambda b: len(self.lists[b]))[: n - enough + 1]
+        low, high = self.threshold * n - 1e-9, n / self.threshold + 1e-9
+        return {c for b in rare for c in self.lists[b] if low <= self.sizes[c] <= high}
+
+    def similarity(self, mask: int, n: int, c: int) -> float:
+        both = (mask & self.masks[c]).bit_count()
+        return both / (n + self.sizes[c] - both) if both else 0.0
+
+    def start(self) -> None:
+        self.masks.append(0)
+        self.sizes.append(0)
+
+    def add(self, c: int, tokens: list[int]) -> None:
+        mask = self.masks[c]
+        for b in tokens:
+            if not mask >> b & 1:
+                mask |= 1 << b
+                self.lists[b].append(c)
+                self.sizes[c] += 1
+        self.masks[c] = mask
+
+
 def cluster(items: DataFrame, group: list[str], order: list[str], threshold: float = 0.5, entity: str = tx.ENTITY) -> DataFrame:
     """One-pass greedy clustering within each group (a day's items of all sources).
 
     In order, an item joins the cluster with the greatest similarity (bigrams of titles or entities, the better
-    of the two; the earliest cluster on ties) if that reaches the threshold, else it starts one. A set's similarity is at
-    most the smaller size over the larger, so clusters whose sizes differ too much aren't compared. The result depends
-    on the order of a group's items, so a group is one task: a day's items are the bound.
+    of the two; the earliest cluster on ties) if that reaches the threshold, else it starts one. The result depends
+    on the order of a group's items, so a group is one task: a day's items are the bound. An item meets only the clusters
+    that an inverted index says can reach the threshold.
     Returns items with cluster_no (from 0 within the group).
     """
     noise, name = re.compile(tx.NOISE), re.compile(entity)
@@ -31,30 +79,23 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
         import pandas as pd
 
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        grams, names, label = [], [], []
-
-        def alike(a, b):
-            few, many = sorted((len(a), len(b)))
-            if not few or few < threshold * many:
-                return 0.0
-            both = len(a & b)
-            return both / (len(a) + len(b) - both)
-
+        kinds, label = (Clusters(threshold), Clusters(threshold)), []
         for title in pdf["title"]:
             t = noise.sub("", title or "")
             g = {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else ({t} if t else set())
-            e = set(name.findall(title or ""))
+            told = [k.tokens(words) for k, words in zip(kinds, (g, set(name.findall(title or ""))), strict=True)]
+            masks = [sum(1 << b for b in tokens) for tokens in told]
             best, score = -1, 0.0
-            for c in range(len(grams)):
-                s = max(alike(g, grams[c]), alike(e, names[c]))
+            for c in sorted(kinds[0].near(told[0]) | kinds[1].near(told[1])):
+                s = max(k.similarity(mask, len(tokens), c) for k, mask, tokens in zip(kinds, masks, told, strict=True))
                 if s > score:
                     best, score = c, s
             if best < 0 or score < threshold:
-                best = len(grams)
-                grams.append(set())
-                names.append(set())
-            grams[best] |= g
-            names[best] |= e
+                best = len(kinds[0].masks)
+                for k in kinds:
+                    k.start()
+            for k, tokens in zip(kinds, told, strict=True):
+                k.add(best, tokens)
             label.append(best)
         return pdf.assign(cluster_no=pd.Series(label, dtype="int32"))
 

@@ -173,6 +173,24 @@ def _gated(spark, d):
     return verdicts(facts.join(media, ["day", "grp"]).drop("grp", "source"), base.attention(spark, d))
 
 
+@query()
+def event_gate(spark, d):
+    """PIP2: clusters of a day's items as events, through the gate: an event's outlets, title, codes and names decide, and its
+    number is that of its first item. SQL can't tell the clusters; a test gives them to the gate's SQL from a loop."""
+    e = clustered_events(spark, d).join(_active(spark, d))
+    first = F.array_min(F.concat("news_ids", "disclosure_ids"))
+    title, codes = F.col("title"), F.col("codes")
+    facts = cut(
+        e.select(
+            first.alias("id"), "event_id", "day", (first % 100).alias("key"), F.col("media_count").cast("double").alias("media_count"),
+            tx.novelty_hash(title, tx.entities(title, NAMES)).alias("novelty"), ops.strong_kind(title, F.lit("")).alias("strong"),
+            ops.forced(title, codes, F.col("active_codes"), F.col("keywords")).alias("forced"),
+        )
+    )
+    told = verdicts(facts, base.attention(spark, d))
+    return told.select("id", "event_id", "day", F.round("score", 6).alias("score"), "passed", "forced_in", "reason")
+
+
 @query(
     """SELECT page_id, href, label, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos FROM (
         SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href,
