@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from . import bpe, centroid_walk, decontam, hamming, html_extract, license_scan, line_dedup, ngram_join, quality, rlz_dedup, token_output, warc, whitening
 from .common import table
 
@@ -47,7 +48,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return license_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
