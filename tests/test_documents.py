@@ -11,6 +11,7 @@ from tidemark.functions.canonical import canonical_json
 from tidemark.functions.json_schema import violations
 from tidemark.operators import ranks, records
 from tidemark.plans import documents
+from tidemark.sources import files
 
 
 def errors(spark, schema, *docs):
@@ -149,3 +150,22 @@ def test_numbers_without_one_task(spark, by):
         want.append((g or "", v, i, seen[k]))
     assert got == sorted(want)
     assert ranks.numbered(df.limit(0), [F.asc("v")], "n", by).count() == 0
+
+
+def test_logs_go_on_and_a_torn_tail_stops_reading(spark, tmp_path):
+    log, payload = str(tmp_path / "grade"), "n int, v string"
+    rows = spark.createDataFrame([(n, f"日本\n{n}") for n in range(1, 6)], "n int, v string")
+    files.append_records(records.chain(rows.where("n <= 3"), "grade", "n"), log)
+    last = records.last_of(files.read_records(spark, log, payload), []).first()
+    assert last["_seq"] == 3
+    files.append_records(records.chain(rows.where("n > 3"), "grade", "n", after=(last["_seq"], last["_hash"])), log)
+    read = files.read_records(spark, log, payload)
+    whole = {r["n"]: r["_hash"] for r in records.chain(rows, "grade", "n").collect()}
+    assert {r["n"]: r["_hash"] for r in read.collect()} == whole
+    lines = [x for f in (tmp_path / "grade").glob("part-*") for x in f.read_text(encoding="utf-8").splitlines()]
+    assert all(x == json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True) for x in lines) and len(lines) == 5
+    (tmp_path / "grade" / "part-blank.txt").write_text("\n  \n", encoding="utf-8")
+    assert read.count() == 5
+    (tmp_path / "grade" / "part-torn.txt").write_text('{"_seq": 6, "_kind": "gra', encoding="utf-8")
+    with pytest.raises(Exception, match="part-torn.txt has a broken line"):
+        files.read_records(spark, log, payload).collect()

@@ -15,22 +15,33 @@ GRADES = ["S", "A", "B", "C"]
 TIME_TYPES = ["単発", "局面展開", "予定日"]
 
 
-def chain(rows: DataFrame, kind: str, order: str, after: tuple[int, str] = (0, GENESIS), by: list[str] | None = None) -> DataFrame:
+def last_of(log: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _seq, _hash) of the last record of each chain of a log, for `chain` to go on from."""
+    return log.groupBy(*by).agg(F.max("_seq").alias("_seq"), F.max_by("_hash", "_seq").alias("_hash"))
+
+
+def chain(rows: DataFrame, kind: str, order: str, after: tuple[int, str] | DataFrame = (0, GENESIS), by: list[str] | None = None) -> DataFrame:
     """rows with _seq, _kind, _prev_hash and _hash, the SHA-256 of the row's canonical JSON without the hash itself; so each
-    hash covers the row's content and, by _prev_hash, all before it. With `by` each key has a chain of its own.
+    hash covers the row's content and, by _prev_hash, all before it. With `by` each key has a chain of its own. `after` is the
+    number and hash to go on from, or a frame with those of each key (see last_of); keys that it lacks begin.
 
     A chain is sequential by nature: its rows are one night's new records, in `order`, and run in one task. That task only
     joins texts and hashes; what a hash covers is built before it, in parallel."""
     keys = by or []
     whole = rows.withColumns({"_kind": F.lit(kind), "_prev_hash": F.lit("")})
     w = Window.partitionBy(*(keys or [F.lit(kind)])).orderBy(order)
-    whole = whole.withColumn("_seq", F.row_number().over(w).cast("long") + after[0])
-    before, rest = row_json(whole.schema, whole.columns, around="_prev_hash")
+    if isinstance(after, tuple):
+        whole = whole.withColumns({"__from": F.lit(after[0]), "__hash": F.lit(after[1])})
+    else:
+        whole = whole.join(after.select(*keys, F.col("_seq").alias("__from"), F.col("_hash").alias("__hash")), keys, "left")
+        whole = whole.withColumns({"__from": F.coalesce("__from", F.lit(0)), "__hash": F.coalesce("__hash", F.lit(GENESIS))})
+    whole = whole.withColumn("_seq", F.row_number().over(w).cast("long") + F.col("__from"))
+    before, rest = row_json(whole.schema, [c for c in whole.columns if c not in ("__from", "__hash")], around="_prev_hash")
     whole = whole.withColumns({"__before": before, "__rest": rest, "_hash": F.lit("")})
 
     def run(pdf):
         pdf = pdf.sort_values("_seq").reset_index(drop=True)
-        prev, links, own = after[1], [], []
+        prev, links, own = pdf["__hash"].iloc[0], [], []
         for a, b in zip(pdf["__before"], pdf["__rest"], strict=True):
             links.append(prev)
             prev = hashlib.sha256(f"{a}{prev}{b}".encode()).hexdigest()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import records, state
 from ..operators import tables as ops
 from ..plans import documents
-from ..shared import cut
+from ..shared import cut, shared_folder
+from ..sources.files import append_records, read_records
 from . import base
 from .base import query
 
@@ -108,6 +111,25 @@ def hash_chain_audit(spark, d):
     return ops.chain_breaks(chained(spark, d), "conv_id", "seq", "prev", "own").select("conv_id", "turn")
 
 
+@query(
+    r"""WITH RECURSIVE body AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM conversations),
+    json AS (SELECT *, ', "_seq": ' || seq || ', "conv_id": ' || conv_id || ', "role": ' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ', "text": ' AS front, ', "turn": ' || turn || '}' AS back FROM body),
+    linked AS (SELECT conv_id, seq, repeat('0', 64) AS prev, sha256('{"_kind": "turn", "_prev_hash": "' || repeat('0', 64) || '"' || front || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || back) AS own FROM json WHERE seq = 1
+        UNION ALL SELECT j.conv_id, j.seq, l.own, sha256('{"_kind": "turn", "_prev_hash": "' || l.own || '"' || front || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || back) FROM linked l JOIN json j ON j.conv_id = l.conv_id AND j.seq = l.seq + 1)
+    SELECT conv_id, seq AS _seq, prev AS _prev_hash, own AS _hash FROM linked"""
+)
+def record_log(spark, d):
+    """SRC20, SNK7-8: a log of conversations, first turns of one night, the others of the next, whose chains go on from what the
+    log says was last; read back from its lines."""
+    path = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    turns = base.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    payload = "conv_id long, turn long, role string, text string"
+    append_records(records.chain(turns.where("turn < 2"), "turn", "turn", by=["conv_id"]), path)
+    before = records.last_of(read_records(spark, path, payload), ["conv_id"])
+    append_records(records.chain(turns.where("turn >= 2"), "turn", "turn", after=cut(before), by=["conv_id"]), path)
+    return read_records(spark, path, payload).select("conv_id", "_seq", "_prev_hash", "_hash")
+
+
 def written_turns(spark, d):
     """Conversations as records: a chain each, as written."""
     turns = base.read(spark, d, "conversations").select("conv_id", "turn", "role", "text")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in the folder of spark.checkpoint.dir, so that plans which use it several times don't
-    repeat what is before it. Only a session on one machine that names no folder gets a temporary one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only a session on one machine that names none gets
+    a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -18,6 +18,13 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df in the shared folder, so that plans which use it several times don't repeat what is before
+    it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

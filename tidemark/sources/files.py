@@ -7,6 +7,9 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.canonical import row_json
 
 ENVELOPE = "_seq long, _kind string, _recorded_at string, _prev_hash string, _hash string"
 PRICES = "date date, open double, high double, low double, close double, volume double"
@@ -47,8 +50,19 @@ def read_inbox(spark: SparkSession, folder: str, pattern: str = "daily_*.json")
 
 
 def read_records(spark: SparkSession, path: str, payload: str) -> DataFrame:
-    """One kind of append-only JSON lines, with its envelope; order by _seq."""
-    return spark.read.schema(f"{ENVELOPE}, {payload}").json(path)
+    """One kind of append-only JSON lines, with its envelope; order by _seq. Blank lines are skipped; a line that is no JSON
+    (the tail of a write that was cut off, say) isn't mended or dropped: reading stops with the file's name and the line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").where(F.trim("value") != "")
+    schema = T._parse_datatype_string(f"{ENVELOPE}, {payload}, __broken string")
+    rows = lines.select("file", "value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "__broken"}).alias("r"))
+    said = F.concat(F.lit("record log "), F.col("file"), F.lit(" has a broken line: "), F.substring("value", 1, 80))
+    whole = F.when(F.col("r.__broken").isNotNull(), F.raise_error(said)).otherwise(F.col("r"))
+    return rows.select(whole.alias("r")).select(*[f"r.{f}" for f in schema.names if f != "__broken"])
+
+
+def append_records(rows: DataFrame, path: str) -> None:
+    """Append rows (with their envelope) to a log as canonical JSON lines, keys sorted, a file for each task, its lines by _seq."""
+    rows.sortWithinPartitions("_seq").select(row_json(rows.schema, rows.columns).alias("value")).write.mode("append").text(path)
 
 
 def read_themes(spark: SparkSession, path: str) -> DataFrame:
