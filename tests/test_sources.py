@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.plans import pack, report
@@ -68,3 +69,31 @@ def test_stream_counts_and_repeats(spark, tmp_path):
     q = items.daily_counts(stream).writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((str(r["day"]), r["n"]) for r in spark.table("days").collect()) == [("2024-01-01", 1), ("2024-01-02", 2)]
+
+
+def test_atom_entries_are_news_rows(spark, tmp_path):
+    feed = """<feed xmlns="http://www.w3.org/2005/Atom"><title>feed</title>
+    <entry><title>First  entry</title><link rel="self" href="https://x.test/self"/><link rel="alternate" href=" https://x.test/1 "/><summary>A  summary</summary><published>2024-01-05T09:00:00+09:00</published></entry>
+    <entry><title type="html">Second - Outlet</title><link href="https://x.test/2"/><content type="text">body</content><updated>2024-01-05T01:30:00Z</updated></entry>
+    <entry><title>No link</title></entry><entry><title> </title><link href="https://x.test/3"/></entry></feed>"""
+    (tmp_path / "a.xml").write_text(feed, encoding="utf-8")
+    got = {r["url"]: r for r in feeds.read_atom(spark, str(tmp_path / "a.xml"), "src", 1).collect()}
+    assert set(got) == {"https://x.test/1", "https://x.test/2"}
+    one, two = got["https://x.test/1"], got["https://x.test/2"]
+    assert (one["title"], one["summary"], one["source_tier"], str(one["published_at"])) == ("First entry", "A summary", 1, "2024-01-05 00:00:00")
+    assert (two["summary"], two["media"], str(two["published_at"])) == ("body", "Outlet", "2024-01-05 01:30:00")
+
+
+def test_article_counts_of_a_japanese_day(spark):
+    rows = [("2024-01-04 15:00:00", "a"), ("2024-01-05 14:59:59", "b"), ("2024-01-05 15:00:00", "c"), ("2024-01-04 14:59:59", "d"), (None, "a"), (None, "")]
+    df = spark.createDataFrame(rows, "t string, media string").selectExpr("cast(t as timestamp) published_at", "media")
+    got = {r["source"]: (r["key"], str(r["date"]), r["value"]) for r in feeds.article_counts(df, "word", "2024-01-05").collect()}
+    assert got == {"google_news_media": ("word", "2024-01-05", 2.0), "google_news_articles": ("word", "2024-01-05", 4.0)}
+
+
+def test_bars_are_normalised(spark):
+    df = spark.createDataFrame([("2024-01-04", 1, 2, 3, 4, 5, "x"), ("2024-01-05", 1, 2, 3, 4, 5, "x"), ("2024-01-09", 1, 2, 3, 4, 5, "x")], "DATE string, Open int, high int, LOW int, Close int, volume int, other string")
+    got = files.normalised(df, "2024-01-04", "2024-01-05")
+    assert got.columns == ["date", "open", "high", "low", "close", "volume"] and got.count() == 2 and got.schema["close"].dataType.simpleString() == "double"
+    with pytest.raises(ValueError, match="volume"):
+        files.normalised(df.drop("volume"), "2024-01-04", "2024-01-05")

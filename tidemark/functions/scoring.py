@@ -54,6 +54,29 @@ def adjusted_probability(base: Column, verified: Column, denied: Column, clear:
     return F.least(F.greatest(p * heat * step, F.lit(0.0)), F.lit(MAX_PROB))
 
 
+def probability_notes(base: Column, verified: Column, denied: Column, clear: Column, diagnosis: Column, temperature: Column, strength: Column, initial: Column) -> Column:
+    """What changed the probability, in order: the estimate, the share of arrows confirmed, and each factor that isn't 1. Halves
+    are rounded to even digits."""
+    percent = lambda c: F.format_string("%.0f%%", F.bround(c * 100, 0))
+    two = lambda c: F.format_string("%.2f", F.bround(c, 2))
+    heat = F.lit(None).cast("string")
+    for name, factor in TEMPERATURES.items():
+        heat = F.when(temperature == name, F.lit(f"テーマの温度 {name} ×{factor}") if factor != 1.0 else F.lit(None)).otherwise(heat)
+    steps = _place(strength) - _place(initial)
+    moved = (_place(strength) > 0) & (_place(initial) > 0) & (steps != 0)
+    return F.array_compact(
+        F.array(
+            F.concat(F.lit("LLM の推定 "), percent(base)),
+            F.concat(F.lit("裏取り "), percent(verified), F.lit(" 確認 ×"), two(0.8 + 0.4 * verified)),
+            F.when(denied > 0, F.concat(F.lit("否定された矢印 "), denied.cast("string"), F.lit(" 本 ×"), two(F.pow(F.lit(0.7), denied)))),
+            F.when(~clear, "方向が曖昧 ×0.8"),
+            F.when(diagnosis == IGNORED, "無視されている疑い ×0.5"),
+            heat,
+            F.when(moved, F.concat(F.lit("強さ "), initial, F.lit("→"), strength, F.lit(" ×"), two(1 + 0.1 * steps))),
+        )
+    )
+
+
 def diagnosis(attention_high: Column, tier1_reacted: Column, reacted: Column) -> Column:
     return (
         F.when(~attention_high & reacted, "早耳の先回り")

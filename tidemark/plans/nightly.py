@@ -10,6 +10,7 @@ from ..calendar import add_business_days, with_seq
 from ..functions import scoring as sc
 from ..operators.prices import as_of, excess_return, moved
 from ..operators.state import ACTIVE
+from ..shared import cut
 
 
 def endings(evaluated: DataFrame) -> DataFrame:
@@ -87,11 +88,12 @@ def transition(night: DataFrame, prices: DataFrame, index: DataFrame, sigma: Dat
     ev = with_seq(with_seq(ev, "first_date", "__a", calendar), "day", "__b", calendar).withColumn("elapsed", F.col("__b") - F.col("__a"))
     ev = ev.withColumn("priced", F.when(F.col("started"), F.coalesce(sc.priced_in(F.col("excess"), F.col("median")), F.lit(0.0))).otherwise(0.0))
     ev = ev.withColumns({"broken": F.lit(False), "waiting_days": F.col("elapsed"), "tier1_reacted": F.col("hit"), "reacted": F.col("hit")})
-    ended = endings(ev)
+    ev = cut(ev)
+    ended = cut(endings(ev))
     fresh = sc.freshness(F.col("started"), F.col("elapsed"), F.col("expected_days"))
     ev = ev.withColumn("confidence", F.round(sc.confidence(F.col("prob"), F.col("median"), F.col("priced"), fresh), 9))
     active = ev.select("scenario_id").distinct().join(ended, "scenario_id", "left_anti")
-    asleep = dormant(active, ev)
+    asleep = cut(dormant(active, ev))
     moves = moved(night.where("first_date < day").select("scenario_id", "code", "first_date", "expected_days"), prices, by_day, calendar).where("moved")
     told = ev.join(ended, "scenario_id", "left").join(asleep.withColumn("__asleep", F.lit(True)), "scenario_id", "left")
     reason = F.col("end_reason")

@@ -110,9 +110,9 @@ NIGHT = ("px_day", "idx_day", "cal", "bday", "feat", "sig", "picks", "moved")
 def _night(spark, d):
     cal = calendar.dimension(spark)
     before = F.col("date") <= F.lit(DAY).cast("date")
-    prices, index = base.prices(spark, d).where(before), base.benchmark(spark, d).where(before)
-    by_day = ops.benchmark_by_day(index, cal)
-    sigma = ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma")
+    prices, index = cut(base.prices(spark, d).where(before)), cut(base.benchmark(spark, d).where(before))
+    by_day = cut(ops.benchmark_by_day(index, cal))
+    sigma = cut(ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma"))
     k = F.col("scenario_id")
     night = base.picks(spark, d).where(F.col("first_date") <= F.lit(DAY).cast("date")).withColumns(
         {"stage": (k % 3 + 1).cast("int"), "started": k % 7 != 0, "grade": F.substring(F.lit("SABC"), (k % 4 + 1).cast("int"), F.lit(1)), "unchecked": k % 10 == 0, "day": F.lit(DAY).cast("date")}
@@ -262,7 +262,7 @@ def monthly_review(spark, d):
     from ..plans import review
 
     cal = calendar.dimension(spark)
-    prices, by_day, k = base.prices(spark, d), ops.benchmark_by_day(base.benchmark(spark, d), cal), F.col("scenario_id")
+    prices, by_day, k = cut(base.prices(spark, d)), cut(ops.benchmark_by_day(base.benchmark(spark, d), cal)), F.col("scenario_id")
     picks = base.picks(spark, d).select("scenario_id", "code", "first_date", "expected_days")
     moved = ops.moved(picks, prices, by_day, cal)
     moved = ops.excess_return(moved.withColumn("before", F.date_sub("first_date", 10)), prices, by_day, "before", "first_date").withColumnRenamed("excess", "at_pick")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import calendar
 from ..operators import prices as ops
+from ..sources.files import normalised
 from . import base
 from .base import query
 
@@ -21,8 +22,10 @@ SIG = ("px", "idx", "cal", "bday", "feat", "sig")
 
 @query("SELECT code, date, close, volume FROM px WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'", ("px",))
 def px_daily_bars(spark, d):
-    """SRC17: normalised bars in a closed range of dates."""
-    return base.prices(spark, d).where("date between date'1996-01-01' and date'1996-06-30'")
+    """SRC17: bars with columns in any case and more of them than are wanted, normalised, in a closed range of dates."""
+    close = F.col("close")
+    raw = base.prices(spark, d).select("code", F.col("date").cast("timestamp").alias("Date"), *[close.alias(c) for c in ("Open", "HIGH", "low", "Close", "Adj")], F.col("volume").alias("VOLUME"))
+    return normalised(raw, "1996-01-01", "1996-06-30").select("code", "date", "close", "volume")
 
 
 def _probes(spark, d):

@@ -10,6 +10,7 @@ from ..functions import scoring as sc
 from ..operators import prices as ops
 from ..operators import state
 from ..plans import nightly
+from ..shared import cut
 from . import base
 from .base import query
 
@@ -48,8 +49,8 @@ def evaluated(spark, d):
             "strength": _pick(sc.STRENGTHS, key % 4), "initial": _pick(sc.STRENGTHS, F.floor(key / 4) % 4),
         }
     )
-    by_day, prices = ops.benchmark_by_day(base.benchmark(spark, d), cal), base.prices(spark, d)
-    sigma = ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma")
+    by_day, prices = cut(ops.benchmark_by_day(base.benchmark(spark, d), cal)), cut(base.prices(spark, d))
+    sigma = cut(ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma"))
     # Reactions of the candidate and of the tier-1 company before it in the chain, each (code, pick, day) once.
     spans = ev.select("code", "peer", "first_date", "eval_date").distinct()
     spans = nightly.reacted(spans, sigma, "first_date", "eval_date", "reacted")
@@ -84,6 +85,21 @@ def evaluate_candidates(spark, d):
     return evaluated(spark, d).select("scenario_id", "code", r("fresh"), r("priced"), r("room"), "diagnosis", r("p2", "prob"), r("confidence"), sc.stars(F.col("confidence")).alias("stars"))
 
 
+@query(
+    f"""SELECT * FROM (WITH {_SCORED} SELECT scenario_id, code, array_to_string(list_filter([
+            'LLM の推定 ' || CAST(round(prob * 100) AS INTEGER) || '%', '裏取り ' || CAST(round(verified * 100) AS INTEGER) || '% 確認 ×' || printf('%.2f', 0.8 + 0.4 * verified),
+            CASE WHEN denied > 0 THEN '否定された矢印 ' || denied || ' 本 ×' || printf('%.2f', pow(0.7, denied)) END, CASE WHEN NOT clear THEN '方向が曖昧 ×0.8' END,
+            CASE WHEN diagnosis = '⚠ 無視されている疑い' THEN '無視されている疑い ×0.5' END, CASE temperature WHEN '上昇中' THEN 'テーマの温度 上昇中 ×1.1' WHEN '冷却中' THEN 'テーマの温度 冷却中 ×0.9' END,
+            CASE WHEN strength <> initial THEN '強さ ' || initial || '→' || strength || ' ×' ||
+                printf('%.2f', 1 + 0.1 * (list_position(['Weak', 'Weak+', 'Medium', 'Strong'], strength) - list_position(['Weak', 'Weak+', 'Medium', 'Strong'], initial))) END], lambda x: x IS NOT NULL), ' | ') AS notes FROM final)""",
+    NEEDS,
+)
+def probability_audit(spark, d):
+    """SC18: what changed each candidate's probability, in order."""
+    cols = [F.col(c) for c in ("prob", "verified", "denied", "clear", "diagnosis", "temperature", "strength", "initial")]
+    return evaluated(spark, d).select("scenario_id", "code", F.array_join(sc.probability_notes(*cols), " | ").alias("notes"))
+
+
 _RANKED = f"""{_SCORED}, latest AS (SELECT f.*, t.turnover * 10000 AS turnover, t.close AS price, t.ret_k AS surge FROM final f ASOF LEFT JOIN feat t ON f.code = t.code AND t.date <= f.eval_date),
     excl AS (SELECT *, CASE WHEN scenario_id % 13 = 0 THEN '売り方向(caution)の候補' WHEN scenario_id % 31 = 0 THEN '監理・整理ポストの銘柄' WHEN coalesce(turnover, 0) < 3e8 THEN '流動性の下限を満たさない' WHEN coalesce(price, 0) < 100 THEN '株価100円未満'
         WHEN coalesce(surge, 0) > 0.5 THEN '直近ですでに急騰している' WHEN scenario_id % 9 = 0 THEN '裏取りの証拠が信頼度3・4の情報源だけ' END AS reason FROM latest),
@@ -167,20 +183,25 @@ def grade_check(spark, d):
 
 
 @query(
-    f"""SELECT p.scenario_id, b.bd_seq - a.bd_seq AS days_to_earnings, b.bd_seq - a.bd_seq BETWEEN 0 AND p.expected_days AS earnings_warning, round(f.vol, 6) AS daily_vol,
+    f"""SELECT p.scenario_id, b.bd_seq - a.bd_seq AS days_to_earnings, b.bd_seq - a.bd_seq BETWEEN 0 AND p.expected_days AS earnings_warning,
+        x.bd_seq - a.bd_seq AS days_to_ex_rights, coalesce(x.bd_seq - a.bd_seq BETWEEN 0 AND p.expected_days, false) AS ex_rights_within_period, round(f.vol, 6) AS daily_vol,
         CAST((SELECT max(w) FROM (VALUES {", ".join(f"({lo}, {w})" for lo, w in ops.LIMIT_BANDS)}) v(lower, w) WHERE f.close >= lower) AS DOUBLE) AS limit_width
     FROM picks p LEFT JOIN cal a ON a.d = p.first_date LEFT JOIN cal b ON b.d = CAST(p.first_date + CAST(p.scenario_id % 61 - 20 AS INTEGER) AS DATE)
+    LEFT JOIN cal x ON p.scenario_id % 3 <> 0 AND x.d = CAST(p.first_date + CAST(p.scenario_id % 47 - 10 AS INTEGER) AS DATE)
     ASOF LEFT JOIN feat f ON f.code = p.code AND f.date <= p.first_date""",
     ("px", "cal", "feat", "picks"),
 )
 def trade_aids(spark, d):
-    """SC21: days to earnings, a warning inside the period, volatility, limit width."""
+    """SC21: business days to earnings and to the ex-rights day (which a third of the picks don't have), whether they fall inside
+    the period, volatility, limit width."""
     cal = calendar.dimension(spark)
     p = base.picks(spark, d).withColumn("earnings", F.expr("date_add(first_date, cast(scenario_id % 61 - 20 as int))")).withColumn("date", F.col("first_date"))
     p = calendar.with_seq(calendar.with_seq(p, "first_date", "a", cal), "earnings", "b", cal).withColumn("n", F.col("b") - F.col("a"))
+    ex = F.when(F.col("scenario_id") % 3 != 0, F.expr("date_add(first_date, cast(scenario_id % 47 - 10 as int))"))
+    p = calendar.with_seq(p.withColumn("ex_rights", ex), "ex_rights", "x", cal).withColumn("ex", F.col("x") - F.col("a"))
     f = ops.daily_features(base.prices(spark, d)).withColumn("state", F.struct("vol", "close"))
     p = ops.as_of(p, f, ["code"], value="state", into="last")
-    return p.select("scenario_id", F.col("n").alias("days_to_earnings"), F.col("n").between(0, F.col("expected_days")).alias("earnings_warning"), F.round("last.vol", 6).alias("daily_vol"), ops.price_limit(F.col("last.close")).alias("limit_width"))
+    return p.select("scenario_id", F.col("n").alias("days_to_earnings"), F.col("n").between(0, F.col("expected_days")).alias("earnings_warning"), F.col("ex").alias("days_to_ex_rights"), F.coalesce(F.col("ex").between(0, F.col("expected_days")), F.lit(False)).alias("ex_rights_within_period"), F.round("last.vol", 6).alias("daily_vol"), ops.price_limit(F.col("last.close")).alias("limit_width"))
 
 
 @query(

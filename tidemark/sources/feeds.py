@@ -35,6 +35,34 @@ def read_rss(spark: SparkSession, path: str, source_name: str, tier: int) -> Dat
     )
 
 
+ATOM_SCHEMA = "title struct<_VALUE: string, _type: string>, link array<struct<_href: string, _rel: string>>, summary struct<_VALUE: string, _type: string>, content struct<_VALUE: string, _type: string>, published string, updated string"
+
+
+def read_atom(spark: SparkSession, path: str, source_name: str, tier: int) -> DataFrame:
+    """Atom entries to the news rows of read_rss: the link is the first alternate one (or of no relation), the summary falls back
+    to the content, the time to the last update."""
+    raw = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_SCHEMA).load(path)
+    own = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    url = F.trim(F.get(own, 0)["_href"])
+    rows = raw.withColumn("url", url).where("url is not null and url <> '' and title._VALUE is not null and trim(title._VALUE) <> ''")
+    title, summary = tx.normal_space(F.col("title._VALUE")), tx.normal_space(F.coalesce("summary._VALUE", "content._VALUE", F.lit("")))
+    return rows.select(
+        tx.sha256(F.col("url")).alias("news_id"), F.lit(source_name).alias("source"), title.alias("title"), summary.alias("summary"), "url",
+        tx.sha256(F.concat(title, F.lit("\n"), summary)).alias("text_hash"), F.lit(tier).alias("source_tier"), feed_time(F.coalesce("published", "updated")).alias("published_at"),
+        tx.title_media(F.col("title._VALUE")).alias("media"),
+    )
+
+
+def article_counts(articles: DataFrame, keyword: str, day: str) -> DataFrame:
+    """(key, source, date, value) of a keyword's articles (published_at in UTC, media) of one Japanese day: distinct outlets, and
+    articles; one whose time isn't known counts as that day's."""
+    own = F.to_date(F.from_utc_timestamp("published_at", "Asia/Tokyo"))
+    rows = articles.where(F.col("published_at").isNull() | (own == F.lit(day).cast("date")))
+    one = rows.agg(F.count_distinct(F.nullif("media", F.lit(""))).cast("double").alias("google_news_media"), F.count("*").cast("double").alias("google_news_articles"))
+    told = one.select(F.lit(keyword).alias("key"), F.lit(day).cast("date").alias("date"), F.stack(F.lit(2), F.lit("google_news_media"), F.col("google_news_media"), F.lit("google_news_articles"), F.col("google_news_articles")).alias("source", "value"))
+    return told.select("key", "source", "date", "value")
+
+
 def listing_rows(df: DataFrame, html: str, pattern: str) -> DataFrame:
     """df with one row for each match of a two-group pattern: href, label (tags stripped), pos."""
     one = F.regexp_extract_all(F.col(html), F.lit(pattern), 1)

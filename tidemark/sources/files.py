@@ -23,6 +23,18 @@ def read_prices(spark: SparkSession, folder: str, start: str, end: str) -> DataF
     return raw.select(code.alias("code"), "*").where(F.col("date").between(start, end))
 
 
+def normalised(bars: DataFrame, start: str, end: str) -> DataFrame:
+    """Bars with their six columns in any case, further ones dropped (but a code is kept): dates in a closed range, numbers as
+    double. A missing column is an error that names it."""
+    by = {c.lower(): c for c in bars.columns}
+    wanted = [n.split()[0] for n in PRICES.split(", ")]
+    if missing := [c for c in wanted if c not in by]:
+        raise ValueError(f"columns {missing} are missing; there are {bars.columns}")
+    date = F.to_date(bars[by["date"]])
+    rows = bars.select(*([bars[by["code"]].alias("code")] if "code" in by else []), date.alias("date"), *[bars[by[c]].cast("double").alias(c) for c in wanted[1:]])
+    return rows.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
 def price_reader(kind: str, folder: str):
     """The price source that a configuration names, as a function of (spark, start, end)."""
     known = {"csv_dir": lambda spark, start, end: read_prices(spark, folder, start, end)}
