@@ -35,12 +35,14 @@ def numbers(scenarios: DataFrame, n_known: int) -> DataFrame:
     return told.withColumn("scenario_id", F.format_string("SC%04d", F.col("__n") + n_known)).drop("__n")
 
 
-def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int) -> dict[str, DataFrame]:
-    """The frames to append, by record kind.
+def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int, plans: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The frames to append, by record kind, and `warning` (doc, text): what was mended or left out of documents that were taken.
 
     documents (doc); scenarios (doc, ref, time_type, expected_days, low, median, high, started); candidates (doc, ref, no,
     code, company_name, realization_prob, stage, side); evidence (doc, scenario, arrow_no, supports, source_tier); statuses
-    (doc, scenario, arrow_no, status); updates (doc, scenario_id, change). `scenario` is a ref of this document or a known id.
+    (doc, scenario, arrow_no, status); updates (doc, scenario_id, change). `scenario` is a ref of this document or a known id. plans
+    (doc, ref, arrow_no, ...) become unconfirmed rows of check_plan; `more` has frames (doc, ...) by the name of a kind that is
+    recorded as it is, such as grade, premise_card and theme_temperature.
     """
     n = candidates.groupBy("doc", "ref").agg(F.count("*").alias("n_candidates"))
     bad = lambda df, checks: df.select("doc", F.explode(records.violations(checks)).alias("error"))
@@ -73,4 +75,26 @@ def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, ev
     support = proof.where("supports = 'for' and source_tier <= 2").select("scenario_id", "arrow_no").unionByName(known.support.select("scenario_id", "arrow_no"))
     seen = records.downgrade(resolved(statuses), support.withColumns({"supports": F.lit("for"), "source_tier": F.lit(1)}))
     kept = ok(updates).join(known.scenarios.select("scenario_id").distinct(), "scenario_id", "left_semi")
-    return {"commit_rejection": errors, "scenario": scenario, "candidate": accepted, "rejected_candidate": rejected, "evidence": proof, "check_plan": seen, "scenario_update": kept}
+    if plans is not None:
+        planned = ok(plans).join(given.select("doc", "ref", "scenario_id"), ["doc", "ref"]).withColumn("status", F.lit("未確認"))
+        seen = planned.unionByName(seen, allowMissingColumns=True)
+
+    say = lambda df, *parts: df.select("doc", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("text"))
+    sid, unknown = F.col("scenario_id"), ok(updates).join(known.scenarios.select("scenario_id").distinct(), "scenario_id", "left_anti")
+    lost = lambda df: ok(df).join(ids, ["doc", "scenario"], "left_anti").join(old, "scenario", "left_anti")
+    strong = support.select("scenario_id", "arrow_no").distinct()
+    warnings = [
+        say(given.where("not (low <= median and median <= high)"), sid, ": 想定上昇幅の下限・中央・上限の順序が不正のため、並べ替えて記録"),
+        say(given.where(days != F.col("expected_days")), sid, ": 単発型の想定期間 ", F.col("expected_days"), " を ", days, " 営業日に補正"),
+        say(rejected, sid, ": 候補 ", F.col("code"), " ", F.col("company_name"), " を確定しない(", F.col("reason"), ")"),
+        say(given.join(accepted.select("scenario_id").distinct(), "scenario_id", "left_anti"), sid, ": 確定できる候補が無いため、候補なしのシナリオとして記録"),
+        say(unknown, "更新先のシナリオ ", sid, " が存在しないため、記録しない"),
+        say(lost(evidence), "証拠の参照先 ", F.col("scenario"), " が不明なため、記録しない"),
+        say(lost(statuses), "確認状況の参照先 ", F.col("scenario"), " が不明なため、記録しない"),
+        say(resolved(statuses).where("status = '確認'").join(strong, ["scenario_id", "arrow_no"], "left_anti"), sid, " 矢印", F.col("arrow_no"), ": 信頼度1・2の証拠が無いため「未確認」に修正"),
+    ]
+    warned = warnings[0]
+    for w in warnings[1:]:
+        warned = warned.unionByName(w)
+    out = {"commit_rejection": errors, "scenario": scenario, "candidate": accepted, "rejected_candidate": rejected, "evidence": proof, "check_plan": seen, "scenario_update": kept, "warning": warned}
+    return out | {kind: ok(df) for kind, df in (more or {}).items()}

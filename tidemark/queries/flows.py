@@ -27,19 +27,8 @@ _DOCS = """sc AS (SELECT o_custkey * 12 + month(o_orderdate) - 1 AS doc, o_order
         SELECT doc, ref, row_number() OVER (ORDER BY doc, ref) + 40 AS n FROM sc WHERE doc NOT IN (SELECT doc FROM refused)))"""
 
 
-@query(
-    f"""WITH {_DOCS}
-    SELECT 'commit_rejection' AS kind, CAST(doc AS VARCHAR) AS name, error AS detail FROM refused
-    UNION ALL SELECT 'scenario', id, CAST(CASE WHEN time_type = '単発' THEN least(greatest(expected_days, 5), 20) ELSE expected_days END AS VARCHAR) || '|' || list_sort([low, median, high])[1] || '|' || list_sort([low, median, high])[2] || '|' ||
-        list_sort([low, median, high])[3] || '|' || CASE WHEN started THEN '進行中' ELSE '待機' END FROM sc JOIN ids USING (doc, ref)
-    UNION ALL SELECT 'candidate', id || '-' || row_number() OVER (PARTITION BY id ORDER BY no, code), CAST(code AS VARCHAR) FROM ca JOIN ids USING (doc, ref) WHERE named
-    UNION ALL SELECT 'rejected_candidate', id, CAST(code AS VARCHAR) || CASE WHEN known THEN '|name differs' ELSE '|unknown code' END FROM ca JOIN ids USING (doc, ref) WHERE NOT named
-    UNION ALL SELECT 'evidence', id, CAST(arrow_no AS VARCHAR) || '|' || tier FROM ev JOIN ids USING (doc, ref)
-    UNION ALL SELECT 'check_plan', id, CAST(arrow_no AS VARCHAR) || '|' || CASE WHEN bool_or(supports AND tier <= 2) OVER (PARTITION BY id, arrow_no) THEN '確認' ELSE '未確認' END FROM ev JOIN ids USING (doc, ref)
-    UNION ALL SELECT 'scenario_update', 'SC' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0'), CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey * 12 + month(o_orderdate) - 1 NOT IN (SELECT doc FROM refused) AND o_orderkey % 50 BETWEEN 1 AND 40"""
-)
-def commit_kinds(spark, d):
-    """VAL1-2, STF10, FLT10, SC22-23, JN22: rows of each record kind that the commit of all documents writes."""
+def _committed(spark, d):
+    """What the commit of all documents writes."""
     o, li = base.read(spark, d, "orders"), base.read(spark, d, "lineitem")
     k, no = F.col("o_orderkey"), F.col("l_linenumber")
     doc = (F.col("o_custkey") * 12 + F.month("o_orderdate") - 1).alias("doc")
@@ -62,12 +51,33 @@ def commit_kinds(spark, d):
     documents = scenarios.select("doc").distinct()
     known = commits.Known(documents.where("doc % 13 = 0"), spark.range(1, 41).select(F.format_string("SC%04d", "id").alias("scenario_id")), spark.createDataFrame([], "scenario_id string, arrow_no int"))
     aliases = spark.createDataFrame([], "alias string, code string")
-    out = commits.commit(documents, scenarios, candidates, evidence, statuses, updates, known, s, aliases, 40)
+    grade = F.element_at(F.array(*map(F.lit, ["S", "A", "B", "C"])), (k % 4 + 1).cast("int"))
+    more = {"grade": o.select(doc, k.alias("event_id"), grade.alias("provisional_grade")), "theme_temperature": o.where("o_orderkey % 9 = 0").select(doc, (k % 20).alias("theme_id"), F.lit("上昇中").alias("temperature"))}
+    return commits.commit(documents, scenarios, candidates, evidence, statuses, updates, known, s, aliases, 40, more=more)
+
+
+@query(
+    f"""WITH {_DOCS}
+    SELECT 'commit_rejection' AS kind, CAST(doc AS VARCHAR) AS name, error AS detail FROM refused
+    UNION ALL SELECT 'scenario', id, CAST(CASE WHEN time_type = '単発' THEN least(greatest(expected_days, 5), 20) ELSE expected_days END AS VARCHAR) || '|' || list_sort([low, median, high])[1] || '|' || list_sort([low, median, high])[2] || '|' ||
+        list_sort([low, median, high])[3] || '|' || CASE WHEN started THEN '進行中' ELSE '待機' END FROM sc JOIN ids USING (doc, ref)
+    UNION ALL SELECT 'candidate', id || '-' || row_number() OVER (PARTITION BY id ORDER BY no, code), CAST(code AS VARCHAR) FROM ca JOIN ids USING (doc, ref) WHERE named
+    UNION ALL SELECT 'rejected_candidate', id, CAST(code AS VARCHAR) || CASE WHEN known THEN '|name differs' ELSE '|unknown code' END FROM ca JOIN ids USING (doc, ref) WHERE NOT named
+    UNION ALL SELECT 'evidence', id, CAST(arrow_no AS VARCHAR) || '|' || tier FROM ev JOIN ids USING (doc, ref)
+    UNION ALL SELECT 'check_plan', id, CAST(arrow_no AS VARCHAR) || '|' || CASE WHEN bool_or(supports AND tier <= 2) OVER (PARTITION BY id, arrow_no) THEN '確認' ELSE '未確認' END FROM ev JOIN ids USING (doc, ref)
+    UNION ALL SELECT 'grade', CAST(o_orderkey AS VARCHAR), ['S', 'A', 'B', 'C'][o_orderkey % 4 + 1] FROM orders WHERE o_custkey * 12 + month(o_orderdate) - 1 NOT IN (SELECT doc FROM refused)
+    UNION ALL SELECT 'theme_temperature', CAST(o_orderkey % 20 AS VARCHAR), '上昇中' FROM orders WHERE o_orderkey % 9 = 0 AND o_custkey * 12 + month(o_orderdate) - 1 NOT IN (SELECT doc FROM refused)
+    UNION ALL SELECT 'scenario_update', 'SC' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0'), CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey * 12 + month(o_orderdate) - 1 NOT IN (SELECT doc FROM refused) AND o_orderkey % 50 BETWEEN 1 AND 40"""
+)
+def commit_kinds(spark, d):
+    """VAL1-2, STF10, FLT10, SC22-23, JN22: rows of each record kind that the commit of all documents writes."""
+    out = _committed(spark, d)
     join = lambda *cs: F.concat_ws("|", *[F.col(c).cast("string") for c in cs])
     shape = {
         "commit_rejection": ("doc", F.array_join("errors", ",")), "scenario": ("scenario_id", join("expected_days", "low", "median", "high", "status")),
         "candidate": ("candidate_id", F.col("code").cast("int").cast("string")), "rejected_candidate": ("scenario_id", F.concat_ws("|", F.col("code").cast("int"), "reason")),
         "evidence": ("scenario_id", join("arrow_no", "source_tier")), "check_plan": ("scenario_id", join("arrow_no", "status")), "scenario_update": ("scenario_id", F.col("change")),
+        "grade": ("event_id", F.col("provisional_grade")), "theme_temperature": ("theme_id", F.col("temperature")),
     }
     rows = [out[kind].select(F.lit(kind).alias("kind"), F.col(n).cast("string").alias("name"), detail.alias("detail")) for kind, (n, detail) in shape.items()]
     whole = rows[0]
@@ -76,6 +86,23 @@ def commit_kinds(spark, d):
     return whole
 
 
+@query(
+    f"""WITH {_DOCS}
+    SELECT doc, id || ': 想定上昇幅の下限・中央・上限の順序が不正のため、並べ替えて記録' AS text FROM sc JOIN ids USING (doc, ref) WHERE NOT (low <= median AND median <= high)
+    UNION ALL SELECT doc, id || ': 単発型の想定期間 ' || expected_days || ' を ' || least(greatest(expected_days, 5), 20) || ' 営業日に補正' FROM sc JOIN ids USING (doc, ref) WHERE time_type = '単発' AND expected_days NOT BETWEEN 5 AND 20
+    UNION ALL SELECT doc, id || ': 候補 ' || lpad(CAST(code AS VARCHAR), 4, '0') || ' ' || CASE WHEN known AND no % 4 <> 0 THEN '株式会社 ' || s_name ELSE 'other' END || ' を確定しない(' || CASE WHEN known THEN 'name differs' ELSE 'unknown code' END || ')'
+        FROM ca JOIN ids USING (doc, ref) LEFT JOIN supplier ON s_suppkey = code WHERE NOT named
+    UNION ALL SELECT doc, id || ': 確定できる候補が無いため、候補なしのシナリオとして記録' FROM ids WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.doc = ids.doc AND ca.ref = ids.ref AND named)
+    UNION ALL SELECT o_custkey * 12 + month(o_orderdate) - 1, '更新先のシナリオ SC' || lpad(CAST(o_orderkey % 50 AS VARCHAR), 4, '0') || ' が存在しないため、記録しない' FROM orders
+        WHERE o_custkey * 12 + month(o_orderdate) - 1 NOT IN (SELECT doc FROM refused) AND NOT o_orderkey % 50 BETWEEN 1 AND 40
+    UNION ALL SELECT doc, id || ' 矢印' || arrow_no || ': 信頼度1・2の証拠が無いため「未確認」に修正' FROM (
+        SELECT *, bool_or(supports AND tier <= 2) OVER (PARTITION BY id, arrow_no) AS strong FROM ev JOIN ids USING (doc, ref)) WHERE NOT strong"""
+)
+def commit_warnings(spark, d):
+    """VAL2: what the commit mended in the documents it took or left out of them, and why."""
+    return _committed(spark, d)["warning"]
+
+
 # The nightly transition on one day: all picks up to it, each a scenario of one candidate.
 DAY = "1998-03-03"
 for _name in ("px", "idx"):
