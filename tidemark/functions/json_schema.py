@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 WHOLE = "(全体)"  # how the document as a whole is named; a fixed value
 NO_JSON = "not JSON"
 _FOUND = "array<struct<key:string,path:string,text:string>>"
@@ -131,7 +133,10 @@ def _joined(parts: list[Column]) -> Column:
 
 def violations(schema: dict, text: Column) -> Column:
     """array<string> of 'path: what is wrong' of a JSON text, sorted by path, items by their number; empty if it fits."""
-    doc = F.try_parse_json(text)
-    found = F.array_sort(_joined(_parts(schema, _Place(doc), schema.get("$defs", {}))))
-    told = F.transform(found, lambda x: F.concat(F.when(x["path"] == "", WHOLE).otherwise(x["path"]), F.lit(": "), x["text"]))
-    return F.when(doc.isNull(), F.array(F.lit(f"{WHOLE}: {NO_JSON}"))).otherwise(told)
+
+    def told(doc: Column) -> Column:
+        found = F.array_sort(_joined(_parts(schema, _Place(doc), schema.get("$defs", {}))))
+        lines = F.transform(found, lambda x: F.concat(F.when(x["path"] == "", WHOLE).otherwise(x["path"]), F.lit(": "), x["text"]))
+        return F.when(doc.isNull(), F.array(F.lit(f"{WHOLE}: {NO_JSON}"))).otherwise(lines)
+
+    return bind(F.try_parse_json(text), told)  # parsed once, not for each check
