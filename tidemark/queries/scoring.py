@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from .. import calendar
 from ..functions import scoring as sc
+from ..operators import evidence
 from ..operators import prices as ops
 from ..operators import state
-from ..plans import nightly
+from ..plans import nightly, report
 from ..shared import cut
 from . import base
 from .base import query
 
-# Candidates at an evaluation date up to 39 days after the pick. Reactions and the final grade come from prices; the rest
-# (start, shares of verified arrows, strengths) is what a person or a model tells, derived from the key.
+# Candidates at an evaluation date up to 39 days after the pick. Reactions and the final grade come from prices, shares of
+# verified arrows and tiers of evidence from lines, posts from customers; the rest (start, strengths, clearness) is what a person
+# or a model tells, derived from the key.
 _EVAL = """ev AS (SELECT p.*, CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE) AS eval_date, p.scenario_id % 3 <> 0 AS started,
         CASE WHEN coalesce(s, 2) < 2 THEN p.scenario_id % 4 = 0 ELSE p.scenario_id % 4 < 2 END AS attention_high,
         EXISTS (SELECT 1 FROM sig g WHERE g.sigma >= 2 AND g.code = (p.code + 1) % 25 AND g.date >= p.first_date AND g.date <= CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE)) AS tier1,
         EXISTS (SELECT 1 FROM sig g WHERE g.sigma >= 2 AND g.code = p.code AND g.date >= p.first_date AND g.date <= CAST(p.first_date + CAST(p.scenario_id % 40 AS INTEGER) AS DATE)) AS reacted,
-        p.scenario_id % 6 / 5.0::DOUBLE AS verified, CAST(p.scenario_id % 3 AS INTEGER) AS denied, p.scenario_id % 8 <> 0 AS clear,
+        coalesce(ar.verified, 0) AS verified, coalesce(ar.denied, 0) AS denied, coalesce(ar.low_tier, false) AS low_tier, po.scenario IS NOT NULL AS post, s AS top, p.scenario_id % 8 <> 0 AS clear,
         ['上昇中', '横ばい', '冷却中', NULL][p.scenario_id % 4 + 1] AS temperature, ['Weak', 'Weak+', 'Medium', 'Strong'][p.scenario_id % 4 + 1] AS strength, ['Weak', 'Weak+', 'Medium', 'Strong'][p.scenario_id // 4 % 4 + 1] AS initial
         FROM picks p LEFT JOIN (SELECT p.scenario_id, max(sigma) AS s FROM picks p JOIN cal a ON a.d = p.first_date JOIN cal b ON b.is_bd AND b.bd_seq = a.bd_seq + 1
-            JOIN sig ON sig.code = p.code AND (sig.date = p.first_date OR sig.date = b.d) GROUP BY 1) t ON t.scenario_id = p.scenario_id)"""
+            JOIN sig ON sig.code = p.code AND (sig.date = p.first_date OR sig.date = b.d) GROUP BY 1) t ON t.scenario_id = p.scenario_id
+        LEFT JOIN (SELECT l_orderkey, avg((l_returnflag <> 'R' AND l_linestatus = 'F')::INTEGER) AS verified, CAST(count_if(l_returnflag = 'R') AS INTEGER) AS denied,
+            min(CASE WHEN l_returnflag <> 'R' THEN l_linenumber % 4 + 1 END) >= 3 AS low_tier FROM lineitem GROUP BY 1) ar ON ar.l_orderkey = p.scenario_id
+        LEFT JOIN (SELECT o_orderkey AS scenario FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < -500) po ON po.scenario = p.scenario_id)"""
 _SCORED = f"""{_EVAL}, spanned AS (SELECT e.*, (c1.close / c0.close - 1) - (b1.b_on / b0.b_before - 1) AS excess, b.bd_seq - a.bd_seq AS elapsed FROM ev e
         ASOF LEFT JOIN px c0 ON e.code = c0.code AND c0.date < e.first_date ASOF LEFT JOIN px c1 ON e.code = c1.code AND c1.date <= e.eval_date
         LEFT JOIN bday b0 ON b0.b_date = e.first_date LEFT JOIN bday b1 ON b1.b_date = e.eval_date LEFT JOIN cal a ON a.d = e.first_date LEFT JOIN cal b ON b.d = e.eval_date),
@@ -39,18 +44,35 @@ def _pick(names, k):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (k + 1).cast("int"))
 
 
+def arrows(spark, d):
+    """(scenario_id, arrow_no, status, supports, source_tier): each line is an arrow of its order's check plan with its evidence."""
+    against, no = F.col("l_returnflag") == "R", F.col("l_linenumber")
+    status = F.when(against, evidence.DENIED).when(F.col("l_linestatus") == "F", evidence.CONFIRMED).otherwise(evidence.UNSEEN)
+    return base.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("scenario_id"), no.alias("arrow_no"), status.alias("status"), F.when(against, "against").otherwise("for").alias("supports"), (no % 4 + 1).alias("source_tier"))
+
+
+def _posts(spark, d):
+    """(scenario_id) of scenarios whose customer is on a monitored post."""
+    listing = base.read(spark, d, "customer").select("c_custkey", F.lit("1998-08-03").cast("date").alias("date"), F.when(F.col("c_acctbal") < -500, "監理").otherwise("通常").alias("status"))
+    orders = base.read(spark, d, "orders").select(F.col("o_orderkey").alias("scenario_id"), F.col("o_custkey").alias("c_custkey"))
+    return orders.join(evidence.on_post(listing, "c_custkey"), "c_custkey", "left_semi").select("scenario_id")
+
+
 def evaluated(spark, d):
     """PIP3: candidates with freshness, priced-in degree, diagnosis, probability and confidence."""
     key, cal = F.col("scenario_id"), calendar.dimension(spark)
     ev = base.picks(spark, d).withColumns(
         {
             "eval_date": F.expr("date_add(first_date, cast(scenario_id % 40 as int))"), "started": key % 3 != 0, "peer": (F.col("code") + 1) % 25,
-            "verified": key % 6 / F.lit(5.0), "denied": (key % 3).cast("int"), "clear": key % 8 != 0, "temperature": _pick(["上昇中", "横ばい", "冷却中", None], key % 4),
+            "clear": key % 8 != 0, "temperature": _pick(["上昇中", "横ばい", "冷却中", None], key % 4),
             "strength": _pick(sc.STRENGTHS, key % 4), "initial": _pick(sc.STRENGTHS, F.floor(key / 4) % 4),
         }
     )
     by_day, prices = cut(ops.benchmark_by_day(base.benchmark(spark, d), cal)), cut(base.prices(spark, d))
     sigma = cut(ops.day_sigma(ops.daily_features(prices), by_day).select("code", "date", "sigma"))
+    plan = arrows(spark, d)
+    ev = ev.join(evidence.plan_shares(plan), "scenario_id", "left").withColumns({"verified": F.coalesce("verified", F.lit(0.0)), "denied": F.coalesce("denied", F.lit(0))})
+    ev = evidence.flagged(evidence.flagged(ev, evidence.low_tier_only(plan), "low_tier"), _posts(spark, d), "post")
     # Reactions of the candidate and of the tier-1 company before it in the chain, each (code, pick, day) once.
     spans = ev.select("code", "peer", "first_date", "eval_date").distinct()
     spans = nightly.reacted(spans, sigma, "first_date", "eval_date", "reacted")
@@ -62,7 +84,7 @@ def evaluated(spark, d):
     ev = ops.rejoin(ev, top, ["code", "first_date"], ["top"])
     grade = F.substring(F.lit("SABC"), (key % 4 + 1).cast("int"), F.lit(1))
     final = sc.checked_grade(grade, F.coalesce(F.col("top") >= sc.REACTION, F.lit(True)))
-    ev = ev.withColumn("attention_high", final.isin("S", "A"))
+    ev = ev.withColumns({"attention_high": final.isin("S", "A"), "grade": grade, "final_grade": F.when(F.col("top").isNotNull(), final)})
     ev = ops.excess_return(ev, prices, by_day, "first_date", "eval_date")
     ev = calendar.with_seq(calendar.with_seq(ev, "first_date", "a", cal), "eval_date", "b", cal).withColumn("elapsed", F.col("b") - F.col("a"))
     ev = ev.withColumn("fresh", sc.freshness(F.col("started"), F.col("elapsed"), F.col("expected_days")))
@@ -75,19 +97,19 @@ def evaluated(spark, d):
 
 
 @query(
-    f"""SELECT * FROM (WITH {_SCORED} SELECT scenario_id, code, round(fresh, 6) AS fresh, round(priced, 6) AS priced, round(room, 6) AS room, diagnosis, round(p2, 6) AS prob, round(confidence, 6) AS confidence,
+    f"""SELECT * FROM (WITH {_SCORED} SELECT scenario_id, code, round(fresh + 1e-10, 6) AS fresh, round(priced + 1e-10, 6) AS priced, round(room + 1e-10, 6) AS room, diagnosis, round(p2 + 1e-10, 6) AS prob, round(confidence + 1e-10, 6) AS confidence,
         CASE WHEN confidence >= 0.2 THEN 4 WHEN confidence >= 0.1 THEN 3 WHEN confidence >= 0.05 THEN 2 ELSE 1 END AS stars FROM final)""",
     NEEDS,
 )
 def evaluate_candidates(spark, d):
     """PIP3, JN9, JN12, WIN5, SC14-19, AGG11: freshness, priced-in degree, diagnosis, probability, confidence, stars."""
-    r = lambda c, n=None: F.round(c, 6).alias(n or c)
+    r = lambda c, n=None: F.round(F.col(c) + 1e-10, 6).alias(n or c)  # noqa: E731  # exact halves don't fall by the last bit
     return evaluated(spark, d).select("scenario_id", "code", r("fresh"), r("priced"), r("room"), "diagnosis", r("p2", "prob"), r("confidence"), sc.stars(F.col("confidence")).alias("stars"))
 
 
 @query(
     f"""SELECT * FROM (WITH {_SCORED} SELECT scenario_id, code, array_to_string(list_filter([
-            'LLM の推定 ' || CAST(round(prob * 100) AS INTEGER) || '%', '裏取り ' || CAST(round(verified * 100) AS INTEGER) || '% 確認 ×' || printf('%.2f', 0.8 + 0.4 * verified),
+            'LLM の推定 ' || CAST(round(prob * 100) AS INTEGER) || '%', '裏取り ' || CAST(round_even(verified * 100, 0) AS INTEGER) || '% 確認 ×' || printf('%.2f', 0.8 + 0.4 * verified),
             CASE WHEN denied > 0 THEN '否定された矢印 ' || denied || ' 本 ×' || printf('%.2f', pow(0.7, denied)) END, CASE WHEN NOT clear THEN '方向が曖昧 ×0.8' END,
             CASE WHEN diagnosis = '⚠ 無視されている疑い' THEN '無視されている疑い ×0.5' END, CASE temperature WHEN '上昇中' THEN 'テーマの温度 上昇中 ×1.1' WHEN '冷却中' THEN 'テーマの温度 冷却中 ×0.9' END,
             CASE WHEN strength <> initial THEN '強さ ' || initial || '→' || strength || ' ×' ||
@@ -101,8 +123,8 @@ def probability_audit(spark, d):
 
 
 _RANKED = f"""{_SCORED}, latest AS (SELECT f.*, t.turnover * 10000 AS turnover, t.close AS price, t.ret_k AS surge FROM final f ASOF LEFT JOIN feat t ON f.code = t.code AND t.date <= f.eval_date),
-    excl AS (SELECT *, CASE WHEN scenario_id % 13 = 0 THEN '売り方向(caution)の候補' WHEN scenario_id % 31 = 0 THEN '監理・整理ポストの銘柄' WHEN coalesce(turnover, 0) < 3e8 THEN '流動性の下限を満たさない' WHEN coalesce(price, 0) < 100 THEN '株価100円未満'
-        WHEN coalesce(surge, 0) > 0.5 THEN '直近ですでに急騰している' WHEN scenario_id % 9 = 0 THEN '裏取りの証拠が信頼度3・4の情報源だけ' END AS reason FROM latest),
+    excl AS (SELECT *, CASE WHEN scenario_id % 13 = 0 THEN '売り方向(caution)の候補' WHEN post THEN '監理・整理ポストの銘柄' WHEN coalesce(turnover, 0) < 3e8 THEN '流動性の下限を満たさない' WHEN coalesce(price, 0) < 100 THEN '株価100円未満'
+        WHEN coalesce(surge, 0) > 0.5 THEN '直近ですでに急騰している' WHEN low_tier THEN '裏取りの証拠が信頼度3・4の情報源だけ' END AS reason FROM latest),
     placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY eval_date ORDER BY round(confidence, 9) DESC, scenario_id) AS INTEGER) AS rank FROM excl)"""
 
 
@@ -121,7 +143,7 @@ def _ranked(spark, d):
     ev = ops.as_of(ev, f, ["code"], value="state", into="last")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     side = F.when(F.col("scenario_id") % 13 == 0, "caution").otherwise("long")
-    reason = sc.exclusion(side, F.col("scenario_id") % 31 == 0, zero(F.col("last.turnover") * 10000), zero(F.col("last.close")), zero(F.col("last.ret_k")), F.col("scenario_id") % 9 == 0)
+    reason = sc.exclusion(side, F.col("post"), zero(F.col("last.turnover") * 10000), zero(F.col("last.close")), zero(F.col("last.ret_k")), F.col("low_tier"))
     return state.rank_picks(ev.withColumns({"side": side, "reason": reason}), ["eval_date"], [F.desc(F.round("confidence", 9)), F.asc("scenario_id")])
 
 
@@ -137,6 +159,34 @@ def rank_overrides(spark, d):
     return out.select("scenario_id", "code", "rank", "reason", "tier")
 
 
+_PCT = "printf('%.0f%%', round_even(round({} * 100, 6), 0) + 0.0)".format
+_SIGNED = "printf('%+.0f%%', round_even(round({} * 100, 6), 0) + 0.0)".format
+_CARD = f"""chosen AS (SELECT *, row_number() OVER (PARTITION BY eval_date ORDER BY rank) AS place FROM placed WHERE reason IS NULL QUALIFY place <= 3),
+    proof AS (SELECT l_orderkey, string_agg('  - 矢印' || l_linenumber || ' ― ' || status, chr(10) ORDER BY l_linenumber, status) AS plan,
+            string_agg(CASE WHEN status = '否定' THEN '- **反証**:矢印' || l_linenumber || '(信頼度' || (l_linenumber % 4 + 1) || ')' END, chr(10) ORDER BY l_linenumber) AS against
+        FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN '否定' WHEN l_linestatus = 'F' THEN '確認' ELSE '未確認' END AS status FROM lineitem) GROUP BY 1),
+    graded AS (SELECT *, substring('SABC', CAST(scenario_id % 4 + 1 AS INTEGER), 1) AS grade FROM chosen)"""
+
+
+@query(
+    f"""SELECT * FROM (WITH {_RANKED}, {_CARD} SELECT eval_date, CAST(place AS INTEGER) AS place, scenario_id, concat_ws(chr(10),
+        '### 本命' || place || '位 ' || n_name || '(' || code || ')  自信度 ' || repeat('★', CASE WHEN confidence >= 0.2 THEN 4 WHEN confidence >= 0.1 THEN 3 WHEN confidence >= 0.05 THEN 2 ELSE 1 END),
+        '- **等級**:' || CASE WHEN top IS NULL THEN grade || '(暫定。翌日に確定)' WHEN top < 2 AND grade = 'S' THEN 'A(確定)' WHEN top < 2 AND grade = 'A' THEN 'B(確定)' ELSE grade || '(確定)' END,
+        '- **鮮度**:' || CASE WHEN started THEN {_PCT("fresh")} || '(想定期間 ' || expected_days || ' 営業日・残り ' || (expected_days - elapsed) || ' 営業日)' ELSE '待機中' END,
+        '- **織り込み度**:' || {_PCT("priced")} || '(超過上昇 ' || coalesce({_SIGNED("excess")}, '―') || ' ÷ 想定上昇幅 ' || {_SIGNED("median")} || ')',
+        '- **反応の診断**:' || diagnosis, '- **実現確度**:' || {_PCT("p2")}, CASE WHEN plan IS NOT NULL THEN '- **裏取り**:' END, plan, against) AS card
+        FROM graded JOIN nation ON n_nationkey = code LEFT JOIN proof ON l_orderkey = scenario_id)""",
+    NEEDS,
+)
+def pick_cards(spark, d):
+    """SNK11, SC26, TOP1: the card of each day's picks, as the report shows it."""
+    ranked = _ranked(spark, d).where("tier = '本命'").withColumn("place", F.row_number().over(Window.partitionBy("eval_date").orderBy("rank")))  # at most three a day
+    names = F.broadcast(base.read(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name")))  # a fixed table of nations
+    against = arrows(spark, d).where("supports = 'against'").groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("arrow_no", "source_tier"))).alias("against"))
+    told = ranked.withColumns({"prob": F.col("p2"), "stars": sc.stars(F.col("confidence")), "remaining": F.col("expected_days") - F.col("elapsed")}).join(against, "scenario_id", "left").join(names, "code")
+    return told.select("eval_date", "place", "scenario_id", report.card().alias("card"))
+
+
 @query("SELECT scenario_id, code, row_number() OVER (PARTITION BY first_date ORDER BY prob, scenario_id) <= count(*) OVER (PARTITION BY first_date) - 15 AS dormant FROM picks", ("picks",))
 def scenario_cap_dormant(spark, d):
     """TOP4: all but the 15 most probable scenarios of a day go dormant."""
