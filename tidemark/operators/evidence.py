@@ -15,7 +15,7 @@ def plan_shares(plan: DataFrame) -> DataFrame:
     """(scenario_id, verified, denied, arrows) of plan rows (scenario_id, arrow_no, status): the share of arrows that are
     confirmed, the number of those denied, and all of them as no and status, by number."""
     return plan.groupBy("scenario_id").agg(
-        F.avg((F.col("status") == CONFIRMED).cast("int")).alias("verified"), F.count_if(F.col("status") == DENIED).cast("int").alias("denied"),
+        F.avg(F.when(F.col("status") == CONFIRMED, 1).otherwise(0)).alias("verified"), F.count_if(F.col("status") == DENIED).cast("int").alias("denied"),
         F.sort_array(F.collect_list(F.struct("arrow_no", "status"))).alias("arrows"),
     )
 

@@ -35,9 +35,12 @@ def write_pack(packs: DataFrame, path: str) -> None:
     packs.write.mode("ignore").partitionBy("day").json(path)
 
 
-def due_themes(themes: DataFrame, cards: DataFrame, temperatures: DataFrame, day: str) -> DataFrame:
-    """Themes with their latest card and temperature, and whether a temperature is due: none, or a week old."""
+def theme_states(themes: DataFrame, cards: DataFrame, temperatures: DataFrame, day: str) -> DataFrame:
+    """themes (theme_id, name) with their latest card (version, market_premise) and temperature, by _seq; and whether the
+    temperatures are due, which is one answer for all themes: none was ever taken, or the last is a week old."""
     card = cards.groupBy("theme_id").agg(F.max_by(F.struct("version", "market_premise"), "_seq").alias("card"))
-    heat = temperatures.groupBy("theme_id").agg(F.max_by("temperature", "_seq").alias("temperature"), F.max("run_date").alias("last"))
-    due = F.col("last").isNull() | (F.datediff(F.lit(day).cast("date"), "last") >= 7)
-    return themes.join(card, "theme_id", "left").join(heat, "theme_id", "left").select("theme_id", "name", "card", "temperature", due.alias("due"))
+    heat = temperatures.groupBy("theme_id").agg(F.max_by("temperature", "_seq").alias("temperature"))
+    last = temperatures.agg(F.max("run_date").alias("__last"))  # one row
+    due = F.col("__last").isNull() | (F.datediff(F.lit(day).cast("date"), "__last") >= 7)
+    out = themes.join(card, "theme_id", "left").join(heat, "theme_id", "left").join(F.broadcast(last))
+    return out.select("theme_id", "name", "card", "temperature", due.alias("due"))

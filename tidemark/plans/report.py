@@ -27,6 +27,11 @@ def percent(value: float | None, signed: bool = False) -> str:
     return "―" if value is None else f"{value:+.1%}" if signed else f"{value:.1%}"
 
 
+def cell(value: object) -> str:
+    """A value inside a Markdown table: nothing for null, no bars or line ends of its own."""
+    return "" if value is None else str(value).replace("|", "\\|").replace("\n", " ")
+
+
 def shown(c: Column, signed: bool = False) -> Column:
     """A share as a whole percentage, halves to even; null is a dash."""
     whole = F.bround(F.round(c * 100, 6), 0) + F.lit(0.0)

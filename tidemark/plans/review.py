@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..calendar import with_seq
 from ..functions import scoring as sc
+from ..operators.evidence import plan_shares
 from ..operators.prices import HORIZON, MOVE_BEGINS
 from ..operators.tables import latest_by
 
@@ -37,6 +38,14 @@ def metrics(picks: DataFrame, decisions: DataFrame, today: Column, calendar: Dat
     return stocks.join(scenarios, "month", "left")
 
 
+def failures(picks: DataFrame, plan: DataFrame, today: Column, calendar: DataFrame) -> DataFrame:
+    """(month, scenario_id, code, arrows) of first picks (scenario_id, code, first_date, expected_days, moved) whose window is
+    over without a move, with the arrows (arrow_no, status) of their check plans; no plan gives none."""
+    out = with_seq(with_seq(picks.withColumn("__today", today), "first_date", "__a", calendar), "__today", "__b", calendar)
+    out = out.where(~F.coalesce("moved", F.lit(False)) & closed(F.col("__b") - F.col("__a"), F.col("expected_days")))
+    return out.join(plan_shares(plan), "scenario_id", "left").select(F.trunc("first_date", "month").alias("month"), "scenario_id", "code", "arrows")
+
+
 def monthly_input(metrics: DataFrame, related: DataFrame) -> DataFrame:
     """(month, input): the review's input document, with how many related companies moved (month, moved)."""
     movers = related.groupBy("month").agg(F.count_if("moved").alias("related_movers"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import calendar
+from ..functions import scoring
 from ..operators import prices as ops
 from ..operators import state
 from ..plans import commit as commits
@@ -161,6 +162,37 @@ def nextday_counts(spark, d):
     return _night(spark, d).groupBy(kind.alias("counter")).agg(F.count("*").alias("n"))
 
 
+_NEWS = f"SELECT l_orderkey AS scenario_id, CASE l_returnflag WHEN 'N' THEN '強化' WHEN 'A' THEN '弱体化' ELSE '消滅' END AS type, ['Weak', 'Weak+', 'Medium', 'Strong'][l_linenumber % 4 + 1] AS strength_after FROM lineitem WHERE CAST(l_shipdate AS DATE) = DATE '{DAY}'"
+
+
+@query(
+    f"""SELECT * FROM (WITH {_NIGHT}, news AS ({_NEWS})
+    SELECT 'new' AS section, CAST(o_orderkey AS VARCHAR) AS subject, CASE WHEN o_orderstatus = 'F' THEN '進行中' ELSE '待機' END || '|' || ['単発', '局面展開', '予定日'][o_orderkey % 3 + 1] AS detail FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '{DAY}'
+    UNION ALL SELECT 'update', CAST(scenario_id AS VARCHAR), type || '|' || strength_after FROM news
+    UNION ALL SELECT 'ended', CAST(scenario_id AS VARCHAR), detail FROM night_rows WHERE kind = 'ended'
+    UNION ALL SELECT 'ended', CAST(scenario_id AS VARCHAR), 'シナリオが崩れた(消滅)' FROM news JOIN orders ON o_orderkey = scenario_id WHERE type = '消滅'
+    UNION ALL SELECT 'signal', CAST(scenario_id AS VARCHAR), detail FROM night_rows WHERE kind = 'sell_signal'
+    UNION ALL SELECT 'warning', CAST(user_id AS VARCHAR), 'failed three times in a row' FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+        WHERE r <= 3 GROUP BY user_id HAVING count(*) = 3 AND bool_and(value < 60))""",
+    NIGHT,
+)
+def day_context(spark, d):
+    """PIP6: what the day's report tells: new scenarios, updates, endings and signals of the night, sources that fail."""
+    from ..plans import context
+    from .records import consecutive_failures
+
+    k, no, today = F.col("o_orderkey"), F.col("l_linenumber"), F.lit(DAY).cast("date").alias("day")
+    night = cut(_night(spark, d).where("kind in ('ended', 'sell_signal')"))
+    kind = F.element_at(F.array(*map(F.lit, ["単発", "局面展開", "予定日"])), (k % 3 + 1).cast("int"))
+    scenarios = base.read(spark, d, "orders").select(k.alias("scenario_id"), F.to_date("o_orderdate").alias("created"), F.when(F.col("o_orderstatus") == "F", "進行中").otherwise("待機").alias("status"), kind.alias("time_type"))
+    change = F.when(F.col("l_returnflag") == "N", "強化").when(F.col("l_returnflag") == "A", tracking.WEAKENING).otherwise(tracking.BREAKING)
+    strength = F.element_at(F.array(*map(F.lit, scoring.STRENGTHS)), no % 4 + 1)
+    updates = base.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("scenario_id"), F.to_date("l_shipdate").alias("day"), change.alias("type"), strength.alias("strength_after"))
+    statuses = night.where("kind = 'ended'").select("scenario_id", today, F.lit(tracking.ENDED).alias("status"), F.col("detail").alias("reason"))
+    signals = night.where("kind = 'sell_signal'").select("scenario_id", today, F.col("detail").alias("signals"))
+    return context.day_context(DAY, scenarios, updates, statuses, signals, consecutive_failures(spark, d).withColumnRenamed("user_id", "source"))
+
+
 # Two nights in a row; on the second the feed of some codes gives nothing.
 NIGHTS = ("1998-03-03", "1998-03-04")
 for _name in ("px", "idx"):
@@ -299,6 +331,25 @@ def monthly_review(spark, d):
     return review.metrics(told, log, F.lit(TODAY).cast("date"), cal)
 
 
+@query(
+    f"""SELECT date_trunc('month', m.first_date)::DATE AS month, m.scenario_id, m.code, coalesce(plan, '') AS plan FROM moves m JOIN cal f ON f.d = m.first_date JOIN cal t ON t.d = DATE '{TODAY}'
+    LEFT JOIN (SELECT l_orderkey, string_agg(l_linenumber || ':' || CASE WHEN l_returnflag = 'R' THEN '否定' WHEN l_linestatus = 'F' THEN '確認' ELSE '未確認' END, ','
+        ORDER BY l_linenumber, CASE WHEN l_returnflag = 'R' THEN '否定' WHEN l_linestatus = 'F' THEN '確認' ELSE '未確認' END) AS plan FROM lineitem GROUP BY 1) ON l_orderkey = m.scenario_id
+    WHERE NOT m.moved AND t.bd_seq - f.bd_seq > least(m.expected_days, 20)""",
+    ("px", "idx", "cal", "bday", "picks", "moved"),
+)
+def failed_picks(spark, d):
+    """FLT13: first picks of each month whose window is over without a move, with the arrows of their check plans."""
+    from ..plans import review
+    from .scoring import arrows
+
+    cal = calendar.dimension(spark)
+    prices, by_day = cut(base.prices(spark, d)), cut(ops.benchmark_by_day(base.benchmark(spark, d), cal))
+    moved = ops.moved(base.picks(spark, d).select("scenario_id", "code", "first_date", "expected_days"), prices, by_day, cal)
+    out = review.failures(moved, arrows(spark, d), F.lit(TODAY).cast("date"), cal)
+    return out.select("month", "scenario_id", "code", F.coalesce(F.array_join(F.transform("arrows", lambda a: F.concat(a["arrow_no"].cast("string"), F.lit(":"), a["status"])), ","), F.lit("")).alias("plan"))
+
+
 @query(
     """SELECT o_custkey AS event_id, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS codes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"""
 )

@@ -25,13 +25,31 @@ _HEAT = "(VALUES (1, '上昇中'), (2, '横ばい'), (4, '冷却中'))"
         SELECT o_orderkey, unnest([o_orderkey % 5, o_orderkey % 7, o_orderkey % 3]) AS theme, unnest([0, 1, 2]) AS pos FROM orders) JOIN {_HEAT} t(id, temperature) ON theme = id GROUP BY o_orderkey"""
 )
 def first_theme_temperature(spark, d):
-    """JN8, JN10: the temperature of the first theme that has one."""
+    """JN10: the temperature of the first theme that has one."""
     heat = spark.createDataFrame([(1, "上昇中"), (2, "横ばい"), (4, "冷却中")], "theme long, temperature string")
     k = F.col("o_orderkey")
     themes = base.read(spark, d, "orders").select("o_orderkey", F.posexplode(F.array(k % 5, k % 7, k % 3)).alias("pos", "theme"))
     return themes.join(F.broadcast(heat), "theme").groupBy("o_orderkey").agg(F.min_by("temperature", "pos").alias("temperature"))  # heat: three rows
 
 
+@query(
+    """SELECT n_nationkey AS theme_id, n_name AS name, version, market_premise, temperature, date_diff('day', (SELECT max(CAST(o_orderdate AS DATE)) FROM orders), DATE '1998-08-10') >= 7 AS due FROM nation
+    LEFT JOIN (SELECT s_nationkey, arg_max(s_suppkey % 7 + 1, s_suppkey) AS version, arg_max(s_name, s_suppkey) AS market_premise FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey
+    LEFT JOIN (SELECT c_nationkey, arg_max(CASE WHEN o_orderstatus = 'P' THEN '上昇中' WHEN o_orderstatus = 'O' THEN '横ばい' ELSE '冷却中' END, o_orderkey) AS temperature FROM orders JOIN customer ON c_custkey = o_custkey
+        WHERE c_acctbal > 0 AND c_nationkey <> 7 GROUP BY 1) ON c_nationkey = n_nationkey"""
+)
+def theme_states(spark, d):
+    """JN8, FLT14: themes with their latest premise card and temperature, if they have any, and whether temperatures are due."""
+    from ..plans import pack
+
+    themes = base.read(spark, d, "nation").select(F.col("n_nationkey").alias("theme_id"), F.col("n_name").alias("name"))
+    cards = base.read(spark, d, "supplier").select(F.col("s_nationkey").alias("theme_id"), (F.col("s_suppkey") % 7 + 1).alias("version"), F.col("s_name").alias("market_premise"), F.col("s_suppkey").alias("_seq"))
+    told = base.read(spark, d, "customer").where("c_acctbal > 0 and c_nationkey <> 7").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("theme_id"))
+    heat = F.when(F.col("o_orderstatus") == "P", "上昇中").when(F.col("o_orderstatus") == "O", "横ばい").otherwise("冷却中")
+    orders = base.read(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("run_date"), heat.alias("temperature"), F.col("o_orderkey").alias("_seq"))
+    return pack.theme_states(themes, cards, orders.join(told, "o_custkey"), "1998-08-10").select("theme_id", "name", F.col("card.version").cast("long").alias("version"), F.col("card.market_premise").alias("market_premise"), "temperature", "due")
+
+
 @query(
     """SELECT user_id, round(avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END), 6) AS verified_ratio, CAST(count_if(event_type = 'error') AS BIGINT) AS denied,
     bool_or(value > 300) AS tier1_reacted, bool_or(value > 200 AND event_type = 'click') AS candidate_reacted, max(value) AS priced_in FROM events GROUP BY user_id"""
