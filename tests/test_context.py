@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tidemark import calendar
-from tidemark.operators import evidence
+from tidemark.operators import evidence, prices
 from tidemark.plans import context, pack, report, review
 
 DAY, EVE = date(2024, 1, 4), date(2024, 1, 3)
@@ -89,3 +89,14 @@ def test_tiers_shares_and_posts(spark):
     posts = evidence.on_post(listing, "code")
     assert [r[0] for r in posts.collect()] == ["b"]
     assert {r["code"]: r["post"] for r in evidence.flagged(listing.select("code").distinct(), posts, "post").collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_bars_near_an_evaluation(spark):
+    bars = lambda *rows: spark.createDataFrame(list(rows), "code string, date date, close double")
+    home = bars(("1301", date(2024, 1, 1), 1.0), ("1301", date(2023, 5, 9), 2.0), ("1301", date(2023, 5, 8), 3.0), ("1301", date(2024, 1, 5), 4.0), ("AAPL", EVE, 5.0), ("130A", DAY, 6.0))
+    foreign = bars(("AAPL", EVE, 7.0), ("1301", EVE, 8.0), ("13012", EVE, 9.0))
+    asked = spark.createDataFrame([("1301", DAY), ("1301", DAY), ("1301", date(2024, 1, 5)), ("AAPL", DAY), ("13012", DAY), ("130A", DAY), ("none", DAY), (None, DAY), ("1301", None)], "code string, eval_date date")
+    got = lambda df: sorted((r["code"], r["eval_date"].day, r["close"]) for r in df.collect())
+    both = got(prices.near(asked, home, foreign))
+    assert both == [("1301", 4, 1.0), ("1301", 4, 2.0), ("1301", 5, 1.0), ("1301", 5, 4.0), ("13012", 4, 9.0), ("130A", 4, 6.0), ("AAPL", 4, 7.0)]
+    assert ("AAPL", 4, 5.0) in got(prices.near(asked, home)) and prices.near(asked.limit(0), home).count() == 0

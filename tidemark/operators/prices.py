@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LOOKBACK = 240  # calendar days of prices that an evaluation reads
 
 # Lower bound of the price band and its daily limit width.
 LIMIT_BANDS = [
@@ -133,3 +134,19 @@ def moved(picks: DataFrame, prices: DataFrame, by_day: DataFrame, calendar: Data
     done = picks.join(seen, keys, "left").withColumn("max_excess", F.coalesce("max_excess", F.lit(0.0))).withColumn("moved", F.coalesce("moved", F.lit(False)))
     done = with_seq(with_seq(done, "first_date", "__a", calendar), "moved_at", "__b", calendar)
     return done.withColumn("days_to_move", F.col("__b") - F.col("__a")).drop("__a", "__b")
+
+
+def near(asked: DataFrame, home: DataFrame, foreign: DataFrame | None = None, days: int = LOOKBACK) -> DataFrame:
+    """asked (code, eval_date), each once, with the bars (code, date, ...) of the `days` calendar days up to it. Codes of four
+    characters that begin with a digit are home ones; the others are looked up in the foreign source, if there is one. A code
+    without bars gives no row. Bars outside all asked days are dropped before the join, by the span of each code."""
+    asked = asked.select("code", "eval_date").where("code is not null and eval_date is not null").distinct()
+    own = F.col("code").rlike(r"^\d...$")
+    bars = home if foreign is None else home.where(own).unionByName(foreign.where(~own))
+    span = asked.groupBy("code").agg(F.date_sub(F.min("eval_date"), days).alias("__from"), F.max("eval_date").alias("__to"))
+    bars = bars.join(span, "code").where("date between __from and __to").drop("__from", "__to")
+    # Each bar goes to the asked days of its own and the next blocks of `days` only, so the join is by equal keys.
+    block = lambda c: F.floor(F.unix_date(c) / days)
+    at = asked.withColumn("__b", F.explode(F.array(block(F.col("eval_date")), block(F.col("eval_date")) - 1)))
+    met = at.join(bars.withColumn("__b", block(F.col("date"))), ["code", "__b"]).drop("__b")
+    return met.where((F.col("date") <= F.col("eval_date")) & (F.col("date") >= F.date_sub("eval_date", days)))

@@ -115,7 +115,7 @@ def avg_turnover_20(spark, d):
     SIG,
 )
 def market_state_latest(spark, d):
-    """WIN10, SRC19: the latest row of each code within 240 days of the last date."""
+    """WIN10: the latest row of each code within 240 days of the last date."""
     s = _sigma(spark, d)
     last = base.prices(spark, d).agg(F.max("date").alias("last"))
     near = s.join(F.broadcast(last), F.col("date") >= F.date_sub("last", 240))
@@ -123,6 +123,25 @@ def market_state_latest(spark, d):
     return top.select("code", "date", "close", F.bround("sigma", 2).alias("sigma"), F.bround("ret_k", 4).alias("return_20d"), F.bround("turnover", 0).alias("avg_turnover"))
 
 
+@query(
+    """SELECT a.code, eval_date, count(*) AS bars, min(date) AS first, max(date) AS last, round(arg_max(close, date), 6) AS close FROM (
+        SELECT DISTINCT CASE WHEN code < 18 THEN lpad(CAST(code + 1300 AS VARCHAR), 4, '0') ELSE 'F' || code END AS code, CAST(date_trunc('month', first_date) AS DATE) AS eval_date FROM picks) a
+    JOIN (SELECT CAST(code + 1300 AS VARCHAR) AS code, date, close FROM px UNION ALL
+        SELECT 'F' || c_nationkey, CAST(o_orderdate AS DATE), CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) b
+    ON a.code = b.code AND date BETWEEN eval_date - 240 AND eval_date GROUP BY 1, 2""",
+    ("px", "picks"),
+)
+def loaded_prices(spark, d):
+    """SRC19: the bars that an evaluation at each month's start reads: 240 days of each code, foreign codes from the second source."""
+    code = lambda c: F.when(c < 18, (c + 1300).cast("string")).otherwise(F.concat(F.lit("F"), c.cast("string")))
+    asked = base.picks(spark, d).select(code(F.col("code")).alias("code"), F.trunc("first_date", "month").alias("eval_date"))
+    home = base.prices(spark, d).select((F.col("code") + 1300).cast("string").alias("code"), "date", "close")
+    nation = base.read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("F"), "c_nationkey").alias("code"))
+    orders = base.read(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").cast("decimal(18,2)").alias("paid")).join(nation, "o_custkey")
+    foreign = orders.groupBy("code", "date").agg((F.sum("paid").cast("double") / F.count("*")).alias("close"))
+    return ops.near(asked, home, foreign).groupBy("code", "eval_date").agg(F.count("*").alias("bars"), F.min("date").alias("first"), F.max("date").alias("last"), F.round(F.max_by("close", "date"), 6).alias("close"))
+
+
 @query(
     """SELECT code, date, round(max(abs_z), 6) AS z FROM (SELECT code, date, CASE WHEN n >= 22 THEN abs(ret / nullif(prior_vol, 0)) END AS abs_z FROM feat)
     WHERE abs_z >= 3 GROUP BY code, date""",
