@@ -413,3 +413,13 @@ def test_bands_miss_no_pair_of_the_shared_documents(spark, sf_dir):
     keys = [ngram_join.band_keys(ngram_join.signature(s)) for s in sets]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * (n := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= 4 * (len(sets[a]) + len(sets[b]) - n)]
     assert pairs and all((keys[a] == keys[b]).any() for a, b in pairs)
+
+
+def test_query_gives_the_classes_and_links_of_a_full_comparison(spark):
+    from tidemark.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op5_ngram_jaccard"](spark, folder).collect()}
+    assert len(got) == len(rows) and got == brute_classes(rows)
+    assert sum(n > 0 for _, n in got.values()) > 20  # there is something to find

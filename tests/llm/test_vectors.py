@@ -35,6 +35,18 @@ def test_short_null_and_few(spark):
 ODD = [(None, [0.5] * 8), (7, None), (8, [0.1] * 7 + [None]), (9, [0.1] * 7 + [float("nan")]), (10, [0.1] * 7 + [float("inf")]), (11, [0.25] * 3), (12, []), (13, [1e30] * 8), (0, [0.5] * 8)]
 
 
+def test_other_columns_do_not_clash(spark):
+    rows = [(i, [float((i * 7 + j * j) % 5 - 2) for j in range(16)]) for i in range(60)] + [(3, None), (None, [1.0] * 16), (20, [-2.0] * 16), (20, [-2.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    wide = df
+    for name in ("code", "rank", "ids", "a", "b", "asked", "distance", "neighbor_id", "query_id"):
+        wide = wide.withColumn(name, F.lit("x"))
+    asked = F.col("vec_id") % 20 == 0
+    plain = hamming.top_k(df, asked, k=5)
+    got = hamming.top_k(wide, asked, k=5)
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def odd_vectors(spark, n, dims=8, seed=1):
     """n vectors, a third of them equal, and rows that have no place; columns with clashing names."""
     rng = np.random.default_rng(seed)
