@@ -13,6 +13,7 @@ from ..functions.canonical import row_json
 GENESIS = "0" * 64
 GRADES = ["S", "A", "B", "C"]
 TIME_TYPES = ["単発", "局面展開", "予定日"]
+CODE_FORM = "^[0-9][0-9A-Z]{3}$"
 
 
 def last_of(log: DataFrame, by: list[str]) -> DataFrame:
@@ -78,9 +79,9 @@ def violations(checks: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()])))
 
 
-def candidate_checks() -> dict[str, Column]:
+def candidate_checks(code_form: str = CODE_FORM) -> dict[str, Column]:
     return {
-        "code": F.col("code").rlike("^[0-9][0-9A-Z]{3}$"),
+        "code": F.col("code").rlike(code_form),
         "realization_prob": F.col("realization_prob").between(0, 1),
         "stage": F.col("stage").between(1, 3),
         "side": F.col("side").isin("long", "caution"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import records
@@ -35,19 +35,20 @@ def numbers(scenarios: DataFrame, n_known: int) -> DataFrame:
     return told.withColumn("scenario_id", F.format_string("SC%04d", F.col("__n") + n_known)).drop("__n")
 
 
-def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int, plans: DataFrame | None = None, more: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, evidence: DataFrame, statuses: DataFrame, updates: DataFrame, known: Known, names: DataFrame, aliases: DataFrame, n_known: int, plans: DataFrame | None = None, more: dict[str, DataFrame] | None = None, code_form: str = records.CODE_FORM, shown_code: Column | None = None) -> dict[str, DataFrame]:
     """The frames to append, by record kind, and `warning` (doc, text): what was mended or left out of documents that were taken.
 
     documents (doc); scenarios (doc, ref, time_type, expected_days, low, median, high, started); candidates (doc, ref, no,
     code, company_name, realization_prob, stage, side); evidence (doc, scenario, arrow_no, supports, source_tier); statuses
     (doc, scenario, arrow_no, status); updates (doc, scenario_id, change). `scenario` is a ref of this document or a known id. plans
     (doc, ref, arrow_no, ...) become unconfirmed rows of check_plan; `more` has frames (doc, ...) by the name of a kind that is
-    recorded as it is, such as grade, premise_card and theme_temperature.
+    recorded as it is, such as grade, premise_card and theme_temperature. Codes have the form `code_form`; warnings show them as
+    `shown_code`, or as they are.
     """
     n = candidates.groupBy("doc", "ref").agg(F.count("*").alias("n_candidates"))
     bad = lambda df, checks: df.select("doc", F.explode(records.violations(checks)).alias("error"))
     broken = bad(scenarios.join(n, ["doc", "ref"], "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0))), records.scenario_checks())
-    broken = broken.unionByName(bad(candidates, records.candidate_checks())).distinct()
+    broken = broken.unionByName(bad(candidates, records.candidate_checks(code_form))).distinct()
     again = documents.join(known.documents, "doc", "left_semi").join(broken.select("doc"), "doc", "left_anti").select("doc", F.lit("committed before").alias("error"))
     errors = cut(broken.unionByName(again).groupBy("doc").agg(F.array_sort(F.collect_set("error")).alias("errors")))  # at most a name for each check
     ok = lambda df: df.join(errors, "doc", "left_anti")
@@ -86,7 +87,7 @@ def commit(documents: DataFrame, scenarios: DataFrame, candidates: DataFrame, ev
     warnings = [
         say(given.where("not (low <= median and median <= high)"), sid, ": 想定上昇幅の下限・中央・上限の順序が不正のため、並べ替えて記録"),
         say(given.where(days != F.col("expected_days")), sid, ": 単発型の想定期間 ", F.col("expected_days"), " を ", days, " 営業日に補正"),
-        say(rejected, sid, ": 候補 ", F.col("code"), " ", F.col("company_name"), " を確定しない(", F.col("reason"), ")"),
+        say(rejected, sid, ": 候補 ", F.col("code") if shown_code is None else shown_code, " ", F.col("company_name"), " を確定しない(", F.col("reason"), ")"),
         say(given.join(accepted.select("scenario_id").distinct(), "scenario_id", "left_anti"), sid, ": 確定できる候補が無いため、候補なしのシナリオとして記録"),
         say(unknown, "更新先のシナリオ ", sid, " が存在しないため、記録しない"),
         say(lost(evidence), "証拠の参照先 ", F.col("scenario"), " が不明なため、記録しない"),

@@ -39,8 +39,9 @@ def _committed(spark, d):
         doc, k.alias("ref"), F.element_at(F.array(*map(F.lit, ["単発", "局面展開", "予定日"])), (k % 3 + 1).cast("int")).alias("time_type"), span.alias("expected_days"),
         (k % 7).alias("low"), (k % 5).alias("median"), (k % 3).alias("high"), (F.col("o_orderstatus") == "F").alias("started"),
     )
-    code = F.lpad(F.col("l_suppkey").cast("string"), 4, "0")
-    s = base.read(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("code"), F.col("s_name").alias("master_name"))
+    digits = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")  # noqa: E731  # whole keys, in the order of their numbers
+    code = digits("l_suppkey")
+    s = base.read(spark, d, "supplier").select(digits("s_suppkey").alias("code"), F.col("s_name").alias("master_name"))
     candidates = lines.join(s.select(F.col("code").alias("__c"), "master_name"), F.col("__c") == code, "left").select(
         doc, k.alias("ref"), no.alias("no"), code.alias("code"), F.coalesce(F.when(no % 4 != 0, F.concat(F.lit("株式会社 "), "master_name")), F.lit("other")).alias("company_name"),
         F.lit(0.5).alias("realization_prob"), F.lit(1).alias("stage"), F.lit("long").alias("side"),
@@ -54,7 +55,7 @@ def _committed(spark, d):
     aliases = spark.createDataFrame([], "alias string, code string")
     grade = F.element_at(F.array(*map(F.lit, ["S", "A", "B", "C"])), (k % 4 + 1).cast("int"))
     more = {"grade": o.select(doc, k.alias("event_id"), grade.alias("provisional_grade")), "theme_temperature": o.where("o_orderkey % 9 = 0").select(doc, (k % 20).alias("theme_id"), F.lit("上昇中").alias("temperature"))}
-    return commits.commit(documents, scenarios, candidates, evidence, statuses, updates, known, s, aliases, 40, more=more)
+    return commits.commit(documents, scenarios, candidates, evidence, statuses, updates, known, s, aliases, 40, more=more, code_form="^[0-9]{19}$", shown_code=F.lpad(F.col("code").cast("long").cast("string"), 4, "0"))
 
 
 @query(
@@ -76,7 +77,7 @@ def commit_kinds(spark, d):
     join = lambda *cs: F.concat_ws("|", *[F.col(c).cast("string") for c in cs])
     shape = {
         "commit_rejection": ("doc", F.array_join("errors", ",")), "scenario": ("scenario_id", join("expected_days", "low", "median", "high", "status")),
-        "candidate": ("candidate_id", F.col("code").cast("int").cast("string")), "rejected_candidate": ("scenario_id", F.concat_ws("|", F.col("code").cast("int"), "reason")),
+        "candidate": ("candidate_id", F.col("code").cast("long").cast("string")), "rejected_candidate": ("scenario_id", F.concat_ws("|", F.col("code").cast("long"), "reason")),
         "evidence": ("scenario_id", join("arrow_no", "source_tier")), "check_plan": ("scenario_id", join("arrow_no", "status")), "scenario_update": ("scenario_id", F.col("change")),
         "grade": ("event_id", F.col("provisional_grade")), "theme_temperature": ("theme_id", F.col("temperature")),
     }
