@@ -19,7 +19,7 @@ def compared(name, spark, sf_dir, folder, **changed):
     return got
 
 
-@pytest.mark.parametrize("name", ["commit_kinds"])
+@pytest.mark.parametrize("name", ["commit_kinds", "commit_warnings"])
 def test_the_commit_keeps_codes_of_five_digits_apart(name, spark, sf_dir, tmp_path):
     """Keys on both sides of 10,000, some of which share their first four digits; the order of a scenario's candidates is by number."""
     code = "9990 + {k} * 7 % 40"
