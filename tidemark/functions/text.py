@@ -62,8 +62,8 @@ def novelty_hash(title: Column, names: Column) -> Column:
     return sha256(F.concat(top, F.lit("::"), stripped(normal_space(title))))
 
 
-def is_strong(c: Column) -> Column:
-    return F.coalesce(c.rlike("|".join(STRONG)), F.lit(False))
+def is_strong(c: Column, kinds: list[str] | None = None) -> Column:
+    return F.coalesce(c.rlike("|".join(kinds or STRONG)), F.lit(False))
 
 
 def strip_tags(c: Column) -> Column:

@@ -205,9 +205,9 @@ def composite(parts: list[tuple[Column, Column, Column]]) -> Column:
     return F.when(n > 0, total / n).otherwise(0.0)
 
 
-def strong_kind(title: Column, disclosure_type: Column) -> Column:
-    """Whether an event's title or type is that of a strong disclosure."""
-    return tx.is_strong(title) | tx.is_strong(disclosure_type)
+def strong_kind(title: Column, disclosure_type: Column, kinds: list[str] | None = None) -> Column:
+    """Whether an event's title or type is that of a strong disclosure (tx.STRONG, or `kinds`)."""
+    return tx.is_strong(title, kinds) | tx.is_strong(disclosure_type, kinds)
 
 
 def gate(events: DataFrame, cold_start: Column, growth_measured: Column) -> DataFrame:
