@@ -27,7 +27,7 @@ def test_the_commit_keeps_codes_of_five_digits_apart(name, spark, sf_dir, tmp_pa
     compared(name, spark, sf_dir, tmp_path, supplier=f"SELECT * REPLACE ({code.format(k='s_suppkey')} AS s_suppkey) {{t}} QUALIFY row_number() OVER (PARTITION BY s_suppkey * 7 % 40) = 1", lineitem=lines)
 
 
-@pytest.mark.parametrize("name", ["gate_decisions"])
+@pytest.mark.parametrize("name", ["gate_decisions", "daily_pack"])
 def test_the_gate_asks_for_one_strong_kind(name, spark, sf_dir, tmp_path):
     """Texts that hold another strong kind by chance, as "TOB" in capitals, aren't strong."""
     text = "CASE WHEN doc_id % 5 = 0 THEN 'THE TOBLE' || text ELSE text END"
