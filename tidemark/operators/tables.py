@@ -64,3 +64,22 @@ def chain_breaks(rows: DataFrame, chain: str, seq: str, prev: str, own: str) ->
     w = Window.partitionBy(chain).orderBy(seq)
     told = rows.withColumn("__prev", F.coalesce(F.lag(own).over(w), F.lit("0" * 64))).withColumn("__n", F.row_number().over(w))
     return told.where((F.col("__prev") != F.col(prev)) | (F.col("__n") != F.col(seq))).drop("__prev", "__n")
+
+
+def _parts(df: DataFrame, text: str, lengths: DataFrame, into: str, proper: bool = False) -> DataFrame:
+    """df with a row for each distinct part of a text that has one of the lengths (one row, `lengths`)."""
+    size = F.length(text)
+    fits = F.filter("lengths", lambda n: n < size if proper else n <= size)
+    parts = F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col(text), i, n)))
+    return df.join(F.broadcast(lengths)).withColumn(into, F.explode(F.array_distinct(F.flatten(parts)))).drop("lengths")
+
+
+def containment_pairs(left: DataFrame, right: DataFrame, by: tuple[str, str], texts: tuple[str, str]) -> DataFrame:
+    """Pairs of rows with equal `by` of which either text holds the other, by equality: a text is cut into its parts of the lengths
+    that the other side has (one row of lengths), and parts meet whole texts. So a pair that doesn't fit is never formed, and
+    a key with many rows isn't one task. Texts are names: their parts are some dozens."""
+    (k, j), (a, b) = by, texts
+    lengths = lambda df, c: df.agg(F.collect_set(F.length(c)).alias("lengths"))
+    holds = _parts(left, a, lengths(right, b), "__part").join(right, (F.col(k) == F.col(j)) & (F.col("__part") == F.col(b)))
+    held = _parts(right, b, lengths(left, a), "__part", proper=True).join(left, (F.col(k) == F.col(j)) & (F.col("__part") == F.col(a)))
+    return holds.drop("__part").unionByName(held.drop("__part"))

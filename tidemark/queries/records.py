@@ -281,7 +281,7 @@ def name_match_containment(spark, d):
     bare = lambda c, p: F.lower(F.regexp_replace(c, f"^{p}#0*", ""))
     c = base.read(spark, d, "customer").select("c_custkey", "c_nationkey", bare("c_name", "Customer").alias("a")).where("length(a) >= 2")
     s = base.read(spark, d, "supplier").select("s_suppkey", "s_nationkey", bare("s_name", "Supplier").alias("b")).where("length(b) >= 2")
-    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.contains("a", "b") | F.contains("b", "a"))).select("c_custkey", "s_suppkey")
+    return ops.containment_pairs(c, s, ("c_nationkey", "s_nationkey"), ("a", "b")).select("c_custkey", "s_suppkey")
 
 
 @query(
