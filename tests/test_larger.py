@@ -33,3 +33,31 @@ def test_the_gate_asks_for_one_strong_kind(name, spark, sf_dir, tmp_path):
     text = "CASE WHEN doc_id % 5 = 0 THEN 'THE TOBLE' || text ELSE text END"
     got = compared(name, spark, sf_dir, tmp_path, documents=f"SELECT * REPLACE ({text} AS text) {{t}}")
     assert len(got) > 0
+
+
+def test_name_pairs_form_no_pair_that_does_not_fit(spark, sf_dir, tmp_path):
+    """All names in one nation: texts meet by equal parts, not as every customer with every supplier. Names of other forms too."""
+    one = "SELECT * REPLACE ({n} AS {c}name, 7 AS {c}nationkey) {{t}}".format
+    customer = one(c="c_", n="CASE WHEN c_custkey % 9 = 0 THEN 'Größe ' || c_custkey WHEN c_custkey % 9 = 1 THEN '' WHEN c_custkey % 9 = 2 THEN 'aaaa' ELSE c_name END")
+    supplier = one(c="s_", n="CASE WHEN s_suppkey % 3 = 0 THEN 'öße' WHEN s_suppkey % 3 = 1 THEN 'aaaaaa' || s_suppkey ELSE '1' || s_suppkey END")
+    got = compared("name_match_containment", spark, sf_dir, tmp_path, customer=customer, supplier=supplier)
+    assert len(got) == len(got.drop_duplicates())
+    plan = QUERIES["name_match_containment"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "contains" not in plan
+
+
+def test_items_meet_those_before_across_blocks_and_gaps(spark):
+    """Ids on both sides of a block's end, negative ones, gaps and odd white space; equal to the plain expressions."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text as tx
+    from tidemark.operators import events as ops
+
+    texts = ["", None, "a", "Großer Händler heute", "Großer Händler\x85gestern", "Groß\x1cer Händler", "、。", "heute heute Händler"]
+    ids = [i for i in range(-3, 520) if i % 50 != 7]
+    items = spark.createDataFrame([(i, texts[(i * 5 + i // 7) % len(texts)]) for i in ids], "id long, title string")
+    told = {(r["id"], r["before"]): r["similarity"] for r in ops.to_previous(items, "[A-Za-zÀ-ÿ]{5,}").collect()}
+    i = items.select("id", tx.bigrams(F.col("title")).alias("g"), tx.entities(F.col("title"), "[A-Za-zÀ-ÿ]{5,}").alias("n"))
+    p = i.select((F.col("id") + 1).alias("id"), F.col("id").alias("before"), F.col("g").alias("pg"), F.col("n").alias("pn"))
+    want = i.join(p, "id").select("id", "before", F.greatest(tx.jaccard(F.col("g"), F.col("pg")), tx.jaccard(F.col("n"), F.col("pn"))).alias("s"))
+    assert told == {(r["id"], r["before"]): r["s"] for r in want.collect()} and len(told) > 400

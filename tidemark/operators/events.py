@@ -15,6 +15,7 @@ from .ranks import running
 COLD_START = 20  # rows of history below which ranks say little
 LOOK_BACK = 90  # days of history
 TOP_SHARE, EVENTS_A_DAY = 0.95, 3
+BLOCK = 8  # bits of an id within a block of neighbours
 
 
 class Clusters:
@@ -104,6 +105,36 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
     return items.groupBy(*group).applyInPandas(run, T.StructType([*items.schema.fields, T.StructField("cluster_no", T.IntegerType())]))
 
 
+def to_previous(items: DataFrame, entity: str = tx.ENTITY) -> DataFrame:
+    """(id, before, similarity): similarity of each item to that whose id is one less, the better of bigrams of titles and of
+    entities. Items are grouped into blocks of neighbouring ids, and only the last of a block goes to the next one too, so
+    that a text is taken apart once and what it gives isn't stored; a block is 257 items at most."""
+    # Java's white space, without the separators \x1c to \x1f that Python counts as such
+    noise, name = re.compile(tx.NOISE.replace(r"[\s", "[").replace("]+", "]|[^\\S\x1c-\x1f]+")), re.compile(entity)
+    ends = F.shiftright("id", BLOCK)
+    told = items.select("id", "title", F.explode(F.array_distinct(F.array(ends, F.shiftright(F.col("id") + 1, BLOCK)))).alias("block"))
+
+    def jaccard(a: set, b: set) -> float:
+        both = len(a & b)
+        return both / (len(a) + len(b) - both) if both else 0.0
+
+    def run(pdf):
+        import pandas as pd
+
+        block, last, before, out = pdf["block"].iloc[0], None, [], []
+        for at, titles in pdf.sort_values("id").groupby("id", sort=True)["title"]:
+            own = []
+            for title in titles:
+                t = noise.sub("", title or "")
+                own.append(({t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else ({t} if t else set()), set(name.findall(title or ""))))
+            if last == at - 1 and at >> BLOCK == block:
+                out += [(at, last, max(jaccard(g, pg), jaccard(n, pn))) for g, n in own for pg, pn in before]
+            last, before = at, own
+        return pd.DataFrame(out, columns=["id", "before", "similarity"])
+
+    return told.groupBy("block").applyInPandas(run, "id long, before long, similarity double")
+
+
 def to_events(clustered: DataFrame, group: list[str], entity: str = tx.ENTITY) -> DataFrame:
     """One event for each cluster: the longest title (the first of equals), distinct sources, first time, sorted codes,
     ids by kind, entities of all titles. A cluster's lists are bounded by its day's items."""
