@@ -15,6 +15,7 @@ from .ranks import running
 COLD_START = 20  # rows of history below which ranks say little
 LOOK_BACK = 90  # days of history
 TOP_SHARE, EVENTS_A_DAY = 0.95, 3
+SCAN = 4  # clusters for each token of a text up to which all are compared instead of looked up
 BLOCK = 8  # bits of an id within a block of neighbours
 
 
@@ -42,11 +43,20 @@ class Clusters:
     def near(self, tokens: list[int]) -> set[int]:
         """Numbers of the clusters that may reach the threshold."""
         n = len(tokens)
+        low, high = self.threshold * n - 1e-9, n / self.threshold + 1e-9
+        if len(self.sizes) <= SCAN * n:  # long texts: all clusters are fewer than the entries of the lists
+            return {c for c, size in enumerate(self.sizes) if low <= size <= high}
         enough = math.ceil(self.threshold * n - 1e-9)
         rare = sorted(tokens, key=lambda b: len(self.lists[b]))[: n - enough + 1]
-        low, high = self.threshold * n - 1e-9, n / self.threshold + 1e-9
         return {c for b in rare for c in self.lists[b] if low <= self.sizes[c] <= high}
 
+    def mask(self, tokens: list[int]) -> int:
+        """Built in place: a sum of single bits would copy the whole number for each token."""
+        bits = bytearray((len(self.lists) >> 3) + 1)
+        for b in tokens:
+            bits[b >> 3] |= 1 << (b & 7)
+        return int.from_bytes(bits, "little")
+
     def similarity(self, mask: int, n: int, c: int) -> float:
         both = (mask & self.masks[c]).bit_count()
         return both / (n + self.sizes[c] - both) if both else 0.0
@@ -55,14 +65,14 @@ class Clusters:
         self.masks.append(0)
         self.sizes.append(0)
 
-    def add(self, c: int, tokens: list[int]) -> None:
-        mask = self.masks[c]
+    def add(self, c: int, tokens: list[int], mask: int) -> None:
+        fresh = mask & ~self.masks[c]
+        bits = fresh.to_bytes((len(self.lists) >> 3) + 1, "little")
         for b in tokens:
-            if not mask >> b & 1:
-                mask |= 1 << b
+            if bits[b >> 3] >> (b & 7) & 1:
                 self.lists[b].append(c)
-                self.sizes[c] += 1
-        self.masks[c] = mask
+        self.sizes[c] += fresh.bit_count()
+        self.masks[c] |= fresh
 
 
 def cluster(items: DataFrame, group: list[str], order: list[str], threshold: float = 0.5, entity: str = tx.ENTITY) -> DataFrame:
@@ -85,7 +95,7 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
             t = noise.sub("", title or "")
             g = {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else ({t} if t else set())
             told = [k.tokens(words) for k, words in zip(kinds, (g, set(name.findall(title or ""))), strict=True)]
-            masks = [sum(1 << b for b in tokens) for tokens in told]
+            masks = [k.mask(tokens) for k, tokens in zip(kinds, told, strict=True)]
             best, score = -1, 0.0
             for c in sorted(kinds[0].near(told[0]) | kinds[1].near(told[1])):
                 s = max(k.similarity(mask, len(tokens), c) for k, mask, tokens in zip(kinds, masks, told, strict=True))
@@ -95,8 +105,8 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
                 best = len(kinds[0].masks)
                 for k in kinds:
                     k.start()
-            for k, tokens in zip(kinds, told, strict=True):
-                k.add(best, tokens)
+            for k, tokens, mask in zip(kinds, told, masks, strict=True):
+                k.add(best, tokens, mask)
             label.append(best)
         return pdf.assign(cluster_no=pd.Series(label, dtype="int32"))
 
@@ -142,7 +152,7 @@ def to_events(clustered: DataFrame, group: list[str], entity: str = tx.ENTITY) -
     ids = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("id"))))
     return clustered.withColumn("__e", tx.entities(F.col("title"), entity)).groupBy(*keys).agg(
         F.min_by("title", F.struct(-F.length("title"), "ts", "id")).alias("title"),
-        F.count_distinct("source").alias("media_count"),
+        F.size(F.collect_set("source")).cast("long").alias("media_count"),  # a distinct count would sort whole texts for a second stage
         F.min("ts").alias("first_observed_at"),
         F.count("*").alias("n_items"),
         F.bool_or(F.col("kind") == "disclosure").alias("has_disclosure"),
