@@ -31,7 +31,7 @@ def test_the_commit_keeps_codes_of_five_digits_apart(name, spark, sf_dir, tmp_pa
 def test_the_gate_asks_for_one_strong_kind(name, spark, sf_dir, tmp_path):
     """Texts that hold another strong kind by chance, as "TOB" in capitals, aren't strong."""
     text = "CASE WHEN doc_id % 5 = 0 THEN 'THE TOBLE' || text ELSE text END"
-    got = compared(name, spark, sf_dir, tmp_path, documents=f"SELECT * REPLACE ({text} AS text) {{t}}")
+    got = compared(name, spark, sf_dir, tmp_path, documents=f"SELECT * REPLACE ({text} AS text, doc_id * 20 AS doc_id) {{t}}")  # on many days
     assert len(got) > 0
 
 
