@@ -64,7 +64,7 @@ def test_items_meet_those_before_across_blocks_and_gaps(spark):
 
 
 def test_a_cluster_meets_a_long_text_at_the_cost_of_its_tokens():
-    """Masks of long texts are built in time near their tokens; a sum of single bits took 20 times as long here."""
+    """Masks of long texts are built in time near their tokens."""
     import time
 
     from tidemark.operators.events import Clusters
