@@ -169,3 +169,15 @@ def test_logs_go_on_and_a_torn_tail_stops_reading(spark, tmp_path):
     (tmp_path / "grade" / "part-torn.txt").write_text('{"_seq": 6, "_kind": "gra', encoding="utf-8")
     with pytest.raises(Exception, match="part-torn.txt has a broken line"):
         files.read_records(spark, log, payload).collect()
+
+
+def test_a_check_is_not_asked_for_its_type_at_each_value(spark):
+    """Expressions in lambdas are interpreted; flatten and elements of arrays ask all that is below them for its type unless that is a variable."""
+    import re
+
+    names = [f"k{i}" for i in range(3)]
+    schema = documents.listed(documents.record({n: documents.FROM_ONE for n in names}))
+    df = spark.createDataFrame([('[{"k0": 1, "k1": 0, "k2": 2.5}, {"k0": null}]',)], "text string").select(violations(schema, F.col("text")).alias("e"))
+    assert df.first()["e"] == ["0/k1: less than the minimum of 1", "0/k2: not of type integer", "1: k1 is required", "1: k2 is required", "1/k0: not of type integer"]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert not re.findall(r"flatten\((?!filter\(lambda |lambda )", plan) and not re.findall(r"\)\)\[0\]", plan)
