@@ -76,3 +76,42 @@ def test_a_cluster_meets_a_long_text_at_the_cost_of_its_tokens():
     k.add(0, tokens, k.mask(tokens))
     assert time.process_time() - at < 1.0 and k.sizes == [60_000] and k.masks == [(1 << 60_000) - 1]
     assert k.near(tokens) == {0} and k.similarity(k.mask(tokens), 60_000, 0) == 1.0
+
+
+def test_events_are_told_where_their_items_are_clustered(spark, sf_dir):
+    """Equal to the clusters and to the aggregation apart, with odd white space and characters; a day's texts are dealt out once."""
+    from pyspark.sql import functions as F
+
+    from tests.test_operators import brute_clusters
+    from tidemark.functions import text as tx
+    from tidemark.operators import events as ops
+    from tidemark.queries.events import clustered_events
+
+    entity = "[A-Za-zÀ-ÿ]{5,}|[ァ-ヶー]{2,}"
+    texts = ["", None, "a", " a\t", "Großer Händler heute", "Großer Händler\x85heute!", "Groß\x1cer Händler", "、。", "heute\u3000heute Händler", "😀😀a", "😀a", "東京電力、アメリカ", "東京電力アメリカ - NHK", "ab", "ba"]
+    rows = [(i % 3, i, texts[i * 7 % len(texts)], "disclosure" if i % 4 == 0 else "news", f"s{i % 5}" if i % 6 else None, i // 2, str(i % 9) if i % 4 == 0 else None) for i in range(90)]
+    items = spark.createDataFrame(rows, "day int, id long, title string, kind string, source string, ts int, code string")
+    clustered = ops.cluster(items, ["day"], ["ts", "id"], entity=entity)
+    for day in range(3):
+        own = [r["cluster_no"] for r in clustered.where(F.col("day") == day).orderBy("ts", "id").collect()]
+        assert own == brute_clusters([r[2] or "" for r in rows if r[0] == day], entity)
+    want = ops.to_events(clustered, ["day"], entity).withColumn("novelty", tx.novelty_hash(F.col("title"), tx.entities(F.col("title"), entity)))
+    for entities in (True, False):
+        got = ops.group_events(items, ["day"], ["ts", "id"], entity=entity, entities=entities)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect())) and len(got.columns) == 11 + entities
+    events = clustered_events(spark, sf_dir)
+    assert events._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_the_index_of_clusters_misses_none():
+    """More clusters than are compared without it: short and long texts against a plain scan."""
+    import random
+
+    from tests.test_operators import brute_clusters
+    from tidemark.operators.events import FEW, _labels
+
+    rng = random.Random(5)
+    heads = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzあいうえお") for _ in range(rng.choice([1, 2, 5, 9, 24]))) for _ in range(500)]
+    titles = [h + rng.choice(["", "", "x", "yz"]) for h in (rng.choice(heads) for _ in range(1200))]
+    found = _labels(titles, [set() for _ in titles], 0.5)
+    assert found == brute_clusters(titles, "(?!)") and len(set(found)) > FEW + 50

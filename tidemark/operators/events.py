@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
+import sys
+from collections import defaultdict
+from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..shared import cut
@@ -15,8 +22,10 @@ from .ranks import running
 COLD_START = 20  # rows of history below which ranks say little
 LOOK_BACK = 90  # days of history
 TOP_SHARE, EVENTS_A_DAY = 0.95, 3
-SCAN = 4  # clusters for each token of a text up to which all are compared instead of looked up
+SCAN, FEW = 4, 256  # clusters for each token of a text, or in all, up to which all are compared instead of looked up
 BLOCK = 8  # bits of an id within a block of neighbours
+# With Java's white space, without the separators \x1c to \x1f that Python counts as such.
+_JAVA_NOISE = tx.NOISE.replace(r"[\s", "[").replace("]+", "]|[^\\S\x1c-\x1f]+")
 
 
 class Clusters:
@@ -24,38 +33,41 @@ class Clusters:
 
     A set's similarity to a cluster is at most the smaller size over the larger; and a cluster that reaches the threshold t with a
     set of n tokens has ceil(t n) of them at least, so it has one of any n - ceil(t n) + 1. The rarest so many are looked up, and
-    only clusters in their lists whose sizes allow the threshold are compared, as masks of bits."""
+    only clusters in their lists whose sizes allow the threshold are compared, as masks of bits. The lists are written when they
+    are first asked for: a day of long texts or few clusters needs none."""
 
     def __init__(self, threshold: float) -> None:
         self.threshold = threshold
-        self.bits: dict[str, int] = {}
+        self.bits: dict = defaultdict(count().__next__)  # a new token gets the next number
         self.lists: list[list[int]] = []
+        self.unlisted: list[tuple[int, list[int]]] = []
         self.masks: list[int] = []
         self.sizes: list[int] = []
 
-    def tokens(self, words: set[str]) -> list[int]:
-        for w in words:
-            if w not in self.bits:
-                self.bits[w] = len(self.lists)
-                self.lists.append([])
-        return [self.bits[w] for w in words]
+    def tokens(self, words) -> list[int]:
+        """Numbers of distinct words, or of what else stands for a token."""
+        return list(map(self.bits.__getitem__, words))
 
     def near(self, tokens: list[int]) -> set[int]:
         """Numbers of the clusters that may reach the threshold."""
         n = len(tokens)
         low, high = self.threshold * n - 1e-9, n / self.threshold + 1e-9
-        if len(self.sizes) <= SCAN * n:  # long texts: all clusters are fewer than the entries of the lists
+        if len(self.sizes) <= max(SCAN * n, FEW):  # long texts: all clusters are fewer than the entries of the lists
             return {c for c, size in enumerate(self.sizes) if low <= size <= high}
+        self.lists += [[] for _ in range(len(self.bits) - len(self.lists))]
+        for c, fresh in self.unlisted:
+            for b in fresh:
+                self.lists[b].append(c)
+        self.unlisted.clear()
         enough = math.ceil(self.threshold * n - 1e-9)
         rare = sorted(tokens, key=lambda b: len(self.lists[b]))[: n - enough + 1]
         return {c for b in rare for c in self.lists[b] if low <= self.sizes[c] <= high}
 
     def mask(self, tokens: list[int]) -> int:
         """Built in place: a sum of single bits would copy the whole number for each token."""
-        bits = bytearray((len(self.lists) >> 3) + 1)
-        for b in tokens:
-            bits[b >> 3] |= 1 << (b & 7)
-        return int.from_bytes(bits, "little")
+        bits = np.zeros(len(self.bits), bool)
+        bits[tokens] = True
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
     def similarity(self, mask: int, n: int, c: int) -> float:
         both = (mask & self.masks[c]).bit_count()
@@ -67,12 +79,55 @@ class Clusters:
 
     def add(self, c: int, tokens: list[int], mask: int) -> None:
         fresh = mask & ~self.masks[c]
-        bits = fresh.to_bytes((len(self.lists) >> 3) + 1, "little")
-        for b in tokens:
-            if bits[b >> 3] >> (b & 7) & 1:
-                self.lists[b].append(c)
-        self.sizes[c] += fresh.bit_count()
-        self.masks[c] |= fresh
+        if fresh != mask:
+            bits = np.unpackbits(np.frombuffer(fresh.to_bytes((len(self.bits) >> 3) + 1, "little"), np.uint8), bitorder="little")
+            at = np.array(tokens)
+            tokens = at[bits[at] == 1].tolist()
+        if tokens:
+            self.unlisted.append((c, tokens))
+            self.sizes[c] += len(tokens)
+            self.masks[c] |= fresh
+
+
+@functools.cache
+def _kept() -> np.ndarray:
+    """For each code point whether it is no noise."""
+    kept = np.ones(sys.maxunicode + 1, bool)
+    kept[[ord(c) for found in re.findall(tx.NOISE, "".join(map(chr, range(len(kept))))) for c in found]] = False
+    return kept
+
+
+def _bigrams(title: str) -> list[int]:
+    """Distinct character pairs of the stripped title, each as a number; one character is itself. Sorting a text's pairs takes a
+    fraction of the time that a set of strings does."""
+    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = codes[_kept()[codes]].astype(np.uint64) + np.uint64(1)
+    if len(codes) < 2:
+        return codes.tolist()
+    pairs = codes[:-1] << np.uint64(21) | codes[1:]
+    pairs.sort()
+    return pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))].tolist()
+
+
+def _labels(titles, names, threshold: float) -> list[int]:
+    """Cluster numbers of the titles of a group in order; `names` has the entities of each."""
+    kinds, label = (Clusters(threshold), Clusters(threshold)), []
+    for title, own in zip(titles, names, strict=True):
+        told = [k.tokens(words) for k, words in zip(kinds, (_bigrams(title or ""), own), strict=True)]
+        masks = [k.mask(tokens) for k, tokens in zip(kinds, told, strict=True)]
+        best, score = -1, 0.0
+        for c in sorted(kinds[0].near(told[0]) | kinds[1].near(told[1])):
+            s = max(k.similarity(mask, len(tokens), c) for k, mask, tokens in zip(kinds, masks, told, strict=True))
+            if s > score:
+                best, score = c, s
+        if best < 0 or score < threshold:
+            best = len(kinds[0].masks)
+            for k in kinds:
+                k.start()
+        for k, tokens, mask in zip(kinds, told, masks, strict=True):
+            k.add(best, tokens, mask)
+        label.append(best)
+    return label
 
 
 def cluster(items: DataFrame, group: list[str], order: list[str], threshold: float = 0.5, entity: str = tx.ENTITY) -> DataFrame:
@@ -84,43 +139,57 @@ def cluster(items: DataFrame, group: list[str], order: list[str], threshold: flo
     that an inverted index says can reach the threshold.
     Returns items with cluster_no (from 0 within the group).
     """
-    noise, name = re.compile(tx.NOISE), re.compile(entity)
+    name = re.compile(entity)
 
     def run(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        kinds, label = (Clusters(threshold), Clusters(threshold)), []
-        for title in pdf["title"]:
-            t = noise.sub("", title or "")
-            g = {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else ({t} if t else set())
-            told = [k.tokens(words) for k, words in zip(kinds, (g, set(name.findall(title or ""))), strict=True)]
-            masks = [k.mask(tokens) for k, tokens in zip(kinds, told, strict=True)]
-            best, score = -1, 0.0
-            for c in sorted(kinds[0].near(told[0]) | kinds[1].near(told[1])):
-                s = max(k.similarity(mask, len(tokens), c) for k, mask, tokens in zip(kinds, masks, told, strict=True))
-                if s > score:
-                    best, score = c, s
-            if best < 0 or score < threshold:
-                best = len(kinds[0].masks)
-                for k in kinds:
-                    k.start()
-            for k, tokens, mask in zip(kinds, told, masks, strict=True):
-                k.add(best, tokens, mask)
-            label.append(best)
+        label = _labels(pdf["title"], [set(name.findall(t or "")) for t in pdf["title"]], threshold)
         return pdf.assign(cluster_no=pd.Series(label, dtype="int32"))
 
-    from pyspark.sql import types as T
-
     return items.groupBy(*group).applyInPandas(run, T.StructType([*items.schema.fields, T.StructField("cluster_no", T.IntegerType())]))
 
 
+def group_events(items: DataFrame, group: list[str], order: list[str], threshold: float = 0.5, entity: str = tx.ENTITY, entities: bool = True) -> DataFrame:
+    """The rows of to_events(cluster(items)) and each event's novelty hash; without entities if they aren't asked for.
+
+    Events are told where their group is clustered: only the title of an event comes back from there, no text is dealt out again by
+    cluster, and what the clusters know of a text (its entities) isn't looked for anew."""
+    name, noise, own = re.compile(entity), re.compile(_JAVA_NOISE), items.schema
+    ids, texts = T.ArrayType(own["id"].dataType), T.ArrayType(T.StringType())
+    told = [("cluster_no", T.IntegerType()), ("title", T.StringType()), ("media_count", T.LongType()), ("first_observed_at", own["ts"].dataType), ("n_items", T.LongType())]
+    told += [("has_disclosure", T.BooleanType()), ("codes", T.ArrayType(own["code"].dataType)), ("news_ids", ids), ("disclosure_ids", ids), *([("entities", texts)] if entities else [])]
+    schema = T.StructType([*(own[c] for c in group), *(T.StructField(c, t) for c, t in told), T.StructField("novelty", T.StringType())])
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        names = [set(name.findall(t or "")) for t in pdf["title"]]
+        title, ts, number, kind = (pdf[c].tolist() for c in ("title", "ts", "id", "kind"))
+        source, code = (pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("source", "code"))
+        members: dict[int, list[int]] = {}
+        for at, label in enumerate(_labels(title, names, threshold)):
+            members.setdefault(label, []).append(at)
+        out = []
+        for label, own in members.items():
+            best = min(own, key=lambda i: (-len(title[i] or ""), ts[i], number[i]))
+            news, disclosures = (sorted(number[i] for i in own if kind[i] == k) for k in ("news", "disclosure"))
+            told = [label, title[best], len({source[i] for i in own} - {None}), min(ts[i] for i in own), len(own), any(kind[i] == "disclosure" for i in own)]
+            told += [sorted({code[i] for i in own} - {None}), news, disclosures, *([sorted(set().union(*(names[i] for i in own)))] if entities else [])]
+            novelty = f"{'|'.join(sorted(names[best])[:3])}::{noise.sub('', title[best] or '')}"
+            out.append((*(pdf[c].iloc[0] for c in group), *told, hashlib.sha256(novelty.encode()).hexdigest()))
+        return pd.DataFrame(out, columns=schema.names)
+
+    return items.groupBy(*group).applyInPandas(run, schema)
+
+
 def to_previous(items: DataFrame, entity: str = tx.ENTITY) -> DataFrame:
     """(id, before, similarity): similarity of each item to that whose id is one less, the better of bigrams of titles and of
     entities. Items are grouped into blocks of neighbouring ids, and only the last of a block goes to the next one too, so
     that a text is taken apart once and what it gives isn't stored; a block is 257 items at most."""
-    # Java's white space, without the separators \x1c to \x1f that Python counts as such
-    noise, name = re.compile(tx.NOISE.replace(r"[\s", "[").replace("]+", "]|[^\\S\x1c-\x1f]+")), re.compile(entity)
+    noise, name = re.compile(_JAVA_NOISE), re.compile(entity)
     ends = F.shiftright("id", BLOCK)
     told = items.select("id", "title", F.explode(F.array_distinct(F.array(ends, F.shiftright(F.col("id") + 1, BLOCK)))).alias("block"))
 
